@@ -59,3 +59,17 @@ SELECT t.doc_id, t.size, p.total AS source_size, p.target,
        (t.size * (p.repeats + CASE WHEN e.edge IS NULL OR t.h < e.edge OR (t.h = e.edge AND e.take_edge) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM thin t JOIN parts p ON t.s = p.s AND t.sn = p.sn LEFT JOIN edges e ON t.s = e.s AND t.sn = e.sn
 """
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ._scratch import Scratch
+    from .token_output import read_tokens, write_tokens
+
+    root = Scratch(spark, "token-files").root
+    shards = write_tokens(spark, table(spark, sf_dir, "documents"), root, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, shards)
+
+
+QUERIES["op4_token_output"] = op4_token_output
