@@ -73,3 +73,13 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_token_output"] = op4_token_output
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    out = judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES["op10_quality"] = op10_quality
