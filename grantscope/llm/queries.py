@@ -83,3 +83,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_quality"] = op10_quality
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .language import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(spark, docs.select("doc_id", "text"), train(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op7_language"] = op7_language
