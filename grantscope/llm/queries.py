@@ -96,3 +96,18 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_language"] = op7_language
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document that holds a benchmark passage: its items and their places."""
+    from pyspark.sql import functions as F
+
+    from .decontaminate import contaminated
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_distinct(F.transform("leaks", lambda x: x["item_id"]))
+    return out.where(F.size("leaks") > 0).select("doc_id", items.alias("item_ids"), "leaks")
+
+
+QUERIES["op9_decontaminate"] = op9_decontaminate
