@@ -114,10 +114,11 @@ QUERIES["op9_decontaminate"] = op9_decontaminate
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import Rule, judge_urls
+    from .url_filter import Rule, by_host_words, judge_urls
 
     rules = [Rule.of("com/en/", False), Rule.of("example.com/en/7", True), Rule.of("net/de/", True), Rule.of("example.net/de/8", False), Rule.of("org/es/", False)]
-    return judge_urls(spark, table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(spark, pages, rules, labelled=by_host_words(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES["op2_url_filter"] = op2_url_filter

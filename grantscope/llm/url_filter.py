@@ -3,8 +3,7 @@
 A rule is a host suffix and a path prefix; the longest rule that fits decides.
 All other URLs are judged by boosted regression trees on lexical features: length,
 depth, digit ratio, entropy, parameter counts and statistics of the host's suffix.
-The trees learn from labelled URLs; by default those that a rule decides, which is
-what the operators of such a list have stated about their own traffic.
+The trees learn from labelled URLs: a table of them, or those that a rule decides.
 """
 
 from __future__ import annotations
@@ -19,7 +18,14 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_LABELLED = 20_000
-SUFFIXES = 1 << 12
+SUFFIXES = 1 << 16
+
+
+#: Host name parts of sites that no corpus wants, used to label URLs.
+UNWANTED = (
+    "adult", "ads", "advert", "bet", "bets", "betting", "casino", "escort", "gambling", "hentai", "lottery", "malware", "nude",
+    "payday", "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "torrent", "tracker", "viagra", "warez", "xxx",
+)
 
 
 @dataclass(frozen=True)
@@ -60,8 +66,15 @@ def matched(rules: Sequence[Rule], host: Column, path: Column) -> Column:
 
 
 def suffix_slot(host: Column) -> Column:
-    """A slot of a fixed number for the host's last two labels."""
-    return F.pmod(F.xxhash64(F.substring_index(host, ".", -2)), F.lit(SUFFIXES)).cast("int")
+    """A slot of a fixed number for the host's last three labels."""
+    return F.pmod(F.xxhash64(F.substring_index(host, ".", -3)), F.lit(SUFFIXES)).cast("int")
+
+
+def by_host_words(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """Labelled URLs: ``blocked`` if a part of the host name is an unwanted word."""
+    host, _ = host_and_path(F.col(url_col))
+    parts = F.split(host, r"[^a-z]+")
+    return pages.select(F.col(url_col).alias("url"), F.arrays_overlap(parts, F.array(*[F.lit(w) for w in UNWANTED])).alias("blocked"))
 
 
 def features(urls: list[str | None], hosts: list[str], paths: list[str], slots: np.ndarray, stats: np.ndarray) -> np.ndarray:
