@@ -122,3 +122,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_url_filter"] = op2_url_filter
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(spark, table(spark, sf_dir, "pages"))
+
+
+QUERIES["op6_html_text"] = op6_html_text
