@@ -23,6 +23,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import suppress
 from itertools import islice
 
 import numpy as np
@@ -36,7 +37,8 @@ from ._scratch import Scratch
 
 MAGIC, VERSION, HINT = 0x45464944, 1, 256
 SHARD_BYTES = 32 << 20
-CACHE_UNITS = 400_000
+CACHE_UNITS = 500_000
+MARKS = ".,;:!?"
 
 
 class EliasFano:
@@ -155,8 +157,10 @@ class Encoder:
         self.added = set(added)
         hidden = [b for b in range(256) if b not in set(SHOWN)]
         self.visible = {b: 256 + k for k, b in enumerate(hidden)}
+        self.space = chr(self.visible[32])
         self.model, self.code = self.tok.model, "H" if self.width == 2 else "I"
         self.pieces: dict[str, bytes] = {}
+        self.marks = {x: self._piece(x) for x in MARKS} if self.cuts else {}
         self.whole: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
@@ -196,27 +200,44 @@ class Encoder:
         return first + self._joined(self.spaced, rest.split(" "), " ") if rest else first
 
     def _joined(self, cache: dict[str, bytes], parts: list[str], before: str) -> bytes:
-        try:
-            return b"".join(map(cache.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(cache) > CACHE_UNITS:
-            _halve(cache)
-        pieces = self.pieces
-        for p in set(parts).difference(cache):
-            found = PIECES.findall(before + p)
-            try:
-                cache[p] = b"".join([pieces[x] for x in found])
-            except KeyError:
-                cache[p] = b"".join([pieces.get(x) or self._piece(x) for x in found])
-        return b"".join(map(cache.__getitem__, parts))
+        out = list(map(cache.get, parts))
+        if None in out:
+            if len(cache) > CACHE_UNITS:
+                _halve(cache)
+            i = -1
+            with suppress(ValueError):  # no further None
+                while True:
+                    i = out.index(None, i + 1)
+                    out[i] = cache.get(parts[i]) or self._unit(cache, parts[i], before)
+        return b"".join(out)
+
+    def _unit(self, cache: dict[str, bytes], unit: str, before: str) -> bytes:
+        """Ids of a unit; letters, and letters before one mark, need no search for pieces."""
+        if unit.isalpha():
+            ids = self._piece(before + unit)
+        elif unit[-1] in MARKS and unit[:-1].isalpha():
+            stem = unit[:-1]
+            found = cache.get(stem)
+            if found is None:
+                found = cache[stem] = self._piece(before + stem)
+            ids = found + self.marks[unit[-1]]
+        else:
+            ids = b"".join([self.pieces.get(x) or self._kept(x) for x in PIECES.findall(before + unit)])
+        cache[unit] = ids
+        return ids
+
+    def _kept(self, piece: str) -> bytes:
+        if len(self.pieces) > CACHE_UNITS // 4:
+            self.pieces.clear()
+        found = self.pieces[piece] = self._piece(piece)
+        return found
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) > CACHE_UNITS:
-            _halve(self.pieces)
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.visible))]
-        found = self.pieces[piece] = array(self.code, ids).tobytes()
-        return found
+        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
+            seen = self.space + piece[1:]
+        else:
+            seen = piece.encode().decode("latin-1").translate(self.visible)
+        return array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
 
 
 def _halve(cache: dict[str, bytes]) -> None:
