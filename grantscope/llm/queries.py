@@ -131,3 +131,12 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_html_text"] = op6_html_text
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import join_classes
+
+    return join_classes(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_ngram_jaccard"] = op5_ngram_jaccard
