@@ -1,4 +1,87 @@
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+"""A corpus pipeline: language ID, deduplication, decontamination, mixing, token output.
+
+Each stage takes the session, what the stage before kept, and the folder of the
+tables; all but the last return the columns of ``documents``.  Every stage's result
+is written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grantscope.llm._scratch import Scratch
+from grantscope.llm.decontaminate import contaminated
+from grantscope.llm.jaccard import join_classes
+from grantscope.llm.language import UND, identify, train
+from grantscope.llm.mixing import mixed
+from grantscope.llm.token_output import read_tokens, write_tokens
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents in which a language was found: those with a letter."""
+    found = identify(spark, docs, train(docs))
+    return found.where(F.col("lang_pred") != UND).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of similar documents the one of least id, once.
+
+    Documents without an id, or without a word, are in no group and stay.
+    """
+    scratch = Scratch(spark, "groups")
+    found = join_classes(spark, docs)
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    kept = scratch.write(found.where(alone).groupBy("doc_id").agg(F.count("*").alias("times")), "kept")
+    key = kept.select(F.col("doc_id").alias("kept_id"))
+    rows = docs.join(key, docs["doc_id"].eqNullSafe(key["kept_id"]), "left_semi")
+    if kept.where("doc_id is not null and times > 1").limit(1).count():
+        # an id with several rows: one of them stays
+        twice = rows.where("doc_id is not null").dropDuplicates(["doc_id"])
+        rows = rows.where("doc_id is null").unionByName(twice)
+    return rows
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark passage."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contaminated(spark, docs, benchmark).where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the weighted mix of the sources takes them."""
+    return mixed(spark, docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token shards and returns what they hold, read back from the files."""
+    shards = write_tokens(spark, docs, Scratch(spark, "corpus").root, tokenizer_path=public_tokenizers.path(TOKENIZER))
+    return read_tokens(spark, shards)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", token_output),
+]
+
+#: The method of several stages has no SQL form; tests hold run() against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies all stages to ``documents``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.drop(f"stage-{k - 1}")
+    return docs

@@ -78,32 +78,64 @@ def mix(
     empty result; other columns are ignored.
     """
     scratch = Scratch(spark, "mix")
-    thin = scratch.write(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.coalesce(F.col(source_col), F.lit("")).alias("s"),
-            F.col(source_col).isNull().alias("sn"),
-            n_words(F.col(text_col)).alias("size"),
-            uniform_hash(F.col(id_col)).alias("h"),
-        ),
-        "sizes",
-    )
-    key = ["s", "sn"]
-    totals = scratch.write(thin.groupBy(*key).agg(F.sum("size").alias("total")), "totals")
-    out = thin.join(totals, key)
+    thin = scratch.write(_keyed(docs, id_col, source_col, text_col).select(F.col(f"`{id_col}`").alias("id"), "s", "sn", "size", "h"), "sizes")
+    totals = scratch.write(thin.groupBy("s", "sn").agg(F.sum("size").alias("total")), "totals")
+    out = thin.join(totals, ["s", "sn"])
     shown = [F.col("id").alias(id_col), F.when(~F.col("sn"), F.col("s")).alias("source"), "size", F.col("total").alias("source_size")]
     for n, budget in enumerate(budgets):
         end = f"_{n}" if n else ""
         state = _thresholds(scratch, thin, totals, budget, weights, max_repeats, n)
-        whole = F.col("h") < F.col("edge")
-        last = (F.col("h") == F.col("edge")) & F.col("take_edge")
-        out = out.join(state, key).withColumn(f"target{end}", F.col("target_")).withColumn(
-            f"taken{end}", (F.col("size") * (F.col("repeats") + F.when(whole | last, 1).otherwise(0))).cast("long")
-        ).drop("target_", "repeats", "edge", "take_edge")
+        out = out.join(state, ["s", "sn"]).withColumn(f"target{end}", F.col("target_")).withColumn(f"taken{end}", F.col("size") * copies())
+        out = out.drop("target_", "repeats", "edge", "take_edge")
         shown += [f"target{end}", f"taken{end}"]
     return out.select(*shown)
 
 
+def mixed(
+    spark: SparkSession,
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    weights: Sequence[float] = (5.0, 2.0, 1.0),
+    max_repeats: int = 3,
+    budget: float = 1.0,
+) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it, with all their columns.
+
+    Thresholds, a row per source, are joined to the documents; texts are not shuffled
+    while that table is small enough for Spark to broadcast.  Columns of ``docs`` may
+    have any name.
+    """
+    scratch = Scratch(spark, "mixed")
+    thin = scratch.write(_keyed(docs, id_col, source_col, text_col).select("s", "sn", "size", "h"), "sizes")
+    totals = scratch.write(thin.groupBy("s", "sn").agg(F.sum("size").alias("total")), "totals")
+    state = _thresholds(scratch, thin, totals, budget, weights, max_repeats, 0)
+    inner = [f"_{i}_" for i in range(len(docs.columns))]
+    plain = docs.toDF(*inner)
+    of = dict(zip(docs.columns, inner, strict=True))
+    rows = _keyed(plain, of[id_col], of[source_col], of[text_col], sized=False).join(state, ["s", "sn"]).withColumn("copies", copies())
+    rows = rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*inner).toDF(*docs.columns)
+
+
+def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str, sized: bool = True) -> DataFrame:
+    """Adds the source (``s``, and ``sn`` if null), the hash ``h`` and the ``size``."""
+    source = F.col(f"`{source_col}`")
+    extra = [F.coalesce(source, F.lit("")).alias("s"), source.isNull().alias("sn"), uniform_hash(F.col(f"`{id_col}`")).alias("h")]
+    if sized:
+        extra.append(n_words(F.col(f"`{text_col}`")).alias("size"))
+        return docs.select(F.col(f"`{id_col}`"), *extra)
+    return docs.select("*", *extra)
+
+
+def copies() -> Column:
+    """How often a row is taken, from its source's threshold."""
+    more = (F.col("h") < F.col("edge")) | (F.col("h") == F.col("edge")) & F.col("take_edge")
+    return F.col("repeats") + F.when(more, F.lit(1)).otherwise(0).cast("long")
+
+
 def _thresholds(scratch: Scratch, thin: DataFrame, totals: DataFrame, budget: float, weights, max_repeats: int, n: int) -> DataFrame:
     """Per source: target, whole repeats, the hash at which the rest ends and whether that hash is in."""
     key = ["s", "sn"]

@@ -140,3 +140,61 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_ngram_jaccard"] = op5_ngram_jaccard
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents in, one of them sent twice, repeated texts out, counts revised.
+
+    Words of a text are its tokens under ``words-1``; ``words-2`` counts line ends too.  Batch 2 deletes documents that labels call toxic, batch 3 revises the
+    counts of all others that have several lines, batch 4 counts every document under ``words-2``.
+    """
+    from pyspark.sql import functions as F
+
+    from ._scratch import Scratch
+    from .mixing import n_words
+    from .rollup import Rollup
+
+    scratch = Scratch(spark, "rollup")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    counted = scratch.write(docs.select("doc_id", "source", "lang", n_words(F.col("text")).alias("words"), breaks.cast("long").alias("breaks")), "counts")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    change = lambda df, op, tokenizer, tokens, old=None: df.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), tokens.alias("tokens"), (F.lit(None).cast("long") if old is None else old).alias("old_tokens"))
+    words, both = F.col("words"), F.col("words") + F.col("breaks")
+    store = Rollup(spark, scratch.path("store"))
+    first = change(counted, "insert", "words-1", words)
+    store.commit("0001", first)
+    store.commit("0001", first)  # sent again: no effect
+    store.commit("0002", change(counted.join(toxic, "doc_id", "left_semi"), "delete", "words-1", words))
+    store.commit("0003", change(counted.join(toxic, "doc_id", "left_anti").where("breaks > 0"), "revise", "words-1", both, words))
+    store.commit("0004", change(counted, "insert", "words-2", both))
+    return store.totals()
+
+
+QUERIES["op3_line_dedup"] = op3_line_dedup
+QUERIES["op8_token_rollup"] = op8_token_rollup
+ORACLE_SQL["op8_token_rollup"] = r"""
+WITH counted AS (
+  SELECT doc_id, source, lang,
+         coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS words,
+         (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')))::BIGINT AS breaks
+  FROM documents),
+changes AS (
+  SELECT source, lang, 'words-1' AS tokenizer, 1 AS docs, words AS tokens FROM counted
+  UNION ALL
+  SELECT source, lang, 'words-1', -1, -words FROM counted WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+  UNION ALL
+  SELECT source, lang, 'words-1', 0, breaks FROM counted
+  WHERE breaks > 0 AND NOT EXISTS (SELECT 1 FROM labels WHERE toxic = 1 AND labels.doc_id = counted.doc_id)
+  UNION ALL
+  SELECT source, lang, 'words-2', 1, words + breaks FROM counted)
+SELECT source, lang, tokenizer, sum(docs)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens
+FROM changes GROUP BY ALL HAVING sum(docs) <> 0 OR sum(tokens) <> 0
+"""
