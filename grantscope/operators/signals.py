@@ -35,11 +35,15 @@ def matches(line: Column, signals: Sequence[Signal], imports: Column | None = No
     for n, s in enumerate(signals):
         hit = line.rlike(s.pattern)
         if s.import_needles and imports is not None:
-            hit = hit & F.exists(imports, lambda i, s=s: text_any(i, s.import_needles))
+            hit = hit & _some(imports, s.import_needles)
         tests.append(F.when(hit, F.struct(F.lit(n).alias("ord"), F.lit(s.permission).alias("permission"), F.lit(s.label).alias("label"), F.lit(s.confidence).alias("confidence"))))
     return F.array_compact(F.array(*tests))
 
 
+def _some(values: Column, needles: Sequence[str]) -> Column:
+    return F.exists(values, lambda v: text_any(v, needles))
+
+
 def text_any(value: Column, needles: Sequence[str]) -> Column:
     found = F.lit(False)
     for needle in needles:

@@ -1,14 +1,354 @@
-"""Registered queries over the driver's tables, and their SQL."""
+"""Registered queries: each operator on the driver's tables, and the same in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import catalog, markup, text
+from ..functions.catalog import Signal
+from ..operators import classify, declarations, graph, rules, signals
+from . import analyze
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return declared_vs_used(spark, sf_dir)
+
+
+LINES_SQL = "lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
+
+
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
+    return text.numbered_lines(docs, "lines", ["doc_id", "source"])
+
+
+@query(f"""WITH {LINES_SQL}
+SELECT doc_id, max(line_no)::BIGINT AS n_lines, count(*) FILTER (WHERE regexp_matches(line, '[^ \\t]'))::BIGINT AS n_nonblank, sum(length(line))::BIGINT AS n_chars
+FROM lines GROUP BY doc_id""")
+def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every text, numbered: counts per document."""
+    df = doc_lines(spark, sf_dir)
+    return df.groupBy("doc_id").agg(F.max("line").cast("long").alias("n_lines"), F.count_if(F.col("text").rlike(r"[^ \t]")).alias("n_nonblank"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(f"""WITH {LINES_SQL} SELECT doc_id, line_no::INTEGER AS line, left(trim(line), 220) AS snippet FROM lines WHERE length(line) > 300""")
+def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long lines, trimmed and cut to 220 characters."""
+    return doc_lines(spark, sf_dir).where(F.length("text") > 300).select("doc_id", "line", text.snippet(F.col("text")).alias("snippet"))
+
+
+DOC_SIGNALS = [
+    Signal("LICENSE", "license line", r"[Ll]icensed? under", "HIGH"),
+    Signal("RIGHTS", "rights line", r"[Rr]ights reserved", "HIGH"),
+    Signal("MAIL", "mail address", r"[a-z0-9.]+@[a-z0-9.]+", "HIGH"),
+    Signal("SECRET", "assigned secret", r"(token|secret|key) = ", "MEDIUM"),
+    Signal("CAPS", "shouted word", r"[A-Z]{8}", "LOW"),
+    Signal("DIGITS", "long number", r"[0-9]{12}", "MEDIUM", ("src0", "src1")),
+]
+SIGNAL_VALUES = ", ".join(f"('{s.permission}', '{s.label}', '{s.pattern}', '{s.confidence}', {1 if s.import_needles else 0})" for s in DOC_SIGNALS)
+
+
+@query(f"""WITH {LINES_SQL}, sig(name, label, pattern, confidence, guarded) AS (VALUES {SIGNAL_VALUES})
+SELECT name, confidence, count(*)::BIGINT AS hits, count(DISTINCT doc_id)::BIGINT AS docs
+FROM lines JOIN sig ON regexp_matches(line, pattern) WHERE guarded = 0 OR contains(source, 'src0') OR contains(source, 'src1') GROUP BY ALL""")
+def signal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines against a catalog of patterns, one of them guarded."""
+    df = doc_lines(spark, sf_dir).select("doc_id", F.explode(signals.matches(F.col("text"), DOC_SIGNALS, F.array("source"))).alias("s"))
+    return df.groupBy(F.col("s.permission").alias("name"), F.col("s.confidence").alias("confidence")).agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, text, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS win FROM conversations)
+SELECT conv_id, turn, length(win)::INTEGER AS win_chars,
+  coalesce(CASE WHEN contains(lower(text), 'tion') THEN 'REQUEST' WHEN contains(lower(text), 'able') THEN 'CHECK' END,
+           CASE WHEN contains(lower(win), 'tion') THEN 'REQUEST' WHEN contains(lower(win), 'able') THEN 'CHECK' END, 'NONE') AS kind FROM w""")
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints in a turn, else in the four turns around it."""
+    df = text.around(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", 4, "win")
+    kind = lambda c: F.when(text.holds_any(c, ["TION"]), "REQUEST").when(text.holds_any(c, ["Able"]), "CHECK")
+    return df.select("conv_id", "turn", F.length("win").alias("win_chars"), F.coalesce(kind(F.col("text")), kind(F.col("win")), F.lit("NONE")).alias("kind"))
+
+
+@query("""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*>')) AS tag FROM pages)
+SELECT page_id, regexp_extract(tag, 'href="([^"]*)"', 1) AS href, count(*)::BIGINT AS n FROM t GROUP BY ALL""")
+def tag_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages with their target."""
+    df = table(spark, sf_dir, "pages").select("page_id", F.explode(markup.tags(F.col("html"), r"<a\s[^>]*>")).alias("t"))
+    return df.groupBy("page_id", F.coalesce(markup.attribute(F.col("t.tag"), "href"), F.lit("")).alias("href")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT page_id, string_split(html, '<p>') AS parts FROM pages),
+t AS (SELECT page_id, unnest(generate_series(1, len(parts) - 1)) AS k, parts FROM p WHERE len(parts) > 1)
+SELECT page_id, k::BIGINT AS nth, (length(array_to_string(parts[1:k], '')) - length(replace(array_to_string(parts[1:k], ''), chr(10), '')) + 1)::INTEGER AS line FROM t""")
+def tag_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line number of every paragraph tag."""
+    df = table(spark, sf_dir, "pages").select("page_id", F.posexplode(markup.tags(F.col("html"), "<p>")).alias("k", "t"))
+    return df.select("page_id", (F.col("k") + 1).cast("long").alias("nth"), F.col("t.line").alias("line"))
+
+
+@query("""SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') = html AS clean, length(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'))::INTEGER AS n,
+regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
+def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without comments, and their title's body."""
+    bare = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
+    return table(spark, sf_dir, "pages").select("page_id", (bare == F.col("html")).alias("clean"), F.length(bare).alias("n"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?:', ''), '^/+', '') AS path FROM pages)
+SELECT page_id, path, CASE WHEN instr(path, '/en/') > 1 THEN split_part(path, '/en/', 1) WHEN split_part(path, '/', 1) = '' THEN 'root' ELSE split_part(path, '/', 1) END AS module,
+string_split(path, '.')[-1] AS short_name FROM p""")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative path, module and last segment of a path."""
+    path = F.regexp_replace(F.regexp_replace("url", "^https?:", ""), "^/+", "")
+    df = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    as_source = F.replace(F.col("path"), F.lit("/en/"), F.lit("/src/"))
+    return df.select("page_id", "path", text.module_of(as_source).alias("module"), text.short_name(F.col("path")).alias("short_name"))
+
+
+@query("""WITH v AS (SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN value > 50 THEN 'true' WHEN value > 25 THEN 'TRUE' ELSE 'false' END AS b FROM events)
+SELECT event_id, CASE WHEN regexp_full_match(k, '[+-]?[0-9]+') THEN k::INTEGER END AS k, CASE WHEN regexp_full_match(' ' || k, '[+-]?[0-9]+') THEN 1 END AS padded,
+CASE b WHEN 'true' THEN true WHEN 'false' THEN false END AS flag FROM v""")
+def strict_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers and booleans, exact or null."""
+    df = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.when(F.col("value") > 50, "true").when(F.col("value") > 25, "TRUE").otherwise("false").alias("b"))
+    return df.select("event_id", text.strict_int(F.col("k")).alias("k"), text.strict_int(F.concat(F.lit(" "), F.col("k"))).alias("padded"), text.strict_bool(F.col("b")).alias("flag"))
+
+
+@query("""WITH u AS (SELECT doc_id, count(*) FILTER (WHERE n_chars > 0) AS n, max(n_chars) AS chars FROM documents GROUP BY doc_id),
+j AS (SELECT coalesce(u.doc_id, l.doc_id) AS doc_id, l.doc_id IS NOT NULL AS declared, coalesce(chars, 0) > 1000 AS api, coalesce(chars, 0) > 4000 AS strong,
+  coalesce(chars, 0) % 7 = 0 AND chars IS NOT NULL AS req, coalesce(chars, 0) % 5 = 0 AND chars IS NOT NULL AS chk, chars IS NOT NULL AS const, coalesce(toxic, 0) = 1 AS alt, quality
+  FROM u FULL OUTER JOIN labels l ON u.doc_id = l.doc_id),
+s AS (SELECT *, CASE WHEN NOT declared AND NOT strong AND NOT req AND api THEN 'WEAK_SIGNAL' WHEN NOT declared AND alt AND NOT req THEN 'ALTERNATIVE_COVERED'
+  WHEN api AND NOT declared THEN 'UNDECLARED_USAGE' WHEN api THEN 'USED' WHEN declared AND (req OR chk OR const) THEN 'REQUESTED_ONLY'
+  WHEN NOT declared AND (req OR chk) THEN 'UNDECLARED_USAGE' ELSE 'DECLARED_UNUSED' END AS status,
+  CASE WHEN quality = 1 THEN 'DANGEROUS' WHEN quality = 0 THEN 'SPECIAL' ELSE 'NORMAL' END AS protection FROM j)
+SELECT doc_id, status, CASE WHEN status IN ('WEAK_SIGNAL', 'ALTERNATIVE_COVERED') THEN 'LOW' WHEN status = 'UNDECLARED_USAGE' THEN 'HIGH'
+  WHEN status = 'DECLARED_UNUSED' AND protection <> 'NORMAL' THEN 'HIGH' WHEN status = 'DECLARED_UNUSED' THEN 'MEDIUM' WHEN protection = 'DANGEROUS' AND NOT req THEN 'HIGH'
+  WHEN alt THEN 'MEDIUM' WHEN status = 'REQUESTED_ONLY' THEN 'MEDIUM' ELSE 'LOW' END AS risk,
+  CASE WHEN strong OR req THEN 'HIGH' WHEN api THEN 'MEDIUM' WHEN NOT const THEN 'HIGH' ELSE 'LOW' END AS confidence FROM s""")
+def declared_vs_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (used) and labels (declared) matched by id, classified by the decision tables (J5, 2.7)."""
+    used = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.max("n_chars").alias("chars"))
+    both = signals.full_match(used, table(spark, sf_dir, "labels"), "doc_id")
+    chars, there = F.coalesce("chars", F.lit(0)), F.col("chars").isNotNull()
+    both = both.withColumn("api", chars > 1000).withColumn("strong", chars > 4000).withColumn("req", (chars % 7 == 0) & there).withColumn("chk", (chars % 5 == 0) & there)
+    alt = F.coalesce("toxic", F.lit(0)) == 1
+    both = both.withColumn("status", classify.status(F.col("in_right"), F.col("api"), F.col("strong"), F.col("req"), F.col("chk"), there, alt))
+    protection = F.when(F.col("quality") == 1, "DANGEROUS").when(F.col("quality") == 0, "SPECIAL").otherwise("NORMAL")
+    note = F.when(alt, F.lit("note"))
+    return both.select("doc_id", "status", classify.risk(F.col("status"), protection, F.col("req"), note).alias("risk"), classify.confidence(F.col("strong"), F.col("api"), F.col("req"), there).alias("confidence"))
+
+
+@query("""SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)""")
+def unused_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared but never used: anti join."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(urgent, "c_custkey", "left_anti")
+
+
+@query("""SELECT n1.n_nationkey, n1.n_name FROM nation n1 WHERE EXISTS (SELECT 1 FROM nation n2 JOIN customer c ON c.c_nationkey = n2.n_nationkey
+WHERE n2.n_regionkey = n1.n_regionkey AND n2.n_nationkey <> n1.n_nationkey AND c.c_acctbal > 9900)""")
+def alternative_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with another nation of their region that has a rich customer: group semi join."""
+    nation = table(spark, sf_dir, "nation")
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("other")).distinct()
+    pairs = nation.select(F.col("n_nationkey").alias("other"), F.col("n_regionkey").alias("r")).join(rich, "other", "left_semi")
+    on = (nation["n_regionkey"] == pairs["r"]) & (nation["n_nationkey"] != pairs["other"])
+    return nation.join(pairs, on, "left_semi").select("n_nationkey", "n_name")
+
+
+@query("""SELECT p_partkey, CASE WHEN b.brand IS NOT NULL THEN b.grade WHEN starts_with(p_brand, 'Brand#1') THEN 'NORMAL' ELSE 'SIGNATURE' END AS grade,
+coalesce(b.maker, 'Other') AS maker FROM part LEFT JOIN (VALUES ('Brand#11', 'DANGEROUS', 'one'), ('Brand#23', 'SPECIAL', 'two')) b(brand, grade, maker) ON p_brand = b.brand""")
+def default_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup in a small catalog with a default row."""
+    brands = spark.createDataFrame([("Brand#11", "DANGEROUS", "one"), ("Brand#23", "SPECIAL", "two")], "brand string, grade string, maker string")
+    df = table(spark, sf_dir, "part").join(F.broadcast(brands), F.col("p_brand") == F.col("brand"), "left")
+    usual = F.when(F.startswith("p_brand", F.lit("Brand#1")), "NORMAL").otherwise("SIGNATURE")
+    return df.select("p_partkey", F.coalesce("grade", usual).alias("grade"), F.coalesce("maker", F.lit("Other")).alias("maker"))
+
+
+SPANS = "spans AS (SELECT user_id, event_id AS span_id, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + 3 * 86400 AS e, event_type = 'purchase' AS strong FROM events WHERE event_type IN ('signup', 'purchase'))"
+
+
+@query(f"""WITH {SPANS}, p AS (SELECT user_id, event_id, epoch(ts)::BIGINT AS t FROM events WHERE event_type = 'click')
+SELECT p.user_id, p.event_id, (SELECT span_id FROM spans x WHERE x.user_id = p.user_id AND p.t BETWEEN x.s AND x.e ORDER BY x.strong DESC, x.s DESC, x.span_id LIMIT 1) AS span_id FROM p""")
+def innermost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and the innermost span of the same user around them, strong spans first."""
+    events = table(spark, sf_dir, "events").withColumn("t", F.unix_timestamp("ts"))
+    spans = events.where(F.col("event_type").isin("signup", "purchase")).select(
+        "user_id", F.col("event_id").alias("ord"), F.col("t").alias("start_line"), (F.col("t") + 3 * 86400).alias("end_line"), (F.col("event_type") == "purchase").alias("strong"))
+    points = events.where("event_type = 'click'").select("user_id", "event_id", "t")
+    out = declarations.innermost(points, spans, point_keys=["user_id"], point="t", first="strong")
+    return out.select("user_id", "event_id", F.col("in_ord").alias("span_id"))
+
+
+@query("""WITH d AS (SELECT user_id, event_id, ts, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END)
+  OVER (PARTITION BY user_id ORDER BY ts, event_id) AS depth FROM events)
+SELECT user_id, max(depth)::BIGINT AS deepest, min(event_id) FILTER (WHERE depth < 0) AS first_below FROM d GROUP BY user_id""")
+def running_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running balance of opening and closing events (D3)."""
+    step = F.when(F.col("event_type").isin("signup", "purchase"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    depth = F.sum(step).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    df = table(spark, sf_dir, "events").withColumn("depth", depth)
+    return df.groupBy("user_id").agg(F.max("depth").alias("deepest"), F.min(F.when(F.col("depth") < 0, F.col("event_id"))).alias("first_below"))
+
+
+@query("""WITH few AS (SELECT s_nationkey FROM supplier GROUP BY s_nationkey HAVING count(*) <= 6)
+SELECT DISTINCT s_suppkey::VARCHAR AS callee_id, c_custkey::VARCHAR AS caller_id FROM customer JOIN supplier ON s_nationkey = c_nationkey
+WHERE s_nationkey IN (SELECT s_nationkey FROM few) AND s_suppkey::VARCHAR <> c_custkey::VARCHAR""")
+def guarded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by an equal name, for names of at most six candidates."""
+    callees = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_nationkey").alias("name"))
+    calls = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("caller_id"), F.lit(0).alias("caller_ord"), F.col("c_nationkey").alias("name"))
+    return graph.guarded_edges(calls, callees).select("callee_id", "caller_id")
+
+
+BFS_EDGES = "edges AS (SELECT DISTINCT l_suppkey % 97 AS callee, (l_partkey * 7 + 3) % 97 AS caller FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0)"
+
+
+@query(f"""WITH RECURSIVE {BFS_EDGES}, walk(target, node, level) AS (SELECT t, t, 1 FROM (VALUES (1), (5), (9)) v(t)
+UNION SELECT target, caller, level + 1 FROM walk JOIN edges ON node = callee WHERE level < 4)
+SELECT target::VARCHAR AS target, node::VARCHAR AS node, min(level)::INTEGER AS level FROM walk GROUP BY ALL""")
+def bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that reach three targets within four levels, with their level."""
+    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 50 = 0")
+    edges = items.select((F.col("l_suppkey") % 97).cast("string").alias("callee_id"), ((F.col("l_partkey") * 7 + 3) % 97).cast("string").alias("caller_id")).distinct()
+    edges = edges.withColumn("caller_ord", F.col("caller_id"))
+    targets = spark.createDataFrame([("1",), ("5",), ("9",)], "id string")
+    kinds = spark.createDataFrame([], "id string, entry_kind string")
+    _, visited = graph.callers_paths(targets, edges, kinds, max_depth=4)
+    return visited.groupBy("target", "node").agg(F.min("level").alias("level"))
+
+
+@query("""SELECT o_orderpriority AS priority, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS reached, count(DISTINCT c_mktsegment)::INTEGER AS n,
+arg_max(o_orderstatus, o_orderkey) AS last_status FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000 GROUP BY 1""")
+def inverted_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per key the sorted set of values and what the last row carries."""
+    orders = table(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    rows = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    out = graph.inverted(rows, key="o_orderpriority", value="c_mktsegment", order=["o_orderkey"], carry=["o_orderstatus"])
+    return out.select(F.col("o_orderpriority").alias("priority"), F.array_join("reached", ",").alias("reached"), F.size("reached").alias("n"), F.col("o_orderstatus").alias("last_status"))
+
+
+@query("""SELECT o_orderpriority AS module, count(*) FILTER (WHERE o_orderstatus = 'O')::INTEGER AS n_open, count(*) FILTER (WHERE o_orderstatus = 'F')::INTEGER AS n_final,
+count(*) FILTER (WHERE o_orderstatus = 'P')::INTEGER AS n_partial, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")
+def module_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditional counts per group."""
+    n = lambda s: F.count_if(F.col("o_orderstatus") == s).cast("int")
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("module")).agg(n("O").alias("n_open"), n("F").alias("n_final"), n("P").alias("n_partial"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+SEVERITY_SQL = "CASE WHEN l_discount > 0.09 THEN 'CRITICAL' WHEN l_discount > 0.07 THEN 'HIGH' WHEN l_discount > 0.04 THEN 'MEDIUM' WHEN l_discount > 0.02 THEN 'LOW' ELSE 'INFO' END"
+
+
+def severity_of(discount: Column) -> Column:
+    return F.when(discount > 0.09, "CRITICAL").when(discount > 0.07, "HIGH").when(discount > 0.04, "MEDIUM").when(discount > 0.02, "LOW").otherwise("INFO")
+
+
+@query(f"""WITH f AS (SELECT l_orderkey, {SEVERITY_SQL} AS sev FROM lineitem),
+s AS (SELECT l_orderkey, least(100, sum(CASE sev WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 20 WHEN 'MEDIUM' THEN 8 WHEN 'LOW' THEN 3 ELSE 0 END))::INTEGER AS score FROM f GROUP BY 1)
+SELECT l_orderkey, score, CASE WHEN score < 10 THEN 'A' WHEN score < 25 THEN 'B' WHEN score < 45 THEN 'C' WHEN score < 70 THEN 'D' ELSE 'F' END AS grade FROM s""")
+def scored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capped sums of severity weights and their grades."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", severity_of(F.col("l_discount")).alias("sev"))
+    df = df.groupBy("l_orderkey").agg(classify.capped_score(F.col("sev")).alias("score"))
+    return df.withColumn("grade", classify.grade(F.col("score")))
+
+
+@query(f"""SELECT {SEVERITY_SQL} AS severity, l_returnflag AS flag, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING count(*) > 0""")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by severity, zero counts absent."""
+    df = table(spark, sf_dir, "lineitem")
+    return df.groupBy(severity_of(F.col("l_discount")).alias("severity"), F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (
+  SELECT 0 AS block, doc_id, 0 AS nth, 'UNUSED_PERMISSION' AS rule, CASE WHEN quality = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM labels WHERE toxic = 1
+  UNION ALL SELECT 0, doc_id, 1, 'UNDECLARED_PERMISSION', 'CRITICAL' FROM labels WHERE quality = 0
+  UNION ALL SELECT 9, NULL, 13, 'NO_MANIFEST', 'HIGH' FROM (SELECT count(*) AS n FROM labels WHERE quality > 5) WHERE n = 0)
+SELECT printf('F-%03d', row_number() OVER (ORDER BY block, coalesce(printf('%012d', doc_id), ''), nth)) AS id, rule, severity FROM f""")
+def numbered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules in one pass, a rule on empty input, ids in order of emission."""
+    labels = table(spark, sf_dir, "labels")
+    name, order = F.col("doc_id").cast("string"), F.format_string("%012d", "doc_id")
+    own = rules.any_of(labels, [
+        (F.col("toxic") == 1, rules.finding("UNUSED_PERMISSION", F.when(F.col("quality") == 1, "HIGH").otherwise("MEDIUM"), subject=name, other=name, block=0, order=order)),
+        (F.col("quality") == 0, rules.finding("UNDECLARED_PERMISSION", "CRITICAL", subject=name, block=0, order=order)),
+    ])
+    none = rules.any_of(labels.where("quality > 5").agg(F.count("*").alias("n")), [(F.col("n") == 0, rules.finding("NO_MANIFEST", "HIGH", block=9, order=F.lit("")))])
+    return rules.numbered(own.unionByName(none)).select("id", "rule", "severity")
+
+
+@query("""SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= 8""")
+def top_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight rows per key in a stable order (L1, O1, O2)."""
+    rank = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"))
+    return table(spark, sf_dir, "lineitem").withColumn("n", rank).where("n <= 8").select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1""")
+def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates by a composite key, the first kept."""
+    return signals.first_of(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("""WITH u AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000 UNION SELECT o_custkey FROM orders WHERE o_totalprice > 300000) SELECT k FROM u""")
+def key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of two key sets (SO1, O1)."""
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k"))
+    return a.unionByName(table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k"))).distinct()
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE p_size > 25 AND p_brand = 'Brand#11' AND contains(lower(concat_ws(' ', p_name, p_type, p_brand)), 'brand#1')""")
+def report_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality and any-case substring over several columns (K8)."""
+    df = table(spark, sf_dir, "part").select(
+        F.col("p_partkey"), F.col("p_name").alias("permission"), F.col("p_type").alias("description"), F.col("p_brand").alias("group"), F.col("p_brand").alias("status"),
+        F.when(F.col("p_size") > 25, "HIGH").otherwise("LOW").alias("riskLevel"), F.array().cast("array<string>").alias("touchedFiles"), F.array().cast(rules.NONE).alias("usages"))
+    return analyze.report_filter(df, status="Brand#11", risk="HIGH", query="BRAND#1").select("p_partkey", F.col("permission").alias("p_name"))
+
+
+@query()
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested rows as JSON, nulls left out (K1, K2, K7); formats differ between engines, so there is no SQL."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    lists = nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
+    df = region.join(lists, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    return df.select("r_regionkey", F.to_json(F.struct("r_name", "nations")).alias("doc"))
+
+
+@query("""WITH t AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS u, max(o_totalprice) AS m FROM orders)
+SELECT 'OPEN' AS rule FROM t WHERE o > 10 UNION ALL SELECT 'URGENT' FROM t WHERE u = 0 UNION ALL SELECT 'LARGE' FROM t WHERE m > 1000""")
+def flag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over one row of flags."""
+    one = table(spark, sf_dir, "orders").agg(F.count_if(F.col("o_orderstatus") == "O").alias("o"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("u"), F.max("o_totalprice").alias("m"))
+    tests = F.array_compact(F.array(F.when(F.col("o") > 10, "OPEN"), F.when(F.col("u") == 0, "URGENT"), F.when(F.col("m") > 1000, "LARGE")))
+    return one.select(F.explode(tests).alias("rule"))
+
+
+@query("""SELECT count(*)::BIGINT AS specs, count(*) FILTER (WHERE protection = 'DANGEROUS')::BIGINT AS dangerous FROM (VALUES """ + ", ".join(f"('{s[0]}', '{s[1]}')" for s in catalog.SPECS) + """) v(name, protection)""")
+def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The static catalog as a table."""
+    return catalog.specs(spark).agg(F.count("*").alias("specs"), F.count_if(F.col("protection") == "DANGEROUS").alias("dangerous"))
