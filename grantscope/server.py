@@ -26,8 +26,8 @@ class Service:
     def __init__(self, spark, port: int = 0):
         self.spark, self.port, self.store, self.picking = spark, port, report.Store(), threading.Lock()
 
-    def _json(self, status: int, **body):
-        return status, self.JSON, json.dumps(body)
+    def _json(self, code: int, /, **body):
+        return code, self.JSON, json.dumps(body)
 
     def answer(self, method: str, path: str, body: bytes = b"") -> tuple[int, str, str]:
         path = path.partition("?")[0]
