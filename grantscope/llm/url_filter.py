@@ -92,7 +92,7 @@ def features(urls: list[str | None], hosts: list[str], paths: list[str], slots:
             float(-(p * np.log2(p)).sum()), len([x for x in query.split("&") if x]), len(query), "#" in url,
             host.count("."), host.count("-"), path.count("-") + path.count("_"), path.endswith("/"), "." in path.rpartition("/")[2], url.startswith("https"),
         ))
-    lexical = np.array(rows, np.float32).reshape(len(urls), -1)
+    lexical = np.array(rows, np.float32).reshape(len(urls), 16)
     return np.concatenate([lexical, stats[slots].astype(np.float32)], 1)
 
 
@@ -207,8 +207,6 @@ def judge_urls(
     near = F.pmod(F.xxhash64("url"), F.lit(1 << 32)) < int(share * (1 << 32))
     rows = known.where(near).select("url", "host", "path", "slot", "blocked").orderBy(F.pmod(F.xxhash64("url"), F.lit(1 << 32)), "url").limit(max_labelled).collect()
     x = features([r["url"] for r in rows], [r["host"] for r in rows], [r["path"] for r in rows], np.array([r["slot"] for r in rows], np.int64), stats)
-    if not rows:
-        x = features([""], [""], [""], np.zeros(1, np.int64), stats)[:0]
     sent = spark.sparkContext.broadcast((Trees.fit(x, np.array([r["blocked"] for r in rows], float)) if rows else None, stats))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
