@@ -29,7 +29,8 @@ from . import _words as W
 
 SEGMENT = 256
 PAD, GAP, UNKNOWN = 0, 1, 2
-ENDS = np.int32(1 << 30)
+#: Above the state, a table entry holds how many phrases the step ends.
+COUNT = 29
 UND = "und"
 
 
@@ -106,13 +107,12 @@ def fit(samples: dict[str, str], max_letters: int = 120) -> Model:
     for k in langs:
         text = squeeze(of[folded[k]] * (folded[k] > 0) + GAP * (folded[k] == 0), np.array([0, len(folded[k])]))[0]
         nxt, n = automaton([c for c in text.tolist() if c != UNKNOWN])
-        t = np.zeros((n, width), np.int32)
-        root = np.full(width, base, np.int32)
+        # a step without a match ends the phrase and begins one; a symbol not in the sample is a phrase of its own
+        t = np.full((n, width), base + (2 << COUNT), np.int32)
+        t[0] = base + (1 << COUNT)
         for c, s in nxt[0].items():
-            root[c] = base + s
-        t[:] = root | ENDS
-        t[0, list(nxt[0])] = root[list(nxt[0])]
-        t[:, PAD] = base
+            t[:, c] = base + s + (1 << COUNT)
+        t[:, PAD] = base + np.arange(n)
         for s, row in enumerate(nxt):
             for c, to in row.items():
                 t[s, c] = base + to
@@ -151,9 +151,10 @@ def phrases(model: Model, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarra
     for step in range(int(left.max())):
         sym = np.where(step < left, padded[at + step], PAD)
         v = flat[state * np.int64(width) + np.tile(sym, k)]
-        count += v >> 30
-        state = v & (ENDS - 1)
-    ended = count.reshape(k, -1) + 1
+        count += v >> COUNT
+        state = v & ((1 << COUNT) - 1)
+    open_ = state != np.repeat(model.roots, len(doc))
+    ended = (count + open_).reshape(k, -1)
     return np.stack([np.bincount(doc, e, minlength=n) for e in ended], 1).astype(np.int64)
 
 
