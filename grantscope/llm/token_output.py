@@ -38,6 +38,7 @@ from ._scratch import Scratch
 MAGIC, VERSION, HINT = 0x45464944, 1, 256
 SHARD_BYTES = 32 << 20
 CACHE_UNITS = 500_000
+MAX_CUTS = 1 << 13
 MARKS = ".,;:!?"
 
 
@@ -268,14 +269,18 @@ def encoder(path: str, end_id: int | None) -> Encoder:
     return _encoders[path, end_id]
 
 
-def _encode(path: str, end_id: int | None, chunk: int = 256):
+def _encode(path: str, end_id: int | None, bounds: np.ndarray, chunk: int = 256):
+    """Ids of each text, and the number of the cut that its key falls into (a null key: the first)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id)
         for batch in batches:
             for i in range(0, batch.num_rows, chunk):
                 part = batch.slice(i, chunk)
                 ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+                keys = part.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+                cut = pa.array(np.searchsorted(bounds, keys, "left").astype(np.int64))
+                yield pa.RecordBatch.from_arrays([cut, part.column(0), pa.array(ids, pa.binary())], ["cut", "key", "ids"])
 
     return run
 
@@ -356,21 +361,21 @@ def write_tokens(
 
     Returns a row per shard: ``file``, ``n_docs``, ``n_ids`` and ``base``, the
     number of ids in earlier shards.  Cuts between shards come from quantiles of
-    the ids, so one task holds one shard of at most ``shard_bytes`` or one document.
+    the ids (at most ``MAX_CUTS``); a task writes its cut as shards of at most
+    ``shard_bytes``, or one document, one at a time.
     """
     scratch = Scratch(spark, "tokens")
     enc = Encoder(tokenizer_path, end_id)
     slim = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     stats = docs.select(F.col(id_col).cast("long").alias("key"), F.octet_length(text_col).alias("n"))
     n_bytes = stats.agg(F.sum("n")).first()[0] or 0
-    cuts = max(1, int(n_bytes * 0.6) // shard_bytes + 1)
+    cuts = min(MAX_CUTS, max(1, int(n_bytes * 0.6) // shard_bytes + 1))
     bounds: list[int] = []
     if cuts > 1:
-        found = stats.agg(F.percentile_approx("key", [i / cuts for i in range(1, cuts)], 20 * cuts)).first()[0]
+        found = stats.agg(F.percentile_approx("key", [i / cuts for i in range(1, cuts)], min(20 * cuts, 100_000))).first()[0]
         bounds = sorted(set(found or []))
-    ids = slim.mapInArrow(_encode(tokenizer_path, end_id), "key long, ids binary")
-    where = F.lit(0).cast("long") if not bounds else F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("key"))), F.lit(0)).cast("long")
-    dealt = ids.withColumn("cut", where).repartitionById(len(bounds) + 1, F.col("cut").cast("int")).sortWithinPartitions("cut", "key", "ids")
+    ids = slim.mapInArrow(_encode(tokenizer_path, end_id, np.array(bounds, np.int64)), "cut long, key long, ids binary")
+    dealt = ids.repartitionById(len(bounds) + 1, F.col("cut").cast("int")).sortWithinPartitions("cut", "key", "ids")
     shards = dealt.select("cut", "key", "ids").mapInArrow(_write(root, enc.width, shard_bytes), "cut long, part long, file string, n_docs long, n_ids long")
     shards = scratch.write(shards, "shards")
     before = Window.orderBy("cut", "part").rowsBetween(Window.unboundedPreceding, -1)
