@@ -45,12 +45,10 @@ def tables(spark, tmp_path_factory):
 
 def model(docs, bench):
     docs = [d for d in docs if d[1] and any(c.isalpha() for c in d[1])]
-    least = collections.defaultdict(set)
-    for i, _, component in model_components(docs):
-        least[component].add(i)
+    least = {component for _, _, component in model_components(docs)}
     once = {}
     for d in sorted(docs, key=lambda d: d[0]):
-        if str(d[0]) in least and d[0] not in once:
+        if d[0] in least and d[0] not in once:
             once[d[0]] = d
     docs = list(once.values())
     squeeze = lambda t: " ".join(t.lower().split())
@@ -72,7 +70,7 @@ def model(docs, bench):
                 more = int(2 * rest >= n)
                 n = float("inf")
             rest -= n
-            mixed += [d] * (whole + (more if rest > -float("inf") or more else 0))
+            mixed += [d] * (whole + more)
     tok, at, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
     for d in sorted(mixed, key=lambda d: d[0]):
         ids = [*tok.encode(d[1], add_special_tokens=False).ids, 2]
