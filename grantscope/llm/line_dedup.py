@@ -27,7 +27,8 @@ def chunks(text: Column, window: int = WINDOW, mask: int = MASK) -> Column:
     the bits of ``mask``; the first window - 1 lines of a text end no chunk.  Chunks
     are in escaped form (see :func:`plain`).  Every step is linear in the text.
     """
-    lines = F.split(F.regexp_replace(text, "(?m)^\\x00", "\x00\x00"), "\n")
+    escaped = F.when(F.contains(text, F.lit(NUL)), F.regexp_replace(text, "(?m)^\\x00", "\x00\x00")).otherwise(text)
+    lines = F.split(escaped, "\n")
     rolled = hashed = F.transform(lines, lambda x: F.xxhash64(x))
     for k in range(1, window):
         rolled = F.zip_with(rolled, F.slice(hashed, k + 1, F.size(hashed)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
@@ -39,7 +40,7 @@ def chunks(text: Column, window: int = WINDOW, mask: int = MASK) -> Column:
 
 def plain(text: Column) -> Column:
     """Undoes the escape of lines that begin with NUL."""
-    return F.regexp_replace(text, "(?m)^\\x00", "")
+    return F.when(F.contains(text, F.lit(NUL)), F.regexp_replace(text, "(?m)^\\x00", "")).otherwise(text)
 
 
 def lines_in(chunk: Column) -> Column:
@@ -63,12 +64,12 @@ def dedup_lines(
     ``min_lines`` lines, one of them with more than white space.  Chunks are found by
     hash and length, and removed only if equal byte by byte to the one that stays.
 
-    Returns the id, ``text`` (remaining chunks joined by ``\\n``), ``n_chunks`` (of
-    the whole text) and ``n_removed``.  A null text stays null with no chunk; an
-    empty text has one chunk and stays.  Of fully equal rows each keeps what the
+    Returns the id, ``text`` (remaining chunks joined by ``\\n``) and ``n_removed``,
+    the number of chunks removed.  Null and empty texts stay as they are.  Of fully equal rows each keeps what the
     first keeps, as they are one occurrence; other columns are ignored; an empty table
     gives an empty result.
     """
+    # joins are sort-merge joins at every size: the plan, and what it moves, then grow alike
     scratch = Scratch(spark, "lines")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
     cut = slim.withColumn("chunks", chunks(F.col("text"), window, mask))
@@ -80,20 +81,19 @@ def dedup_lines(
     repeated = scratch.write(every.groupBy(*key).agg(F.count("*").alias("times"), first).where("times > 1"), "repeated")
     # texts of the chunks that stay, and of their later copies; both sides only of repeated chunks
     where = F.filter(F.transform(F.col("chunks"), lambda c, i: F.struct(F.when(counted(c), F.xxhash64(c)).alias("h"), F.length(c).alias("n"), i.alias("pos"), c.alias("chunk"))), lambda k: k["h"].isNotNull())
-    copies = cut.select("id", "th", F.explode(where).alias("k")).select("id", "th", "k.*").join(repeated, key)
+    copies = cut.select("id", "th", F.explode(where).alias("k")).select("id", "th", "k.*").join(repeated.hint("merge"), key)
     stays = (F.col("id").eqNullSafe(F.col("first.id"))) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
     copies = scratch.write(copies.select("id", "th", *key, "pos", "chunk", stays.alias("stays")), "copies")
     kept = copies.where("stays").groupBy(*key).agg(F.min("chunk").alias("kept"))
-    gone = copies.where(~F.col("stays")).join(kept, key).where(F.col("chunk") == F.col("kept"))
+    gone = copies.where(~F.col("stays")).join(kept.hint("merge"), key).where(F.col("chunk") == F.col("kept"))
     gone = gone.groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
     gone = scratch.write(gone, "gone")
-    left = cut.select("id", "text", "th", "chunks").join(gone.withColumnRenamed("id", "gid").withColumnRenamed("th", "gth"), F.col("id").eqNullSafe(F.col("gid")) & F.col("th").eqNullSafe(F.col("gth")), "left")
-    none = F.array().cast("array<int>")
-    drop = F.coalesce("gone", none)
-    rest = F.filter(F.col("chunks"), lambda c, i: ~F.array_contains(drop, i))
+    gone = gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), "gone")
+    left = slim.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gid")) & F.col("th").eqNullSafe(F.col("gth")), "left")
+    drop = F.coalesce("gone", F.array().cast("array<int>"))
+    rest = F.filter(chunks(F.col("text"), window, mask), lambda c, i: ~F.array_contains(drop, i))
     return left.select(
         F.col("id").alias(id_col),
         F.when(F.size(drop) == 0, F.col("text")).otherwise(plain(F.array_join(rest, "\n"))).alias("text"),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size("chunks")), F.lit(0)).cast("long").alias("n_chunks"),
         F.size(drop).cast("long").alias("n_removed"),
     )
