@@ -144,6 +144,14 @@ def permission_findings(reports: DataFrame) -> DataFrame:
     ])
 
 
+def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One row of the columns of several tables of one row each."""
+    out = first.withColumn("_one", F.lit(1))
+    for other in others:
+        out = out.join(F.broadcast(other.withColumn("_one", F.lit(1))), "_one")
+    return out.drop("_one")
+
+
 def project_findings(reports: DataFrame, build: DataFrame, manifests: DataFrame, sources: DataFrame) -> DataFrame:
     """Rules on the project: one row of flags, so empty inputs still give a row."""
     named = lambda n: F.col("permission") == (n if "." in n else PERMISSION + n)
@@ -155,7 +163,7 @@ def project_findings(reports: DataFrame, build: DataFrame, manifests: DataFrame,
         has("ACCESS_FINE_LOCATION").alias("fine"), has("ACCESS_COARSE_LOCATION").alias("coarse"), has("ACCESS_BACKGROUND_LOCATION").alias("background"),
         has(AD_ID).alias("ad_id"), has("INTERNET").alias("internet"), uses("INTERNET").alias("network"),
     )
-    one = flags.crossJoin(F.broadcast(build)).crossJoin(F.broadcast(manifests.agg(F.count("*").alias("n_manifests")))).crossJoin(F.broadcast(sources.agg(F.count("*").alias("n_sources"))))
+    one = beside(flags, build, manifests.agg(F.count("*").alias("n_manifests")), sources.agg(F.count("*").alias("n_sources")))
     c, sdk = F.col, F.coalesce(F.col("target_sdk") >= ADS_SDK, F.lit(False))
     ads = F.coalesce(F.exists("dependencies", lambda d: F.contains(d, F.lit("play-services-ads")) | F.contains(d, F.lit("admob"))), F.lit(False))
     make = lambda block, rule, severity, permission=None, **more: finding(rule, severity, permission=None if permission is None else F.lit(permission), block=block, order=F.lit(""), **more)

@@ -111,7 +111,7 @@ def summary_row(reports: DataFrame, findings: DataFrame) -> DataFrame:
     scored = findings.agg(classify.capped_score(F.col("severity")).alias("riskScore"), *[n(F.col("severity") == s).alias(s) for s in classify.SEVERITIES])
     pairs = F.filter(F.array(*[F.struct(F.lit(s).alias("k"), F.col(s).alias("v")) for s in classify.SEVERITIES]), lambda x: x["v"] > 0)
     scored = scored.select("riskScore", classify.grade(F.col("riskScore")).alias("riskGrade"), F.map_from_entries(pairs).alias("findingCountBySeverity"))
-    return per.join(F.broadcast(scored), F.lit(True))  # two rows in all
+    return rules.beside(per, scored)
 
 
 def analyze(spark: SparkSession, root: str, include_tests: bool = False) -> Analysis:
