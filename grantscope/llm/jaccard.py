@@ -379,10 +379,16 @@ def join_classes(
     tokens = prefixes.mapInArrow(_exploded, "token long, c8 long, g long, n long")
     shared = tokens.repartition("token").sortWithinPartitions("token", "g").mapInArrow(_shared, "token long, c8 long, g long, n long")
     shared = scratch.write(shared, "shared")
+    # a class with fewer shared tokens in all than it must share with one group asks none
+    enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * num / den))
+    asks = shared.groupBy("c8").agg(F.count("*").alias("tokens"), F.first("n").alias("n")).where(F.col("tokens") >= enough)
+    shared = shared.join(asks.select("c8"), "c8", "left_semi")
+    live = shared.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high")
+    shared = scratch.write(shared.join(live.select("token"), "token", "left_semi"), "asking")
     matrix = shared.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("g", "to")
     fits = (F.col("most") * den >= F.col("n") * num) & (F.col("least") * num <= F.col("n") * den)
     asked = shared.join(matrix, "token").where((F.col("g") < F.col("to")) & fits).groupBy("c8", "to").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
-    asked = asked.where(F.col("hits") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * num / den))).select("c8", "to")
+    asked = asked.where(F.col("hits") >= enough).select("c8", "to")
     asked = scratch.write(asked, "asked")
 
     # whole sets of the classes concerned
@@ -400,7 +406,7 @@ def join_classes(
     rows = roles.select("g", "role", "cid").join(sets, "cid")
     links = rows.repartition("g").sortWithinPartitions("g", "role").select("g", "role", "cid", "tokens").mapInArrow(_opened(num, den), "a binary, b binary")
     links = scratch.write(links, "links")
-    scratch.drop("classes", "shared", "asked", "roles")
+    scratch.drop("classes", "shared", "asking", "asked", "roles")
 
     joined = components(scratch, links, "join")
     reps = member.select("cid", "rep").join(joined, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
