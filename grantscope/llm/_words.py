@@ -7,7 +7,9 @@ words ``[^\\x20\\x09-\\x0D]+`` of the text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,13 @@ _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np
 BLOCK = 4 << 20
 
 
+def tidy() -> None:
+    """Gives back to the system what the allocators of a long-lived worker hold unused."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offsets of each; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -209,5 +209,6 @@ def _scanner(sent, at: int):
                     leaks[i + d].append(dict(zip(("item_id", "start", "end", "edits"), rest, strict=True)))
             leaks = [sorted(x, key=lambda y: (y["item_id"] is None, y["item_id"] or 0, y["start"], y["end"])) for x in leaks]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, pa.list_(struct))], batch.schema.names)
+        W.tidy()
 
     return run

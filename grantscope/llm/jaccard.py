@@ -61,6 +61,7 @@ def _sets(batch: pa.RecordBatch, width: int):
     data, offsets = W.utf8(batch.column(1))
     for i, j in W.blocks(offsets):
         yield i, j, list(shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width))
+    W.tidy()
 
 
 def _frequent(width: int):
@@ -318,6 +319,8 @@ def _opened(num: int, den: int):
             yield _edges(links)
         if cids:
             yield _edges(flush(role))
+        group = None
+        W.tidy()
 
     return run
 

@@ -234,6 +234,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: st
         for batch in batches:
             langs, scores = predict(sent.value, batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        W.tidy()
 
     schema = T.StructType([*own, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(*[F.col(f"`{f.name}`") for f in own]).mapInArrow(run, schema)

@@ -33,11 +33,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import _words as W
 from ._scratch import Scratch
 
 MAGIC, VERSION, HINT = 0x45464944, 1, 256
 SHARD_BYTES = 32 << 20
-CACHE_UNITS = 500_000
+CACHE_UNITS = 250_000
 MAX_CUTS = 1 << 13
 MARKS = ".,;:!?"
 
@@ -281,6 +282,9 @@ def _encode(path: str, end_id: int | None, bounds: np.ndarray, chunk: int = 256)
                 keys = part.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
                 cut = pa.array(np.searchsorted(bounds, keys, "left").astype(np.int64))
                 yield pa.RecordBatch.from_arrays([cut, part.column(0), pa.array(ids, pa.binary())], ["cut", "key", "ids"])
+        enc.whole.clear()
+        enc.pieces.clear()
+        W.tidy()
 
     return run
 
