@@ -242,6 +242,26 @@ def bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visited.groupBy("target", "node").agg(F.min("level").alias("level"))
 
 
+SUPPLY_EDGES = """edges AS (SELECT DISTINCT 's' || l_suppkey AS callee, 'p' || l_partkey AS caller FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL
+UNION ALL SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {SUPPLY_EDGES}, walk(target, node, level) AS (SELECT t, t, 1 FROM (VALUES ('s1'), ('s5'), ('s9')) v(t)
+UNION SELECT target, caller, level + 1 FROM walk JOIN edges ON node = callee WHERE level < 4)
+SELECT target, node, min(level)::INTEGER AS level FROM walk GROUP BY ALL""")
+def bounded_bfs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers that reach three suppliers within four levels, over every row and key of lineitem."""
+    items = table(spark, sf_dir, "lineitem").where("l_suppkey is not null and l_partkey is not null")
+    supplier, part = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("p"), F.col("l_partkey"))
+    pairs = items.select(supplier.alias("s"), part.alias("p")).distinct()
+    edges = pairs.select(F.col("s").alias("callee_id"), F.col("p").alias("caller_id")).unionByName(pairs.select(F.col("p").alias("callee_id"), F.col("s").alias("caller_id")))
+    edges = edges.withColumn("caller_ord", F.col("caller_id"))
+    targets = spark.createDataFrame([("s1",), ("s5",), ("s9",)], "id string")
+    kinds = spark.createDataFrame([], "id string, entry_kind string")
+    _, visited = graph.callers_paths(targets, edges, kinds, max_depth=4)
+    return visited.groupBy("target", "node").agg(F.min("level").alias("level"))
+
+
 @query("""SELECT o_orderpriority AS priority, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS reached, count(DISTINCT c_mktsegment)::INTEGER AS n,
 arg_max(o_orderstatus, o_orderkey) AS last_status FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000 GROUP BY 1""")
 def inverted_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from grantscope.functions.catalog import Signal
 from grantscope.operators import classify, declarations, graph, rules, signals
-from grantscope.plans import analyze
+from grantscope.plans import analyze, registry
 
 
 def test_status_table(spark):
@@ -128,6 +128,27 @@ def test_paths_against_model(spark):
     assert got == want
 
 
+def test_bfs_reads_every_row(spark, tmp_path):
+    rng = random.Random(4)
+    rows = sorted({(k, rng.randrange(1, 8), rng.choice([1, 5, 9, 150, 300, 97 + k]), rng.randrange(1000, 1200)) for k in range(1, 600)})
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near = {}
+    for _, _, s, p in rows:
+        near.setdefault(f"s{s}", set()).add(f"p{p}")
+        near.setdefault(f"p{p}", set()).add(f"s{s}")
+    want = {}
+    for t in ("s1", "s5", "s9"):
+        level = {t: 1}
+        for n in (2, 3, 4):
+            for a in [x for x, k in level.items() if k == n - 1]:
+                for b in near.get(a, ()):
+                    level.setdefault(b, n)
+        want |= {(t, node): n for node, n in level.items()}
+    got = registry.QUERIES["bounded_bfs_whole"](spark, str(tmp_path)).collect()
+    assert {(r.target, r.node): r.level for r in got} == want and len(got) == len(want)
+    assert len({node for _, node in want}) > 97
+
+
 def test_edges_guard(spark):
     callees = spark.createDataFrame([(f"c{i}", "many") for i in range(7)] + [(f"d{i}", "six") for i in range(6)] + [("self", "self")], "id string, name string")
     calls = spark.createDataFrame([("x", 1, "many"), ("x", 1, "six"), ("x", 1, "six"), ("self", 2, "self")], "caller_id string, caller_ord int, name string")
