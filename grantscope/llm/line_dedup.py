@@ -5,6 +5,9 @@ consecutive lines cuts the text after a line where the hash meets a mask, so an
 insertion moves boundaries only near itself and a shared passage is cut alike in
 every text.  Chunks of two lines or more that are equal, byte by byte, to a chunk
 that occurs earlier in the corpus are removed.  All of it is DataFrame functions.
+
+Chunks miss the lines of a repeated passage that fall outside a common chunk.
+:func:`dedup_passages` has no boundaries: it compares every two neighbouring lines.
 """
 
 from __future__ import annotations
@@ -97,3 +100,63 @@ def dedup_lines(
         F.when(F.size(drop) == 0, F.col("text")).otherwise(plain(F.array_join(rest, "\n"))).alias("text"),
         F.size(drop).cast("long").alias("n_removed"),
     )
+
+
+def aligned(at: Column, values: Column, kind: str) -> Column:
+    """An array with ``values`` at the ascending places ``at``, from 0, and null between them."""
+    gaps = F.zip_with(at, F.concat(F.array(F.lit(-1)), F.slice(at, 1, F.size(at) - 1)), lambda a, b: a - b - 1)
+    return F.flatten(F.zip_with(gaps, values, lambda g, v: F.concat(F.array_repeat(F.lit(None).cast(kind), g), F.array(v))))
+
+
+def dedup_passages(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts without the passages of two lines or more that occur earlier in the corpus.
+
+    A passage is repeated where each two neighbouring lines of it are, so every pair of
+    neighbours is looked up; a pair counts if one of its lines has more than white
+    space.  The earlier of two equal pairs is the one in the row of lesser id (null
+    last), then of lesser text hash, then nearer the start.  The lines of all later
+    ones are removed, but for one that overlaps the first itself.  The first occurrence
+    of a line always stays.  Pairs are found by hash and size, and removed only if equal
+    byte by byte to the one that stays.
+
+    Returns the id, ``text`` (remaining lines joined by ``\n``) and ``n_removed``, the
+    number of runs of removed lines.  Null and one-line texts stay as they are.  Of fully
+    equal rows each keeps what the first keeps, as they are one occurrence; other
+    columns are ignored; an empty table gives an empty result.
+    """
+    # joins are sort-merge joins at every size: the plan, and what it moves, then grow alike
+    scratch = Scratch(spark, "passages")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    lines, key = F.split("text", "\n"), ["h", "n"]
+    each = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.octet_length(x).alias("n"), F.rlike(x, F.lit(r"\S")).alias("full")))
+    cut = slim.where(F.contains("text", F.lit("\n"))).select("id", "th", each.alias("each"))
+    pairs = F.zip_with("each", F.slice("each", 2, F.size("each")), lambda a, b: F.when(a["full"] | b["full"], F.struct(F.xxhash64(a["h"], b["h"]).alias("h"), (a["n"] + b["n"]).alias("n"))))
+    every = cut.select("id", "th", F.posexplode(pairs).alias("pos", "k")).where("k is not null").select("id", "th", "pos", "k.*")
+    every = scratch.write(every, "pairs")
+    first = F.min(F.struct(F.col("id").isNull().alias("nul"), "id", "th", "pos")).alias("first")
+    repeated = every.groupBy(*key).agg(F.count("*").alias("times"), first).where("times > 1")
+    found = every.join(repeated.select(*key, "first").hint("merge"), key)
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    found = found.where(~(same & (F.col("pos") == F.col("first.pos") + 1))).select("id", "th", "pos", *key, (same & (F.col("pos") == F.col("first.pos"))).alias("stays"))
+    found = found.groupBy(F.col("id").alias("gid"), F.col("th").alias("gth")).agg(F.sort_array(F.collect_set(F.struct("pos", *key, "stays"))).alias("found"))
+    # texts of the pairs that stay, and of their later copies
+    on = F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth"))
+    kind = "struct<pos:int,h:bigint,n:int,stays:boolean>"
+    held = slim.join(found.hint("merge"), on).select("id", "th", lines.alias("lines"), aligned(F.col("found.pos"), F.col("found"), kind).alias("found"))
+    both = F.zip_with("lines", F.slice("lines", 2, F.size("lines")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    both = F.filter(F.zip_with(both, "found", lambda x, k: F.when(k.isNotNull(), F.struct(k.alias("k"), F.concat(x["a"], F.lit("\n"), x["b"]).alias("pair")))), lambda x: x.isNotNull())
+    copies = scratch.write(held.select("id", "th", F.explode(both).alias("x")).select("id", "th", "x.k.*", "x.pair"), "copies")
+    kept = copies.where("stays").groupBy(*key).agg(F.min("pair").alias("kept"))
+    gone = copies.where("not stays").join(kept.hint("merge"), key).where(F.col("pair") == F.col("kept"))
+    gone = gone.groupBy(F.col("id").alias("gid"), F.col("th").alias("gth")).agg(F.collect_set("pos").alias("at"))
+    gone = scratch.write(gone.select("gid", "gth", F.sort_array(F.array_union("at", F.transform("at", lambda p: p + 1))).alias("gone")), "gone")
+    left = slim.join(gone.hint("merge"), on, "left")
+    flags = aligned(F.col("gone"), F.transform("gone", lambda p: F.lit(True)), "boolean")
+    rest = F.array_join(F.zip_with(lines, flags, lambda x, f: F.when(f.isNull(), x)), "\n")
+    before = F.concat(F.array(F.lit(-2)), F.slice("gone", 1, F.size("gone") - 1))
+    runs = F.size(F.filter(F.zip_with("gone", before, lambda a, b: a - b > 1), lambda x: x))
+    return left.select(
+        F.col("id").alias(id_col),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text"),
+        F.when(F.col("gone").isNull(), 0).otherwise(runs).cast("long").alias("n_removed"),
+    )

@@ -143,9 +143,9 @@ QUERIES["op5_ngram_jaccard"] = op5_ngram_jaccard
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import dedup_lines
+    from .line_dedup import dedup_passages
 
-    return dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return dedup_passages(spark, table(spark, sf_dir, "documents"))
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

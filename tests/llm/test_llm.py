@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from grantscope.llm import _words, decontaminate, html_text, jaccard, language, line_dedup, mixing, quality, rollup, token_output, url_filter
+from grantscope.llm import _words, decontaminate, html_text, jaccard, language, line_dedup, mixing, quality, queries, rollup, token_output, url_filter
 from grantscope.llm._scratch import Scratch
 from grantscope.llm.components import components
 
@@ -184,6 +184,53 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(spark, df.limit(0), id_col="id", text_col="body").count() == 0
 
 
+def passages_left(rows):
+    """A plain model: pairs of neighbouring lines in order of rows; lines of later pairs go."""
+    first, out = {}, {}
+    for at, (i, text) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))):
+        lines = text.split("\n") if text is not None else []
+        gone = set()
+        for p in range(len(lines) - 1):
+            if (lines[p] + lines[p + 1]).strip():
+                doc, q = first.setdefault((lines[p], lines[p + 1]), (at, p))
+                if doc != at or p > q + 1:
+                    gone |= {p, p + 1}
+        runs = sum(p - 1 not in gone for p in gone)
+        out[i] = (text if text is None else "\n".join(x for p, x in enumerate(lines) if p not in gone), runs)
+    return out
+
+
+def test_passages_go_whole(spark):
+    rng = random.Random(8)
+    passages = {n: [f"passage of {n} lines, line {k}" for k in range(n)] for n in (2, 3, 4, 6, 8)}
+    rows, n = [], 0
+    for size, passage in passages.items():
+        for _ in range(12):
+            own = [f"own {n} {k} {rng.random()}" for k in range(rng.randrange(0, 7))]
+            at = rng.randrange(len(own) + 1)
+            rows.append((n, "\n".join(own[:at] + passage + own[at:])))
+            n += 1
+    whole = "\n".join(f"exact copy {k}" for k in range(25))
+    rows += [(500, whole), (501, whole), (502, None), (503, ""), (504, "\n\n\n"), (505, "q\nq\nq\nq"), (506, "q\nq\nq"), (507, "\x00\na\n\x00\na"), (508, "x\ny\nx\ny\nx"), (509, "\n\n\n"), (None, whole + "\nnew")]
+    rows += [(600 + k, "\n".join(rng.choice(["", " ", "a", "b", "c"]) for _ in range(rng.randrange(1, 12)))) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    got = {r.id: (r.text, r.n_removed) for r in line_dedup.dedup_passages(spark, df, id_col="id", text_col="body").collect()}
+    assert got == passages_left(rows)
+    for size, passage in passages.items():
+        assert sum(line in (t or "").split("\n") for t, _ in got.values() for line in passage) == size
+    assert got[501] == ("", 1) and got[505] == ("q\nq", 1) and got[None] == ("new", 1)
+    assert line_dedup.dedup_passages(spark, df.limit(0), id_col="id", text_col="body").count() == 0
+    twice = df.where("id in (500, 501)").unionByName(df.where("id in (500, 501)"))
+    assert sorted((r.id, r.n_removed) for r in line_dedup.dedup_passages(spark, twice, id_col="id", text_col="body").collect()) == [(500, 0), (500, 0), (501, 1), (501, 1)]
+
+
+def test_line_dedup_query_drops_a_short_passage(spark, tmp_path):
+    rows = [(i, f"own {i}\nshared one\nshared two\nlast {i}") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in queries.QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {i: rows[0][1] if i == 0 else f"own {i}\nlast {i}" for i in range(20)}
+
+
 # 4 token output -----------------------------------------------------------------------------------
 
 
