@@ -4,7 +4,9 @@ A passage of m characters that occurs in a text with at most k edits shares at
 least m + 1 - q (k + 1) q-grams with it, all of them on k + 1 neighbouring
 diagonals.  Texts are scanned once for q-grams of the benchmark; hits are counted
 per passage and band of diagonals, bands overlapping so that any k + 1 diagonals
-lie in one; a band that reaches the bound is verified by banded alignment.
+lie in one; a band that reaches the bound is verified by banded alignment.  The same
+holds for every stretch of 80 bytes (some 13 words) of a passage, at any place in it,
+so a text that quotes a part of an item is found too.
 
 Texts and passages are compared in lower case, with each run of ASCII white space
 as one space; places are bytes of that form.
@@ -25,6 +27,8 @@ from . import _words as W
 Q = 12
 EDIT_SHARE = 0.06
 PASSAGE, STRIDE = 160, 80
+#: Bytes of an item that count by themselves; each such stretch lies in one passage, as passages overlap by as many.
+EXCERPT = 80
 BLOCK_CHARS = 2 << 20
 BITS = 22
 
@@ -151,7 +155,89 @@ def scan(passages: Passages, data: np.ndarray, offsets: np.ndarray) -> list[tupl
             found = align(passages.text[q], texts[d][lo : max(lo, hi + 1)], k)
             if found:
                 out.append((d, passages.item[q], lo + found[1], lo + found[2], found[0]))
-    return sorted(set(out))
+    out = sorted(set(out))
+    return sorted(out + excerpts(passages, texts, doc, p, j, at - off[doc] - j, out))
+
+
+def least_edits(stretches: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """For each row the least edits with which its stretch occurs in its band of text."""
+    step = np.arange(bands.shape[1] + 1)
+    row = np.zeros((len(bands), len(step)), np.int64)
+    for c in stretches.T:
+        new = row + 1
+        new[:, 1:] = np.minimum(row[:, :-1] + (bands != c[:, None]), new[:, 1:])
+        row = np.minimum.accumulate(new - step, 1) + step
+    return row.min(1)
+
+
+def excerpts(passages: Passages, texts: list[bytes], doc: np.ndarray, p: np.ndarray, j: np.ndarray, shift: np.ndarray, found: list) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, edits) of stretches of EXCERPT bytes of passages, outside the places found.
+
+    Hits are given by text, passage, place in it and diagonal.  Overlapping stretches
+    of an item are one excerpt, with the most edits of any of them that was aligned.
+    """
+    w = EXCERPT
+    k = min(int(w * EDIT_SHARE), w // Q - 1)
+    least = w + 1 - Q * (k + 1)
+    places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for d, item, start, end, _ in found:
+        places.setdefault((d, item), []).append((start, end))
+    spans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    long = passages.size[p] > w
+    doc, p, j, shift = doc[long], p[long], j[long], shift[long]
+    for lag in (0, 1):  # bands as in scan
+        key = np.stack([doc, p, (shift // (k + 1) + lag) // 2, j], 1)
+        key = key[np.lexsort(key.T[::-1])]
+        if len(key) < least:
+            continue
+        key = key[np.concatenate([[True], (key[1:] != key[:-1]).any(1)])]
+        ahead = key[least - 1 :]
+        head = key[: len(ahead)]
+        ok = (head[:, :3] == ahead[:, :3]).all(1) & (ahead[:, 3] - head[:, 3] <= w - Q)
+        head, ahead = head[ok], ahead[ok]
+        cuts = np.flatnonzero((head[1:, :3] != head[:-1, :3]).any(1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(head)], strict=True):
+            if a == b:
+                continue
+            d, q, band = (int(x) for x in head[a, :3])
+            passage, text, item = passages.text[q], texts[d], passages.item[q]
+            # all starts of stretches that may hold enough q-grams
+            room = np.zeros(len(passage) - w + 2, np.int64)
+            np.add.at(room, np.clip(ahead[a:b, 3] + Q - w, 0, len(passage) - w + 1), 1)
+            np.add.at(room, np.clip(head[a:b, 3] + 1, 0, len(passage) - w + 1), -1)
+            starts = np.flatnonzero(np.cumsum(room)[:-1] > 0)
+            low = (2 * band - lag) * (k + 1)
+            for start, end in places.get((d, item), ()):
+                middle = starts + low + k + w // 2
+                starts = starts[(middle < start) | (middle >= end)]
+            if not len(starts):
+                continue
+            lo, width = starts + low - k, w + 2 * (k + 1) - 1 + 2 * k
+            where = lo[:, None] + np.arange(width)
+            inside = (where >= 0) & (where < len(text))
+            band_text = np.where(inside, np.frombuffer(text, np.uint8)[np.clip(where, 0, len(text) - 1)], 256).astype(np.int64)
+            stretch = np.frombuffer(passage, np.uint8)[starts[:, None] + np.arange(w)].astype(np.int64)
+            good = starts[least_edits(stretch, band_text) <= k]
+            if not len(good):
+                continue
+            parts = np.split(good, np.flatnonzero(np.diff(good) > w) + 1)
+            for part in parts:
+                ends = []
+                for x in sorted({int(part[0]), int(part[-1])}):
+                    at = max(0, x + low - k)
+                    edits, start, end = align(passage[x : x + w], text[at : x + low - k + width], k)
+                    ends.append((at + start, at + end, edits))
+                spans.setdefault((d, item), []).append((ends[0][0], max(x[1] for x in ends), max(x[2] for x in ends)))
+    out = []
+    for (d, item), own in spans.items():
+        merged: list[list[int]] = []
+        for start, end, edits in sorted(own):
+            if merged and start <= merged[-1][1]:
+                merged[-1][1:] = max(merged[-1][1], end), max(merged[-1][2], edits)
+            else:
+                merged.append([start, end, edits])
+        out += [(d, item, *x) for x in merged]
+    return out
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[int, bytes]]]:
@@ -182,7 +268,8 @@ def contaminated(
     ``leaks`` is an array of (item_id, start, end, edits), sorted, empty for clean
     texts; places are in the normalised text.  An item of up to 240 bytes is one
     passage, a longer one is cut into overlapping passages of 160, each of which
-    counts; a passage may have edits of 6% of its length.  Items shorter than a
+    counts; a passage may have edits of 6% of its length.  Where no passage is found,
+    any 80 bytes of an item count, with up to 4 edits.  Items shorter than a
     q-gram must equal the whole text.  Null and empty texts and items hold nothing;
     equal items are each reported.  A column of ``docs`` named ``leaks`` is replaced.
     The benchmark goes to the executors in blocks of at most 2 MB of text.

@@ -480,6 +480,42 @@ def test_decontaminate(spark):
     assert all(not r.leaks for r in decontaminate.contaminated(spark, df, bench.limit(0)).collect())
 
 
+def test_excerpts_of_items_count(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    make = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, make(90)[:size].strip()) for k, size in enumerate((120, 200, 240, 241, 330, 400))]
+    items.append((None, make(90)[:200]))
+    rows, want = [], {}
+    for i in range(240):
+        item, text = items[i % 6]
+        size = rng.randrange(80, min(len(text), 239))
+        at = rng.randrange(len(text) - size + 1)
+        part = list(text[at : at + size])
+        for _ in range(i % 4):
+            if size >= 110:
+                part[rng.randrange(len(part))] = "z"
+        part = "".join(part).strip()
+        if len(part) < 80:
+            continue
+        want[i] = {item}
+        rows.append((i, " ".join([make(rng.randrange(0, 60)), part, make(rng.randrange(0, 60))]).strip()))
+    rows += [(1000 + k, make(60) + " " + text[:40] + " " + make(60)) for k, text in items[:6]] + [(2000 + i, make(100)) for i in range(40)]
+    rows += [(3000, items[6][1][20:150])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(spark, df, bench).collect()}
+    # a stretch of 80 bytes with at most 4 edits is what counts; three edits in 110 bytes or more may still leave none
+    for i, leak in want.items():
+        item = decontaminate.normal(items[i % 6][1].encode())
+        text = decontaminate.normal(got[i].text.encode())
+        near = any(decontaminate.align(item[a : a + 80], text, 4) for a in range(len(item) - 79))
+        assert {x.item_id for x in got[i].leaks} == (leak if near else set()), i
+        assert all(0 <= x.start < x.end <= len(text) for x in got[i].leaks)
+    assert sum(bool(got[i].leaks) for i in want) >= 0.95 * len(want)
+    assert all(not r.leaks for i, r in got.items() if 1000 <= i < 3000) and [x.item_id for x in got[3000].leaks] == [None]
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(k, f"item number {k} with some words to fill it up nicely") for k in range(9)], "item_id long, text string")
     assert [len(b) for b in decontaminate.item_blocks(bench, "item_id", "text", limit=120)] == [2, 2, 2, 2, 1]
