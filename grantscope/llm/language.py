@@ -36,7 +36,12 @@ UND = "und"
 
 @dataclass
 class Model:
-    """Languages in order, symbol of each code point, and the joint transition table."""
+    """Languages in order, symbol of each code point, and the joint transition table.
+
+    Symbols from ``width`` on are no columns of the table; ``rare`` holds their
+    transitions as sorted keys, state times ``symbols`` plus symbol, and ``rare_to``
+    the states.
+    """
 
     langs: list[str]
     symbol: np.ndarray
@@ -44,6 +49,9 @@ class Model:
     roots: np.ndarray
     bits: np.ndarray
     width: int
+    symbols: int
+    rare: np.ndarray
+    rare_to: np.ndarray
 
 
 def automaton(text: list[int]) -> tuple[list[dict[int, int]], int]:
@@ -88,7 +96,12 @@ def _fold() -> np.ndarray:
 
 
 def fit(samples: dict[str, str], max_letters: int = 120) -> Model:
-    """The model of one bounded sample of text per language."""
+    """The model of one bounded sample of text per language.
+
+    Every letter of a sample has a symbol of its own; UNKNOWN are those that no sample
+    holds.  The ``max_letters`` most frequent ones are columns of the table, all
+    others have sparse transitions.
+    """
     fold = _fold()
     langs = sorted(samples)
     folded = {k: fold[np.frombuffer(samples[k].encode("utf-32-le", "replace"), "<u4")] for k in langs}
@@ -97,31 +110,39 @@ def fit(samples: dict[str, str], max_letters: int = 120) -> Model:
         values, counts = np.unique(x[x > 0], return_counts=True)
         for c, n in zip(values.tolist(), counts.tolist(), strict=True):
             seen[c] += n
-    letters = sorted(sorted(seen), key=lambda c: -seen[c])[:max_letters]
-    of = np.full(0x110000, UNKNOWN, np.uint8)
+    letters = sorted(sorted(seen), key=lambda c: -seen[c])
+    symbols = 3 + len(letters)
+    kind = np.min_scalar_type(symbols)
+    of = np.full(0x110000, UNKNOWN, kind)
     for k, c in enumerate(letters):
         of[c] = 3 + k
-    symbol = np.where(fold > 0, of[fold], GAP).astype(np.uint8)
-    width = 3 + len(letters)
+    symbol = np.where(fold > 0, of[fold], GAP).astype(kind)
+    width = 3 + min(len(letters), max_letters)
     tables, roots, bits, base = [], [], [], 0
+    rare: dict[int, int] = {}
     for k in langs:
         text = squeeze(of[folded[k]] * (folded[k] > 0) + GAP * (folded[k] == 0), np.array([0, len(folded[k])]))[0]
-        nxt, n = automaton([c for c in text.tolist() if c != UNKNOWN])
+        nxt, n = automaton(text.tolist())
         # a step without a match ends the phrase and begins one; a symbol not in the sample is a phrase of its own
         t = np.full((n, width), base + (2 << COUNT), np.int32)
         t[0] = base + (1 << COUNT)
         for c, s in nxt[0].items():
-            t[:, c] = base + s + (1 << COUNT)
+            if c < width:
+                t[:, c] = base + s + (1 << COUNT)
         t[:, PAD] = base + np.arange(n)
         for s, row in enumerate(nxt):
             for c, to in row.items():
-                t[s, c] = base + to
+                if c < width:
+                    t[s, c] = base + to
+                else:
+                    rare[(base + s) * symbols + c] = base + to
         tables.append(t)
         roots.append(base)
         bits.append(math.log2(max(2, len(text))))
         base += n
     table = np.concatenate(tables) if tables else np.zeros((0, width), np.int32)
-    return Model(langs, symbol, table, np.array(roots, np.int32), np.array(bits), width)
+    keys = np.array(sorted(rare), np.int64)
+    return Model(langs, symbol, table, np.array(roots, np.int32), np.array(bits), width, symbols, keys, np.array([rare[x] for x in keys.tolist()], np.int32))
 
 
 def squeeze(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,15 +166,27 @@ def phrases(model: Model, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarra
     at = offsets[doc] + nth * SEGMENT
     left = np.minimum(offsets[doc + 1] - at, SEGMENT)
     padded = np.concatenate([symbols, np.zeros(SEGMENT, np.uint8)])
-    state = np.repeat(model.roots, len(doc))
+    roots = np.repeat(model.roots, len(doc))
+    state = roots
     count = np.zeros(k * len(doc), np.int32)
     flat, width = model.table.ravel(), model.width
     for step in range(int(left.max())):
         sym = np.where(step < left, padded[at + step], PAD)
-        v = flat[state * np.int64(width) + np.tile(sym, k)]
+        every = np.tile(sym, k)
+        if len(model.rare):
+            v = flat[state * np.int64(width) + np.where(every < width, every, UNKNOWN)]
+            at_rare = np.flatnonzero(every >= width)
+            # from the state, else from the root as a new phrase, else as a letter that is not in the sample
+            for start, more in ((roots, 1 << COUNT), (state, 0)):
+                key = start[at_rare] * np.int64(model.symbols) + every[at_rare]
+                place = np.minimum(np.searchsorted(model.rare, key), len(model.rare) - 1)
+                hit = model.rare[place] == key
+                v[at_rare[hit]] = model.rare_to[place[hit]] + more
+        else:
+            v = flat[state * np.int64(width) + every]
         count += v >> COUNT
         state = v & ((1 << COUNT) - 1)
-    open_ = state != np.repeat(model.roots, len(doc))
+    open_ = state != roots
     ended = (count + open_).reshape(k, -1)
     return np.stack([np.bincount(doc, e, minlength=n) for e in ended], 1).astype(np.int64)
 

@@ -385,6 +385,31 @@ def test_cross_parsing_against_brute_force():
         assert got.tolist() == [longest_matches(squeezed[k], text) for k in model.langs], text
 
 
+def test_letters_beyond_the_table():
+    rng = random.Random(21)
+    han = [chr(0x4E00 + k) for k in range(900)]
+    shared = rng.sample(han, 300)
+    of = {"a": shared + han[:300], "b": shared + han[300:600], "c": list("abcdefgh"), "d": [chr(0xAC00 + k) for k in range(400)]}
+    lexicon = {k: ["".join(rng.choice(v) for _ in range(rng.randrange(2, 4))) for _ in range(400)] for k, v in of.items()}
+    make = lambda lang, n: " ".join(rng.choice(lexicon[lang]) for _ in range(n // 3))
+    samples = {k: make(k, 3000) for k in of}
+    model = language.fit(samples)
+    squeezed = {k: re.sub(" +", " ", v) for k, v in samples.items()}
+    letters = {c for v in samples.values() for c in v if c != " "}
+    assert len(letters) > 800 and len({int(model.symbol[ord(c)]) for c in letters}) == len(letters)
+    right, texts = 0, []
+    for i in range(60):
+        lang = sorted(of)[i % 4]
+        text = re.sub(" +", " ", make(lang, rng.randrange(40, 250)) + rng.choice(["", samples[lang][5:60], "\u0416\u0434"]))[:256]
+        texts.append(text)
+        got = language.phrases(model, model.symbol[np.array([ord(c) for c in text])], np.array([0, len(text)]))[0]
+        assert got.tolist() == [longest_matches(squeezed[k], text) for k in model.langs], text
+        right += language.predict(model, pa.array([text]))[0] == [lang]
+    assert right == 60
+    alike = [language.predict(language.fit(samples, max_letters=n), pa.array(texts)) for n in (0, 7, 5000)]
+    assert all(x[0] == alike[0][0] and np.array_equal(x[1], alike[0][1]) for x in alike)
+
+
 def test_language(spark):
     rng = random.Random(6)
     letters = {"xx": "aeioulmn", "yy": "krtzxgpq", "zz": "éèàçouvl"}
