@@ -24,8 +24,15 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which a language was found: those with a letter."""
-    found = identify(spark, docs, train(docs))
+    """Keeps the documents in which a language was found: those with a letter.
+
+    Which language it is decides nothing, as no list of wanted ones is given.  If none
+    was learned, the documents with a letter stay too.
+    """
+    model = train(docs)
+    if not model.langs:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    found = identify(spark, docs, model)
     return found.where(F.col("lang_pred") != UND).select(*docs.columns)
 
 

@@ -97,3 +97,11 @@ def test_stages(spark, tables):
     assert {i for i in range(90) if i % 10 == 3} <= gone and clean.columns == df.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), root).count() == 0
+
+
+def test_language_stage_without_languages(spark):
+    rows = [(1, "some words", None), (2, "été", None), (3, "12 -- 3", None), (4, "", None), (5, None, None), (6, "語", None)]
+    rows += [(k, "no text of a known language is learned", "en") for k in range(100, 160) if zlib.crc32(str(k).encode()) % 4 == 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, df, "")
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {3, 4, 5}
