@@ -225,6 +225,16 @@ def guarded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.guarded_edges(calls, callees).select("callee_id", "caller_id")
 
 
+@query("""WITH few AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 6)
+SELECT DISTINCT l_orderkey || '-' || l_linenumber AS callee_id, o_custkey::VARCHAR AS caller_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+WHERE l_orderkey IN (SELECT l_orderkey FROM few) AND l_orderkey || '-' || l_linenumber <> o_custkey::VARCHAR""")
+def guarded_edges_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by an equal order key, whose candidates do not grow with the table, for keys of at most six."""
+    callees = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("name"))
+    calls = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("caller_id"), F.lit(0).alias("caller_ord"), F.col("o_orderkey").alias("name"))
+    return graph.guarded_edges(calls, callees).select("callee_id", "caller_id")
+
+
 BFS_EDGES = "edges AS (SELECT DISTINCT l_suppkey % 97 AS callee, (l_partkey * 7 + 3) % 97 AS caller FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0)"
 
 

@@ -155,6 +155,17 @@ def test_edges_guard(spark):
     assert sorted(r.callee_id for r in graph.guarded_edges(calls, callees).collect()) == [f"d{i}" for i in range(6)]
 
 
+def test_guard_works_at_every_size(spark, tmp_path):
+    for size in (30, 300):
+        lines = [(k, n) for k in range(size) for n in range(1, 2 + k % 9)]
+        root = f"{tmp_path}/{size}"
+        spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(f"{root}/lineitem.parquet")
+        spark.createDataFrame([(k, 1000 + k % 7) for k in range(0, size, 2)], "o_orderkey long, o_custkey long").write.parquet(f"{root}/orders.parquet")
+        got = registry.QUERIES["guarded_edges_by_order"](spark, root).collect()
+        want = {(f"{k}-{n}", str(1000 + k % 7)) for k, n in lines if k % 2 == 0 and k % 9 < 6}
+        assert {tuple(r) for r in got} == want and len(got) == len(want) and 0 < len(want) < sum(k % 2 == 0 for k, _ in lines)
+
+
 def test_signals(spark):
     df = spark.createDataFrame([("openCamera(", ["a.b"]), ("nothing", []), ("guarded", ["x.needle.y"]), ("guarded", [])], "code string, imports array<string>")
     known = [Signal("P", "camera", r"openCamera\s*\("), Signal("Q", "guard", "guarded", "LOW", ("needle",))]
