@@ -37,20 +37,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of similar documents the one of least id, once.
+    """Keeps of each group of similar documents the row of least id, then of least text hash.
 
-    Documents without an id, or without a word, are in no group and stay.
+    Rows are told apart by id and text, so rows of one id with unlike texts are in
+    groups of their own, and rows without an id (the last in order) are grouped too.  Of
+    rows with equal id and text the one of least hash stays.  Documents without a word
+    are in no group and stay.
     """
     scratch = Scratch(spark, "groups")
-    found = join_classes(spark, docs)
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    kept = scratch.write(found.where(alone).groupBy("doc_id").agg(F.count("*").alias("times")), "kept")
-    key = kept.select(F.col("doc_id").alias("kept_id"))
-    rows = docs.join(key, docs["doc_id"].eqNullSafe(key["kept_id"]), "left_semi")
-    if kept.where("doc_id is not null and times > 1").limit(1).count():
-        # an id with several rows: one of them stays
-        twice = rows.where("doc_id is not null").dropDuplicates(["doc_id"])
-        rows = rows.where("doc_id is null").unionByName(twice)
+    row = F.xxhash64("doc_id", "text")
+    found = join_classes(spark, docs.select(row.alias("row"), "text"), id_col="row")
+    found = scratch.write(found.groupBy("row").agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("times")), "found")
+    ids = docs.select(row.alias("row"), "doc_id", F.xxhash64("text").alias("th")).groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("th").alias("th"))
+    place = F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "th", "row", "times").alias("place")
+    first = found.where("n_shingles > 0").join(ids.hint("merge"), "row").groupBy("component").agg(F.min(place).alias("first"))
+    first = scratch.write(first.select("first.row", "first.times"), "kept")
+    single = first.where("times = 1").select("row").unionByName(found.where("n_shingles = 0").select("row"))
+    keyed = docs.withColumn("_row", row)
+    rows = keyed.join(single, keyed["_row"] == single["row"], "left_semi").select(*docs.columns)
+    if first.where("times > 1").limit(1).count():
+        # several rows of equal id and text: one of them stays
+        several = first.where("times > 1").select("row")
+        own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        twice = keyed.join(several, keyed["_row"] == several["row"], "left_semi").groupBy("_row").agg(F.min_by(own, F.xxhash64(own)).alias("own"))
+        rows = rows.unionByName(twice.select("own.*"))
     return rows
 
 

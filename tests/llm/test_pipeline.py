@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_llm import DOCS, model_components, model_targets, words_of
 from tokenizers import Tokenizer
 
@@ -105,3 +106,18 @@ def test_language_stage_without_languages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = corpus_pipeline.language_id(spark, df, "")
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {3, 4, 5}
+
+
+def test_jaccard_stage_decides_per_row(spark):
+    rng = random.Random(31)
+    a, b, c, d = (text_of(rng, "en", 60) for _ in range(4))
+    near = b + " " + text_of(rng, "en", 2)
+    rows = [(1, a, "en", "s0", 1), (1, b, "en", "s0", 2), (7, near, "en", "s1", 3), (None, c, "en", "s1", 4), (None, c, "en", "s2", 5), (None, d, "en", "s1", 6), (9, d, "en", "s1", 7)]
+    rows += [(3, "", "en", "s1", 8), (3, None, "en", "s1", 9), (None, "", "en", "s1", 10), (5, a, "en", "s3", 11), (1, a, "en", "s3", 12), (2, near, "en", "s3", 13), (2, b, "en", "s3", 14)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = [sorted((r.n_chars for r in corpus_pipeline.ngram_jaccard_join(spark, x, "").collect())) for x in (df, df.orderBy(F.desc("n_chars")).repartition(5))]
+    assert got[0] == got[1]
+    kept = {r[4]: r for r in rows if r[4] in got[0]}
+    assert {8, 9, 10} <= set(kept) and len(got[0]) == len(kept) == 7
+    # a by id 1 once, b by id 1, c once though without an id, d by id 9
+    assert sorted((r[0] or 0, r[1]) for r in kept.values() if r[1]) == sorted([(1, a), (1, b), (0, c), (9, d)])
