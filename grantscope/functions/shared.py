@@ -20,7 +20,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         found = sc.getConf().get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local"):
+        if not found and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not found:
             found = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)

@@ -49,35 +49,39 @@ def callers_paths(targets: DataFrame, edges: DataFrame, kinds: DataFrame, *, max
     caller; at most ``max_paths`` per target, of at most ``max_depth`` nodes.
 
     Returns (target, entry_kind, nodes, level, pos) and all visited (target, node,
-    level).  One join per level; the frontier is written after each.
+    level).  One join per level, written once; a target that has its paths is not
+    followed further.
     """
+    # the place in the queue: at each step the caller's order, then its id; arrays compare as a queue would deal them out
+    turn = f"array<struct<ord:{edges.schema['caller_ord'].dataType.simpleString()},node:{edges.schema['caller_id'].dataType.simpleString()}>>"
     has = edges.select(F.col("callee_id").alias("node")).distinct().withColumn("called", F.lit(True))
     kind = kinds.select(F.col("id").alias("node"), "entry_kind").dropDuplicates(["node"])
-    front = targets.select(F.col("id").alias("target")).distinct().select("target", F.col("target").alias("node"), F.lit(0).cast("long").alias("pos"), F.array("target").alias("nodes"))
-    front, found, visited = checkpointed(front), None, None
+    front = targets.select(F.col("id").alias("target")).distinct().select("target", F.col("target").alias("node"), F.array().cast(turn).alias("pos"), F.array("target").alias("nodes"))
+    is_end = F.col("entry_kind").isNotNull() | F.col("called").isNull()
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("level", "pos"))
+    found = visited = None
     for level in range(1, max_depth + 1):
-        own = front.join(kind, "node", "left").join(has, "node", "left").withColumn("level", F.lit(level))
-        own = checkpointed(own)
-        ends = own.where("entry_kind is not null or called is null").select("target", F.coalesce("entry_kind", F.lit("UNKNOWN")).alias("entry_kind"), "nodes", "level", "pos")
+        own = checkpointed(front.join(kind, "node", "left").join(has, "node", "left").withColumn("level", F.lit(level)))
+        if level > 1 and own.isEmpty():
+            break
+        ends = own.where(is_end).select("target", F.coalesce("entry_kind", F.lit("UNKNOWN")).alias("entry_kind"), "nodes", "level", "pos")
         found = ends if found is None else found.unionByName(ends)
         seen = own.select("target", "node", "level")
         visited = seen if visited is None else visited.unionByName(seen)
-        grown = own.where("entry_kind is null and called").alias("f").join(edges, F.col("f.node") == F.col("callee_id"))
-        grown = grown.select("target", F.col("caller_id").alias("node"), "pos", "caller_ord", F.array_prepend(F.col("nodes"), F.col("caller_id")).alias("nodes"))
+        if level == max_depth:
+            break
+        done = found.groupBy("target").agg(F.count("*").alias("n")).where(F.col("n") >= max_paths)
+        open_ = own.where("entry_kind is null and called").join(done.select("target"), "target", "left_anti")
+        grown = open_.join(edges, F.col("node") == F.col("callee_id"))
+        step = F.concat("pos", F.array(F.struct(F.col("caller_ord").alias("ord"), F.col("caller_id").alias("node"))))
+        grown = grown.select("target", F.col("caller_id").alias("node"), step.alias("pos"), F.array_prepend(F.col("nodes"), F.col("caller_id")).alias("nodes"))
         grown = grown.join(visited.select("target", "node"), ["target", "node"], "left_anti")
-        first = F.row_number().over(Window.partitionBy("target", "node").orderBy("pos", "caller_ord"))
-        grown = grown.withColumn("n", first).where("n = 1")
-        place = F.row_number().over(Window.partitionBy("target").orderBy("pos", "caller_ord", "node"))
-        front = grown.select("target", "node", place.cast("long").alias("pos"), "nodes")
-        if level < max_depth:
-            front = checkpointed(front)
-            if front.isEmpty():
-                break
-    rank = F.row_number().over(Window.partitionBy("target").orderBy("level", "pos"))
+        # of several ways to a node the first in the queue; an aggregate, so a node of many callers is summed up before the shuffle
+        front = grown.groupBy("target", "node").agg(F.min(F.struct("pos", "nodes")).alias("first")).select("target", "node", "first.pos", "first.nodes")
     return found.withColumn("n", rank).where(F.col("n") <= max_paths).drop("n"), visited
 
 
-def usage_paths(reports: DataFrame, decls: DataFrame, paths: DataFrame, chosen: DataFrame) -> DataFrame:
+def usage_paths(decls: DataFrame, paths: DataFrame, chosen: DataFrame) -> DataFrame:
     """Call paths per permission, as sorted arrays of at most twelve.
 
     ``chosen`` has permission, nth (of the usage) and target; equal paths, by symbol

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import checkpointed
 from .classify import severity_rank
 
 USAGE = "struct<file:string,line:int,module:string,enclosing:string,symbol:string,kind:string,evidence:string,confidence:string,snippet:string>"
@@ -131,15 +132,15 @@ def permission_findings(reports: DataFrame) -> DataFrame:
     """Rules on each permission by itself."""
     c = F.col
     name, short, prot = c("permission"), c("shortName"), c("protection")
-    declared_at = F.transform("declarations", lambda d: _manifest_place(d["file"], d["line"], d["module"], short, "Manifest declaration", d["snippet"]))
+    declared_at = F.transform("firstDeclarations", lambda d: _manifest_place(d["file"], d["line"], d["module"], short, "Manifest declaration", d["snippet"]))
     grave, dangerous = prot.isin("DANGEROUS", "SPECIAL"), prot == "DANGEROUS"
     used = dangerous & (c("status") == "USED")
     make = lambda rule, severity, locations, other=None: finding(rule, severity, subject=short, other=other, permission=name, locations=locations, block=0, order=name)
     return any_of(reports, [
         (c("status") == "DECLARED_UNUSED", make("UNUSED_PERMISSION", F.when(grave, "HIGH").otherwise("MEDIUM"), declared_at, name)),
-        (c("status") == "UNDECLARED_USAGE", make("UNDECLARED_PERMISSION", "CRITICAL", c("usages"))),
-        (used & (F.size("runtimeRequests") == 0), make("MISSING_RUNTIME_REQUEST", "HIGH", c("usages"))),
-        (used & (F.size("runtimeRequests") > 0) & (F.size("permissionChecks") == 0), make("MISSING_PERMISSION_CHECK", "MEDIUM", c("runtimeRequests"))),
+        (c("status") == "UNDECLARED_USAGE", make("UNDECLARED_PERMISSION", "CRITICAL", c("firstUsages"))),
+        (used & (c("requests") == 0), make("MISSING_RUNTIME_REQUEST", "HIGH", c("firstUsages"))),
+        (used & (c("requests") > 0) & (c("checks") == 0), make("MISSING_PERMISSION_CHECK", "MEDIUM", c("firstRequests"))),
         (c("declared") & c("policyNote").isNotNull(), make("PLAY_POLICY_SENSITIVE", F.when(prot == "SPECIAL", "HIGH").otherwise("MEDIUM"), declared_at, c("policyNote"))),
     ])
 
@@ -156,10 +157,10 @@ def project_findings(reports: DataFrame, build: DataFrame, manifests: DataFrame,
     """Rules on the project: one row of flags, so empty inputs still give a row."""
     named = lambda n: F.col("permission") == (n if "." in n else PERMISSION + n)
     has = lambda n: F.coalesce(F.bool_or(named(n) & F.col("declared")), F.lit(False))
-    uses = lambda n: F.coalesce(F.bool_or(named(n) & (F.size("usages") > 0)), F.lit(False))
+    uses = lambda n: F.coalesce(F.bool_or(named(n) & (F.col("usageCount") > 0)), F.lit(False))
     flags = reports.agg(
-        F.coalesce(F.bool_or(named("WRITE_EXTERNAL_STORAGE") & F.exists("declarations", lambda d: d["maxSdkVersion"].isNull())), F.lit(False)).alias("open_storage"),
-        has("POST_NOTIFICATIONS").alias("notify"), uses("POST_NOTIFICATIONS").alias("notifies"), F.max(F.when(named("POST_NOTIFICATIONS"), F.col("usages"))).alias("notified"),
+        F.coalesce(F.bool_or(named("WRITE_EXTERNAL_STORAGE") & F.col("open_ended")), F.lit(False)).alias("open_storage"),
+        has("POST_NOTIFICATIONS").alias("notify"), uses("POST_NOTIFICATIONS").alias("notifies"), F.max(F.when(named("POST_NOTIFICATIONS"), F.col("firstUsages"))).alias("notified"),
         has("ACCESS_FINE_LOCATION").alias("fine"), has("ACCESS_COARSE_LOCATION").alias("coarse"), has("ACCESS_BACKGROUND_LOCATION").alias("background"),
         has(AD_ID).alias("ad_id"), has("INTERNET").alias("internet"), uses("INTERNET").alias("network"),
     )
@@ -191,7 +192,17 @@ def manifest_findings(manifests: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def numbered(findings: DataFrame, prefix: str = "F") -> DataFrame:
-    """Ids in order of emission, rows in order of severity; the number of findings is the rules' times the permissions'."""
-    rank = F.row_number().over(Window.orderBy("block", "order", "nth"))
-    out = findings.withColumn("id", F.format_string(prefix + "-%03d", rank))
-    return out.orderBy(severity_rank(F.col("severity")), "id").select("id", "rule", "severity", "title", "detail", "permission", "recommendation", "locations")
+    """Ids in order of emission, rows in order of severity.
+
+    Findings are dealt out by ranges of their order, numbered within a range, and moved on
+    by the number of those before: no task has them all.
+    """
+    key = ["block", "order", "nth"]
+    dealt = checkpointed(findings.repartitionByRange(*key).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))  # a row per shuffle partition at most
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*key)) + F.col("_before")
+    out = dealt.join(F.broadcast(sizes), "_range").withColumn("_n", rank).withColumn("id", F.format_string(prefix + "-%03d", F.col("_n")))
+    out = out.orderBy(severity_rank(F.col("severity")), "_n")
+    return out.select("id", "rule", "severity", "title", "detail", "permission", "recommendation", "locations")

@@ -13,12 +13,22 @@ from ..functions.shared import checkpointed
 from ..operators import classify, declarations, graph, rules, signals
 from ..sources import project
 
+DECLARATION_FIELDS = ["file", "line", "module", "maxSdkVersion", "sdk23Only", "snippet"]
+NO_DECLARATIONS = "array<struct<file:string,line:int,module:string,maxSdkVersion:int,sdk23Only:boolean,snippet:string>>"
+REPORT_FIELDS = [
+    "permission", "shortName", "protection", "group", "description", "declared", "declarations", "status", "riskLevel", "confidence", "usages", "runtimeRequests",
+    "permissionChecks", "callPaths", "touchedFiles", "policyNote",
+]
 USAGE_FIELDS = ["file", "line", "module", "enclosing", "symbol", "kind", "evidence", "confidence", "snippet"]
 
 
 @dataclass
 class Analysis:
-    """The sections of a report, each a DataFrame; ``summary`` and ``build`` have one row."""
+    """The sections of a report, each a DataFrame; ``summary`` and ``build`` have one row.
+
+    ``reports`` has a flat row per permission; ``permissions`` nests the usages in it and
+    is computed only when a sink reads it.
+    """
 
     root: str
     sources: DataFrame
@@ -26,6 +36,7 @@ class Analysis:
     components: DataFrame
     build: DataFrame
     usages: DataFrame
+    reports: DataFrame
     permissions: DataFrame
     findings: DataFrame
     summary: DataFrame
@@ -41,43 +52,76 @@ def located(lines_usages: DataFrame, decls: DataFrame) -> DataFrame:
     return out.withColumn("enclosing", F.coalesce("in_qualified_name", "package")).withColumnRenamed("in_id", "target").drop("in_qualified_name", "in_start_line", "in_end_line", "in_ord", "in_file", "in_function")
 
 
-def of_kind(usages: Column, *kinds: str) -> Column:
-    return F.filter(usages, lambda u: u["kind"].isin(*kinds))
+def first_places(rows: DataFrame, keys: list[str], order: list[Column], fields: list[str], name: str, limit: int = rules.MAX_LOCATIONS) -> DataFrame:
+    """Per key an array of the first rows; only these are gathered, however many a key has."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    kept = rows.withColumn("_nth", nth).where(F.col("_nth") <= limit)
+    return kept.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_nth", F.struct(*fields).alias("u")))), lambda x: x["u"]).alias(name))
+
+
+def as_declarations(declared: DataFrame) -> DataFrame:
+    return declared.select("permission", "pos", "file", "line", "module", F.col("max_sdk").alias("maxSdkVersion"), F.col("sdk23_only").alias("sdk23Only"), "snippet")
 
 
 def permission_reports(usages: DataFrame, declared: DataFrame, specs: DataFrame, alternatives: DataFrame) -> DataFrame:
-    """Usages and declarations matched by permission (full outer), described and classified."""
-    row = F.struct(F.struct("file", "line", "ord").alias("at"), F.struct(*USAGE_FIELDS).alias("u"))
-    used = usages.groupBy("permission").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["u"]).alias("found"))
-    place = F.struct("file", "line", "module", F.col("max_sdk").alias("maxSdkVersion"), F.col("sdk23_only").alias("sdk23Only"), "snippet")
-    told = declared.groupBy("permission").agg(F.transform(F.sort_array(F.collect_list(F.struct("file", "pos", place.alias("d")))), lambda x: x["d"]).alias("declarations"))
+    """Usages and declarations matched by permission (full outer), described and classified.
+
+    A row holds the numbers of usages of each kind and the first places of them; the
+    usages themselves stay rows of their table, so a permission that a whole corpus uses
+    is no large row.  :func:`nested` gathers them for a report.
+    """
+    kind, sure = F.col("kind"), F.col("confidence")
+    api = kind == "API_CALL"
+    n = lambda test: F.count_if(test)
+    used = usages.groupBy("permission").agg(
+        n(api).alias("api"), n(api & (sure != "LOW")).alias("strong"), n(api & (sure == "HIGH")).alias("high"), n(api & (sure == "MEDIUM")).alias("medium"),
+        n(kind == "REQUEST").alias("requests"), n(kind == "CHECK").alias("checks"), n(kind == "PERMISSION_STRING").alias("constants"),
+    )
+    order = [F.col("kind") == "PERMISSION_STRING", F.col("file"), F.col("line"), F.col("ord")]
+    for name, kinds in (("firstUsages", ["API_CALL", "PERMISSION_STRING"]), ("firstRequests", ["REQUEST"])):
+        used = used.join(first_places(usages.where(kind.isin(*kinds)), ["permission"], order, USAGE_FIELDS, name), "permission", "left")
+    told = declared.groupBy("permission").agg(F.count("*").alias("declarationCount"), F.bool_or(F.col("max_sdk").isNull()).alias("open_ended"))
+    told = told.join(first_places(as_declarations(declared), ["permission"], [F.col("file"), F.col("pos")], DECLARATION_FIELDS, "firstDeclarations"), "permission", "left")
     both = signals.full_match(used, told, "permission").withColumn("declared", F.col("in_right")).drop("in_left", "in_right")
     covered = alternatives.join(told.select(F.col("permission").alias("other")), "other", "left_semi").select(F.col("name").alias("permission")).distinct().withColumn("covered", F.lit(True))
     both = catalog.described(both.join(covered, "permission", "left"), "permission", specs)
-    found = F.coalesce("found", F.array().cast(rules.NONE))
-    both = both.withColumn("found", found).withColumn("declarations", F.coalesce("declarations", F.array().cast("array<struct<file:string,line:int,module:string,maxSdkVersion:int,sdk23Only:boolean,snippet:string>>")))
-    api, requests, checks, constants = (of_kind(F.col("found"), k) for k in ("API_CALL", "REQUEST", "CHECK", "PERMISSION_STRING"))
-    both = both.withColumn("api", api).withColumn("runtimeRequests", requests).withColumn("permissionChecks", checks).withColumn("constants", constants)
-    some = lambda c: F.size(c) > 0
-    strong = F.exists("api", lambda u: u["confidence"] != "LOW")
-    state = classify.status(F.col("declared"), some("api"), strong, some("runtimeRequests"), some("permissionChecks"), some("constants"), F.coalesce("covered", F.lit(False)))
-    both = both.withColumn("status", state)
-    sure = classify.confidence(F.exists("api", lambda u: u["confidence"] == "HIGH"), F.exists("api", lambda u: u["confidence"] == "MEDIUM"), some("runtimeRequests"), some("found"))
+    counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in ("api", "strong", "high", "medium", "requests", "checks", "constants", "declarationCount")}
+    both = both.withColumns(counts | {
+        "open_ended": F.coalesce("open_ended", F.lit(False)), "firstUsages": F.coalesce("firstUsages", F.array().cast(rules.NONE)),
+        "firstRequests": F.coalesce("firstRequests", F.array().cast(rules.NONE)), "firstDeclarations": F.coalesce("firstDeclarations", F.array().cast(NO_DECLARATIONS)),
+    })
+    some = lambda c: F.col(c) > 0
+    both = both.withColumn("status", classify.status(F.col("declared"), some("api"), some("strong"), some("requests"), some("checks"), some("constants"), F.coalesce("covered", F.lit(False))))
+    every = some("api") | some("requests") | some("checks") | some("constants")
     return both.select(
-        "permission", text.short_name(F.col("permission")).alias("shortName"), "protection", "group", "description", "declared", "declarations", "status",
-        classify.risk(F.col("status"), F.col("protection"), some("runtimeRequests"), F.col("policy_note")).alias("riskLevel"), sure.alias("confidence"),
-        F.concat("api", "constants").alias("usages"), "runtimeRequests", "permissionChecks",
-        F.array_sort(F.array_distinct(F.transform("found", lambda u: u["file"]))).alias("touchedFiles"), F.col("policy_note").alias("policyNote"),
+        "permission", text.short_name(F.col("permission")).alias("shortName"), "protection", "group", "description", "declared", "status",
+        classify.risk(F.col("status"), F.col("protection"), some("requests"), F.col("policy_note")).alias("riskLevel"),
+        classify.confidence(some("high"), some("medium"), some("requests"), every).alias("confidence"), F.col("policy_note").alias("policyNote"),
+        "api", "requests", "checks", "constants", (F.col("api") + F.col("constants")).alias("usageCount"), "declarationCount", "open_ended", "firstUsages", "firstRequests", "firstDeclarations",
     )
 
 
+def nested(reports: DataFrame, usages: DataFrame, declared: DataFrame) -> DataFrame:
+    """Reports with all their usages, declarations and files, as a report shows them: a row per permission gathers them."""
+    row = F.struct(F.struct("file", "line", "ord").alias("at"), F.struct(*USAGE_FIELDS).alias("u"))
+    found = usages.groupBy("permission").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["u"]).alias("found"))
+    told = as_declarations(declared).groupBy("permission").agg(F.transform(F.sort_array(F.collect_list(F.struct("file", "pos", F.struct(*DECLARATION_FIELDS).alias("d")))), lambda x: x["d"]).alias("declarations"))
+    both = reports.join(found, "permission", "left").join(told, "permission", "left")
+    both = both.withColumn("found", F.coalesce("found", F.array().cast(rules.NONE))).withColumn("declarations", F.coalesce("declarations", F.array().cast(NO_DECLARATIONS)))
+    of_kind = lambda k: F.filter("found", lambda u: u["kind"] == k)
+    return both.withColumns({
+        "usages": F.concat(of_kind("API_CALL"), of_kind("PERMISSION_STRING")), "runtimeRequests": of_kind("REQUEST"), "permissionChecks": of_kind("CHECK"),
+        "touchedFiles": F.array_sort(F.array_distinct(F.transform("found", lambda u: u["file"]))),
+    })
+
+
 def chosen_usages(usages: DataFrame) -> DataFrame:
     """Per permission the first twenty API usages, or requests if there is none, with their place in the code."""
-    some = F.max((F.col("kind") == "API_CALL").cast("int")).over(Window.partitionBy("permission"))
-    rank = F.row_number().over(Window.partitionBy("permission").orderBy("file", "line", "ord"))
-    rows = usages.where(F.col("kind").isin("API_CALL", "REQUEST")).withColumn("some", some)
-    rows = rows.where(F.col("kind") == F.when(F.col("some") == 1, "API_CALL").otherwise("REQUEST")).withColumn("nth", rank)
-    return rows.where((F.col("nth") <= graph.MAX_USAGES) & F.col("target").isNotNull()).select("permission", "nth", "target")
+    rows = usages.where(F.col("kind").isin("API_CALL", "REQUEST")).select("permission", "kind", "file", "line", "ord", "target")
+    best = rows.groupBy("permission").agg(F.min("kind").alias("kind"))  # API_CALL comes first
+    nth = F.row_number().over(Window.partitionBy("permission").orderBy("file", "line", "ord"))
+    rows = rows.join(best, ["permission", "kind"], "left_semi").withColumn("nth", nth).where(F.col("nth") <= graph.MAX_USAGES)
+    return rows.where(F.col("target").isNotNull()).select("permission", "nth", "target")
 
 
 def module_rows(sources: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -98,7 +142,7 @@ def summary_row(reports: DataFrame, findings: DataFrame) -> DataFrame:
     """One row of counts, score and grade."""
     n = lambda test: F.count_if(test).cast("int")
     state = F.col("status")
-    counted = F.filter(F.collect_list(F.struct("permission", "shortName", F.size("usages").alias("n"))), lambda x: x["n"] > 0)
+    counted = F.filter(F.collect_list(F.struct("permission", "shortName", F.col("usageCount").alias("n"))), lambda x: x["n"] > 0)
     per = reports.agg(
         n(F.col("declared")).alias("declaredPermissionCount"), n(state == "USED").alias("usedPermissionCount"), n(state == "DECLARED_UNUSED").alias("unusedPermissionCount"),
         n(state == "UNDECLARED_USAGE").alias("undeclaredPermissionCount"), n((F.col("protection") == "DANGEROUS") & F.col("declared")).alias("dangerousPermissionCount"),
@@ -128,18 +172,19 @@ def assemble(spark: SparkSession, root: str, sources: DataFrame, manifests: Data
     decls = checkpointed(graph.entry_kinds(declarations.declarations(sources)))
     found = checkpointed(located(signals.usages(signals.code_lines(sources)), decls))
     components = project.manifest_components(manifests)
-    reports = permission_reports(found, project.declared(manifests), catalog.specs(spark), catalog.alternatives(spark))
-    chosen = chosen_usages(found)
+    declared = checkpointed(project.declared(manifests))
+    reports = checkpointed(permission_reports(found, declared, catalog.specs(spark), catalog.alternatives(spark)))
+    chosen = checkpointed(chosen_usages(found))
     paths, _ = graph.callers_paths(chosen.select(F.col("target").alias("id")), graph.call_edges(decls), decls.select("id", "entry_kind"))
-    routes = graph.usage_paths(reports, decls, paths, chosen)
+    routes = graph.usage_paths(decls, paths, chosen)
     none = F.array().cast("array<struct<entryPoint:string,entryKind:string,depth:int,nodes:array<struct<symbol:string,file:string,line:int>>>>")
-    reports = reports.join(routes, "permission", "left").withColumn("callPaths", F.coalesce("callPaths", none))
-    order = ["permission", "shortName", "protection", "group", "description", "declared", "declarations", "status", "riskLevel", "confidence", "usages", "runtimeRequests", "permissionChecks", "callPaths", "touchedFiles", "policyNote"]
-    reports = checkpointed(reports.select(*order).orderBy(classify.risk_rank(F.col("riskLevel")), "permission"))
+    reports = checkpointed(reports.join(routes, "permission", "left").withColumn("callPaths", F.coalesce("callPaths", none)))
+    report_order = [classify.risk_rank(F.col("riskLevel")), F.col("permission")]
+    permissions = nested(reports, found, declared).select(*REPORT_FIELDS).orderBy(*report_order)
     all_findings = rules.permission_findings(reports).unionByName(rules.project_findings(reports, build, manifests, sources)).unionByName(rules.manifest_findings(manifests, components))
     findings = checkpointed(rules.numbered(all_findings))
     summary = checkpointed(summary_row(reports, findings))
-    return Analysis(root, sources, manifests, components, build, found, reports, findings, summary, module_rows(sources, manifests), entry_points(reports), time.time() - began)
+    return Analysis(root, sources, manifests, components, build, found, reports, permissions, findings, summary, module_rows(sources, manifests), entry_points(reports), time.time() - began)
 
 
 def report_filter(reports: DataFrame, *, status: str | None = None, risk: str | None = None, query: str = "") -> DataFrame:
