@@ -8,16 +8,16 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the session's checkpoint folder.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from ``spark.checkpoint.dir`` if it is not set yet.
 
-    The folder is ``spark.checkpoint.dir``.  Only a local session that has none gets a
-    temporary one; elsewhere a missing setting is an error.
+    Only a local session that has none gets a temporary one; elsewhere a missing
+    setting is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         found = sc.getConf().get("spark.checkpoint.dir", None)
         if not found and not sc.master.startswith("local[") and sc.master != "local":
@@ -27,4 +27,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
             os.makedirs(found)
             atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the session's checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

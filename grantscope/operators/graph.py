@@ -40,6 +40,11 @@ def entry_kinds(decls: DataFrame) -> DataFrame:
     return decls.join(owners, F.col("container") == F.col("_owner"), "left").withColumn("entry_kind", kind).drop("_owner", "_supers")
 
 
+def entry_functions(decls: DataFrame) -> DataFrame:
+    """The declarations of :func:`entry_kinds` that are entry points."""
+    return decls.where(F.col("entry_kind").isNotNull())
+
+
 def callers_paths(targets: DataFrame, edges: DataFrame, kinds: DataFrame, *, max_paths: int = MAX_PATHS, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
     """Breadth-first search from each target to its callers.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog, markup, text
 from ..functions.catalog import Signal
 from ..operators import classify, declarations, graph, rules, signals
-from . import analyze
+from . import analyze, generated
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -382,3 +382,7 @@ def flag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The static catalog as a table."""
     return catalog.specs(spark).agg(F.count("*").alias("specs"), F.count_if(F.col("protection") == "DANGEROUS").alias("dangerous"))
+
+
+QUERIES |= generated.QUERIES
+ORACLE_SQL |= generated.ORACLE_SQL
