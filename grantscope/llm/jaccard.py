@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -32,8 +32,13 @@ HASHES = 4
 HEAVY = 1 << 16
 SHARED = 8
 GROUP_MEMBERS, GROUP_TOKENS = 1024, 1 << 19
+#: Queries of a group that one task opens, with a copy of its members; parts into which the rows of a frequent token are dealt.
+GROUP_QUERIES, SALTS = 4096, 16
+#: A token of more groups than this is asked about only by classes whose other tokens cannot do without it.
+WIDE = 512
 BLOOM_BITS = 24
 _TOP = np.uint64(1 << 63)
+ROW = ["token", "c8", "g", "n"]
 _SEEDS = W.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -130,25 +135,27 @@ def _signed(order, width: int, num: int, den: int):
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per prefix token: token, short class id, group, set size."""
+    """A row per prefix token: token, short class id, group, set size, and a salt for frequent tokens."""
     for batch in batches:
         data, offsets = W.utf8(batch.column("prefix"))
         count = np.diff(offsets) // 8
         token = np.frombuffer(data.tobytes(), np.int64)
         cols = [pa.array(np.repeat(batch.column(k).to_numpy(), count)) for k in ("c8", "g", "n")]
-        yield pa.RecordBatch.from_arrays([pa.array(token), *cols], ["token", "c8", "g", "n"])
+        salt = np.where(token < 0, cols[0].to_numpy() & (SALTS - 1), 0)
+        yield pa.RecordBatch.from_arrays([pa.array(token), *cols, pa.array(salt)], [*ROW, "salt"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, g), those whose token is in several groups.
+    """Of rows sorted by (token, salt, g), those whose token may be in several groups.
 
-    A run of equal tokens that goes on in the next batch is held only while all its
-    rows are of one group, whose size is bounded.
+    Frequent tokens, whose rows are dealt out by their salt, all pass.  A run of equal
+    tokens that goes on in the next batch is held only while all its rows are of one
+    group, whose size is bounded.
     """
-    names = ["token", "c8", "g", "n"]
+    names = [*ROW, "salt"]
     held, mixed = None, None  # rows of a run not decided; the token of a run known to be mixed
     for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy() for k in names], 1) if batch.num_rows else np.zeros((0, 4), np.int64)
+        rows = np.stack([batch.column(k).to_numpy() for k in names], 1) if batch.num_rows else np.zeros((0, len(names)), np.int64)
         if held is not None:
             rows = np.concatenate([held, rows])
         if not len(rows):
@@ -156,7 +163,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, g = rows[:, 0], rows[:, 2]
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         end = np.concatenate([start[1:], [len(rows)]])
-        many = g[start] != g[end - 1]
+        many = (g[start] != g[end - 1]) | (token[start] < 0)
         if mixed is not None:
             many |= token[start] == mixed
         last = len(start) - 1
@@ -164,7 +171,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None if many[last] else rows[start[last] :]
         keep = np.repeat(many, end - start)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[keep, k])) for k in range(4)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[keep, k])) for k in range(len(names))], names)
+
+
+def _salts() -> Column:
+    """The salts under which a token's rows are dealt out."""
+    return F.when(F.col("token") < 0, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
 
 
 def _bloom(cids: list[bytes], ids: list[int | None]) -> np.ndarray:
@@ -285,40 +297,44 @@ class Group:
 
 
 def _opened(num: int, den: int):
-    """Links found in rows (g, role, cid, tokens) sorted by (g, role): members first, then queries."""
+    """Links found in rows (g, part, role, cid, tokens) sorted by (g, part, role): members first, then queries.
+
+    Each part of a group's queries comes with all its members; links among these are
+    emitted by part 0 alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group, cids, sets, size = None, None, [], [], 0
 
-        def flush(role: int) -> list[tuple[bytes, bytes]]:
+        def flush() -> list[tuple[bytes, bytes]]:
             nonlocal group, cids, sets, size
             out = []
-            if role == 0:
+            if at[2] == 0:
                 group = Group(cids, sets, num, den)
-                out = group.own_links()
-            elif group is not None and cids:
+                own = group.own_links()
+                out = own if at[1] == 0 else []
+            elif group is not None:
                 out = group.query(cids, sets)
             cids, sets, size = [], [], 0
             return out
 
-        role = 0
         for batch in batches:
             links = []
-            for g, r, c, t in zip(*(batch.column(k).to_pylist() for k in ("g", "role", "cid", "tokens")), strict=True):
-                if (g, r) != (at, role):
+            for g, part, r, c, t in zip(*(batch.column(k).to_pylist() for k in ("g", "part", "role", "cid", "tokens")), strict=True):
+                if (g, part, r) != at:
                     if cids:
-                        links += flush(role)
-                    if g != at:
+                        links += flush()
+                    if at is None or (g, part) != at[:2]:
                         group = None
-                    at, role = g, r
-                elif r and size > GROUP_TOKENS // 2:
-                    links += flush(1)
+                    at = (g, part, r)
+                elif r and (size > GROUP_TOKENS // 2 or len(cids) >= GROUP_MEMBERS):
+                    links += flush()
                 cids.append(c)
                 sets.append(np.frombuffer(t, np.uint64))
                 size += len(sets[-1])
             yield _edges(links)
         if cids:
-            yield _edges(flush(role))
+            yield _edges(flush())
         group = None
         W.tidy()
 
@@ -368,53 +384,58 @@ def join_classes(
     # families and their groups
     mins = classes.select("cid", F.posexplode("mins").alias("k", "m"))
     leaders = mins.groupBy("k", "m").agg(F.min("cid").alias("a"), F.count("*").alias("n")).where("n > 1")
-    weak = mins.join(leaders, ["k", "m"]).where(F.col("cid") != F.col("a")).select("a", F.col("cid").alias("b"))
+    weak = mins.join(leaders.hint("merge"), ["k", "m"]).where(F.col("cid") != F.col("a")).select("a", F.col("cid").alias("b"))
     family = components(scratch, weak, "family", rounds=6)  # any partition gives the same links
-    member = classes.select("cid", "rep", "n").join(family, F.col("cid") == F.col("node"), "left").select("cid", "rep", "n", F.coalesce("label", "cid").alias("label"))
+    member = classes.select("cid", "rep", "n").join(family.hint("merge"), F.col("cid") == F.col("node"), "left").select("cid", "rep", "n", F.coalesce("label", "cid").alias("label"))
     bulk = member.groupBy("label").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
     parts = F.ceil(F.greatest(F.col("members") / GROUP_MEMBERS, F.col("tokens") / GROUP_TOKENS))
-    member = member.join(bulk, "label").select("cid", "rep", "n", "members", F.xxhash64("label", F.pmod(F.xxhash64("cid"), parts)).alias("g"))
+    member = member.join(bulk.hint("merge"), "label").select("cid", "rep", "n", "members", F.xxhash64("label", F.pmod(F.xxhash64("cid"), parts)).alias("g"))
     member = scratch.write(member, "member")
 
     # the matrix: groups that share a prefix token, and who has to ask which group
     member = member.withColumn("c8", F.xxhash64("cid"))
-    prefixes = classes.select("cid", "prefix").join(member.select("cid", "c8", "g", "n"), "cid").select("c8", "g", "n", "prefix")
-    tokens = prefixes.mapInArrow(_exploded, "token long, c8 long, g long, n long")
-    shared = tokens.repartition("token").sortWithinPartitions("token", "g").mapInArrow(_shared, "token long, c8 long, g long, n long")
+    prefixes = classes.select("cid", "prefix").join(member.select("cid", "c8", "g", "n").hint("merge"), "cid").select("c8", "g", "n", "prefix")
+    row = ", ".join(f"{c} long" for c in [*ROW, "salt"])
+    tokens = prefixes.mapInArrow(_exploded, row)
+    shared = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "g").mapInArrow(_shared, row)
     shared = scratch.write(shared, "shared")
     # a class with fewer shared tokens in all than it must share with one group asks none
     enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * num / den))
     asks = shared.groupBy("c8").agg(F.count("*").alias("tokens"), F.first("n").alias("n")).where(F.col("tokens") >= enough)
-    shared = shared.join(asks.select("c8"), "c8", "left_semi")
-    live = shared.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high")
-    shared = scratch.write(shared.join(live.select("token"), "token", "left_semi"), "asking")
-    matrix = shared.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("g", "to")
+    shared = shared.join(asks.select("c8").hint("merge"), "c8", "left_semi")
+    matrix = scratch.write(shared.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
+    live = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token", (F.col("groups") > WIDE).alias("wide"), F.explode(_salts()).alias("salt"))
+    shared = scratch.write(shared.join(live.hint("merge"), ["token", "salt"]), "asking")
+    # whoever shares ``enough`` tokens with a group shares all but its wide ones of them among the others
+    wide = shared.groupBy("c8").agg(F.count_if("wide").alias("wides"))
+    shared = shared.join(wide.hint("merge"), "c8").where(~F.col("wide") | (F.col("wides") >= enough)).withColumn("least_hits", F.when(F.col("wides") >= enough, enough).otherwise(enough - F.col("wides")))
+    to = matrix.withColumnRenamed("g", "to").withColumn("salt", F.explode(_salts()))
     fits = (F.col("most") * den >= F.col("n") * num) & (F.col("least") * num <= F.col("n") * den)
-    asked = shared.join(matrix, "token").where((F.col("g") < F.col("to")) & fits).groupBy("c8", "to").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
-    asked = asked.where(F.col("hits") >= enough).select("c8", "to")
-    asked = scratch.write(asked, "asked")
-
-    # whole sets of the classes concerned
-    asking = asked.join(member.select("c8", "cid", "rep"), "c8").select(F.col("to").alias("g"), F.lit(1).alias("role"), "cid", "rep")
-    opened = asked.select(F.col("to").alias("g")).distinct()
-    own = member.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g").union(opened).distinct()
-    roles = scratch.write(member.join(own, "g").select("g", F.lit(0).alias("role"), "cid", "rep").union(asking), "roles")
+    asked = shared.join(to.hint("merge"), ["token", "salt"]).where((F.col("g") < F.col("to")) & fits).groupBy("c8", "to").agg(F.count("*").alias("hits"), F.first("least_hits").alias("least_hits"))
+    asked = scratch.write(asked.where(F.col("hits") >= F.col("least_hits")).select("c8", "to"), "asked")
+
+    # whole sets of the classes concerned; a group with many queries is opened in several parts
+    queries = asked.groupBy(F.col("to").alias("g")).agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts"))
+    asking = asked.join(member.select("c8", "cid", "rep").hint("merge"), "c8").withColumnRenamed("to", "g").join(queries.hint("merge"), "g")
+    asking = asking.select("g", F.pmod(F.xxhash64("c8", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "cid", "rep")
+    own = member.groupBy("g").agg(F.count("*").alias("n")).join(queries.hint("merge"), "g", "left").where("n > 1 or parts is not null")
+    own = own.select("g", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    roles = scratch.write(member.join(own.hint("merge"), "g").select("g", "part", F.lit(0).alias("role"), "cid", "rep").union(asking), "roles")
     wanted = roles.select("cid", "rep").distinct()
     words = wanted.mapInArrow(_slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bloom = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
     for r in words.toLocalIterator():  # a row per word of a filter of fixed size
         bloom[r[0]] = np.array([r[1]], np.int64).view(np.uint64)[0]
     sets = slim.mapInArrow(_wanted(order, spark.sparkContext.broadcast(bloom), width), "id long, cid binary, tokens binary")
-    sets = sets.join(wanted, "cid").where(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["cid"]).select("cid", "tokens")
-    rows = roles.select("g", "role", "cid").join(sets, "cid")
-    links = rows.repartition("g").sortWithinPartitions("g", "role").select("g", "role", "cid", "tokens").mapInArrow(_opened(num, den), "a binary, b binary")
+    sets = sets.join(wanted.hint("merge"), "cid").where(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["cid"]).select("cid", "tokens")
+    rows = roles.select("g", "part", "role", "cid").join(sets.hint("merge"), "cid")
+    links = rows.repartition("g", "part").sortWithinPartitions("g", "part", "role").select("g", "part", "role", "cid", "tokens").mapInArrow(_opened(num, den), "a binary, b binary")
     links = scratch.write(links, "links")
-    scratch.drop("classes", "shared", "asking", "asked", "roles")
+    scratch.drop("classes", "shared", "matrix", "asking", "asked", "roles")
 
     joined = components(scratch, links, "join")
-    reps = member.select("cid", "rep").join(joined, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
+    reps = member.select("cid", "rep").join(joined.hint("merge"), F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = reps.join(least, "label").select("cid", "component_id")
-    out = thin.join(found, "cid", "left")
+    found = reps.join(least.hint("merge"), "label").select("cid", "component_id")
+    out = thin.join(found.hint("merge"), "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-

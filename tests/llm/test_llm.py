@@ -323,6 +323,28 @@ def test_jaccard_graded_family(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == model_components(rows)
 
 
+def test_jaccard_hot_tokens_and_groups(spark, monkeypatch):
+    """One passage in most documents, and groups of many queries, under every way that the tokens are dealt out."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    common, rows = " ".join(word() for _ in range(60)), []
+    for i in range(0, 240, 2):
+        own = [word() for _ in range(rng.choice([2, 6, 30]))]
+        rows.append((i, " ".join([*own, common])))
+        own[rng.randrange(len(own))] = word()
+        rows.append((i + 1, " ".join([*own, common, word()])))
+    rng.shuffle(rows)
+    want = model_components(rows)
+    assert len({c for _, _, c in want}) not in (1, len(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for wide, members, queries in ((512, 1024, 4096), (1, 4, 2), (0, 2, 1)):
+        monkeypatch.setattr(jaccard, "WIDE", wide)
+        monkeypatch.setattr(jaccard, "GROUP_MEMBERS", members)
+        monkeypatch.setattr(jaccard, "GROUP_QUERIES", queries)
+        got = jaccard.join_classes(spark, docs).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_components(spark):
     edges = [(f"{a:03}", f"{a + 1:03}") for a in range(40)] + [("100", "101"), ("101", "101"), ("100", "101")]
     got = components(Scratch(spark, "c"), spark.createDataFrame(edges, "a string, b string"), "x").collect()
