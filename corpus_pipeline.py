@@ -44,6 +44,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows with equal id and text the one of least hash stays.  Documents without a word
     are in no group and stay.
     """
+    # joins are sort-merge joins at every size: the plan, and what it moves, then grow alike
     scratch = Scratch(spark, "groups")
     row = F.xxhash64("doc_id", "text")
     found = join_classes(spark, docs.select(row.alias("row"), "text"), id_col="row")
@@ -54,12 +55,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     first = scratch.write(first.select("first.row", "first.times"), "kept")
     single = first.where("times = 1").select("row").unionByName(found.where("n_shingles = 0").select("row"))
     keyed = docs.withColumn("_row", row)
-    rows = keyed.join(single, keyed["_row"] == single["row"], "left_semi").select(*docs.columns)
+    rows = keyed.join(single.hint("merge"), keyed["_row"] == single["row"], "left_semi").select(*docs.columns)
     if first.where("times > 1").limit(1).count():
         # several rows of equal id and text: one of them stays
         several = first.where("times > 1").select("row")
         own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        twice = keyed.join(several, keyed["_row"] == several["row"], "left_semi").groupBy("_row").agg(F.min_by(own, F.xxhash64(own)).alias("own"))
+        twice = keyed.join(several.hint("merge"), keyed["_row"] == several["row"], "left_semi").groupBy("_row").agg(F.min_by(own, F.xxhash64(own)).alias("own"))
         rows = rows.unionByName(twice.select("own.*"))
     return rows
 
