@@ -14,7 +14,9 @@ as one space; places are bytes of that form.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
+from ._scratch import Scratch
 
 Q = 12
 EDIT_SHARE = 0.06
 PASSAGE, STRIDE = 160, 80
 #: Bytes of an item that count by themselves; each such stretch lies in one passage, as passages overlap by as many.
 EXCERPT = 80
-BLOCK_CHARS = 2 << 20
+EXCERPT_EDITS = min(int(EXCERPT * EDIT_SHARE), EXCERPT // Q - 1)
+EXCERPT_LEAST = EXCERPT + 1 - Q * (EXCERPT_EDITS + 1)
+BLOCK_CHARS = 4 << 20
 BITS = 22
+#: Hits of q-grams that are held at once; a part of the texts that has more is cut, down to pieces of one text.
+MAX_HITS = 1 << 20
+#: Bytes of a piece, and by how many neighbours overlap: more than any passage with its edits.
+PIECE, OVERLAP = 2048, 512
 
 
 def normal(text: bytes) -> bytes:
@@ -50,32 +59,38 @@ def codes(data: np.ndarray) -> np.ndarray:
 
 
 class Passages:
-    """Windows of the benchmark items with an index of their q-grams."""
+    """Windows of the benchmark items, and an index of the items' q-grams.
+
+    The index has a code and a place for each byte of the items, 12 bytes in all; equal
+    items are held once.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.item, self.text = [], []
+        keys: dict[bytes, list] = {}
         for key, text in items:
             text = normal(text)
-            if len(text) <= PASSAGE + STRIDE:
-                cuts = [(0, len(text))] if text else []
-            else:
-                cuts = [(a, a + PASSAGE) for a in range(0, len(text) - PASSAGE, STRIDE)] + [(len(text) - PASSAGE, len(text))]
-            for a, b in cuts:
-                self.item.append(key)
-                self.text.append(text[a:b])
-        size = np.array([len(x) for x in self.text], np.int64)
-        self.size = size
-        self.k = np.minimum((size * EDIT_SHARE).astype(np.int64), np.maximum(size // Q - 1, 0))
-        self.least = np.maximum(1, size + 1 - Q * (self.k + 1))
-        every = [codes(np.frombuffer(x, np.uint8)) for x in self.text]
-        code = np.concatenate(every) if every else np.zeros(0, np.uint64)
-        where = np.concatenate([np.stack([np.full(len(c), p), np.arange(len(c))], 1) for p, c in enumerate(every)]) if every else np.zeros((0, 2), np.int64)
-        order = np.argsort(code, kind="stable")
-        self.code, self.where = code[order], where[order]
-        self.short: dict[bytes, list[int]] = {}
-        for p, x in enumerate(self.text):
-            if len(x) < Q:
-                self.short.setdefault(x, []).append(p)
+            if text:
+                keys.setdefault(text, []).append(key)
+        self.short = {x: own for x, own in keys.items() if len(x) < Q}
+        texts = [x for x in keys if len(x) >= Q]
+        self.keys = [keys[x] for x in texts]
+        self.joined = b"\n".join(texts)
+        ends = np.cumsum([len(x) + 1 for x in texts]).astype(np.int64) - 1
+        cuts = [(item, a, b) for item, x in enumerate(texts) for a, b in windows(len(x))]
+        self.item, start, end = (np.array(x, np.int64) for x in zip(*cuts, strict=True)) if cuts else (np.zeros(0, np.int64),) * 3
+        base = np.concatenate([[0], ends + 1])[:-1].astype(np.int64)
+        self.start, self.end = start + base[self.item], end + base[self.item]
+        self.size = self.end - self.start
+        self.k = np.minimum((self.size * EDIT_SHARE).astype(np.int64), np.maximum(self.size // Q - 1, 0))
+        self.least = np.maximum(1, self.size + 1 - Q * (self.k + 1))
+        code = codes(np.frombuffer(self.joined, np.uint8))
+        pos = np.arange(len(code))
+        if len(pos):  # within one item
+            of = np.searchsorted(ends, pos, "right")
+            pos = pos[(pos >= base[of]) & (pos + Q <= ends[of])]
+        order = np.argsort(code[pos], kind="stable")
+        self.pos = pos[order].astype(np.int32 if len(code) < 1 << 31 else np.int64)
+        self.code = code[pos][order]
         self.bloom = np.zeros(1 << BITS, bool)
         self.bloom[self._slot(self.code)] = True
 
@@ -83,16 +98,35 @@ class Passages:
     def _slot(code: np.ndarray) -> np.ndarray:
         return ((code * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - BITS)).astype(np.int64)
 
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions in a byte string of q-grams of the passages, with passage and place in it."""
+    def text(self, p: int) -> bytes:
+        return self.joined[self.start[p] : self.end[p]]
+
+    def lookup(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in a byte string of q-grams of the items, each with its range of the index."""
         c = codes(data)
         at = np.flatnonzero(self.bloom[self._slot(c)]) if len(self.code) else np.zeros(0, np.int64)
         c = c[at]
         lo, hi = np.searchsorted(self.code, c, "left"), np.searchsorted(self.code, c, "right")
+        hit = hi > lo
+        return at[hit], lo[hit], hi[hit]
+
+    def spread(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hits of :meth:`lookup` as (place in the text, passage, place in it), for passages ``low`` to ``high``."""
         n = hi - lo
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found = self.where[np.repeat(lo, n) + nth]
-        return np.repeat(at, n), found[:, 0], found[:, 1]
+        pos, at = self.pos[np.repeat(lo, n) + nth].astype(np.int64), np.repeat(at, n)
+        high = len(self.start) if high is None else high
+        first = np.maximum(np.searchsorted(self.end, pos + Q, "left"), low)
+        n = np.maximum(np.minimum(np.searchsorted(self.start, pos, "right"), high) - first, 0)
+        p = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), p, np.repeat(pos, n) - self.start[p]
+
+
+def windows(size: int) -> list[tuple[int, int]]:
+    """The passages of an item of ``size`` bytes."""
+    if size <= PASSAGE + STRIDE:
+        return [(0, size)]
+    return [(a, a + PASSAGE) for a in range(0, size - PASSAGE, STRIDE)] + [(size - PASSAGE, size)]
 
 
 def align(passage: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
@@ -124,19 +158,124 @@ def align(passage: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
 
 
 def scan(passages: Passages, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, start, end, edits) of each passage found, places in normalised bytes."""
+    """(text, item, start, end, edits) of each passage found, places in normalised bytes.
+
+    Of overlapping places of one passage those with fewer edits, then the first, are given.
+    """
     texts = [normal(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]).astype(np.int64)
+    out = [(d, key, 0, len(x), 0) for d, x in enumerate(texts) for key in passages.short.get(x, ())]
+    found, parts = search(passages, texts)
+    found = apart(found)
+    places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for d, p, start, end, _ in found:
+        places.setdefault((d, int(passages.item[p])), []).append((start, end))
+    for d, p, start, end, edits in found:
+        out += [(d, key, start, end, edits) for key in passages.keys[passages.item[p]]]
+    slack = EXCERPT_EDITS
+    for d, item, start, end, edits in merged(parts):
+        if not any(a - slack <= start and end <= b + slack for a, b in places.get((d, item), ())):
+            out += [(d, key, start, end, edits) for key in passages.keys[item]]
+    return sorted(set(out), key=lambda x: (x[0], x[1] is None, x[1] or 0, x[2:]))
+
+
+def apart(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Places of each (text, passage) that do not overlap: least edits first, then the first."""
+    groups: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for d, p, start, end, edits in set(found):
+        groups.setdefault((d, p), []).append((edits, start, end))
     out = []
-    for d, x in enumerate(texts):
-        if x in passages.short:
-            out += [(d, passages.item[p], 0, len(x), 0) for p in passages.short[x]]
-    at, p, j = passages.hits(np.frombuffer(b"\n".join(texts), np.uint8))
+    for (d, p), own in groups.items():
+        kept: list[tuple[int, int, int]] = []
+        for edits, start, end in sorted(own):
+            n = bisect_left(kept, (start, end, edits))
+            if (n == 0 or kept[n - 1][1] <= start) and (n == len(kept) or end <= kept[n][0]):
+                kept.insert(n, (start, end, edits))
+        out += [(d, p, *x) for x in kept]
+    return out
+
+
+def merged(parts: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, edits) with overlapping places of an item as one, of the most edits."""
+    out: list[tuple[int, int, int, int, int]] = []
+    for d, item, start, end, edits in sorted(set(parts)):
+        if out and out[-1][:2] == (d, item) and start <= out[-1][3]:
+            out[-1] = (*out[-1][:3], max(out[-1][3], end), max(out[-1][4], edits))
+        else:
+            out.append((d, item, start, end, edits))
+    return out
+
+
+def search(passages: Passages, texts: list[bytes]) -> tuple[list, list]:
+    """Places of passages, as (text, passage, start, end, edits), and of excerpts, as (text, item, ...).
+
+    All hits count, but no more than about ``MAX_HITS`` are held at once: texts are halved
+    until theirs are few, then a text is cut into overlapping pieces, each different one
+    searched once, then the passages of a piece are taken range by range.
+    """
+    at, lo, hi = passages.lookup(np.frombuffer(b"\n".join(texts), np.uint8))
     if not len(at):
-        return out
+        return [], []
+    if 2 * int((hi - lo).sum()) <= MAX_HITS:
+        return matches(passages, texts, *passages.spread(at, lo, hi))
+    found, parts = [], []
+    if len(texts) > 1:
+        half = len(texts) // 2
+        for first, own in ((0, texts[:half]), (half, texts[half:])):
+            for kept, new in zip((found, parts), search(passages, own), strict=True):
+                kept += [(first + x[0], *x[1:]) for x in new]
+        return found, parts
+    text = texts[0]
+    if len(text) > PIECE + OVERLAP:
+        pieces: dict[bytes, list[int]] = {}
+        for a in range(0, len(text) - OVERLAP, PIECE):
+            pieces.setdefault(text[a : a + PIECE + OVERLAP], []).append(a)
+        for piece, starts in pieces.items():
+            for kept, new in zip((found, parts), search(passages, [piece]), strict=True):
+                kept += [(0, x[1], a + x[2], a + x[3], x[4]) for a in starts for x in new]
+        return apart(found), merged(parts)
+    for low, high in ranges(passages, at, lo, hi):
+        hits = [passages.spread(*x, low, high) for x in slices(at, lo, hi)]
+        for kept, new in zip((found, parts), matches(passages, texts, *(np.concatenate(x) for x in zip(*hits, strict=True))), strict=True):
+            kept += new
+    return found, parts
+
+
+def slices(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ranges of a lookup in parts of at most ``MAX_HITS / 2`` places."""
+    step = MAX_HITS // 4
+    n = -(-(hi - lo) // step)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    low = np.repeat(lo, n) + nth * step
+    at, high = np.repeat(at, n), np.minimum(low + step, np.repeat(hi, n))
+    cuts = np.flatnonzero(np.diff(np.cumsum(high - low) // step)) + 1
+    for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+        yield at[x:y], low[x:y], high[x:y]
+
+
+def ranges(passages: Passages, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of passages of at most ``MAX_HITS`` hits each, or one passage; those of too few hits to be found are between them."""
+    total = np.zeros(len(passages.start), np.int64)
+    for x in slices(at, lo, hi):
+        total += np.bincount(passages.spread(*x)[1], minlength=len(total))
+    upto = np.concatenate([[0], np.cumsum(total)])
+    chosen = np.flatnonzero(total >= np.minimum(passages.least, EXCERPT_LEAST)).tolist()
+    while chosen:
+        n = 1
+        while n < len(chosen) and upto[chosen[n] + 1] - upto[chosen[0]] <= MAX_HITS:
+            n += 1
+        yield chosen[0], chosen[n - 1] + 1
+        chosen = chosen[n:]
+
+
+def matches(passages: Passages, texts: list[bytes], at: np.ndarray, p: np.ndarray, j: np.ndarray) -> tuple[list, list]:
+    """Of hits at places ``at`` of the joined texts: the passages found, and excerpts outside of them."""
+    off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]).astype(np.int64)
     doc = np.searchsorted(off, at, "right") - 1
+    shift = at - off[doc] - j
     width = passages.k[p] + 1
-    diagonal = at - off[doc] - j + passages.size[p]
+    diagonal = shift + passages.size[p]
+    found: list[tuple[int, int, int, int, int]] = []
+    seen: dict[tuple[int, bytes], tuple[int, int, int] | None] = {}
     for lag in (0, 1):  # bands of 2 (k + 1) diagonals, every k + 1
         band = (diagonal // width + lag) // 2
         # one count for each place of the passage in the band
@@ -149,14 +288,16 @@ def scan(passages: Passages, data: np.ndarray, offsets: np.ndarray) -> list[tupl
         for g in group[n >= passages.least[key[group, 1]]]:
             d, q, v = (int(x) for x in key[g, :3])
             k, m = int(passages.k[q]), int(passages.size[q])
-            lo = (2 * v - lag) * (k + 1) - m - k
+            lo = max(0, (2 * v - lag) * (k + 1) - m - k)
             hi = (2 * v - lag + 2) * (k + 1) - 1 + k
-            lo = max(0, lo)
-            found = align(passages.text[q], texts[d][lo : max(lo, hi + 1)], k)
-            if found:
-                out.append((d, passages.item[q], lo + found[1], lo + found[2], found[0]))
-    out = sorted(set(out))
-    return sorted(out + excerpts(passages, texts, doc, p, j, at - off[doc] - j, out))
+            part = texts[d][lo : max(lo, hi + 1)]
+            if (q, part) not in seen:
+                seen[q, part] = align(passages.text(q), part, k)
+            hit = seen[q, part]
+            if hit:
+                found.append((d, q, lo + hit[1], lo + hit[2], hit[0]))
+    found = apart(found)
+    return found, excerpts(passages, texts, doc, p, j, shift, found)
 
 
 def least_edits(stretches: np.ndarray, bands: np.ndarray) -> np.ndarray:
@@ -173,16 +314,15 @@ def least_edits(stretches: np.ndarray, bands: np.ndarray) -> np.ndarray:
 def excerpts(passages: Passages, texts: list[bytes], doc: np.ndarray, p: np.ndarray, j: np.ndarray, shift: np.ndarray, found: list) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of stretches of EXCERPT bytes of passages, outside the places found.
 
-    Hits are given by text, passage, place in it and diagonal.  Overlapping stretches
-    of an item are one excerpt, with the most edits of any of them that was aligned.
+    Hits are given by text, passage, place in it and diagonal.  Neighbouring stretches of a
+    passage are one excerpt, with the most edits of the first and the last.
     """
-    w = EXCERPT
-    k = min(int(w * EDIT_SHARE), w // Q - 1)
-    least = w + 1 - Q * (k + 1)
+    w, k, least = EXCERPT, EXCERPT_EDITS, EXCERPT_LEAST
     places: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for d, item, start, end, _ in found:
-        places.setdefault((d, item), []).append((start, end))
-    spans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for d, q, start, end, _ in found:
+        places.setdefault((d, int(passages.item[q])), []).append((start, end))
+    out: list[tuple[int, int, int, int, int]] = []
+    seen: dict[tuple, list[tuple[int, int, int]]] = {}
     long = passages.size[p] > w
     doc, p, j, shift = doc[long], p[long], j[long], shift[long]
     for lag in (0, 1):  # bands as in scan
@@ -200,7 +340,7 @@ def excerpts(passages: Passages, texts: list[bytes], doc: np.ndarray, p: np.ndar
             if a == b:
                 continue
             d, q, band = (int(x) for x in head[a, :3])
-            passage, text, item = passages.text[q], texts[d], passages.item[q]
+            passage, text, item = passages.text(q), texts[d], int(passages.item[q])
             # all starts of stretches that may hold enough q-grams
             room = np.zeros(len(passage) - w + 2, np.int64)
             np.add.at(room, np.clip(ahead[a:b, 3] + Q - w, 0, len(passage) - w + 1), 1)
@@ -212,31 +352,30 @@ def excerpts(passages: Passages, texts: list[bytes], doc: np.ndarray, p: np.ndar
                 starts = starts[(middle < start) | (middle >= end)]
             if not len(starts):
                 continue
-            lo, width = starts + low - k, w + 2 * (k + 1) - 1 + 2 * k
-            where = lo[:, None] + np.arange(width)
-            inside = (where >= 0) & (where < len(text))
-            band_text = np.where(inside, np.frombuffer(text, np.uint8)[np.clip(where, 0, len(text) - 1)], 256).astype(np.int64)
-            stretch = np.frombuffer(passage, np.uint8)[starts[:, None] + np.arange(w)].astype(np.int64)
-            good = starts[least_edits(stretch, band_text) <= k]
-            if not len(good):
-                continue
-            parts = np.split(good, np.flatnonzero(np.diff(good) > w) + 1)
-            for part in parts:
-                ends = []
-                for x in sorted({int(part[0]), int(part[-1])}):
-                    at = max(0, x + low - k)
-                    edits, start, end = align(passage[x : x + w], text[at : x + low - k + width], k)
-                    ends.append((at + start, at + end, edits))
-                spans.setdefault((d, item), []).append((ends[0][0], max(x[1] for x in ends), max(x[2] for x in ends)))
+            # places are counted from the band's lowest diagonal, so what was aligned once serves wherever the same bytes come again
+            begin, width = int(starts[0]) + low - k, w + 2 * (k + 1) - 1 + 2 * k
+            part = (q, starts.tobytes(), min(begin, 0), text[max(0, begin) : int(starts[-1]) + low - k + width])
+            if part not in seen:
+                seen[part] = _stretches(passage, text, starts, low, k, width)
+            out += [(d, item, low + start, low + end, edits) for start, end, edits in seen[part]]
+    return out
+
+
+def _stretches(passage: bytes, text: bytes, starts: np.ndarray, low: int, k: int, width: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of runs of the stretches at ``starts`` that the text holds, less ``low``."""
+    where = (starts + low - k)[:, None] + np.arange(width)
+    inside = (where >= 0) & (where < len(text))
+    band_text = np.where(inside, np.frombuffer(text, np.uint8)[np.clip(where, 0, len(text) - 1)], 256).astype(np.int64)
+    stretch = np.frombuffer(passage, np.uint8)[starts[:, None] + np.arange(EXCERPT)].astype(np.int64)
+    good = starts[least_edits(stretch, band_text) <= k]
     out = []
-    for (d, item), own in spans.items():
-        merged: list[list[int]] = []
-        for start, end, edits in sorted(own):
-            if merged and start <= merged[-1][1]:
-                merged[-1][1:] = max(merged[-1][1], end), max(merged[-1][2], edits)
-            else:
-                merged.append([start, end, edits])
-        out += [(d, item, *x) for x in merged]
+    for part in np.split(good, np.flatnonzero(np.diff(good) > EXCERPT) + 1) if len(good) else ():
+        ends = []
+        for x in sorted({int(part[0]), int(part[-1])}):
+            at = max(0, x + low - k)
+            edits, start, end = align(passage[x : x + EXCERPT], text[at : x + low - k + width], k)
+            ends.append((at + start - low, at + end - low, edits))
+        out.append((ends[0][0], max(x[1] for x in ends), max(x[2] for x in ends)))
     return out
 
 
@@ -262,40 +401,67 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     benchmark_text: str = "text",
+    block_chars: int | None = None,
 ) -> DataFrame:
     """All columns of ``docs``, with ``leaks``: what each whole text holds of the benchmark.
 
     ``leaks`` is an array of (item_id, start, end, edits), sorted, empty for clean
     texts; places are in the normalised text.  An item of up to 240 bytes is one
     passage, a longer one is cut into overlapping passages of 160, each of which
-    counts; a passage may have edits of 6% of its length.  Where no passage is found,
-    any 80 bytes of an item count, with up to 4 edits.  Items shorter than a
-    q-gram must equal the whole text.  Null and empty texts and items hold nothing;
-    equal items are each reported.  A column of ``docs`` named ``leaks`` is replaced.
-    The benchmark goes to the executors in blocks of at most 2 MB of text.
+    counts; a passage may have edits of 6% of its length.  Of overlapping places of one
+    passage the best is given.  Where no passage is found, any 80 bytes of an item count,
+    with up to 4 edits.  Items shorter than a q-gram must equal the whole text.  Null and
+    empty texts and items hold nothing; equal items are each reported; equal rows get
+    equal leaks; a text of any length, and one that repeats itself, is searched whole in
+    bounded memory.  A column of ``docs`` named ``leaks`` is replaced.  An empty table of
+    either kind gives no leaks.
+
+    The benchmark is searched for in blocks of at most ``block_chars`` bytes of text, about
+    30 bytes of memory each in the driver and in a worker.  One block is one pass over the
+    documents; of more, each is a pass of its own whose finds are written before the next
+    is built, by the MD5 of the text, and joined to the documents at the end.
     """
     own = [f for f in docs.schema.fields if f.name != "leaks"]
-    at = [f.name for f in own].index(text_col)
-    kind = "array<struct<item_id:long,start:long,end:long,edits:long>>"
-    out = docs.select(*[F.col(f"`{f.name}`") for f in own]).withColumn("leaks", F.lit(None).cast(kind))
-    schema = T.StructType([*own, T.StructField("leaks", T._parse_datatype_string(kind))])
-    for block in item_blocks(benchmark, item_col, benchmark_text):
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(Passages(block)), at), schema)
-    return out.withColumn("leaks", F.coalesce("leaks", F.array().cast(kind)))
-
-
-def _scanner(sent, at: int):
-    struct = pa.struct([(n, pa.int64()) for n in ("item_id", "start", "end", "edits")])
+    plain = docs.select(*[F.col(f"`{f.name}`") for f in own])
+    blocks = item_blocks(benchmark, item_col, benchmark_text, block_chars or BLOCK_CHARS)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        at = [f.name for f in own].index(text_col)
+        schema = T.StructType([*own, T.StructField("leaks", T._parse_datatype_string(LEAKS))])
+        return plain.mapInArrow(_scanner(spark.sparkContext.broadcast(Passages(first)), at), schema)
+    scratch = Scratch(spark, "leaks")
+    texts = plain.select(F.md5(F.col(f"`{text_col}`").cast("binary")).alias("key"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    found = None
+    for n, block in enumerate(chain([first, second], blocks)):
+        sent = spark.sparkContext.broadcast(Passages(block))
+        held = texts.mapInArrow(_scanner(sent, 1, 1), f"key string, leaks {LEAKS}").where(F.size("leaks") > 0)
+        part = scratch.write(held.groupBy("key").agg(F.first("leaks").alias("leaks")), f"block-{n}")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    order = F.transform(F.flatten(F.collect_list("leaks")), lambda x: F.struct(x["item_id"].isNull().alias("nul"), x.alias("leak")))
+    found = found.groupBy("key").agg(F.transform(F.sort_array(order), lambda x: x["leak"]).alias("_leaks"))
+    inner = [f"_{i}_" for i in range(len(own))]
+    keyed = plain.toDF(*inner).withColumn("_key", F.md5(F.col(inner[[f.name for f in own].index(text_col)]).cast("binary")))
+    out = keyed.join(found.hint("merge"), F.col("_key") == F.col("key"), "left")
+    return out.select(*[F.col(c).alias(f.name) for c, f in zip(inner, own, strict=True)], F.coalesce("_leaks", F.array().cast(LEAKS)).alias("leaks"))
+
+
+LEAKS = "array<struct<item_id:long,start:long,end:long,edits:long>>"
+
+
+def _scanner(sent, at: int, keep: int | None = None):
+    """The first ``keep`` columns, or all, and the leaks of the text in column ``at``."""
+    names = ("item_id", "start", "end", "edits")
+    struct = pa.struct([(n, pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = W.utf8(batch.column(at))
-            leaks = [list(x or ()) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            leaks: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for i, j in W.blocks(offsets, 1 << 20):
                 for d, *rest in scan(sent.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    leaks[i + d].append(dict(zip(("item_id", "start", "end", "edits"), rest, strict=True)))
-            leaks = [sorted(x, key=lambda y: (y["item_id"] is None, y["item_id"] or 0, y["start"], y["end"])) for x in leaks]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, pa.list_(struct))], batch.schema.names)
+                    leaks[i + d].append(dict(zip(names, rest, strict=True)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(leaks, pa.list_(struct))], [*batch.schema.names[:keep], "leaks"])
         W.tidy()
 
     return run

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -568,6 +569,71 @@ def test_benchmark_blocks(spark, monkeypatch):
     assert [len(b) for b in decontaminate.item_blocks(bench, "item_id", "text", limit=120)] == [2, 2, 2, 2, 1]
 
 
+def test_recall_at_the_edit_budget():
+    """Each item with as many edits as it may have, of all kinds, against alignment at every place of the text."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    items = [(k, (" ".join(word() for _ in range(60)))[: rng.randrange(60, 241)].strip().encode()) for k in range(30)]
+    passages, n = decontaminate.Passages(items), 0
+    for turn in range(240):
+        k, item = items[turn % 30]
+        own = bytearray(item)
+        edits = int(len(item) * 0.06)
+        for _ in range(edits):  # a substitution, an insertion or a deletion of one byte
+            at, kind = rng.randrange(len(own)), turn // 30 % 4
+            kind = rng.randrange(3) if kind == 3 else kind
+            own[at : at + (kind != 1)] = b"" if kind == 2 else bytes([rng.choice(b"xyzqj")])
+        text = " ".join([*(word() for _ in range(rng.randrange(40))), own.decode(), *(word() for _ in range(rng.randrange(40)))]).encode()
+        least = min(edit_ends(item.decode(), decontaminate.normal(text).decode()))
+        got = decontaminate.scan(passages, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        if least <= edits:
+            assert [(x[1], x[4]) for x in got if x[3] - x[2] >= len(item) - edits] == [(k, least)], turn
+            n += 1
+        assert {x[1] for x in got} <= {k}
+    assert n > 200
+
+
+def test_repetitive_texts_in_bounded_memory(monkeypatch):
+    """Texts and items that repeat themselves: the same finds however few hits are held at once, and long ones at all."""
+    rng = random.Random(22)
+    items = [(0, b"a" * 160), (1, b"ab" * 100), (2, b"_" * 300 + b" name"), (3, b"the end of the end of the end of the end of the end of the end of it all")]
+    items += [(4 + k, b"b" * k + b"_" * 90 + bytes(rng.choice(b"xyz ") for _ in range(60)) + b"!") for k in range(6)]
+    passages = decontaminate.Passages(items)
+    texts = [b"a" * 700, b"ab" * 900, b"x" * 50 + b"_" * 500, b"fine " * 300, b"the end of " * 40 + b"it all", items[6][1] * 3, b"a" * 159]
+
+    def finds(texts):
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        found = decontaminate.scan(passages, data, np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
+        return {(d, item) for d, item, *_ in found}, found
+
+    want, _ = finds(texts)
+    assert {(0, 0), (1, 1), (2, 2), (4, 3), (5, 6)} <= want and not any(d == 3 for d, _ in want)
+    for limit in (1 << 15,):
+        monkeypatch.setattr(decontaminate, "MAX_HITS", limit)
+        assert finds(texts)[0] == want, limit
+    monkeypatch.undo()
+    for long in (b"a" * 1_000_000, b"ab" * 20_000 + b"_" * 300):
+        tracemalloc.start()
+        got, found = finds([long])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got and peak < 700 << 20, peak >> 20
+        assert len(found) <= len(items) * (len(long) // 160 + 20)
+
+
+def test_many_blocks_find_what_one_finds(spark):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    items = [(k % 25, " ".join(word() for _ in range(rng.randrange(12, 60)))) for k in range(30)] + [(None, "only this"), (31, None)]
+    rows = [(i % 40, " ".join(word() for _ in range(30)) + (items[i][1] if i < 30 else "")) for i in range(60)] + [(1, None), (2, ""), (3, "Only  this"), (3, "Only  this")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("_key", F.lit(7)).withColumn("leaks", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    read = lambda df: sorted((str(r.doc_id), str(r.text), r.key, r["_key"], [tuple(map(str, x)) for x in r.leaks]) for r in df.collect())
+    one = decontaminate.contaminated(spark, docs, bench)
+    many = decontaminate.contaminated(spark, docs, bench, block_chars=700)
+    assert one.columns == many.columns and read(one) == read(many) and sum(bool(x[4]) for x in read(one)) >= 32
+
+
 # 10 quality ---------------------------------------------------------------------------------------
 
 
