@@ -117,8 +117,3 @@ def around(df: DataFrame, keys: Sequence[str], order: str, text: str, reach: int
     """Adds the texts of the rows up to ``reach`` before and after, joined by spaces."""
     frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-reach, reach)
     return df.withColumn(name, F.concat_ws(" ", F.collect_list(text).over(frame)))
-
-
-def numbered_lines(df: DataFrame, lines: str, keep: Sequence[str]) -> DataFrame:
-    """A row per line of an array column: ``line`` from 1 and ``text``."""
-    return df.select(*keep, F.posexplode(lines).alias("_p", "text")).select(*keep, (F.col("_p") + 1).alias("line"), "text")

@@ -37,27 +37,34 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return declared_vs_used(spark, sf_dir)
 
 
-LINES_SQL = "lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
+LINES_SQL = """parts AS (SELECT doc_id, source, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS p FROM documents),
+whole AS (SELECT doc_id, source, CASE WHEN p[len(p)] = '' THEN p[:len(p) - 1] ELSE p END AS q FROM parts),
+lines AS (SELECT doc_id, source, unnest(q) AS line, generate_subscripts(q, 1) AS line_no FROM whole)"""
+
+
+def doc_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source files: their lines as they are, their source as the only import."""
+    lines = text.lines_of(F.col("text"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("relative_path"), F.lit("").alias("module"), F.lit("").alias("language"), F.lit("").alias("package"), F.array("source").alias("imports"), lines.alias("raw"), lines.alias("code"))
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
-    return text.numbered_lines(docs, "lines", ["doc_id", "source"])
+    return signals.code_lines(doc_sources(spark, sf_dir)).withColumn("doc_id", F.col("file").cast("long"))
 
 
 @query(f"""WITH {LINES_SQL}
-SELECT doc_id, max(line_no)::BIGINT AS n_lines, count(*) FILTER (WHERE regexp_matches(line, '[^ \\t]'))::BIGINT AS n_nonblank, sum(length(line))::BIGINT AS n_chars
-FROM lines GROUP BY doc_id""")
+SELECT doc_id, max(line_no)::INTEGER AS last_line, count(*)::BIGINT AS n_nonblank, sum(length(line))::BIGINT AS n_chars
+FROM lines WHERE regexp_matches(line, '[^ \\t\\x0B\\f\\r]') GROUP BY doc_id""")
 def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every text, numbered: counts per document."""
-    df = doc_lines(spark, sf_dir)
-    return df.groupBy("doc_id").agg(F.max("line").cast("long").alias("n_lines"), F.count_if(F.col("text").rlike(r"[^ \t]")).alias("n_nonblank"), F.sum(F.length("text")).alias("n_chars"))
+    """Lines of every text, numbered, blank ones left out: counts per document."""
+    return doc_lines(spark, sf_dir).groupBy("doc_id").agg(F.max("line").alias("last_line"), F.count("*").alias("n_nonblank"), F.sum(F.length("raw")).alias("n_chars"))
 
 
 @query(f"""WITH {LINES_SQL} SELECT doc_id, line_no::INTEGER AS line, left(trim(line), 220) AS snippet FROM lines WHERE length(line) > 300""")
 def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long lines, trimmed and cut to 220 characters."""
-    return doc_lines(spark, sf_dir).where(F.length("text") > 300).select("doc_id", "line", text.snippet(F.col("text")).alias("snippet"))
+    return doc_lines(spark, sf_dir).where(F.length("raw") > 300).select("doc_id", "line", text.snippet(F.col("raw")).alias("snippet"))
 
 
 DOC_SIGNALS = [
@@ -76,7 +83,7 @@ SELECT name, confidence, count(*)::BIGINT AS hits, count(DISTINCT doc_id)::BIGIN
 FROM lines JOIN sig ON regexp_matches(line, pattern) WHERE guarded = 0 OR contains(source, 'src0') OR contains(source, 'src1') GROUP BY ALL""")
 def signal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines against a catalog of patterns, one of them guarded."""
-    df = doc_lines(spark, sf_dir).select("doc_id", F.explode(signals.matches(F.col("text"), DOC_SIGNALS, F.array("source"))).alias("s"))
+    df = doc_lines(spark, sf_dir).select("doc_id", F.explode(signals.matches(F.col("code"), DOC_SIGNALS, F.col("imports"))).alias("s"))
     return df.groupBy(F.col("s.permission").alias("name"), F.col("s.confidence").alias("confidence")).agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -108,23 +115,24 @@ def tag_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", (F.col("k") + 1).cast("long").alias("nth"), F.col("t.line").alias("line"))
 
 
-@query("""SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') = html AS clean, length(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'))::INTEGER AS n,
-regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
-def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages without comments, and their title's body."""
-    bare = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
-    return table(spark, sf_dir, "pages").select("page_id", (bare == F.col("html")).alias("clean"), F.length(bare).alias("n"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"))
+@query(r"""WITH t AS (SELECT page_id, html, regexp_extract_all(html, '"(?:[^"\\\n]|\\.)*\\?"?|''(?:[^''\\\n]|\\.)*\\?''?|//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|[^"''/]+|/') AS tokens FROM pages),
+c AS (SELECT page_id, html, array_to_string(list_transform(tokens, lambda x: CASE WHEN starts_with(x, '//') THEN '' WHEN starts_with(x, '/*') THEN regexp_replace(x, '[^\n]', '', 'g') ELSE x END), '') AS code FROM t)
+SELECT page_id, code, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, length(html) - length(replace(html, chr(10), '')) = length(code) - length(replace(code, chr(10), '')) AS same_lines FROM c""")
+def strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read as source text, without its comments and with all its lines."""
+    code, breaks = text.strip_comments(F.col("html")), lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    return table(spark, sf_dir, "pages").withColumn("code", code).select("page_id", "code", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), (breaks(F.col("html")) == breaks(F.col("code"))).alias("same_lines"))
 
 
-@query("""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?:', ''), '^/+', '') AS path FROM pages)
-SELECT page_id, path, CASE WHEN instr(path, '/en/') > 1 THEN split_part(path, '/en/', 1) WHEN split_part(path, '/', 1) = '' THEN 'root' ELSE split_part(path, '/', 1) END AS module,
-string_split(path, '.')[-1] AS short_name FROM p""")
+@query("""WITH p AS (SELECT page_id, regexp_replace(replace(regexp_replace(url, '^https?:', ''), '\\', '/'), '^/+', '') AS path FROM pages),
+m AS (SELECT page_id, path, replace(path, '/en/', '/src/') AS source FROM p)
+SELECT page_id, path, CASE WHEN instr(source, '/src/') > 1 THEN split_part(source, '/src/', 1) WHEN split_part(source, '/', 1) = '' THEN 'root' ELSE split_part(source, '/', 1) END AS module,
+CASE WHEN split_part(source, '/src/', 1) <> source THEN split_part(source, '/src/', 1) ELSE split_part(source, '/', 1) END AS manifest_module, string_split(path, '.')[-1] AS short_name FROM m""")
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relative path, module and last segment of a path."""
-    path = F.regexp_replace(F.regexp_replace("url", "^https?:", ""), "^/+", "")
-    df = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
-    as_source = F.replace(F.col("path"), F.lit("/en/"), F.lit("/src/"))
-    return df.select("page_id", "path", text.module_of(as_source).alias("module"), text.short_name(F.col("path")).alias("short_name"))
+    """Relative path, modules and last segment of a path."""
+    path = text.relative_path(F.col("url"), F.regexp_extract("url", "^https?:", 0))
+    df = table(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("source", F.replace(F.col("path"), F.lit("/en/"), F.lit("/src/")))
+    return df.select("page_id", "path", text.module_of(F.col("source")).alias("module"), text.manifest_module(F.col("source")).alias("manifest_module"), text.short_name(F.col("path")).alias("short_name"))
 
 
 @query("""WITH v AS (SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN value > 50 THEN 'true' WHEN value > 25 THEN 'TRUE' ELSE 'false' END AS b FROM events)
@@ -161,32 +169,17 @@ def declared_vs_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "status", classify.risk(F.col("status"), protection, F.col("req"), note).alias("risk"), classify.confidence(F.col("strong"), F.col("api"), F.col("req"), there).alias("confidence"))
 
 
-@query("""SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)""")
-def unused_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared but never used: anti join."""
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(urgent, "c_custkey", "left_anti")
-
+SPEC_VALUES = ", ".join("('{}', '{}', '{}', {})".format(s[0], s[1], s[2], "NULL" if s[4] is None else "'" + s[4].replace("'", "''") + "'") for s in catalog.SPECS)
+PERMISSION_SQL = "CASE p_size % 4 WHEN 0 THEN 'android.permission.CAMERA' WHEN 1 THEN 'com.android.vending.BILLING' WHEN 2 THEN 'android.permission.' || p_type ELSE p_brand END"
 
-@query("""SELECT n1.n_nationkey, n1.n_name FROM nation n1 WHERE EXISTS (SELECT 1 FROM nation n2 JOIN customer c ON c.c_nationkey = n2.n_nationkey
-WHERE n2.n_regionkey = n1.n_regionkey AND n2.n_nationkey <> n1.n_nationkey AND c.c_acctbal > 9900)""")
-def alternative_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations with another nation of their region that has a rich customer: group semi join."""
-    nation = table(spark, sf_dir, "nation")
-    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("other")).distinct()
-    pairs = nation.select(F.col("n_nationkey").alias("other"), F.col("n_regionkey").alias("r")).join(rich, "other", "left_semi")
-    on = (nation["n_regionkey"] == pairs["r"]) & (nation["n_nationkey"] != pairs["other"])
-    return nation.join(pairs, on, "left_semi").select("n_nationkey", "n_name")
 
-
-@query("""SELECT p_partkey, CASE WHEN b.brand IS NOT NULL THEN b.grade WHEN starts_with(p_brand, 'Brand#1') THEN 'NORMAL' ELSE 'SIGNATURE' END AS grade,
-coalesce(b.maker, 'Other') AS maker FROM part LEFT JOIN (VALUES ('Brand#11', 'DANGEROUS', 'one'), ('Brand#23', 'SPECIAL', 'two')) b(brand, grade, maker) ON p_brand = b.brand""")
+@query(f"""WITH spec(name, protection, grp, note) AS (VALUES {SPEC_VALUES}), p AS (SELECT p_partkey, {PERMISSION_SQL} AS permission FROM part)
+SELECT p_partkey, permission, coalesce(protection, CASE WHEN starts_with(permission, 'android.permission.') THEN 'NORMAL' ELSE 'SIGNATURE' END) AS protection, coalesce(grp, 'Other') AS "group", note AS policy_note
+FROM p LEFT JOIN spec ON name = permission""")
 def default_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookup in a small catalog with a default row."""
-    brands = spark.createDataFrame([("Brand#11", "DANGEROUS", "one"), ("Brand#23", "SPECIAL", "two")], "brand string, grade string, maker string")
-    df = table(spark, sf_dir, "part").join(F.broadcast(brands), F.col("p_brand") == F.col("brand"), "left")
-    usual = F.when(F.startswith("p_brand", F.lit("Brand#1")), "NORMAL").otherwise("SIGNATURE")
-    return df.select("p_partkey", F.coalesce("grade", usual).alias("grade"), F.coalesce("maker", F.lit("Other")).alias("maker"))
+    """Lookup in the catalog, with a default row."""
+    df = table(spark, sf_dir, "part").select("p_partkey", F.expr(PERMISSION_SQL).alias("permission"))
+    return catalog.described(df, "permission", catalog.specs(spark)).select("p_partkey", "permission", "protection", "group", "policy_note")
 
 
 SPANS = "spans AS (SELECT user_id, event_id AS span_id, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + 3 * 86400 AS e, event_type = 'purchase' AS strong FROM events WHERE event_type IN ('signup', 'purchase'))"
@@ -204,27 +197,6 @@ def innermost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", F.col("in_ord").alias("span_id"))
 
 
-@query("""WITH d AS (SELECT user_id, event_id, ts, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END)
-  OVER (PARTITION BY user_id ORDER BY ts, event_id) AS depth FROM events)
-SELECT user_id, max(depth)::BIGINT AS deepest, min(event_id) FILTER (WHERE depth < 0) AS first_below FROM d GROUP BY user_id""")
-def running_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running balance of opening and closing events (D3)."""
-    step = F.when(F.col("event_type").isin("signup", "purchase"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
-    depth = F.sum(step).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    df = table(spark, sf_dir, "events").withColumn("depth", depth)
-    return df.groupBy("user_id").agg(F.max("depth").alias("deepest"), F.min(F.when(F.col("depth") < 0, F.col("event_id"))).alias("first_below"))
-
-
-@query("""WITH few AS (SELECT s_nationkey FROM supplier GROUP BY s_nationkey HAVING count(*) <= 6)
-SELECT DISTINCT s_suppkey::VARCHAR AS callee_id, c_custkey::VARCHAR AS caller_id FROM customer JOIN supplier ON s_nationkey = c_nationkey
-WHERE s_nationkey IN (SELECT s_nationkey FROM few) AND s_suppkey::VARCHAR <> c_custkey::VARCHAR""")
-def guarded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges by an equal name, for names of at most six candidates."""
-    callees = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_nationkey").alias("name"))
-    calls = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("caller_id"), F.lit(0).alias("caller_ord"), F.col("c_nationkey").alias("name"))
-    return graph.guarded_edges(calls, callees).select("callee_id", "caller_id")
-
-
 @query("""WITH few AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 6)
 SELECT DISTINCT l_orderkey || '-' || l_linenumber AS callee_id, o_custkey::VARCHAR AS caller_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 WHERE l_orderkey IN (SELECT l_orderkey FROM few) AND l_orderkey || '-' || l_linenumber <> o_custkey::VARCHAR""")
@@ -235,23 +207,6 @@ def guarded_edges_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.guarded_edges(calls, callees).select("callee_id", "caller_id")
 
 
-BFS_EDGES = "edges AS (SELECT DISTINCT l_suppkey % 97 AS callee, (l_partkey * 7 + 3) % 97 AS caller FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0)"
-
-
-@query(f"""WITH RECURSIVE {BFS_EDGES}, walk(target, node, level) AS (SELECT t, t, 1 FROM (VALUES (1), (5), (9)) v(t)
-UNION SELECT target, caller, level + 1 FROM walk JOIN edges ON node = callee WHERE level < 4)
-SELECT target::VARCHAR AS target, node::VARCHAR AS node, min(level)::INTEGER AS level FROM walk GROUP BY ALL""")
-def bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that reach three targets within four levels, with their level."""
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 50 = 0")
-    edges = items.select((F.col("l_suppkey") % 97).cast("string").alias("callee_id"), ((F.col("l_partkey") * 7 + 3) % 97).cast("string").alias("caller_id")).distinct()
-    edges = edges.withColumn("caller_ord", F.col("caller_id"))
-    targets = spark.createDataFrame([("1",), ("5",), ("9",)], "id string")
-    kinds = spark.createDataFrame([], "id string, entry_kind string")
-    _, visited = graph.callers_paths(targets, edges, kinds, max_depth=4)
-    return visited.groupBy("target", "node").agg(F.min("level").alias("level"))
-
-
 SUPPLY_EDGES = """edges AS (SELECT DISTINCT 's' || l_suppkey AS callee, 'p' || l_partkey AS caller FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL
 UNION ALL SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL)"""
 
@@ -282,14 +237,6 @@ def inverted_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("o_orderpriority").alias("priority"), F.array_join("reached", ",").alias("reached"), F.size("reached").alias("n"), F.col("o_orderstatus").alias("last_status"))
 
 
-@query("""SELECT o_orderpriority AS module, count(*) FILTER (WHERE o_orderstatus = 'O')::INTEGER AS n_open, count(*) FILTER (WHERE o_orderstatus = 'F')::INTEGER AS n_final,
-count(*) FILTER (WHERE o_orderstatus = 'P')::INTEGER AS n_partial, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")
-def module_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional counts per group."""
-    n = lambda s: F.count_if(F.col("o_orderstatus") == s).cast("int")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("module")).agg(n("O").alias("n_open"), n("F").alias("n_final"), n("P").alias("n_partial"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
 SEVERITY_SQL = "CASE WHEN l_discount > 0.09 THEN 'CRITICAL' WHEN l_discount > 0.07 THEN 'HIGH' WHEN l_discount > 0.04 THEN 'MEDIUM' WHEN l_discount > 0.02 THEN 'LOW' ELSE 'INFO' END"
 
 
@@ -307,13 +254,6 @@ def scored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("grade", classify.grade(F.col("score")))
 
 
-@query(f"""SELECT {SEVERITY_SQL} AS severity, l_returnflag AS flag, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING count(*) > 0""")
-def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by severity, zero counts absent."""
-    df = table(spark, sf_dir, "lineitem")
-    return df.groupBy(severity_of(F.col("l_discount")).alias("severity"), F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))
-
-
 @query("""WITH f AS (
   SELECT 0 AS block, doc_id, 0 AS nth, 'UNUSED_PERMISSION' AS rule, CASE WHEN quality = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM labels WHERE toxic = 1
   UNION ALL SELECT 0, doc_id, 1, 'UNDECLARED_PERMISSION', 'CRITICAL' FROM labels WHERE quality = 0
@@ -334,8 +274,9 @@ def numbered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= 8""")
 def top_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight rows per key in a stable order (L1, O1, O2)."""
-    rank = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"))
-    return table(spark, sf_dir, "lineitem").withColumn("n", rank).where("n <= 8").select("l_suppkey", "l_orderkey", "l_linenumber")
+    order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]
+    first = analyze.first_places(table(spark, sf_dir, "lineitem"), ["l_suppkey"], order, ["l_orderkey", "l_linenumber"], "places")
+    return first.select("l_suppkey", F.explode("places").alias("p")).select("l_suppkey", "p.*")
 
 
 @query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1""")
@@ -344,11 +285,12 @@ def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.first_of(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-@query("""WITH u AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000 UNION SELECT o_custkey FROM orders WHERE o_totalprice > 300000) SELECT k FROM u""")
+@query("""WITH a AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 300000)
+SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_left, b.k IS NOT NULL AS in_right FROM a FULL JOIN b ON a.k = b.k""")
 def key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of two key sets (SO1, O1)."""
+    """Union of two key sets, with the sides that have each (J5, SO1)."""
     a = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k"))
-    return a.unionByName(table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k"))).distinct()
+    return signals.full_match(a, table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k")).distinct(), "k")
 
 
 @query("""SELECT p_partkey, p_name FROM part WHERE p_size > 25 AND p_brand = 'Brand#11' AND contains(lower(concat_ws(' ', p_name, p_type, p_brand)), 'brand#1')""")
@@ -360,24 +302,6 @@ def report_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.report_filter(df, status="Brand#11", risk="HIGH", query="BRAND#1").select("p_partkey", F.col("permission").alias("p_name"))
 
 
-@query()
-def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested rows as JSON, nulls left out (K1, K2, K7); formats differ between engines, so there is no SQL."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    lists = nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
-    df = region.join(lists, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return df.select("r_regionkey", F.to_json(F.struct("r_name", "nations")).alias("doc"))
-
-
-@query("""WITH t AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS u, max(o_totalprice) AS m FROM orders)
-SELECT 'OPEN' AS rule FROM t WHERE o > 10 UNION ALL SELECT 'URGENT' FROM t WHERE u = 0 UNION ALL SELECT 'LARGE' FROM t WHERE m > 1000""")
-def flag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules over one row of flags."""
-    one = table(spark, sf_dir, "orders").agg(F.count_if(F.col("o_orderstatus") == "O").alias("o"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("u"), F.max("o_totalprice").alias("m"))
-    tests = F.array_compact(F.array(F.when(F.col("o") > 10, "OPEN"), F.when(F.col("u") == 0, "URGENT"), F.when(F.col("m") > 1000, "LARGE")))
-    return one.select(F.explode(tests).alias("rule"))
-
-
 @query("""SELECT count(*)::BIGINT AS specs, count(*) FILTER (WHERE protection = 'DANGEROUS')::BIGINT AS dangerous FROM (VALUES """ + ", ".join(f"('{s[0]}', '{s[1]}')" for s in catalog.SPECS) + """) v(name, protection)""")
 def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The static catalog as a table."""
