@@ -5,9 +5,12 @@ the root.  Per path, the characters of text, those of links and the punctuation
 marks are summed over the blocks; the path's ratio is text per block, raised by
 punctuation and lowered by links.  Ratios are smoothed over neighbouring blocks,
 fused with the share of text that the path's container holds, and a threshold on
-the fused score selects the content paths.  Elements that never hold the article
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) are cut by their tag, role or class before paths are counted.
+the fused score selects the content paths.
+
+Names of classes and ids are a feature of the score: what they call a menu, an
+advert or a comment weighs little, wherever it stands.  Only elements that by their
+own tag, role or hidden state hold no article (navigation, headers and footers of the
+page, asides, forms, scripts, styles) are left out before paths are counted.
 """
 
 from __future__ import annotations
@@ -24,8 +27,12 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+#: A quoted value ends its tag's bracket only if a quote closes it: one with ``>`` inside within 4096 characters, before a space or the tag's end.
+VALUE = r"""\"[^\">]*+\"|'[^'>]*+'|\"[^\"]{0,4096}+\"(?=[\s/>]|\Z)|'[^']{0,4096}+'(?=[\s/>]|\Z)"""
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|{VALUE})*+)(?:>|\Z)"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)|[^<]++|<", re.S)
+ATTR = re.compile(r"(?<![^\s/\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|[\"']?([^\s>\"']++))")
 RAW = frozenset("script style noscript template iframe object noembed noframes textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CUT = frozenset("nav footer aside form script style noscript template iframe object svg head button select option textarea input label fieldset menu dialog canvas audio video map datalist".split())
@@ -42,6 +49,16 @@ NAMES = frozenset(
     pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup
     skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar tracking widget widgets""".split()
 )
+#: Those that hold for an article as well.
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
+#: Words that say nothing of what an element holds; a name made of these and of NAMES alone is a strong one.
+NEUTRAL = frozenset(
+    """area article bar block blog body bottom box btn button buttons center col column container content count custom desktop entry fixed global group head
+    heading holder icon icons inner item items left link links list main mobile module news outer page panel post posts primary right row secondary section
+    single site small sticky story text title top view wrap wrapper""".split()
+)
+#: What a path weighs by the names on it: none of NAMES, one beside other words, one by itself.
+PLAIN, WEAK, STRONG = 1.0, 0.5, 0.05
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTENT = frozenset(["article", "main"])
 PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
@@ -53,49 +70,65 @@ SPACES = re.compile(r"\s+")
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    """Text with the number of its path, of the path's container, and what is known of both."""
+
+    path: int
+    parent: int
     text: str
     link: int = 0
     inside: bool = False
+    weight: float = PLAIN
+    heading: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
+    """An open element; all but the tag hold for what it contains."""
+
     tag: str
-    cut: bool
-    name: str
+    path: int = 0
+    cut: bool = False
     content: bool = False
     link: bool = False
+    weight: float = PLAIN
 
 
 @dataclass
 class Reader:
-    """Builds blocks from tokens; unclosed and misnested tags are tolerated."""
+    """Builds blocks from tokens; unclosed and misnested tags are tolerated.
+
+    Paths are numbered as they come up, by their container and last element, so a step
+    costs the same at any depth; places of open elements are kept by tag.
+    """
 
-    stack: list[Node] = field(default_factory=list)
+    stack: list[Node] = field(default_factory=lambda: [Node("")])
+    places: dict[str, list[int]] = field(default_factory=dict)
+    scopes: list[int] = field(default_factory=list)
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)
+    above: list[int] = field(default_factory=lambda: [0])
+    names: list[str] = field(default_factory=lambda: [""])
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
-    path: tuple[str, ...] = ()
-    inside: bool = False
+    at: Node | None = None
 
     def flush(self) -> None:
-        text = SPACES.sub(" ", "".join(self.parts)).strip()
+        text = SPACES.sub(" ", "".join(self.parts)).strip() if self.parts else ""
         if text:
-            link = len(SPACES.sub(" ", "".join(self.linked)).strip())
-            self.blocks.append(Block(self.path, text, link, self.inside))
+            link, own = len(SPACES.sub(" ", "".join(self.linked)).strip()), self.at
+            heading = HEADING.match(self.names[own.path]) is not None
+            self.blocks.append(Block(own.path, self.above[own.path], text, link, own.content, own.weight, heading))
         self.parts, self.linked = [], []
 
     def text(self, raw: str) -> None:
-        if any(n.cut for n in self.stack):
+        top = self.stack[-1]
+        if top.cut:
             return
         raw = entities.unescape(raw)
         if not self.parts:
-            at = [n for n in self.stack if n.tag in BLOCK]
-            self.path = tuple(n.name for n in at)
-            self.inside = any(n.content for n in self.stack)
+            self.at = top
         self.parts.append(raw)
-        if any(n.link for n in self.stack):
+        if top.link:
             self.linked.append(raw)
 
     def open(self, tag: str, attrs: str, closed: bool) -> None:
@@ -105,45 +138,65 @@ class Reader:
             return
         if tag in BLOCK:
             self.flush()
-            if self.stack and tag != "hr":
+            if tag != "hr":
                 self._imply(tag)
         if tag in VOID or closed and tag not in BLOCK and tag not in RAW:
             return
-        self.stack.append(node(tag, attrs, self.stack))
+        new, name = node(tag, attrs, self.stack[-1])
+        if tag in BLOCK:
+            key = (new.path, name)
+            if key not in self.paths:
+                self.paths[key] = len(self.above)
+                self.above.append(new.path)
+                self.names.append(name)
+            new.path = self.paths[key]
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(new)
+
+    def _cut_back(self, n: int) -> None:
+        """Closes all elements from place ``n`` of the stack."""
+        for x in reversed(self.stack[n:]):
+            self.places[x.tag].pop()
+            if x.tag in SCOPE:
+                self.scopes.pop()
+        del self.stack[n:]
 
     def _imply(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            own = self.stack[i].tag
-            if own in CLOSES and tag in CLOSES[own]:
-                del self.stack[i:]
-                return
-            if own in SCOPE:
-                return
+        """Closes the nearest element that ends where ``tag`` begins, if no scope lies between."""
+        open_ = [self.places[own][-1] for own, ends in CLOSES.items() if tag in ends and self.places.get(own)]
+        if open_ and max(open_) >= (self.scopes[-1] if self.scopes else 0):
+            self._cut_back(max(open_))
 
     def close(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-            if tag not in SCOPE and self.stack[i].tag in SCOPE:
-                return
+        own = self.places.get(tag)
+        if own and (tag in SCOPE or own[-1] > (self.scopes[-1] if self.scopes else 0)):
+            self._cut_back(own[-1])
+
 
+def label_weight(labels: str, names: frozenset[str] = NAMES) -> float:
+    """What an element weighs by the words of its classes and its id, if one of them is in ``names``."""
+    weight = PLAIN
+    for label in labels.split():
+        words = re.findall(r"[a-z]+", HUMP.sub(r"\1-\2", label).lower())
+        if words and words[0] not in STATES and names.intersection(words):
+            weight = min(weight, STRONG if NAMES.issuperset(set(words) - NEUTRAL) else WEAK)
+    return weight
 
-def node(tag: str, attrs: str, above: list[Node]) -> Node:
-    """An element; whether it is cut depends on its tag, role, class and id."""
+
+def node(tag: str, attrs: str, above: Node) -> tuple[Node, str]:
+    """An element below another, and its name in a path: its tag and classes."""
     found = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in ATTR.findall(attrs)} if "=" in attrs else {}
-    within = any(n.content for n in above)
-    labels = [re.findall(r"[a-z]+", HUMP.sub(r"\1-\2", x).lower()) for x in f"{found.get('class', '')} {found.get('id', '')}".split()]
-    words = {w for x in labels if x and x[0] not in STATES for w in x}
-    content = tag in CONTENT or found.get("role") == "main" or found.get("itemprop") == "articleBody"
+    marked = tag in CONTENT or found.get("role") == "main" or found.get("itemprop") == "articleBody"
     hidden = re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs) is not None or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden") == "true"
-    named = bool(NAMES.intersection(words)) and tag not in ("html", "body") and not (content and tag != "div")
-    comment = any(w.startswith("comment") for w in words) and tag not in ("html", "body")
-    cut = tag in CUT or hidden or named or comment or found.get("role") in ROLES or tag == "header" and not within
+    names = frozenset() if tag in ("html", "body") else COMMENTS if marked and tag != "div" else NAMES
+    weight = label_weight(f"{found.get('class', '')} {found.get('id', '')}", names)
+    cut = above.cut or tag in CUT or hidden or found.get("role") in ROLES or tag == "header" and not above.content
     name = ".".join([tag, *sorted(set(found.get("class", "").split()))])
-    return Node(tag, cut, name, content, tag == "a")
+    return Node(tag, above.path, cut, above.content or marked, above.link or tag == "a", min(weight, above.weight)), name
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -151,18 +204,18 @@ def blocks_of(page: str) -> list[Block]:
     while at < len(page):
         m = TOKEN.match(page, at)
         at = m.end()
-        token = m.group()
-        tag = m.group(2)
+        tag = m["tag"] or m["tag2"]
         if tag is None:
-            if token.startswith("<!") or token.startswith("<?"):
-                continue
-            reader.text(token)
+            token = m.group()
+            if not token.startswith(("<!", "<?")):
+                reader.text(token)
             continue
         tag = tag.lower()
-        if m.group(1):
+        if m["end"] or m["end2"]:
             reader.close(tag)
             continue
-        reader.open(tag, m.group(3) or "", (m.group(3) or "").endswith("/"))
+        attrs = (m["attrs"] if m["tag"] else m["attrs2"]) or ""
+        reader.open(tag, attrs, attrs.endswith("/"))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -172,22 +225,20 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def ratios(blocks: list[Block]) -> np.ndarray:
-    """A score per block: the path's ratio, smoothed over neighbours and fused with its container's share."""
-    n, text, link, punct = {}, {}, {}, {}
-    held: dict[tuple[str, ...], int] = {}
-    for b in blocks:
-        n[b.path] = n.get(b.path, 0) + 1
-        text[b.path] = text.get(b.path, 0) + len(b.text)
-        link[b.path] = link.get(b.path, 0) + b.link
-        punct[b.path] = punct.get(b.path, 0) + len(PUNCT.findall(b.text))
-        held[b.path[:-1]] = held.get(b.path[:-1], 0) + len(b.text)
-    total = max(1, sum(text.values()))
-    raw = np.array([(text[b.path] - link[b.path]) / n[b.path] * np.log2(2 + punct[b.path] / n[b.path]) * (1 - link[b.path] / text[b.path]) for b in blocks])
+    """A score per block: the path's ratio, smoothed over neighbours, fused with its container's share, weighed by names.
+
+    A path that a name speaks against gains nothing from its neighbours.
+    """
+    path, parent = np.array([b.path for b in blocks]), np.array([b.parent for b in blocks])
+    size, link = np.array([float(len(b.text)) for b in blocks]), np.array([float(b.link) for b in blocks])
+    punct, weight = np.array([float(len(PUNCT.findall(b.text))) for b in blocks]), np.array([b.weight for b in blocks])
+    n, text, links, marks = (np.bincount(path, x)[path] for x in (np.ones(len(blocks)), size, link, punct))
+    raw = (text - links) / n * np.log2(2 + marks / n) * (1 - links / text)
     kernel = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
-    weight = np.convolve(np.pad(np.ones(len(raw)), 2), kernel, "valid")
-    smooth = np.convolve(np.pad(raw, 2), kernel, "valid") / weight
-    share = np.array([1.0 if b.inside else held[b.path[:-1]] / total for b in blocks])
-    return np.sqrt(np.maximum(raw, 0.25 * smooth) * (0.1 + share))
+    smooth = np.convolve(np.pad(raw * weight, 2), kernel, "valid") / np.convolve(np.pad(np.ones(len(raw)), 2), kernel, "valid")
+    share = np.bincount(parent, size * weight)[parent] / max(1.0, float((size * weight).sum()))
+    share = np.where([b.inside for b in blocks], 1.0, share)
+    return weight * np.sqrt(np.where(weight < PLAIN, raw, np.maximum(raw, 0.25 * smooth)) * (0.1 + share))
 
 
 def main_text(page: str | None) -> str:
@@ -202,15 +253,14 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    best: dict[tuple[str, ...], float] = {}
+    best: dict[int, float] = {}
     for b, x in zip(blocks, ratios(blocks).tolist(), strict=True):
         best[b.path] = max(best.get(b.path, 0.0), x)
     top = max(best.values())
     chosen = {b.path for b in blocks if best[b.path] > 0 and best[b.path] >= top * (0.1 if b.inside else 0.35)}
-    keep = [b.path in chosen and b.link < 0.9 * len(b.text) for b in blocks]
+    keep = [b.path in chosen and b.weight > STRONG and b.link < 0.9 * len(b.text) for b in blocks]
     for i in range(len(blocks) - 2, -1, -1):
-        path, after = blocks[i].path, blocks[i + 1].path
-        if path and HEADING.match(path[-1]) and path[:-1] == after[:-1] and keep[i + 1]:
+        if blocks[i].heading and blocks[i].parent == blocks[i + 1].parent and blocks[i].weight == PLAIN and keep[i + 1]:
             keep[i] = True
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
@@ -218,9 +268,10 @@ def main_text(page: str | None) -> str:
 def extract(spark: SparkSession, pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page: id, url, ``text`` and ``n_chars`` (its code points).
 
-    The whole HTML is read.  Null or empty HTML, and a page without content, gives
-    an empty text.  Equal rows give equal rows; other columns are ignored; an empty
-    table gives an empty result.
+    The whole HTML is read, in time and memory in proportion to it at any depth of
+    elements.  Null or empty HTML, and a page without content, gives an empty text.  Equal
+    rows give equal rows; paths of equal score are all chosen; other columns are ignored;
+    an empty table gives an empty result.
     """
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
