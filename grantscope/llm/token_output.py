@@ -2,14 +2,19 @@
 
 A shard holds consecutive documents in ascending order of id.  Its file is
 
-    header   8 little-endian int64: magic, version, bytes per id, documents,
-             ids, documents with a null id, low bits per boundary, bytes of `high`
-    keys     int64 document ids (0 where null; null ids come first)
-    low      the low bits of the end offset of each document, packed
-    high     the high parts in unary: bit (high part + i) is set for document i
-    hint     position of every 256th set bit of `high`, int64
+    header   11 little-endian int64: magic, version, bytes per id, documents, ids,
+             documents with a null id (they come first), the least id; then low bits
+             per entry and bytes of `high` of the ids, and of the boundaries
+    keys     the other documents' ids, less the least one, as a sequence
+    ends     the end offset of each document, as a sequence
     ids      all token ids, uint16 if the vocabulary allows it, else uint32
 
+and a sequence is
+
+    low      the low bits of each entry, packed
+    high     the high parts in unary: bit (high part + i) is set for entry i
+    hint     position of every 256th set bit of `high`, int64
+
 An Elias-Fano sequence of n offsets up to u takes about n * (2 + log2(u / n))
 bits, against 64 n for a table; select(i) finds the i-th set bit from the hint.
 """
@@ -36,10 +41,14 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._scratch import Scratch
 
-MAGIC, VERSION, HINT = 0x45464944, 1, 256
-SHARD_BYTES = 32 << 20
-CACHE_UNITS = 250_000
-MAX_CUTS = 1 << 13
+MAGIC, VERSION, HINT = 0x45464944, 2, 256
+#: A shard holds at most so many bytes of ids, or one document, and so many documents.
+SHARD_BYTES, SHARD_DOCS = 32 << 20, 1 << 17
+#: Bytes that an encoder's cache of units takes in all, ENTRY beside a unit and its ids, and characters of a unit that it keeps at most.
+CACHE_BYTES, CACHED_CHARS = 32 << 20, 64
+ENTRY = 128
+#: Cuts found by quantiles of the ids, and parts of equal width into which each is dealt if more are needed.
+MAX_CUTS, MAX_PARTS = 1 << 13, 16
 MARKS = ".,;:!?"
 
 
@@ -51,17 +60,30 @@ class EliasFano:
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, np.int64)
+        values = np.asarray(values).astype(np.uint64)
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        bits = (values[:, None] >> np.arange(low_bits)) & 1 if low_bits else np.zeros((n, 0), np.int64)
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
-        at = (values >> low_bits) + np.arange(n)
+        low = np.packbits(np.concatenate([cls._bits(values[i : i + 65_536], low_bits) for i in range(0, n, 65_536)] or [np.zeros(0, np.uint8)]), bitorder="little")
+        at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         flags = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
         flags[at] = 1
         return cls(n, low_bits, low, np.packbits(flags, bitorder="little"), at[::HINT].astype(np.int64))
 
+    @staticmethod
+    def _bits(values: np.ndarray, n: int) -> np.ndarray:
+        return ((values[:, None] >> np.arange(n, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
+
+    def parts(self) -> list[bytes]:
+        return [self.low.tobytes(), self.high.tobytes(), self.hint.astype("<i8").tobytes()]
+
+    @classmethod
+    def read(cls, raw: bytes | memoryview, at: int, n: int, low_bits: int, n_high: int) -> tuple[EliasFano, int]:
+        """The sequence whose parts lie from ``at``, and where they end."""
+        cuts = np.cumsum([at, (n * low_bits + 7) // 8, n_high, 8 * -(-n // HINT)]).tolist()
+        low, high = (np.frombuffer(raw[a:b], np.uint8) for a, b in zip(cuts[:2], cuts[1:3], strict=True))
+        return cls(n, low_bits, low, high, np.frombuffer(raw[cuts[2] : cuts[3]], "<i8")), cuts[3]
+
     def select(self, i: int) -> int:
         """The i-th value, from the hint before it and the words after that."""
         if not 0 <= i < self.n:
@@ -78,50 +100,50 @@ class EliasFano:
             byte += 64
             word = np.unpackbits(self.high[byte : byte + 64], bitorder="little")
         high = byte * 8 + int(ones[left]) - i
-        return (high << self.low_bits) | self._low(np.array([i]))[0]
+        return (high << self.low_bits) | int(self._low(np.array([i]))[0])
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
-            return np.zeros(len(i), np.int64)
+            return np.zeros(len(i), np.uint64)
         bit = i[:, None].astype(np.int64) * self.low_bits + np.arange(self.low_bits)
-        return (((self.low[bit >> 3] >> (bit & 7)) & 1).astype(np.int64) << np.arange(self.low_bits)).sum(1)
+        return (((self.low[bit >> 3] >> (bit & 7)) & 1).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
     def all(self) -> np.ndarray:
         """Every value, by one pass over the set bits."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         i = np.arange(self.n)
-        return ((ones - i) << self.low_bits) | self._low(i)
+        low = np.concatenate([self._low(i[k : k + 65_536]) for k in range(0, self.n, 65_536)] or [np.zeros(0, np.uint64)])
+        return ((ones - i).astype(np.uint64) << np.uint64(self.low_bits)) | low
 
 
 def pack(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
-    """The bytes of one shard; ``ids`` holds each document's ids, ``width`` bytes each."""
+    """The bytes of one shard: keys in ascending order, nulls first; ``ids`` holds each document's ids, ``width`` bytes each."""
     ends = np.cumsum([len(x) // width for x in ids], dtype=np.int64) if ids else np.zeros(0, np.int64)
-    ef = EliasFano.of(ends)
     nulls = sum(k is None for k in keys)
-    head = np.array([MAGIC, VERSION, width, len(keys), ends[-1] if len(ends) else 0, nulls, ef.low_bits, len(ef.high)], "<i8")
-    return b"".join([head.tobytes(), np.array([k or 0 for k in keys], "<i8").tobytes(), ef.low.tobytes(), ef.high.tobytes(), ef.hint.astype("<i8").tobytes(), *ids])
+    base = keys[nulls] if nulls < len(keys) else 0
+    own, ef = EliasFano.of(np.array([k - base for k in keys[nulls:]], np.uint64)), EliasFano.of(ends)
+    head = np.array([MAGIC, VERSION, width, len(keys), ends[-1] if len(ends) else 0, nulls, base, own.low_bits, len(own.high), ef.low_bits, len(ef.high)], "<i8")
+    return b"".join([head.tobytes(), *own.parts(), *ef.parts(), *ids])
 
 
 class Shard:
     """Random access to the documents of a packed shard."""
 
     def __init__(self, raw: bytes | memoryview):
-        head = np.frombuffer(raw, "<i8", 8)
+        head = np.frombuffer(raw, "<i8", 11)
         if head[0] != MAGIC or head[1] != VERSION:
             raise ValueError("not a shard of this format")
-        self.width, self.n, self.n_ids, self.nulls, low_bits, n_high = (int(x) for x in head[2:])
-        at = 64
-        self.keys = np.frombuffer(raw, "<i8", self.n, at)
-        at += 8 * self.n
-        low = np.frombuffer(raw, np.uint8, (self.n * low_bits + 7) // 8, at)
-        at += len(low)
-        high = np.frombuffer(raw, np.uint8, n_high, at)
-        at += n_high
-        hint = np.frombuffer(raw[at : at + 8 * -(-self.n // HINT)], "<i8")
-        at += 8 * len(hint)
-        self.ends = EliasFano(self.n, low_bits, low, high, hint)
+        self.width, self.n, self.n_ids, self.nulls, self.base, *sizes = (int(x) for x in head[2:])
+        self.own, at = EliasFano.read(raw, head.nbytes, self.n - self.nulls, *sizes[:2])
+        self.ends, at = EliasFano.read(raw, at, self.n, *sizes[2:])
         self.ids = np.frombuffer(raw[at : at + self.n_ids * self.width], f"<u{self.width}")
 
+    @property
+    def keys(self) -> np.ndarray:
+        """Document ids; 0 where null."""
+        found = self.own.all() + np.array(self.base).astype(np.int64).view(np.uint64)
+        return np.concatenate([np.zeros(self.nulls, np.int64), found.view(np.int64)])
+
     def bounds(self, i: int) -> tuple[int, int]:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
 
@@ -163,6 +185,7 @@ class Encoder:
         self.model, self.code = self.tok.model, "H" if self.width == 2 else "I"
         self.pieces: dict[str, bytes] = {}
         self.marks = {x: self._piece(x) for x in MARKS} if self.cuts else {}
+        self.held = 0
         self.whole: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
@@ -204,8 +227,6 @@ class Encoder:
     def _joined(self, cache: dict[str, bytes], parts: list[str], before: str) -> bytes:
         out = list(map(cache.get, parts))
         if None in out:
-            if len(cache) > CACHE_UNITS:
-                _halve(cache)
             i = -1
             with suppress(ValueError):  # no further None
                 while True:
@@ -219,20 +240,31 @@ class Encoder:
             ids = self._piece(before + unit)
         elif unit[-1] in MARKS and unit[:-1].isalpha():
             stem = unit[:-1]
-            found = cache.get(stem)
-            if found is None:
-                found = cache[stem] = self._piece(before + stem)
-            ids = found + self.marks[unit[-1]]
+            ids = (cache.get(stem) or self._keep(cache, stem, self._piece(before + stem))) + self.marks[unit[-1]]
         else:
-            ids = b"".join([self.pieces.get(x) or self._kept(x) for x in PIECES.findall(before + unit)])
-        cache[unit] = ids
+            ids = b"".join([self.pieces.get(x) or self._keep(self.pieces, x, self._piece(x)) for x in PIECES.findall(before + unit)])
+        return self._keep(cache, unit, ids)
+
+    def _keep(self, cache: dict[str, bytes], unit: str, ids: bytes) -> bytes:
+        """Keeps the ids of a short unit; beyond the bound the newer half of each cache goes, as what is frequent came early."""
+        if len(unit) <= CACHED_CHARS:
+            size = ENTRY + len(unit) + len(ids)
+            if self.held + size > CACHE_BYTES:
+                for own in (self.whole, self.spaced, self.pieces):
+                    kept = list(islice(own.items(), len(own) // 2))
+                    own.clear()
+                    own.update(kept)
+                self.held = sum(ENTRY + len(k) + len(v) for own in (self.whole, self.spaced, self.pieces) for k, v in own.items())
+            if unit not in cache:
+                cache[unit] = ids
+                self.held += size
         return ids
 
-    def _kept(self, piece: str) -> bytes:
-        if len(self.pieces) > CACHE_UNITS // 4:
-            self.pieces.clear()
-        found = self.pieces[piece] = self._piece(piece)
-        return found
+    def forget(self) -> None:
+        """Empties the caches of units that hold more than a word after its space."""
+        self.whole.clear()
+        self.pieces.clear()
+        self.held = sum(ENTRY + len(k) + len(v) for k, v in self.spaced.items())
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
@@ -242,13 +274,6 @@ class Encoder:
         return array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
 
 
-def _halve(cache: dict[str, bytes]) -> None:
-    """Keeps the older half: what is frequent came early."""
-    kept = list(islice(cache.items(), CACHE_UNITS // 2))
-    cache.clear()
-    cache.update(kept)
-
-
 #: Fixed values of byte-level BPE: how it cuts texts, and the characters that stand for its bytes.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -282,13 +307,18 @@ def _encode(path: str, end_id: int | None, bounds: np.ndarray, chunk: int = 256)
                 keys = part.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
                 cut = pa.array(np.searchsorted(bounds, keys, "left").astype(np.int64))
                 yield pa.RecordBatch.from_arrays([cut, part.column(0), pa.array(ids, pa.binary())], ["cut", "key", "ids"])
-        enc.whole.clear()
-        enc.pieces.clear()
+        enc.forget()
         W.tidy()
 
     return run
 
 
+def finer(bounds: list[int], parts: int) -> list[int]:
+    """The bounds with each range between two of them cut into ``parts`` of equal width."""
+    inner = (a + (b - a) * i // parts for a, b in zip(bounds, bounds[1:], strict=False) for i in range(1, parts))
+    return sorted({*bounds, *inner})
+
+
 def _put(uri: str, raw: list[bytes]) -> None:
     """Writes a file whole or not at all: a retry or a rival attempt replaces it by the same bytes."""
     fs, path = pafs.FileSystem.from_uri(uri)
@@ -300,8 +330,8 @@ def _put(uri: str, raw: list[bytes]) -> None:
     fs.move(temp, path)
 
 
-def _write(root: str, width: int, limit: int):
-    """Writes runs of rows sorted by (cut, key) as shards of at most ``limit`` bytes of ids, or one document."""
+def _write(root: str, width: int, limit: int, most: int):
+    """Writes runs of rows sorted by (cut, key) as shards of at most ``limit`` bytes of ids, or one document, and ``most`` documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list = []
@@ -316,7 +346,7 @@ def _write(root: str, width: int, limit: int):
 
         for batch in batches:
             for c, k, x in zip(*(batch.column(n).to_pylist() for n in ("cut", "key", "ids")), strict=True):
-                if keys and (c != cut or held + len(x) > limit):
+                if keys and (c != cut or held + len(x) > limit or len(keys) >= most):
                     yield flush()
                     part = part + 1 if c == cut else 0
                     keys, ids, held = [], [], 0
@@ -337,7 +367,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, path = pafs.FileSystem.from_uri(uri)
             with fs.open_input_stream(path) as f:
                 shard = Shard(f.read())
-            ends = shard.ends.all()
+            ends = shard.ends.all().astype(np.int64)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if shard.n else ends
             crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             keys = pa.array(shard.keys, pa.int64(), mask=np.arange(shard.n) < shard.nulls)
@@ -365,22 +395,25 @@ def write_tokens(
 
     Returns a row per shard: ``file``, ``n_docs``, ``n_ids`` and ``base``, the
     number of ids in earlier shards.  Cuts between shards come from quantiles of
-    the ids (at most ``MAX_CUTS``); a task writes its cut as shards of at most
-    ``shard_bytes``, or one document, one at a time.
+    the ids (at most ``MAX_CUTS``, each in up to ``MAX_PARTS`` parts); a task writes its cut
+    as shards of at most ``shard_bytes``, or one document, and ``SHARD_DOCS`` documents,
+    one shard at a time.  A text of any length is one document, encoded whole; columns of
+    other names, also those used here, do no harm.
     """
     scratch = Scratch(spark, "tokens")
     enc = Encoder(tokenizer_path, end_id)
     slim = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     stats = docs.select(F.col(id_col).cast("long").alias("key"), F.octet_length(text_col).alias("n"))
     n_bytes = stats.agg(F.sum("n")).first()[0] or 0
-    cuts = min(MAX_CUTS, max(1, int(n_bytes * 0.6) // shard_bytes + 1))
+    wanted = max(1, int(n_bytes * 0.6) // shard_bytes + 1)
+    cuts = min(MAX_CUTS, wanted)
     bounds: list[int] = []
     if cuts > 1:
         found = stats.agg(F.percentile_approx("key", [i / cuts for i in range(1, cuts)], min(20 * cuts, 100_000))).first()[0]
-        bounds = sorted(set(found or []))
+        bounds = finer(sorted(set(found or [])), min(MAX_PARTS, -(-wanted // cuts)))
     ids = slim.mapInArrow(_encode(tokenizer_path, end_id, np.array(bounds, np.int64)), "cut long, key long, ids binary")
     dealt = ids.repartitionById(len(bounds) + 1, F.col("cut").cast("int")).sortWithinPartitions("cut", "key", "ids")
-    shards = dealt.select("cut", "key", "ids").mapInArrow(_write(root, enc.width, shard_bytes), "cut long, part long, file string, n_docs long, n_ids long")
+    shards = dealt.select("cut", "key", "ids").mapInArrow(_write(root, enc.width, shard_bytes, SHARD_DOCS), "cut long, part long, file string, n_docs long, n_ids long")
     shards = scratch.write(shards, "shards")
     before = Window.orderBy("cut", "part").rowsBetween(Window.unboundedPreceding, -1)
     return shards.select("file", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -277,6 +278,38 @@ def test_shard_random_access():
     assert shard.nulls == 1 and shard.document(2).tolist() == [0, 1, 2, 3, 4] and shard.bounds(1) == (3, 3)
 
 
+def test_shard_keys():
+    for keys in ([None, None, -5, -5, 0, 7, 1 << 62], [-(1 << 63), 5, (1 << 63) - 1], [None], list(range(10, 90_010, 9)), []):
+        raw = token_output.pack(keys, [b"\x01\x00"] * len(keys), 2)
+        shard = token_output.Shard(raw)
+        assert [None if i < shard.nulls else k for i, k in enumerate(shard.keys.tolist())] == keys and shard.n == len(keys)
+        if len(keys) > 100:
+            assert len(raw) < 5 * len(keys)
+
+
+def test_encoder_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE_BYTES", 200_000)
+    enc = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    for turn in range(400):
+        texts = ["".join(rng.choice(letters) for _ in range(600)), " ".join(f"{rng.randrange(10**9)}x{rng.randrange(10**9)}" for _ in range(100)), "y " + "z" * 3_000]
+        got = enc.encode(texts)
+        if turn % 100 == 0:
+            assert got == [np.array([*enc.tok.encode(t, add_special_tokens=False).ids, 2], "<u2").tobytes() for t in texts]
+        held = sum(len(k) + len(v) for cache in (enc.whole, enc.spaced, enc.pieces) for k, v in cache.items())
+        assert held <= 200_000 and all(len(k) <= token_output.CACHED_CHARS for cache in (enc.whole, enc.spaced, enc.pieces) for k in cache)
+
+
+def test_many_empty_texts(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "SHARD_DOCS", 1000)
+    docs = spark.range(0, 4_500, 1, 2).selectExpr("id as doc_id", "case when id % 2 = 0 then '' end as text", "1 as cut", "'x' as ids")
+    shards = token_output.write_tokens(spark, docs, Scratch(spark, "t").root, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
+    assert [r.n_docs for r in shards.orderBy("base").collect()] == [1000] * 4 + [500]
+    got = token_output.read_tokens(spark, shards).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(i, i, 1) for i in range(4_500)]
+
+
 # 5 Jaccard join -----------------------------------------------------------------------------------
 
 
@@ -382,6 +415,63 @@ def test_html_edges(spark):
     assert all(r.n_chars == len(r.text) for r in got.values()) and html_text.extract(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><p class="share-price">The price rose, and fell again later.</p><p>a, b.</p></article>', "The price rose, and fell again later.\n\na, b."),
+    ('<article><p class="commentary">A view of the day, in full.</p></article>', "A view of the day, in full."),
+    ('<p>one two three, four.</p><a href="x>bad</a><p>A second paragraph, with words.</p>', "one two three, four.\n\nA second paragraph, with words."),
+    ("<p title='a > b' data-x=\"<i>\">Text one, two.</p>", "Text one, two."),
+    (f"<article><p>{LONG}</p><div class='share'>Share this</div><div class='comments'><p>{LONG}</p></div><article class='comment-body'><p>{LONG}</p></article></article>", LONG.strip()),
+    ("<div class='comments'><p>Nothing here, but comments.</p></div>", ""),
+])
+def test_html_names_are_a_feature(page, want):
+    assert html_text.main_text(page) == want
+
+
+def naive_scores(blocks):
+    """The scores from their definition, block by block."""
+    raw, out = [], []
+    for b in blocks:
+        own = [x for x in blocks if x.path == b.path]
+        text, link = sum(len(x.text) for x in own), sum(x.link for x in own)
+        marks = sum(c in ".,;:!?…。，、；：！？¿¡" for x in own for c in x.text)
+        raw.append((text - link) / len(own) * math.log2(2 + marks / len(own)) * (1 - link / text))
+    for i, b in enumerate(blocks):
+        near = [(w, j) for w, j in zip((1, 2, 4, 2, 1), range(i - 2, i + 3), strict=True) if 0 <= j < len(blocks)]
+        smooth = sum(w * raw[j] * blocks[j].weight for w, j in near) / sum(w for w, _ in near)
+        held = sum(len(x.text) * x.weight for x in blocks if x.parent == b.parent) / max(1, sum(len(x.text) * x.weight for x in blocks))
+        own = max(raw[i], smooth / 4) if b.weight == 1 else raw[i]
+        out.append(b.weight * math.sqrt(own * (0.1 + (1 if b.inside else held))))
+    return out
+
+
+def test_html_scores_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(150):
+        page, open_ = "", []
+        for _ in range(rng.randrange(1, 60)):
+            if rng.random() < 0.4:
+                tag = rng.choice(["div", "p", "section", "article", "ul", "li", "h2", "div class='share-price'", "div class=ad", "a href=x"])
+                page += f"<{tag}>"
+                open_.append(tag.split()[0])
+            elif open_ and rng.random() < 0.5:
+                page += f"</{open_.pop(rng.randrange(-1, len(open_)))}>"
+            page += rng.choice(["", " ", "word, ", "A sentence, of words. ", LONG])
+        blocks = html_text.blocks_of(page)
+        if blocks:
+            assert html_text.ratios(blocks).tolist() == pytest.approx(naive_scores(blocks))
+            assert " ".join(b.text for b in blocks).split() == re.sub("<[^>]*>", lambda m: "" if m[0].startswith(("<a", "</a")) and not m[0].startswith(("<ar", "</ar")) else " ", page).split()
+
+
+def test_html_is_linear_in_the_page():
+    def seconds(page):
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    for make in (lambda n: "".join(f"<div>t{i}, " for i in range(n)), lambda n: "<div><b>" + "<b>" * n + "<p>x</p></i></table>" * n, lambda n: "<p title='" * n, lambda n: "<p " + "a" * 5 * n + ">x"):
+        assert seconds(make(100_000)) < 10
+
+
 # 7 language ---------------------------------------------------------------------------------------
 
 
