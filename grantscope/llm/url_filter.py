@@ -3,7 +3,8 @@
 A rule is a host suffix and a path prefix; the longest rule that fits decides.
 All other URLs are judged by boosted regression trees on lexical features: length,
 depth, digit ratio, entropy, parameter counts and statistics of the host's suffix.
-The trees learn from labelled URLs: a table of them, or those that a rule decides.
+The trees learn from labelled URLs: a table of them, or those that a rule decides.  A
+URL's suffix statistics never count the URL itself: they leave out its fold.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_LABELLED = 20_000
-SUFFIXES = 1 << 16
+SUFFIXES, FOLDS = 1 << 16, 4
 
 
 #: Host name parts of sites that no corpus wants, used to label URLs.
@@ -65,6 +66,26 @@ def matched(rules: Sequence[Rule], host: Column, path: Column) -> Column:
     return best
 
 
+def with_rules(urls: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """Adds ``m``, the rule of :func:`matched`, to rows with ``host`` and ``path``.
+
+    A table of rules (host, path, allow) of any length is joined on the suffixes of the
+    hosts, each different host and path once; rules of a host are tried one by one and
+    only those that fit go on.
+    """
+    if not isinstance(rules, DataFrame):
+        return urls.withColumn("m", matched(rules, F.col("host"), F.col("path")))
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    each = urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("_suffix"))
+    own = rules.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "allow").where("_host is not null and _path is not null and allow is not null")
+    hits = each.join(own, (F.col("_suffix") == F.col("_host")) & F.startswith(F.col("path"), F.col("_path")))
+    text = F.concat("_host", "_path")
+    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), (~F.col("allow")).alias("block"), text.alias("rule"))).alias("best"))
+    best = best.select("host", "path", F.struct(F.col("best.rule").alias("rule"), (~F.col("best.block")).alias("allow")).alias("m"))
+    return urls.join(best, ["host", "path"], "left")
+
+
 def suffix_slot(host: Column) -> Column:
     """A slot of a fixed number for the host's last three labels."""
     return F.pmod(F.xxhash64(F.substring_index(host, ".", -3)), F.lit(SUFFIXES)).cast("int")
@@ -77,8 +98,25 @@ def by_host_words(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return pages.select(F.col(url_col).alias("url"), F.arrays_overlap(parts, F.array(*[F.lit(w) for w in UNWANTED])).alias("blocked"))
 
 
-def features(urls: list[str | None], hosts: list[str], paths: list[str], slots: np.ndarray, stats: np.ndarray) -> np.ndarray:
-    """One row of lexical features per URL; ``stats`` holds (blocked share, log count) by suffix slot."""
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(1)), F.lit(FOLDS)).cast("int")
+
+
+def suffix_stats(known: DataFrame) -> np.ndarray:
+    """(blocked share, log count) by fold and suffix slot, over the labelled URLs of all other folds."""
+    blocked = F.col("blocked").cast("long")
+    sums = [x for f in range(FOLDS) for x in (F.count_if(F.col("fold") == f), F.coalesce(F.sum(F.when(F.col("fold") == f, blocked)), F.lit(0)))]
+    held = np.zeros((2 * FOLDS, SUFFIXES))
+    for slot, *own in known.groupBy("slot").agg(*[x.alias(f"s{k}") for k, x in enumerate(sums)]).toLocalIterator():  # a row per slot at most
+        held[:, slot] = own
+    n, bad = held[::2], held[1::2]
+    n, bad = n.sum(0) - n, bad.sum(0) - bad
+    prior = bad.sum(1, keepdims=True) / np.maximum(1, n.sum(1, keepdims=True))
+    return np.stack([(bad + 20 * prior) / (n + 20), np.log1p(n)], 2).astype(np.float32)
+
+
+def features(urls: list[str | None], hosts: list[str], paths: list[str], folds: np.ndarray, slots: np.ndarray, stats: np.ndarray) -> np.ndarray:
+    """One row of lexical features per URL; ``stats`` holds (blocked share, log count) by fold and suffix slot."""
     rows = []
     for url, host, path in zip(urls, hosts, paths, strict=True):
         url = url or ""
@@ -93,7 +131,7 @@ def features(urls: list[str | None], hosts: list[str], paths: list[str], slots:
             host.count("."), host.count("-"), path.count("-") + path.count("_"), path.endswith("/"), "." in path.rpartition("/")[2], url.startswith("https"),
         ))
     lexical = np.array(rows, np.float32).reshape(len(urls), 16)
-    return np.concatenate([lexical, stats[slots].astype(np.float32)], 1)
+    return np.concatenate([lexical, stats[folds, slots]], 1)
 
 
 class Trees:
@@ -169,7 +207,7 @@ class Trees:
 def judge_urls(
     spark: SparkSession,
     pages: DataFrame,
-    rules: Sequence[Rule],
+    rules: Sequence[Rule] | DataFrame,
     *,
     id_col: str = "page_id",
     url_col: str = "url",
@@ -179,34 +217,34 @@ def judge_urls(
 ) -> DataFrame:
     """Host, path, rule and verdict of every URL.
 
-    ``labelled`` has ``url`` and ``blocked`` (boolean); without it the URLs that a
-    rule decides are the labelled ones.  Suffix statistics count all of them, the
-    trees learn from at most ``max_labelled`` (those whose URL has the least hash).
+    ``rules`` is a short list, or a table (host, path, allow) of any length.  ``labelled``
+    has ``url`` and ``blocked`` (boolean); without it the URLs that a rule decides are the
+    labelled ones.  Suffix statistics count all of them but for the fold of the URL judged;
+    the trees learn from at most ``max_labelled`` different URLs (those of least hash), of
+    a URL with several labels from their mean.
 
     Returns the id, ``host``, ``path``, ``rule`` (null if none fits), ``verdict``
     (``allow`` or ``block``) and ``blocked_score`` (the trees' probability).  A null
-    URL, and one without ``://``, has empty host and path and is judged by the trees.
-    Repeated rows get equal verdicts.  Without labels the trees allow.  Other columns
-    are ignored; an empty table gives an empty result.
+    URL, and one without ``://``, has empty host and path and is judged by the trees; a URL
+    of any length is judged whole.  Repeated rows get equal verdicts; of rules of equal
+    length a block wins; a score equal to ``threshold`` blocks.  Without labels the trees
+    allow.  Other columns are ignored; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
-    parts = lambda df: df.withColumn("host", host).withColumn("path", path).withColumn("slot", suffix_slot(F.col("host")))
-    slim = parts(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))).withColumn("m", matched(rules, F.col("host"), F.col("path")))
+    parts = lambda df: df.withColumn("host", host).withColumn("path", path).withColumn("slot", suffix_slot(F.col("host"))).withColumn("fold", fold_of(F.col("url")))
+    slim = with_rules(parts(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))), rules)
     if labelled is None:
         known = slim.where("m is not null").withColumn("blocked", ~F.col("m.allow"))
     else:
         known = parts(labelled.select("url", "blocked").where("blocked is not null"))
-    stats = np.zeros((SUFFIXES, 2))
-    counted = known.groupBy("slot").agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("b")).collect()  # a row per slot at most
-    prior = sum(r["b"] for r in counted) / max(1, sum(r["n"] for r in counted))
-    stats[:, 0] = prior
-    for r in counted:
-        stats[r["slot"]] = ((r["b"] + 20 * prior) / (r["n"] + 20), np.log1p(r["n"]))
-    # only about as many rows as are wanted reach the sort, however large the table
-    share = min(1.0, 2.0 * max_labelled / max(1, sum(r["n"] for r in counted)))
-    near = F.pmod(F.xxhash64("url"), F.lit(1 << 32)) < int(share * (1 << 32))
-    rows = known.where(near).select("url", "host", "path", "slot", "blocked").orderBy(F.pmod(F.xxhash64("url"), F.lit(1 << 32)), "url").limit(max_labelled).collect()
-    x = features([r["url"] for r in rows], [r["host"] for r in rows], [r["path"] for r in rows], np.array([r["slot"] for r in rows], np.int64), stats)
+    stats = suffix_stats(known)
+    # only about twice as many different URLs as are wanted reach the sort, however large the table and however often one is repeated
+    place = F.pmod(F.xxhash64("url"), F.lit(1 << 32))
+    share = min(1.0, 2.0 * max_labelled / max(1, known.agg(F.approx_count_distinct("url")).first()[0]))
+    near = known.where(place < int(share * (1 << 32))).groupBy("url", "host", "path", "slot", "fold").agg(F.avg(F.col("blocked").cast("double")).alias("blocked"))
+    rows = near.orderBy(place, "url").limit(max_labelled).collect()
+    column = lambda name: np.array([r[name] for r in rows], np.int64)
+    x = features([r["url"] for r in rows], [r["host"] for r in rows], [r["path"] for r in rows], column("fold"), column("slot"), stats)
     sent = spark.sparkContext.broadcast((Trees.fit(x, np.array([r["blocked"] for r in rows], float)) if rows else None, stats))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,12 +253,12 @@ def judge_urls(
             url, h, p = (batch.column(n).to_pylist() for n in ("url", "host", "path"))
             score = np.zeros(batch.num_rows)
             if trees is not None and batch.num_rows:
-                score = 1 / (1 + np.exp(-trees.margin(features(url, h, p, batch.column("slot").to_numpy(), st))))
+                score = 1 / (1 + np.exp(-trees.margin(features(url, h, p, batch.column("fold").to_numpy(), batch.column("slot").to_numpy(), st))))
             keep = [batch.column(n) for n in ("id", "host", "path", "rule", "allow")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(score)], ["id", "host", "path", "rule", "allow", "blocked_score"])
 
     kind = slim.schema["id"].dataType.simpleString()
-    out = slim.select("id", "url", "host", "path", "slot", F.col("m.rule").alias("rule"), F.col("m.allow").alias("allow"))
+    out = slim.select("id", "url", "host", "path", "fold", "slot", F.col("m.rule").alias("rule"), F.col("m.allow").alias("allow"))
     out = out.mapInArrow(run, f"id {kind}, host string, path string, rule string, allow boolean, blocked_score double")
     block = F.coalesce(~F.col("allow"), F.col("blocked_score") >= threshold)
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.when(block, "block").otherwise("allow").alias("verdict"), "blocked_score")
