@@ -82,7 +82,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_quality that SQL can express."""
+    return op10_quality(spark, sf_dir).drop("kept")
+
+
 QUERIES["op10_quality"] = op10_quality
+QUERIES["quality_counts"] = quality_counts
+ORACLE_SQL["quality_counts"] = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+grams AS (
+  SELECT r, unnest(generate_series(1, len(ws) - 2)) AS i, unnest(list_transform(generate_series(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 2], ' '))) AS g FROM w WHERE len(ws) > 2),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + d) AS n FROM again, (VALUES (0), (1), (2)) v(d) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+       (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines,
+       coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(ws) AS base_failed
+FROM w LEFT JOIN covered USING (r) LEFT JOIN dups USING (r)
+"""
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +142,24 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark, pages, rules, labelled=by_host_words(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_url_filter that SQL can express."""
+    return op2_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
 QUERIES["op2_url_filter"] = op2_url_filter
+QUERIES["url_rules"] = url_rules
+ORACLE_SQL["url_rules"] = r"""
+WITH rest AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+cut AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM rest),
+parts AS (
+  SELECT r, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM cut),
+rules(host, path) AS (VALUES ('com', '/en/'), ('example.com', '/en/7'), ('net', '/de/'), ('example.net', '/de/8'), ('org', '/es/')),
+hits AS (
+  SELECT r, arg_max(x.host || x.path, length(x.host || x.path)) AS rule
+  FROM parts p JOIN rules x ON (p.host = x.host OR ends_with(p.host, '.' || x.host)) AND starts_with(p.path, x.path) GROUP BY r)
+SELECT page_id, host, path, rule FROM parts LEFT JOIN hits USING (r)
+"""
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +178,21 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_ngram_jaccard"] = op5_ngram_jaccard
+ORACLE_SQL["op5_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),
+tokens AS (SELECT r, len(s) AS n, unnest(s) AS t FROM sets),
+pairs AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n FROM tokens a JOIN tokens b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM pairs WHERE 100 * n >= 80 * (na + nb - n)),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON reach.b = both_.a),
+least AS (SELECT reach.a AS r, min(sets.doc_id) AS m FROM reach JOIN sets ON sets.r = reach.b GROUP BY reach.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(least(doc_id, m), doc_id) AS component_id FROM sets LEFT JOIN least USING (r)
+"""
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +202,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents in, one of them sent twice, repeated texts out, counts revised.
+    """Totals after four batches and a compaction: all documents in, one batch sent twice, toxic ones out, counts revised.
 
     Words of a text are its tokens under ``words-1``; ``words-2`` counts line ends too.  Batch 2 deletes documents that labels call toxic, batch 3 revises the
     counts of all others that have several lines, batch 4 counts every document under ``words-2``.
@@ -173,13 +226,49 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit("0001", first)
     store.commit("0001", first)  # sent again: no effect
     store.commit("0002", change(counted.join(toxic, "doc_id", "left_semi"), "delete", "words-1", words))
+    store.compact()
+    store.commit("0002", first)  # sent again after it went into the base: no effect
     store.commit("0003", change(counted.join(toxic, "doc_id", "left_anti").where("breaks > 0"), "revise", "words-1", both, words))
     store.commit("0004", change(counted, "insert", "words-2", both))
     return store.totals()
 
 
+def token_rollup_by_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents by source, language and tokenizer, for two tokenizers; the second batch revises the first."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from ._scratch import Scratch
+    from .rollup import Rollup, count_tokens
+
+    scratch, docs = Scratch(spark, "rollup"), table(spark, sf_dir, "documents")
+    for name in ("byte_bpe_50k", "word_bpe_49k"):
+        docs = count_tokens(docs, public_tokenizers.path(f"{name}.json"), name=name)
+    counted = scratch.write(docs.select("source", "lang", "byte_bpe_50k", "word_bpe_49k"), "counts")
+    row = lambda op, name, tokens, old: counted.select(F.lit(op).alias("op"), "source", "lang", F.lit(name).alias("tokenizer"), tokens.alias("tokens"), old.alias("old_tokens"))
+    none, first, second = F.lit(None).cast("long"), F.col("byte_bpe_50k"), F.col("word_bpe_49k")
+    store = Rollup(spark, scratch.path("store"))
+    store.commit("1", row("insert", "byte_bpe_50k", first, none).unionByName(row("insert", "word_bpe_49k", first, none)))
+    store.commit("2", row("revise", "word_bpe_49k", second, first))
+    return store.totals()
+
+
 QUERIES["op3_line_dedup"] = op3_line_dedup
+ORACLE_SQL["op3_line_dedup"] = r"""
+WITH whole AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM whole WHERE len(ls) > 1),
+pairs AS (SELECT doc_id, pos, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM l),
+full_ AS (SELECT * FROM pairs WHERE b IS NOT NULL AND (regexp_matches(a, '[^ \t\n\x0B\f\r]') OR regexp_matches(b, '[^ \t\n\x0B\f\r]'))),
+ranked AS (SELECT *, first_value(doc_id) OVER earliest AS first_doc, first_value(pos) OVER earliest AS first_pos FROM full_ WINDOW earliest AS (PARTITION BY a, b ORDER BY doc_id, pos)),
+later AS (SELECT doc_id, pos FROM ranked WHERE doc_id <> first_doc OR pos > first_pos + 1),
+gone AS (SELECT DISTINCT doc_id, pos + d AS pos FROM later, (VALUES (0), (1)) v(d)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM l WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = l.doc_id AND gone.pos = l.pos) GROUP BY doc_id),
+runs AS (SELECT doc_id, count(*) AS n FROM gone WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = gone.doc_id AND g.pos = gone.pos - 1) GROUP BY doc_id)
+SELECT w.doc_id, CASE WHEN runs.n IS NULL THEN w.text ELSE coalesce(kept.text, '') END AS text, coalesce(runs.n, 0)::BIGINT AS n_removed
+FROM whole w LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
+"""
 QUERIES["op8_token_rollup"] = op8_token_rollup
+QUERIES["token_rollup_by_tokenizer"] = token_rollup_by_tokenizer
 ORACLE_SQL["op8_token_rollup"] = r"""
 WITH counted AS (
   SELECT doc_id, source, lang,
