@@ -23,12 +23,9 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
-from array import array
-from collections.abc import Iterator
-from contextlib import suppress
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -44,9 +41,8 @@ from ._scratch import Scratch
 MAGIC, VERSION, HINT = 0x45464944, 2, 256
 #: A shard holds at most so many bytes of ids, or one document, and so many documents.
 SHARD_BYTES, SHARD_DOCS = 32 << 20, 1 << 17
-#: Bytes that an encoder's cache of units takes in all, ENTRY beside a unit and its ids, and characters of a unit that it keeps at most.
-CACHE_BYTES, CACHED_CHARS = 32 << 20, 64
-ENTRY = 128
+#: Units that each cache of an encoder keeps, and characters of a unit that it keeps: some 30 MB of words, 130 MB of the longest units.
+CACHE_UNITS, CACHED_CHARS = 200_000, 64
 #: Cuts found by quantiles of the ids, and parts of equal width into which each is dealt if more are needed.
 MAX_CUTS, MAX_PARTS = 1 << 13, 16
 MARKS = ".,;:!?"
@@ -157,7 +153,7 @@ class Encoder:
 
     A byte-level BPE tokenizer cuts texts into pieces before it merges, and a
     piece never crosses a single space between two characters that are not white
-    space.  A text is therefore cut there into units, a unit not seen yet into
+    space, nor one or two line feeds before such a character.  A text is therefore cut there into units, a unit not seen yet into
     pieces, and the library's model merges each piece not seen yet.  Texts that
     hold an added token's string, and texts for tokenizers of any other kind, go
     through the library whole.
@@ -182,12 +178,25 @@ class Encoder:
         hidden = [b for b in range(256) if b not in set(SHOWN)]
         self.visible = {b: 256 + k for k, b in enumerate(hidden)}
         self.space = chr(self.visible[32])
-        self.model, self.code = self.tok.model, "H" if self.width == 2 else "I"
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.tok.model
+        self.coded = [i.to_bytes(self.width, "little") for i in range(self.tok.get_vocab_size())]
+        self.pieces = Cache(lambda _, piece: self._piece(piece))
         self.marks = {x: self._piece(x) for x in MARKS} if self.cuts else {}
-        self.held = 0
-        self.whole: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.feed = self._piece("\n") if self.cuts else b""
+        self.whole, self.spaced = Cache(self._unit("")), Cache(self._unit(" "))
+
+    def _unit(self, before: str) -> Callable[[Cache, str], bytes]:
+        """How to find the ids of a unit with ``before`` in front; letters, and letters before one mark, need no search for pieces."""
+        marks, letters, pieces = self.marks, self._letters, self.pieces
+
+        def found(own: Cache, unit: str) -> bytes:
+            if unit.isalpha():
+                return letters(unit, before)
+            if unit[-1] in marks and unit[:-1].isalpha():
+                return own[unit[:-1]] + marks[unit[-1]]
+            return b"".join(map(pieces.__getitem__, PIECES.findall(before + unit)))
+
+        return found
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
@@ -219,59 +228,46 @@ class Encoder:
         if any(t in text for t in self.added):
             return self._raw([text])[0]
         if not plain(text):
-            return self._joined(self.whole, self.units(text), "")
-        head, _, rest = text.partition(" ")
-        first = self._joined(self.whole, [head], "")
-        return first + self._joined(self.spaced, rest.split(" "), " ") if rest else first
-
-    def _joined(self, cache: dict[str, bytes], parts: list[str], before: str) -> bytes:
-        out = list(map(cache.get, parts))
-        if None in out:
-            i = -1
-            with suppress(ValueError):  # no further None
-                while True:
-                    i = out.index(None, i + 1)
-                    out[i] = cache.get(parts[i]) or self._unit(cache, parts[i], before)
-        return b"".join(out)
-
-    def _unit(self, cache: dict[str, bytes], unit: str, before: str) -> bytes:
-        """Ids of a unit; letters, and letters before one mark, need no search for pieces."""
-        if unit.isalpha():
-            ids = self._piece(before + unit)
-        elif unit[-1] in MARKS and unit[:-1].isalpha():
-            stem = unit[:-1]
-            ids = (cache.get(stem) or self._keep(cache, stem, self._piece(before + stem))) + self.marks[unit[-1]]
+            return b"".join(map(self.whole.__getitem__, self.units(text)))
+        return self.feed.join(map(self._line, text.split("\n")))
+
+    def _line(self, line: str) -> bytes:
+        if not line:
+            return b""
+        head, _, rest = line.partition(" ")
+        return self.whole[head] + b"".join(map(self.spaced.__getitem__, rest.split(" "))) if rest else self.whole[head]
+
+    def _letters(self, unit: str, before: str) -> bytes:
+        if unit.isascii():
+            seen = self.space + unit if before else unit
         else:
-            ids = b"".join([self.pieces.get(x) or self._keep(self.pieces, x, self._piece(x)) for x in PIECES.findall(before + unit)])
-        return self._keep(cache, unit, ids)
+            seen = (before + unit).encode().decode("latin-1").translate(self.visible)
+        return b"".join([self.coded[t.id] for t in self.model.tokenize(seen)])
 
-    def _keep(self, cache: dict[str, bytes], unit: str, ids: bytes) -> bytes:
-        """Keeps the ids of a short unit; beyond the bound the newer half of each cache goes, as what is frequent came early."""
-        if len(unit) <= CACHED_CHARS:
-            size = ENTRY + len(unit) + len(ids)
-            if self.held + size > CACHE_BYTES:
-                for own in (self.whole, self.spaced, self.pieces):
-                    kept = list(islice(own.items(), len(own) // 2))
-                    own.clear()
-                    own.update(kept)
-                self.held = sum(ENTRY + len(k) + len(v) for own in (self.whole, self.spaced, self.pieces) for k, v in own.items())
-            if unit not in cache:
-                cache[unit] = ids
-                self.held += size
-        return ids
+    def _piece(self, piece: str) -> bytes:
+        return b"".join([self.coded[t.id] for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.visible))])
 
     def forget(self) -> None:
-        """Empties the caches of units that hold more than a word after its space."""
+        """Empties the caches but that of what follows a space."""
         self.whole.clear()
         self.pieces.clear()
-        self.held = sum(ENTRY + len(k) + len(v) for k, v in self.spaced.items())
 
-    def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
-            seen = self.space + piece[1:]
-        else:
-            seen = piece.encode().decode("latin-1").translate(self.visible)
-        return array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+class Cache(dict):
+    """Ids by unit, found when a unit is first asked for; short units are kept, the newer half goes when there are too many."""
+
+    def __init__(self, found: Callable[[Cache, str], bytes]):
+        self.found = found
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.found(self, unit)
+        if len(unit) <= CACHED_CHARS:
+            if len(self) >= CACHE_UNITS:  # what is frequent came early
+                kept = list(islice(self.items(), CACHE_UNITS // 2))
+                self.clear()
+                self.update(kept)
+            self[unit] = ids
+        return ids
 
 
 #: Fixed values of byte-level BPE: how it cuts texts, and the characters that stand for its bytes.
@@ -280,11 +276,12 @@ SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
 def plain(text: str) -> bool:
-    """Every space stands alone between two characters that are not white space."""
-    return not ("  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _ODD.search(text))
+    """Every space stands alone between two characters that are not white space, and line feeds are pieces of their own."""
+    return not ("\n\n\n" in text or text.endswith("\n\n") or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or any(c in text for c in ODD))
 
 
-_ODD = re.compile(r"[^\S \n]")
+#: White space other than a space and a line feed.
+ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _encoders: dict[tuple, Encoder] = {}
 
 
