@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog, markup, text
 from ..functions.catalog import Signal
 from ..operators import classify, declarations, graph, rules, signals
+from ..server import request_of
 from . import analyze, generated
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +145,22 @@ def strict_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", text.strict_int(F.col("k")).alias("k"), text.strict_int(F.concat(F.lit(" "), F.col("k"))).alias("padded"), text.strict_bool(F.col("b")).alias("flag"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 6 < 3 THEN event_type ELSE '' END AS path, event_id % 6 = 1 AS include_tests,
+CASE event_id % 6 WHEN 3 THEN 'The body is not JSON' WHEN 4 THEN 'The body is not a JSON object' WHEN 5 THEN 'No project path was given' END AS error FROM events""")
+def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of requests, whole and broken, as the service reads them."""
+    kinds = ['{"path": "<type>", "other": <k>}', '{"path": "<type>", "includeTests": true}', '{"path": "<type>", "includeTests": "true"}', '{"path": "<type>"', '["<type>"]', '{"path": "  "}']
+    body = generated.nth(kinds, F.col("event_id"))
+    df = table(spark, sf_dir, "events").select("event_id", F.replace(F.replace(body, F.lit("<type>"), F.col("event_type")), F.lit("<k>"), F.col("event_id").cast("string")).alias("body"))
+
+    def run(frames):
+        for frame in frames:
+            path, tests, error = zip(*map(request_of, frame["body"]), strict=True) if len(frame) else ((), (), ())
+            yield frame[["event_id"]].assign(path=list(path), include_tests=list(tests), error=list(error))
+
+    return df.mapInPandas(run, "event_id long, path string, include_tests boolean, error string")
+
+
 @query("""WITH u AS (SELECT doc_id, count(*) FILTER (WHERE n_chars > 0) AS n, max(n_chars) AS chars FROM documents GROUP BY doc_id),
 j AS (SELECT coalesce(u.doc_id, l.doc_id) AS doc_id, l.doc_id IS NOT NULL AS declared, coalesce(chars, 0) > 1000 AS api, coalesce(chars, 0) > 4000 AS strong,
   coalesce(chars, 0) % 7 = 0 AND chars IS NOT NULL AS req, coalesce(chars, 0) % 5 = 0 AND chars IS NOT NULL AS chk, chars IS NOT NULL AS const, coalesce(toxic, 0) = 1 AS alt, quality

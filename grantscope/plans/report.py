@@ -23,7 +23,10 @@ def _rows(df: DataFrame) -> list[dict]:
 
 
 def document(analysis: Analysis) -> dict:
-    """The whole report; its tables are as large as the project's findings."""
+    """The whole report, on the driver: for one project, whose usages and findings fit there.
+
+    Of a corpus of projects the tables of the analysis are written as they are instead.
+    """
     build, summary = _rows(analysis.build)[0], _rows(analysis.summary)[0]
     count = lambda name: F.count_if(F.col("language") == name).alias(name)
     totals = analysis.sources.agg(count("Kotlin"), count("Java"), count("Dart"), F.coalesce(F.sum(F.size("raw")), F.lit(0)).alias("lines")).first()

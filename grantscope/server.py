@@ -18,6 +18,20 @@ const r=await fetch("/api/analyze",{method:"POST",body:JSON.stringify({path:docu
 const j=await r.json();if(r.ok)location.href=j.reportUrl;else o.textContent=j.error}</script></body></html>"""
 
 
+def request_of(body: bytes | str) -> tuple[str, bool, str | None]:
+    """Path, whether tests count, and what is wrong, of a request's body; unknown keys are ignored."""
+    try:
+        asked = json.loads(body)
+    except ValueError:
+        return "", False, "The body is not JSON"
+    if not isinstance(asked, dict):
+        return "", False, "The body is not a JSON object"
+    path = asked.get("path")
+    if not isinstance(path, str) or not path.strip():
+        return "", False, "No project path was given"
+    return path, asked.get("includeTests") is True, None
+
+
 class Service:
     """Answers of the service, apart from HTTP: (status, content type, body)."""
 
@@ -61,19 +75,13 @@ class Service:
     def analyze(self, method: str, body: bytes):
         if method != "POST":
             return self._json(405, error="Method not allowed")
-        try:
-            asked = json.loads(body)
-        except ValueError:
-            return self._json(400, error="The body is not JSON")
-        if not isinstance(asked, dict):
-            return self._json(400, error="The body is not a JSON object")
-        path = asked.get("path")
-        if not isinstance(path, str) or not path.strip():
-            return self._json(400, error="No project path was given")
+        path, include_tests, wrong = request_of(body)
+        if wrong:
+            return self._json(400, error=wrong)
         if not os.path.isdir(path):
             return self._json(400, error=f"Project path not found: {path}")
         try:
-            found = report.document(analyze(self.spark, path, asked.get("includeTests") is True))
+            found = report.document(analyze(self.spark, path, include_tests))
         except Exception as wrong:
             return self._json(400, error=f"Analysis failed: {wrong}")
         key = uuid.uuid4().hex[:12]

@@ -89,6 +89,36 @@ def test_innermost(spark):
     assert {(r.file, r.line): r.in_name for r in out.collect()} == {("f", 5): "inner", ("f", 8): "outer", ("f", 15): "type", ("f", 30): None, ("g", 5): None}
 
 
+def test_innermost_against_model(spark):
+    """Spans of all lengths, equal points, nulls and spans that end before they start."""
+    rng = random.Random(6)
+    spans = [(rng.choice("abc"), a, a + rng.choice([-3, 0, 1, 15, 16, 17, 300, 5_000, 70_000]), rng.random() < 0.4, n) for n in range(300) for a in [rng.randrange(-200, 60_000)]] + [(None, 1, 9, True, 300), ("a", None, 9, True, 301)]
+    points = [(rng.choice("abcd"), rng.randrange(-300, 70_000)) for _ in range(400)] + [("a", 5)] * 3 + [(None, 5), ("b", None)]
+    want = []
+    for key, at in points:
+        around = [s for s in spans if key is not None and at is not None and s[0] == key and s[1] is not None and s[1] <= at <= s[2]]
+        best = max(around, key=lambda s: (s[3], s[1], -s[4]), default=None)
+        want.append((str(key), str(at), None if best is None else best[4]))
+    df = spark.createDataFrame(spans, "k string, start_line int, end_line int, fn boolean, ord int")
+    out = declarations.innermost(spark.createDataFrame(points, "k string, at int"), df, point_keys=["k"], point="at", first="fn")
+    assert sorted(map(str, [(str(r.k), str(r["at"]), r.in_ord) for r in out.collect()])) == sorted(map(str, want))
+    assert declarations.innermost(spark.createDataFrame(points, "k string, at int"), df.limit(0), point_keys=["k"], point="at").count() == len(points)
+
+
+def test_numbers_over_ranges(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([0, 5, 6]), f"{n:05}", 0, "R", rng.choice(["HIGH", "MEDIUM", "CRITICAL"])) for n in range(1500)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "block int, order string, nth int, rule string, severity string").repartition(5)
+    for c in ("title", "detail", "permission", "recommendation", "locations"):
+        df = df.withColumn(c, F.col("order"))
+    got = rules.numbered(df).collect()
+    ids = {o: f"F-{n + 1:03}" for n, (_, o, *_) in enumerate(sorted(rows))}
+    assert {r.title: r.id for r in got} == ids
+    severity = {o: ["CRITICAL", "HIGH", "MEDIUM"].index(s) for _, o, _, _, s in rows}
+    assert [r.title for r in got] == sorted(ids, key=lambda o: (severity[o], int(ids[o][2:])))
+
+
 def model_paths(target, callers, kinds):
     found, seen, queue = [], {target}, deque([[target]])
     while queue and len(found) < 5:
