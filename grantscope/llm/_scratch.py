@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_roots: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,12 +50,16 @@ class Scratch:
     """A private folder of tables under :func:`shared_dir`.
 
     ``write`` materialises a DataFrame and returns a DataFrame that reads it;
-    ``drop`` removes tables that no later plan reads.
+    ``drop`` removes tables that no later plan reads.  What an operator returns may read
+    its tables, so the folder stays until whoever has written the result calls
+    :func:`release`; one with ``keep`` holds results itself and stays for good.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, keep: bool = False):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if not keep:
+            _roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -70,3 +75,15 @@ class Scratch:
         for name in names:
             fs, path = hadoop_path(self.spark, self.path(name))
             fs.delete(path, True)
+
+
+def open_folders() -> int:
+    """The number of private folders that are not released."""
+    return len(_roots)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Removes the folders opened after the first ``since``: for results that are written elsewhere by now."""
+    while len(_roots) > since:
+        fs, path = hadoop_path(spark, _roots.pop())
+        fs.delete(path, True)

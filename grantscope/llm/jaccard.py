@@ -179,6 +179,13 @@ def _salts() -> Column:
     return F.when(F.col("token") < 0, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
 
 
+def _dealt(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Rows with the facts of their key; a key's rows are dealt out by salt, as one family may hold most of them."""
+    salt = F.pmod(F.xxhash64("cid"), F.lit(SALTS))
+    dealt = facts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", salt.cast("long")).join(dealt.hint("merge"), [key, "salt"])
+
+
 def _bloom(cids: list[bytes], ids: list[int | None]) -> np.ndarray:
     """Slots of (class, document) pairs in a filter of fixed size."""
     short = np.array([int.from_bytes(x[:8], "little") for x in cids], np.uint64)
@@ -362,9 +369,11 @@ def join_classes(
     at least ``similarity`` (a fraction in whole numbers).  Returns the id,
     ``n_shingles`` and ``component_id``.
 
+    A text of any length is read whole, and its set is held by one worker at a time.
     Null texts and texts without a word have no shingle, no link, and their own id.
     Ids are whole numbers; a null id is ignored as the least of its component unless
-    all are null.  Equal rows are kept and are one class.  Other columns are
+    all are null.  Equal rows are kept and are one class.  A similarity of exactly the
+    fraction is a link.  Columns of other names, also those used here, are
     ignored; an empty table gives an empty result.  Shingles are compared by 63-bit
     hash, classes by MD5 of their hashes.
     """
@@ -386,11 +395,11 @@ def join_classes(
     leaders = mins.groupBy("k", "m").agg(F.min("cid").alias("a"), F.count("*").alias("n")).where("n > 1")
     weak = mins.join(leaders.hint("merge"), ["k", "m"]).where(F.col("cid") != F.col("a")).select("a", F.col("cid").alias("b"))
     family = components(scratch, weak, "family", rounds=6)  # any partition gives the same links
-    member = classes.select("cid", "rep", "n").join(family.hint("merge"), F.col("cid") == F.col("node"), "left").select("cid", "rep", "n", F.coalesce("label", "cid").alias("label"))
-    bulk = member.groupBy("label").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    member = classes.select("cid", "rep", "n").join(family.hint("merge"), F.col("cid") == F.col("node"), "left").select("cid", "rep", "n", "label")
+    bulk = member.where("label is not null").groupBy("label").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
     parts = F.ceil(F.greatest(F.col("members") / GROUP_MEMBERS, F.col("tokens") / GROUP_TOKENS))
-    member = member.join(bulk.hint("merge"), "label").select("cid", "rep", "n", "members", F.xxhash64("label", F.pmod(F.xxhash64("cid"), parts)).alias("g"))
-    member = scratch.write(member, "member")
+    grouped = _dealt(member.where("label is not null"), bulk.select("label", parts.alias("parts")), "label").select("cid", "rep", "n", F.xxhash64("label", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("g"))
+    member = scratch.write(grouped.unionByName(member.where("label is null").select("cid", "rep", "n", F.xxhash64("cid").alias("g"))), "member")
 
     # the matrix: groups that share a prefix token, and who has to ask which group
     member = member.withColumn("c8", F.xxhash64("cid"))
@@ -416,7 +425,7 @@ def join_classes(
 
     # whole sets of the classes concerned; a group with many queries is opened in several parts
     queries = asked.groupBy(F.col("to").alias("g")).agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts"))
-    asking = asked.join(member.select("c8", "cid", "rep").hint("merge"), "c8").withColumnRenamed("to", "g").join(queries.hint("merge"), "g")
+    asking = _dealt(asked.join(member.select("c8", "cid", "rep").hint("merge"), "c8").withColumnRenamed("to", "g"), queries, "g")
     asking = asking.select("g", F.pmod(F.xxhash64("c8", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "cid", "rep")
     own = member.groupBy("g").agg(F.count("*").alias("n")).join(queries.hint("merge"), "g", "left").where("n > 1 or parts is not null")
     own = own.select("g", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
@@ -434,8 +443,9 @@ def join_classes(
     scratch.drop("classes", "shared", "matrix", "asking", "asked", "roles")
 
     joined = components(scratch, links, "join")
-    reps = member.select("cid", "rep").join(joined.hint("merge"), F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
-    least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = reps.join(least.hint("merge"), "label").select("cid", "component_id")
+    reps = scratch.write(member.select("cid", "rep").join(joined.hint("merge"), F.col("cid") == F.col("node"), "left").select("cid", "rep", "label"), "reps")
+    linked = reps.where("label is not null")
+    found = _dealt(linked, linked.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("cid", "component_id")
+    found = found.unionByName(reps.where("label is null").select("cid", F.col("rep").alias("component_id")))
     out = thin.join(found.hint("merge"), "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
