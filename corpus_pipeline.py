@@ -2,7 +2,10 @@
 
 Each stage takes the session, what the stage before kept, and the folder of the
 tables; all but the last return the columns of ``documents``.  Every stage's result
-is written as Parquet and read again.
+is written as Parquet and read again, and the operators' own tables are removed then.
+
+All stages take whole texts of any length, nulls in any column, repeated rows and
+columns beside those of ``documents``; an empty table goes through as an empty one.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantscope.llm._scratch import Scratch
+from grantscope.llm._scratch import Scratch, open_folders, release
 from grantscope.llm.decontaminate import contaminated
 from grantscope.llm.jaccard import join_classes
 from grantscope.llm.language import UND, identify, train
@@ -27,7 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which a language was found: those with a letter.
 
     Which language it is decides nothing, as no list of wanted ones is given.  If none
-    was learned, the documents with a letter stay too.
+    was learned, the documents with a letter stay too.  A null text has no letter; rows of
+    equal text share their fate, whatever their ids.
     """
     model = train(docs)
     if not model.langs:
@@ -66,19 +70,32 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark passage."""
+    """Drops the documents that hold a benchmark passage.
+
+    Null and empty texts hold none and stay, as does everything if the benchmark is empty;
+    rows of equal text share their fate.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contaminated(spark, docs, benchmark).where(F.size("leaks") == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the weighted mix of the sources takes them."""
+    """Rows as often as the weighted mix of the sources takes them.
+
+    A null source is a source of its own.  Rows of equal id, null ids among them, share a
+    hash and so are taken equally often, each by itself; rows of size 0, with null, empty
+    or blank texts, add no words and go or stay with their hash.
+    """
     return mixed(spark, docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token shards and returns what they hold, read back from the files."""
-    shards = write_tokens(spark, docs, Scratch(spark, "corpus").root, tokenizer_path=public_tokenizers.path(TOKENIZER))
+    """Writes the token shards and returns what they hold, read back from the files.
+
+    Each row is a document of its own, in ascending order of id, null ids first, equal ones
+    by their tokens; null and empty texts hold only the end id.
+    """
+    shards = write_tokens(spark, docs, Scratch(spark, "corpus", keep=True).root, tokenizer_path=public_tokenizers.path(TOKENIZER))
     return read_tokens(spark, shards)
 
 
@@ -97,9 +114,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to ``documents``."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), open_folders()
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        release(spark, since)
         if k:
             scratch.drop(f"stage-{k - 1}")
     return docs
