@@ -83,7 +83,10 @@ def open_folders() -> int:
 
 
 def release(spark: SparkSession, since: int) -> None:
-    """Removes the folders opened after the first ``since``: for results that are written elsewhere by now."""
+    """Removes the folders opened after the first ``since``: for results that are written elsewhere by now.
+
+    Folders are counted over the whole process, so nothing else may open one meanwhile.
+    """
     while len(_roots) > since:
         fs, path = hadoop_path(spark, _roots.pop())
         fs.delete(path, True)
