@@ -134,8 +134,16 @@ def features(urls: list[str | None], hosts: list[str], paths: list[str], folds:
     return np.concatenate([lexical, stats[folds, slots]], 1)
 
 
+def _cuts(x: np.ndarray, bins: int) -> np.ndarray:
+    """Where bins of a feature begin: at each value if they are few, else at quantiles of the rows and of the values, so that rare ones have bins too."""
+    values = np.unique(x)
+    if len(values) <= bins:
+        return values[1:]
+    return np.unique(np.concatenate([np.quantile(x, np.linspace(0, 1, bins // 2 + 1)[1:-1]), np.quantile(values, np.linspace(0, 1, bins // 2 + 1)[1:-1])]))
+
+
 class Trees:
-    """Boosted regression trees for log loss, on features cut into quantile bins."""
+    """Boosted regression trees for log loss, on features cut into bins."""
 
     def __init__(self, cuts: list[np.ndarray], base: float, trees: list[tuple]):
         self.cuts, self.base, self.trees = cuts, base, trees
@@ -144,7 +152,7 @@ class Trees:
     def fit(cls, x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
         share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
         base = float(np.log(share / (1 - share)))
-        cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) if len(x) else np.zeros(0) for f in range(x.shape[1])]
+        cuts = [_cuts(x[:, f], bins) for f in range(x.shape[1])]
         model = cls(cuts, base, [])
         if not len(y) or y.min() == y.max():
             return model
@@ -245,6 +253,9 @@ def judge_urls(
     rows = near.orderBy(place, "url").limit(max_labelled).collect()
     column = lambda name: np.array([r[name] for r in rows], np.int64)
     x = features([r["url"] for r in rows], [r["host"] for r in rows], [r["path"] for r in rows], column("fold"), column("slot"), stats)
+    # one fold is learned as if nothing were known of its suffixes, so that the trees know what to make of new hosts
+    strange = column("fold") == 0
+    x[strange, -2], x[strange, -1] = stats[0, :, 0][stats[0, :, 1] == 0].mean() if (stats[0, :, 1] == 0).any() else 0.5, 0
     sent = spark.sparkContext.broadcast((Trees.fit(x, np.array([r["blocked"] for r in rows], float)) if rows else None, stats))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

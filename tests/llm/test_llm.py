@@ -150,6 +150,22 @@ def test_url_trees(spark):
     assert sum((r.verdict == "block") == (r.page_id % 3 == 0) for r in held) / len(held) > 0.97
 
 
+def test_url_trees_on_new_hosts(spark):
+    """Hosts that no label names are judged by their lexical features, rare as these are."""
+    rng = random.Random(14)
+    hosts = [f"n{rng.choice('abcdefgh')}{k}.example.com" for k in range(40)] + [f"{a}-{b}.example.com" for a, b in (("casino", "win"), ("ads", "track"), ("cheap", "pills"), ("free", "bets"))]
+    rows = [(i, f"https://{rng.choice(hosts[40:] if i % 30 == 0 else hosts[:40])}/en/{rng.randrange(9999)}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    new = {hosts[0], hosts[7], hosts[40]}
+    seen = df.where(~F.regexp_extract("url", "//([^/]*)", 1).isin(list(new)))
+    out = {r.page_id: r for r in url_filter.judge_urls(spark, df, [], labelled=url_filter.by_host_words(seen)).collect()}
+    held = [r for r in out.values() if r.host in new]
+    assert len(held) > 100 and all((r.verdict == "block") == ("-" in r.host) for r in held)
+    x = np.zeros((1000, 2), np.float32)
+    x[:15, 1] = 1
+    assert (url_filter.Trees.fit(x, x[:, 1].astype(float)).margin(x[10:20]) > 0).tolist() == [True] * 5 + [False] * 5
+
+
 def test_url_rule_table_equals_the_list(spark):
     rng = random.Random(3)
     hosts, parts = ["a.com", "b.a.com", "com", "x.org", "y.x.org", "org", ".com", "net", ""], ["/", "/en/", "/en/7", "", "/de", "/en/71/b"]
@@ -167,7 +183,11 @@ class NaiveTrees:
     """The trees from their definition: every split of every node tried by itself."""
 
     def __init__(self, x, y, rounds, depth, rate, bins, ridge):
-        self.cuts = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for f in range(x.shape[1])]
+        self.cuts = []
+        for f in range(x.shape[1]):
+            values = sorted(set(x[:, f].tolist()))
+            shares = [k / (bins // 2) for k in range(1, bins // 2)]
+            self.cuts.append(values[1:] if len(values) <= bins else sorted({float(np.quantile(np.array(v, np.float32), q)) for v in (x[:, f], values) for q in shares}))
         share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
         self.base, self.rate, self.trees = math.log(share / (1 - share)), rate, []
         b = [self.binned(row) for row in x]
