@@ -19,6 +19,8 @@ from ._scratch import Scratch
 
 WINDOW, MASK = 2, 1
 MIN_LINES = 2
+#: A pair of lines with more copies than this is compared in so many parts.
+HOT, SALTS = 1000, 16
 #: A line of its own between two chunks; lines that begin with its character get another one in front.
 NUL = "\x00"
 
@@ -135,19 +137,22 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
     every = scratch.write(every, "pairs")
     first = F.min(F.struct(F.col("id").isNull().alias("nul"), "id", "th", "pos")).alias("first")
     repeated = every.groupBy(*key).agg(F.count("*").alias("times"), first).where("times > 1")
-    found = every.join(repeated.select(*key, "first").hint("merge"), key)
+    found = every.join(repeated.select(*key, "first", (F.col("times") > HOT).alias("hot")).hint("merge"), key)
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
-    found = found.where(~(same & (F.col("pos") == F.col("first.pos") + 1))).select("id", "th", "pos", *key, (same & (F.col("pos") == F.col("first.pos"))).alias("stays"))
-    found = found.groupBy(F.col("id").alias("gid"), F.col("th").alias("gth")).agg(F.sort_array(F.collect_set(F.struct("pos", *key, "stays"))).alias("found"))
+    found = found.where(~(same & (F.col("pos") == F.col("first.pos") + 1))).select("id", "th", "pos", *key, "hot", (same & (F.col("pos") == F.col("first.pos"))).alias("stays"))
+    found = found.groupBy(F.col("id").alias("gid"), F.col("th").alias("gth")).agg(F.sort_array(F.collect_set(F.struct("pos", *key, "hot", "stays"))).alias("found"))
     # texts of the pairs that stay, and of their later copies
     on = F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth"))
-    kind = "struct<pos:int,h:bigint,n:int,stays:boolean>"
+    kind = "struct<pos:int,h:bigint,n:int,hot:boolean,stays:boolean>"
     held = slim.join(found.hint("merge"), on).select("id", "th", lines.alias("lines"), aligned(F.col("found.pos"), F.col("found"), kind).alias("found"))
     both = F.zip_with("lines", F.slice("lines", 2, F.size("lines")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     both = F.filter(F.zip_with(both, "found", lambda x, k: F.when(k.isNotNull(), F.struct(k.alias("k"), F.concat(x["a"], F.lit("\n"), x["b"]).alias("pair")))), lambda x: x.isNotNull())
     copies = scratch.write(held.select("id", "th", F.explode(both).alias("x")).select("id", "th", "x.k.*", "x.pair"), "copies")
-    kept = copies.where("stays").groupBy(*key).agg(F.min("pair").alias("kept"))
-    gone = copies.where("not stays").join(kept.hint("merge"), key).where(F.col("pair") == F.col("kept"))
+    # copies of a pair that very many texts hold are dealt out, each part with the pair that stays
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    kept = copies.where("stays").groupBy(*key).agg(F.min("pair").alias("kept"), F.first("hot").alias("hot")).select(*key, "kept", F.explode(salts).alias("salt"))
+    own = F.when(F.col("hot"), F.pmod(F.xxhash64("id", "th", "pos"), F.lit(SALTS))).otherwise(0).cast("long")
+    gone = copies.where("not stays").withColumn("salt", own).join(kept.hint("merge"), [*key, "salt"]).where(F.col("pair") == F.col("kept"))
     gone = gone.groupBy(F.col("id").alias("gid"), F.col("th").alias("gth")).agg(F.collect_set("pos").alias("at"))
     gone = scratch.write(gone.select("gid", "gth", F.sort_array(F.array_union("at", F.transform("at", lambda p: p + 1))).alias("gone")), "gone")
     left = slim.join(gone.hint("merge"), on, "left")

@@ -327,7 +327,9 @@ def test_chunk_boundaries_against_brute_force(spark):
             assert chunks == [*want, "\n".join(own)]
 
 
-def test_passages_go_whole(spark):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_passages_go_whole(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     rng = random.Random(8)
     passages = {n: [f"passage of {n} lines, line {k}" for k in range(n)] for n in (2, 3, 4, 6, 8)}
     rows, n = [], 0
