@@ -105,10 +105,12 @@ def main(args: list[str] | None = None, spark=None) -> int:
         from .server import serve
 
         return serve(spark, options.port)
+    from .functions.shared import discard
     from .plans import report
     from .plans.analyze import analyze
 
     found = report.document(analyze(spark, options.project, options.include_tests))
+    discard(spark)
     written = []
     os.makedirs(options.out, exist_ok=True)
     for wanted, name, made in ((options.json, "report.json", report.pretty_json), (options.html, "report.html", report.html_page)):

@@ -6,10 +6,13 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written = threading.local()
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder, set from ``spark.checkpoint.dir`` if it is not set yet.
@@ -31,11 +34,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the session's checkpoint folder."""
+    """The rows of ``df``, in any order, written once as a table below the checkpoint folder and read from there.
+
+    A checkpoint would compute them twice.  The table stays until :func:`discard`.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "table")
+    df.write.parquet(path)
+    vars(_written).setdefault("paths", []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """As :func:`checkpointed`, for few rows whose order counts."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def discard(spark: SparkSession) -> None:
+    """Removes the tables that :func:`checkpointed` has written in this thread: for results that were taken from them."""
+    paths = vars(_written).setdefault("paths", [])
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A path of its own below the checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog, text
-from ..functions.shared import checkpointed
+from ..functions.shared import checkpointed, in_order
 from ..operators import classify, declarations, graph, rules, signals
 from ..sources import project
 
@@ -182,7 +182,7 @@ def assemble(spark: SparkSession, root: str, sources: DataFrame, manifests: Data
     report_order = [classify.risk_rank(F.col("riskLevel")), F.col("permission")]
     permissions = nested(reports, found, declared).select(*REPORT_FIELDS).orderBy(*report_order)
     all_findings = rules.permission_findings(reports).unionByName(rules.project_findings(reports, build, manifests, sources)).unionByName(rules.manifest_findings(manifests, components))
-    findings = checkpointed(rules.numbered(all_findings))
+    findings = in_order(rules.numbered(all_findings))
     summary = checkpointed(summary_row(reports, findings))
     return Analysis(root, sources, manifests, components, build, found, reports, permissions, findings, summary, module_rows(sources, manifests), entry_points(reports), time.time() - began)
 

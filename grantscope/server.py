@@ -8,6 +8,7 @@ import threading
 import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from .functions.shared import discard
 from .plans import report
 from .plans.analyze import analyze
 
@@ -84,6 +85,8 @@ class Service:
             found = report.document(analyze(self.spark, path, include_tests))
         except Exception as wrong:
             return self._json(400, error=f"Analysis failed: {wrong}")
+        finally:
+            discard(self.spark)
         key = uuid.uuid4().hex[:12]
         self.store.put(key, report.html_page(found))
         return self._json(200, **report.payload(found, key))
