@@ -287,3 +287,24 @@ changes AS (
 SELECT source, lang, tokenizer, sum(docs)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens
 FROM changes GROUP BY ALL HAVING sum(docs) <> 0 OR sum(tokens) <> 0
 """
+
+
+def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per final file: clicks in files of a day, lot and piece, small ones merged."""
+    from pyspark.sql import functions as F
+
+    from ._scratch import Scratch
+    from .compaction import by_lots, compact, digests, write_files
+
+    clicks = table(spark, sf_dir, "clicks")
+    rows = clicks.count()
+    share = lambda x: 1 + rows // x
+    keys, root = ["day", "lot", "piece"], Scratch(spark, "clicks", keep=True).root
+    keyed = by_lots(spark, clicks, time_col="arrived_at", id_col="click_id", per_lot=share(150))
+    files = write_files(keyed, root, keys, ["arrived_at", "click_id"])
+    final = compact(spark, root, files, keys, small=share(600), limit=share(500))
+    held = digests(final, id_col="click_id", value_col="value").withColumnsRenamed({"min_id": "min_click_id", "max_id": "max_click_id"})
+    return final.drop("n_rows").join(held, "path").select(*keys, "n_rows", "min_click_id", "max_click_id", "cents", "sources", "ids_sha256", "columns", F.col("path"), "rewritten")
+
+
+QUERIES["op11_compaction"] = op11_compaction
