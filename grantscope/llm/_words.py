@@ -51,9 +51,9 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]
         i = j
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the number of its first word."""
-    word = IS_WORD[data]
+    word = is_word[data]
     before, after = np.empty_like(word), np.empty_like(word)
     before[1:], after[:-1] = word[:-1], word[1:]
     cut = np.unique(offsets[offsets < len(data)])
