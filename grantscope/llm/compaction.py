@@ -202,6 +202,11 @@ def placements(files: DataFrame, within: str, order: Sequence[str], limit: int)
     return numbered.join(spread, same).drop("own", "size", "ordinal", "nth")
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for a table of paths: its rows are few bytes but stand for whole files, so their number must not follow the bytes."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
 def merge_files(moves: DataFrame, root: str, keys: Sequence[str]) -> DataFrame:
     """Writes one file per (partition, group) of ``moves``, of the rows of its files by ``turn``; returns partition, group and ``path``.
 
@@ -209,7 +214,7 @@ def merge_files(moves: DataFrame, root: str, keys: Sequence[str]) -> DataFrame:
     """
     within = keys[0]
     slim = moves.select(F.col(within).alias("own"), "group", "turn", F.array(*[F.col(f"head.{k}").cast("long") for k in keys]).alias("head"), "path")
-    dealt = slim.repartition("own", "group").sortWithinPartitions("own", "group", "turn").select("own", "group", "head", "path")
+    dealt = slim.repartition(_tasks(moves), "own", "group").sortWithinPartitions("own", "group", "turn").select("own", "group", "head", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, current, uri = None, None, ""
@@ -316,7 +321,7 @@ def digests(files: DataFrame, *, id_col: str, value_col: str) -> DataFrame:
                 row = [[uri], [n], [low], [high], [cents], [sha.hexdigest()], [names]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.string(), *[pa.int64()] * 4, pa.string(), pa.string()], strict=True)], ["path", "n_rows", "min_id", "max_id", "cents", "ids_sha256", "columns"])
 
-    return files.select("path").repartition("path").mapInArrow(run, "path string, n_rows long, min_id long, max_id long, cents long, ids_sha256 string, columns string")
+    return files.select("path").repartition(_tasks(files), "path").mapInArrow(run, "path string, n_rows long, min_id long, max_id long, cents long, ids_sha256 string, columns string")
 
 
 def by_lots(spark: SparkSession, rows: DataFrame, *, time_col: str, id_col: str, per_lot: int) -> DataFrame:
