@@ -162,45 +162,56 @@ class Filter:
 
 
 def supports(shards: DataFrame, passes: list, depth: int, context: int) -> DataFrame:
-    """``h`` and ``n``: popcounts of the phrases of ``depth`` words whose parts all passed, summed by hash."""
+    """``h`` and ``n``: popcounts of the phrases of ``depth`` words whose parts all passed, summed by hash.
+
+    For three words, the rows with ``word`` are the words of the pairs that passed, each by its own hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        tests = [p.value for p in passes]
+        tests, paired = [p.value for p in passes], np.zeros(0, np.uint64)
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
             h, n = (np.concatenate([x[i] for x in held]) for i in range(2))
             h, number = np.unique(h, return_inverse=True)
             return h, np.bincount(number, n, len(h)).astype(np.int64)
 
-        def out() -> pa.RecordBatch:
-            h, n = held[0]
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+        def out(h: np.ndarray, n: np.ndarray, word: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(np.full(len(h), word))], ["h", "n", "word"])
 
         for batch in batches:
             for lang, *parts in zip(*(batch.column(n).to_pylist() for n in ("lang", "words", "counts", "sparse", "dense")), strict=True):
-                for live, h in Shard(*parts).levels(seed_of(lang), tests, depth):
-                    pass
+                levels = list(Shard(*parts).levels(seed_of(lang), tests, depth))
+                if depth == 3:
+                    at = np.flatnonzero(levels[1][0])
+                    paired = np.unique(np.concatenate([paired, levels[0][1][at], levels[0][1][at - 1]]))
+                live, h = levels[-1]
                 live[:context] = False
                 held.append(np.unique(h[live], return_counts=True))
                 if sum(len(x[0]) for x in held[1:]) > HELD:
                     held = [summed()]
                     if len(held[0][0]) > HELD:
-                        yield out()
+                        yield out(*held[0], False)
                         held = []
+                if len(paired) > HELD:
+                    yield out(paired, np.zeros(len(paired), np.int64), True)
+                    paired = paired[:0]
         if held:
-            held = [summed()]
-            yield out()
+            yield out(*summed(), False)
+        yield out(paired, np.zeros(len(paired), np.int64), True)
         W.tidy()
 
-    sums = shards.select("lang", "words", "counts", "sparse", "dense").mapInArrow(run, "h long, n long")
-    return sums.groupBy("h").agg(F.sum("n").alias("n"))
+    sums = shards.select("lang", "words", "counts", "sparse", "dense").mapInArrow(run, "h long, n long, word boolean")
+    return sums.groupBy("h", "word").agg(F.sum("n").alias("n"))
+
 
+def search(shard: Shard, depths: np.ndarray, alone: np.ndarray, context: int, longest: int) -> Iterator[tuple[bytes, int, int]]:
+    """Depth first, all phrases within ``depths`` (how many words may end at a place): (phrase, its words, popcount).
 
-def search(shard: Shard, depths: np.ndarray, context: int, longest: int) -> Iterator[tuple[bytes, int, int]]:
-    """Depth first, all phrases within ``depths`` (how many words may end at a place): (phrase, its words, popcount)."""
+    Single words are counted at the places ``alone``.
+    """
     live = depths > 0
-    own = live.copy()
+    own = alone.copy()
     own[:context] = False
     count = np.bincount(shard.code[own], minlength=len(shard.words) + 1)
     for k in np.flatnonzero(count).tolist():
@@ -229,11 +240,11 @@ def search(shard: Shard, depths: np.ndarray, context: int, longest: int) -> Iter
             yield from grow(words[code[ends[0]] - 1], ends.tolist(), 2)
 
 
-def phrases(shards: DataFrame, passes: list, longest: int, context: int) -> DataFrame:
-    """``lang``, ``phrase``, ``k`` (its words) and ``f``: exact counts of the phrases that passed, of 1 to ``longest`` words."""
+def phrases(shards: DataFrame, passes: list, paired, longest: int, context: int) -> DataFrame:
+    """``lang``, ``phrase``, ``k`` (its words) and ``f``: exact counts of the phrases that passed, of 2 to ``longest`` words, and of the words ``paired`` lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests, found = [p.value for p in passes], Counter()
+        tests, found, parts_of = [p.value for p in passes], Counter(), paired.value
 
         def out() -> pa.RecordBatch:
             cols = [pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.binary()).cast(pa.string()), pa.array([x[2] for x in found], pa.int32()), pa.array(list(found.values()), pa.int64())]
@@ -242,9 +253,12 @@ def phrases(shards: DataFrame, passes: list, longest: int, context: int) -> Data
         for batch in batches:
             for lang, *parts in zip(*(batch.column(n).to_pylist() for n in ("lang", "words", "counts", "sparse", "dense")), strict=True):
                 shard, depths = Shard(*parts), np.zeros(PLACES, np.uint8)
-                for live, _ in shard.levels(seed_of(lang), tests, longest):
+                for k, (live, h) in enumerate(shard.levels(seed_of(lang), tests, longest)):
                     depths += live
-                for phrase, k, n in search(shard, depths, context, longest):
+                    if not k:
+                        alone = live.copy()
+                        alone[live] = parts_of(h[live])
+                for phrase, k, n in search(shard, depths, alone, context, longest):
                     found[lang, phrase, k] += n
                 if len(found) > HELD // 4:
                     yield out()
@@ -316,9 +330,11 @@ def collocations(
     shards = scratch.write(index(docs, lang_col=lang_col, text_col=text_col, context=context), "shards")
     passes: list = []
     for k in range(1, longest):
-        frequent = scratch.write(supports(shards, passes, k, context).where(F.col("n") >= support).select("h"), f"frequent-{k}")
-        passes.append(spark.sparkContext.broadcast(Filter.of(frequent)))
-    counted = scratch.write(phrases(shards, passes, longest, context).where(F.col("f") >= support), "phrases")
+        sums = scratch.write(supports(shards, passes, k, context).where((F.col("n") >= support) | F.col("word")), f"frequent-{k}")
+        passes.append(spark.sparkContext.broadcast(Filter.of(sums.where("not word").select("h"))))
+        if k == 3:
+            paired = spark.sparkContext.broadcast(Filter.of(sums.where("word").select("h")))
+    counted = scratch.write(phrases(shards, passes, paired if longest > 3 else passes[0], longest, context).where(F.col("f") >= support), "phrases")
     totals = scratch.write(shards.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
     out = scored(counted, totals, support=support, covered=covered)
     best = ranked(out, [F.desc("score"), F.desc("a"), F.col("phrase")], "lang", most)
