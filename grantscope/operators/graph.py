@@ -17,9 +17,12 @@ def guarded_edges(calls: DataFrame, callees: DataFrame, *, name: str = "name", l
 
     ``calls`` has caller_id, caller_ord and the name; ``callees`` has id and the name.
     Names of many callees are dropped before the join, so a common name never makes
-    all its pairs.  A function that calls itself has no edge; repeated calls have one.
+    all its pairs.  Of each name one callee more than the limit is kept at most, and that before
+    rows of a name meet.  A function that calls itself has no edge; repeated calls have one.
     """
-    few = callees.groupBy(name).agg(F.collect_set("id").alias("ids"), F.count("*").alias("n")).where(F.col("n") <= limit)
+    nth = F.row_number().over(Window.partitionBy(name).orderBy("id"))
+    some = callees.withColumn("_nth", nth).where(F.col("_nth") <= limit + 1)
+    few = some.groupBy(name).agg(F.collect_set("id").alias("ids"), F.count("*").alias("n")).where(F.col("n") <= limit)
     pairs = calls.join(few, name).select(F.explode("ids").alias("callee_id"), "caller_id", "caller_ord")
     return pairs.where(F.col("callee_id") != F.col("caller_id")).distinct()
 

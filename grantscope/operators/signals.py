@@ -9,31 +9,55 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog, text
 from ..functions.catalog import Signal
+from .needles import needed, places
 
+#: How code names a permission by a constant, by a quoted literal, and by the Dart plugin.
 CONSTANT = r"Manifest\.permission\.([A-Z0-9_]+)"
 LITERAL = r'"((?:android|com\.android\.vending|com\.google\.android\.gms)[\w.]*\.(?:permission\.)?[A-Z0-9_]+)"'
 DART = r"\bPermission\.([a-zA-Z]\w*)"
 USAGE = ["permission", "file", "line", "module", "package", "symbol", "kind", "evidence", "confidence", "snippet", "ord"]
+FILE = ["module", "language", "package", "imports"]
+
+
+def _near(at: Column) -> Column:
+    """The code of the four lines around a line of a file, blank ones included, as one text."""
+    return F.array_join(F.slice(F.col("code"), F.greatest(at - 3, F.lit(1)), at + 5 - F.greatest(at - 4, F.lit(0))), " ")
 
 
 def code_lines(sources: DataFrame) -> DataFrame:
     """A row per line that is not blank: raw, code and the code of the four lines around it."""
-    df = sources.select("relative_path", "module", "language", "package", "imports", F.posexplode(F.arrays_zip("raw", "code")).alias("p", "x"), "code")
-    # the window counts blank lines too, so it is cut from the file's own array
-    near = F.array_join(F.slice(F.col("code"), F.greatest(F.col("p") - 3, F.lit(1)), F.col("p") + 5 - F.greatest(F.col("p") - 4, F.lit(0))), " ")
-    df = df.select(F.col("relative_path").alias("file"), "module", "language", "package", "imports", (F.col("p") + 1).alias("line"), F.col("x.raw").alias("raw"), F.col("x.code").alias("code"), near.alias("window"))
+    df = sources.select("relative_path", *FILE, F.posexplode(F.arrays_zip("raw", "code")).alias("p", "x"), "code")
+    df = df.select(F.col("relative_path").alias("file"), *FILE, (F.col("p") + 1).alias("line"), F.col("x.raw").alias("raw"), F.col("x.code").alias("code"), _near(F.col("p")).alias("window"))
     return df.where(F.col("code").rlike(r"\S"))
 
 
-def matches(line: Column, signals: Sequence[Signal], imports: Column | None = None) -> Column:
+def candidate_lines(sources: DataFrame, signals: Sequence[Signal] = catalog.SIGNALS) -> DataFrame:
+    """The rows of :func:`code_lines` that can hold a usage, with ``hits``: the signals whose literals the line holds.
+
+    One pass over each file finds the literals of all signals and of all ways to name a permission.  If a signal needs no
+    literal, all lines that are not blank are kept.
+    """
+    groups = [needed(s.pattern) for s in signals]
+    named = [needed(x) for x in (CONSTANT, LITERAL, DART)]
+    found = places(F.col("code"), [g or frozenset() for g in groups] + named, every=None in groups)
+    df = sources.select("relative_path", *FILE, "raw", "code", F.explode(found).alias("x")).withColumn("p", F.col("x.at"))
+    df = df.select(F.col("relative_path").alias("file"), *FILE, (F.col("p") + 1).alias("line"), F.col("raw")[F.col("p")].alias("raw"), F.col("code")[F.col("p")].alias("line_code"), _near(F.col("p")).alias("window"), F.col("x.hits").alias("hits"))
+    df = df.withColumnRenamed("line_code", "code")
+    return df.where(F.col("code").rlike(r"\S")) if None in groups else df
+
+
+def matches(line: Column, signals: Sequence[Signal], imports: Column | None = None, hits: Column | None = None) -> Column:
     """All signals whose pattern is found in the line, as array of struct(ord, permission, label, confidence).
 
     Patterns are literals, so each is compiled once.  A signal with import needles counts
-    only where an import holds one of them.
+    only where an import holds one of them.  ``hits`` has the signals whose literals the line holds, and
+    the patterns of others that need a literal are not tried.
     """
     tests = []
     for n, s in enumerate(signals):
         hit = line.rlike(s.pattern)
+        if hits is not None and needed(s.pattern):
+            hit = F.array_contains(hits, n) & hit
         if s.import_needles and imports is not None:
             hit = hit & _some(imports, s.import_needles)
         tests.append(F.when(hit, F.struct(F.lit(n).alias("ord"), F.lit(s.permission).alias("permission"), F.lit(s.label).alias("label"), F.lit(s.confidence).alias("confidence"))))
@@ -62,34 +86,45 @@ def references(line: Column) -> Column:
     return F.array_distinct(F.concat(constants, F.regexp_extract_all(line, F.lit(LITERAL), F.lit(1))))
 
 
+def _usage(permission: Column, symbol: Column, kind: Column, evidence: Column, confidence: Column, a: int, b: Column, c: Column) -> Column:
+    order = F.struct(F.lit(a).alias("a"), b.cast("int").alias("b"), c.cast("int").alias("c"))
+    return F.struct(permission.alias("permission"), symbol.alias("symbol"), kind.alias("kind"), evidence.alias("evidence"), confidence.alias("confidence"), order.alias("ord"))
+
+
+def _first_each(found: Column) -> Column:
+    """The first of equal permission, kind and evidence; for arrays whose length the catalog bounds."""
+    same = lambda x, y: (x["permission"] == y["permission"]) & (x["kind"] == y["kind"]) & (x["evidence"] == y["evidence"])
+    return F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: same(x, y)))
+
+
 def usages(lines: DataFrame, signals: Sequence[Signal] = catalog.SIGNALS) -> DataFrame:
-    """Usages of permissions on code lines; of equal (file, line, kind, evidence) the first is kept."""
-    snippet = text.snippet(F.col("raw"))
-    base = ["file", "line", "module", "package"]
-    hits = lines.withColumn("s", F.explode(matches(F.col("code"), signals, F.col("imports")))).select(
-        F.col("s.permission").alias("permission"), *base, F.col("s.label").alias("symbol"), F.lit("API_CALL").alias("kind"), F.col("s.label").alias("evidence"),
-        F.col("s.confidence").alias("confidence"), snippet.alias("snippet"), F.struct(F.lit(0).alias("a"), F.col("s.ord").alias("b"), F.lit(0).alias("c")).alias("ord"),
-    )
+    """Usages of permissions on code lines; of equal (file, line, kind, evidence) the first is kept.
+
+    All usages of a line are one array of its row, in their order, so nothing is shuffled.  ``lines`` are those of
+    :func:`candidate_lines`, or of :func:`code_lines`.
+    """
+    code, zero = F.col("code"), F.lit(0)
+    hits = F.col("hits") if "hits" in lines.columns else None
+    called = F.transform(matches(code, signals, F.col("imports"), hits), lambda s: _usage(s["permission"], s["label"], F.lit("API_CALL"), s["label"], s["confidence"], 0, s["ord"], zero))
     names = F.create_map(*[x for k, v in catalog.DART_NAMES.items() for x in (F.lit(k), F.array(*[F.lit(f"android.permission.{n}") for n in v]))])
-    code = F.col("code")
     asked = F.contains(code, F.lit(".request(")) | F.contains(code, F.lit("requestPermissions"))
     checked = text_any(code, [".status", "isGranted", "isDenied", ".isPermanentlyDenied"])
-    kinds = F.array_compact(F.array(
-        F.struct(F.lit("API_CALL").alias("kind"), F.concat(F.lit("permission_handler: Permission."), F.col("name")).alias("evidence")),
-        F.when(asked, F.struct(F.lit("REQUEST").alias("kind"), F.lit("permission_handler request").alias("evidence"))).when(checked, F.struct(F.lit("CHECK").alias("kind"), F.lit("permission_handler status check").alias("evidence"))),
-    ))
-    dart = lines.where("language = 'Dart'").select("*", F.posexplode(F.regexp_extract_all(code, F.lit(DART), F.lit(1))).alias("at", "name"))
-    dart = dart.select("*", F.explode(names[F.col("name")]).alias("permission")).select("*", F.posexplode(kinds).alias("nth", "k")).select(
-        "permission", *base, F.concat(F.lit("Permission."), F.col("name")).alias("symbol"), F.col("k.kind").alias("kind"), F.col("k.evidence").alias("evidence"),
-        F.lit("HIGH").alias("confidence"), snippet.alias("snippet"), F.struct(F.lit(1).alias("a"), F.col("at").alias("b"), F.col("nth").alias("c")).alias("ord"),
-    )
+    more = F.when(asked, F.struct(F.lit("REQUEST").alias("kind"), F.lit("permission_handler request").alias("evidence"))).when(checked, F.struct(F.lit("CHECK").alias("kind"), F.lit("permission_handler status check").alias("evidence")))
+
+    def of_name(name: Column, at: Column) -> Column:
+        kinds = F.array_compact(F.array(F.struct(F.lit("API_CALL").alias("kind"), F.concat(F.lit("permission_handler: Permission."), name).alias("evidence")), more))
+        known = F.coalesce(names[name], F.array().cast("array<string>"))
+        return F.flatten(F.transform(known, lambda p: F.transform(kinds, lambda k, nth: _usage(p, F.concat(F.lit("Permission."), name), k["kind"], k["evidence"], F.lit("HIGH"), 1, at, nth))))
+
+    known = F.filter(F.array_distinct(F.regexp_extract_all(code, F.lit(DART), F.lit(1))), lambda name: F.map_contains_key(names, name))
+    dart = F.when(F.col("language") == "Dart", F.flatten(F.transform(known, of_name)))
     kind = F.coalesce(classify(code), classify(F.col("window")), F.lit("PERMISSION_STRING"))
-    evidence = F.when(F.col("kind") == "REQUEST", "Runtime permission request").when(F.col("kind") == "CHECK", "Permission state check").otherwise("Permission constant reference")
-    named = lines.withColumn("kind", kind).select("*", F.posexplode(references(code)).alias("at", "permission")).select(
-        "permission", *base, text.short_name(F.col("permission")).alias("symbol"), "kind", evidence.alias("evidence"), F.lit("HIGH").alias("confidence"),
-        snippet.alias("snippet"), F.struct(F.lit(2).alias("a"), F.col("at").alias("b"), F.lit(0).alias("c")).alias("ord"),
-    )
-    return first_of(hits.unionByName(dart).unionByName(named), ["permission", "file", "line", "kind", "evidence"], ["ord"])
+    evidence = F.when(F.col("as") == "REQUEST", "Runtime permission request").when(F.col("as") == "CHECK", "Permission state check").otherwise("Permission constant reference")
+    named = F.transform(references(code), lambda p, at: _usage(p, text.short_name(p), F.col("as"), evidence, F.lit("HIGH"), 2, at, zero))
+    found = lines.withColumn("as", kind).select("file", "line", "module", "package", text.snippet(F.col("raw")).alias("snippet"), called.alias("called"), dart.alias("dart"), named.alias("named"))
+    none = F.array().cast(found.schema["named"].dataType)
+    every = F.concat(_first_each(F.col("called")), F.coalesce(_first_each(F.col("dart")), none), F.col("named"))
+    return found.select("file", "line", "module", "package", "snippet", F.inline(every)).select(*USAGE)
 
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -170,7 +170,7 @@ def assemble(spark: SparkSession, root: str, sources: DataFrame, manifests: Data
     began = began or time.time()
     sources, manifests, build = checkpointed(sources), checkpointed(manifests), checkpointed(build)
     decls = checkpointed(graph.entry_kinds(declarations.declarations(sources)))
-    found = checkpointed(located(signals.usages(signals.code_lines(sources)), decls))
+    found = checkpointed(located(signals.usages(signals.candidate_lines(sources)), decls))
     components = project.manifest_components(manifests)
     declared = checkpointed(project.declared(manifests))
     reports = checkpointed(permission_reports(found, declared, catalog.specs(spark), catalog.alternatives(spark)))

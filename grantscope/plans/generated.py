@@ -328,7 +328,7 @@ def project_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def project_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usages on code lines with their enclosing declaration."""
     sources = project.source_rows(source_files(spark, sf_dir))
-    found = analyze.located(signals.usages(signals.code_lines(sources)), declarations.declarations(sources))
+    found = analyze.located(signals.usages(signals.candidate_lines(sources)), declarations.declarations(sources))
     return found.select("permission", "file", "line", "kind", "evidence", "confidence", "snippet", "enclosing", "target")
 
 
@@ -367,7 +367,7 @@ declarations::INTEGER AS n_declarations FROM reports""")
 def project_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usages against declarations by permission, described and classified (S7-S9, P17, J5-J7, U10, A1, SO1, decision tables)."""
     sources, declared = project.source_rows(source_files(spark, sf_dir)), project.declared(project.manifest_rows(manifest_files(spark, sf_dir)))
-    found = analyze.located(signals.usages(signals.code_lines(sources)), declarations.declarations(sources))
+    found = analyze.located(signals.usages(signals.candidate_lines(sources)), declarations.declarations(sources))
     df = analyze.permission_reports(found, declared, catalog.specs(spark), catalog.alternatives(spark))
     return df.select("permission", F.col("shortName").alias("short"), "protection", "group", F.col("policyNote").alias("policy_note"), "declared", "status", F.col("riskLevel").alias("risk"), "confidence",
                      F.col("usageCount").alias("n_usages"), F.col("requests").alias("n_requests"), F.col("checks").alias("n_checks"), F.col("declarationCount").alias("n_declarations"))

@@ -11,7 +11,7 @@ from ..functions import catalog, markup, text
 from ..functions.catalog import Signal
 from ..operators import classify, declarations, graph, rules, signals
 from ..server import request_of
-from . import analyze, generated
+from . import analyze, generated, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,7 +84,8 @@ SELECT name, confidence, count(*)::BIGINT AS hits, count(DISTINCT doc_id)::BIGIN
 FROM lines JOIN sig ON regexp_matches(line, pattern) WHERE guarded = 0 OR contains(source, 'src0') OR contains(source, 'src1') GROUP BY ALL""")
 def signal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines against a catalog of patterns, one of them guarded."""
-    df = doc_lines(spark, sf_dir).select("doc_id", F.explode(signals.matches(F.col("code"), DOC_SIGNALS, F.col("imports"))).alias("s"))
+    lines = signals.candidate_lines(doc_sources(spark, sf_dir), DOC_SIGNALS).withColumn("doc_id", F.col("file").cast("long"))
+    df = lines.select("doc_id", F.explode(signals.matches(F.col("code"), DOC_SIGNALS, F.col("imports"), F.col("hits"))).alias("s"))
     return df.groupBy(F.col("s.permission").alias("name"), F.col("s.confidence").alias("confidence")).agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -325,5 +326,6 @@ def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.specs(spark).agg(F.count("*").alias("specs"), F.count_if(F.col("protection") == "DANGEROUS").alias("dangerous"))
 
 
-QUERIES |= generated.QUERIES
-ORACLE_SQL |= generated.ORACLE_SQL
+for module in (generated, samples):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
