@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog
 from ..functions.shared import checkpointed
+from ..sources.project import keys_of
 from .declarations import FUNCTION_KINDS
 
 MAX_CANDIDATES, MAX_PATHS, MAX_DEPTH, MAX_USAGES, MAX_REPORTED = 6, 5, 8, 20, 12
@@ -28,19 +29,24 @@ def guarded_edges(calls: DataFrame, callees: DataFrame, *, name: str = "name", l
 
 
 def call_edges(decls: DataFrame) -> DataFrame:
+    """Edges by name, within each ``project`` where there are several."""
     functions = decls.where(F.col("kind").isin(*FUNCTION_KINDS))
-    calls = functions.select(F.col("id").alias("caller_id"), F.struct("relative_path", "ord").alias("caller_ord"), F.explode("calls").alias("name"))
-    return guarded_edges(calls, functions.select("id", F.col("simple_name").alias("name")))
+    keys = keys_of(decls)
+    within = lambda name: F.struct(*keys, F.col(name)) if keys else F.col(name)
+    calls = functions.select("*", F.explode("calls").alias("_called"))
+    calls = calls.select(F.col("id").alias("caller_id"), F.struct("relative_path", "ord").alias("caller_ord"), within("_called").alias("name"))
+    return guarded_edges(calls, functions.select("id", within("simple_name").alias("name")))
 
 
 def entry_kinds(decls: DataFrame) -> DataFrame:
     """Adds ``entry_kind`` to declarations, null for those that are no entry point."""
     last = F.max_by("super_types", F.struct("relative_path", "ord"))
-    owners = decls.where(~F.col("kind").isin(*FUNCTION_KINDS)).groupBy(F.col("qualified_name").alias("_owner")).agg(last.alias("_supers"))
+    keys = keys_of(decls)
+    owners = decls.where(~F.col("kind").isin(*FUNCTION_KINDS)).groupBy(*keys, F.col("qualified_name").alias("container")).agg(last.alias("_supers"))
     known = F.array(*[F.lit(x) for x in catalog.ENTRY_SUPERTYPES])
     hit = F.try_element_at(F.filter(F.col("_supers"), lambda s: F.array_contains(known, s)), F.lit(1))
     kind = F.when(F.col("kind") == "COMPOSABLE", "COMPOSABLE").when(hit.isNotNull(), hit).when(F.col("simple_name").isin(*catalog.ENTRY_FUNCTIONS), "LIFECYCLE")
-    return decls.join(owners, F.col("container") == F.col("_owner"), "left").withColumn("entry_kind", kind).drop("_owner", "_supers")
+    return decls.join(owners, [*keys, "container"], "left").withColumn("entry_kind", kind).drop("_supers").select(*decls.columns, "entry_kind")
 
 
 def entry_functions(decls: DataFrame) -> DataFrame:
@@ -93,29 +99,32 @@ def callers_paths(targets: DataFrame, edges: DataFrame, kinds: DataFrame, *, max
 def usage_paths(decls: DataFrame, paths: DataFrame, chosen: DataFrame) -> DataFrame:
     """Call paths per permission, as sorted arrays of at most twelve.
 
-    ``chosen`` has permission, nth (of the usage) and target; equal paths, by symbol
-    and line of their nodes, are reported once, where they come first.
+    ``chosen`` has permission, nth (of the usage) and target, and ``project`` where there are several; equal
+    paths, by symbol and line of their nodes, are reported once, where they come first.
     """
-    rows = chosen.join(paths, "target").select("permission", "nth", "level", "pos", "entry_kind", "nodes")
+    own = [*keys_of(chosen), "permission"]
+    rows = chosen.join(paths, "target").select(*own, "nth", "level", "pos", "entry_kind", "nodes")
     nodes = rows.select("*", F.posexplode("nodes").alias("at", "id")).join(decls.select("id", "qualified_name", "relative_path", "start_line"), "id")
     node = F.struct(F.col("qualified_name").alias("symbol"), F.col("relative_path").alias("file"), F.col("start_line").alias("line"))
-    built = nodes.groupBy("permission", "nth", "level", "pos", "entry_kind").agg(F.sort_array(F.collect_list(F.struct("at", node.alias("node")))).alias("x"))
+    built = nodes.groupBy(*own, "nth", "level", "pos", "entry_kind").agg(F.sort_array(F.collect_list(F.struct("at", node.alias("node")))).alias("x"))
     built = built.withColumn("nodes", F.transform("x", lambda v: v["node"]))
     name = F.array_join(F.transform("nodes", lambda v: F.concat_ws(":", v["symbol"], v["line"].cast("string"))), ", ")
     built = built.withColumn("name", name)
-    first = F.row_number().over(Window.partitionBy("permission", "name").orderBy("nth", "level", "pos"))
+    first = F.row_number().over(Window.partitionBy(*own, "name").orderBy("nth", "level", "pos"))
     built = built.withColumn("n", first).where("n = 1")
     head = F.col("nodes")[0]
     path = F.struct(head["symbol"].alias("entryPoint"), F.col("entry_kind").alias("entryKind"), F.size("nodes").alias("depth"), "nodes")
     ordered = F.sort_array(F.collect_list(F.struct("nth", "level", "pos", path.alias("path"))))
-    return built.groupBy("permission").agg(F.slice(F.transform(ordered, lambda v: v["path"]), 1, MAX_REPORTED).alias("callPaths"))
+    return built.groupBy(*own).agg(F.slice(F.transform(ordered, lambda v: v["path"]), 1, MAX_REPORTED).alias("callPaths"))
 
 
-def inverted(rows: DataFrame, *, key: str, value: str, order: list[str], carry: list[str]) -> DataFrame:
-    """Per key the sorted set of values, and of ``carry`` what the last row has; most values first."""
+def inverted(rows: DataFrame, *, key: str | list[str], value: str, order: list[str], carry: list[str], place: str | None = None) -> DataFrame:
+    """Per key, of one column or several, the sorted set of values, and of ``carry`` what the last row has; most values first, then by
+    the least ``order``, which ``place`` names as a column if it is wanted."""
     last = F.max_by(F.struct(*carry), F.struct(*order))
-    out = rows.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("reached"), last.alias("_last"), F.min(F.struct(*order)).alias("_first"))
-    return out.select(key, *[F.col(f"_last.{c}").alias(c) for c in carry], "reached", "_first").orderBy(F.desc(F.size("reached")), "_first").drop("_first")
+    key = [key] if isinstance(key, str) else key
+    out = rows.groupBy(*key).agg(F.sort_array(F.collect_set(value)).alias("reached"), last.alias("_last"), F.min(F.struct(*order)).alias("_first"))
+    return out.select(*key, *[F.col(f"_last.{c}").alias(c) for c in carry], "reached", "_first").orderBy(*key[:-1], F.desc(F.size("reached")), "_first").withColumnRenamed("_first", place or "_first").drop("_first")
 
 
 def module_of_file(file: Column) -> Column:

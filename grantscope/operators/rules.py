@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import checkpointed
+from ..sources.project import keys_of
 from .classify import severity_rank
 
 USAGE = "struct<file:string,line:int,module:string,enclosing:string,symbol:string,kind:string,evidence:string,confidence:string,snippet:string>"
@@ -117,8 +118,8 @@ def finding(rule: str, severity: Column | str, *, subject: Column | None = None,
 
 
 def any_of(df: DataFrame, rules: list[tuple[Column, Column]]) -> DataFrame:
-    """A row for each rule that a row of ``df`` meets: one pass, however many rules."""
-    return df.select(F.explode(F.array_compact(F.array(*[F.when(test, made) for test, made in rules]))).alias("f")).select("f.*")
+    """A row for each rule that a row of ``df`` meets, with its ``project`` if it has one: one pass, however many rules."""
+    return df.select(*keys_of(df), F.explode(F.array_compact(F.array(*[F.when(test, made) for test, made in rules]))).alias("f")).select(*keys_of(df), "f.*")
 
 
 def _manifest_place(file: Column, line: Column, module: Column, symbol: Column, evidence: str, snippet: Column) -> Column:
@@ -153,18 +154,33 @@ def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
     return out.drop("_one")
 
 
+def each_project(keys: list[str], *tables: DataFrame) -> DataFrame:
+    """A row per project of any table, with the columns of all; counts and flags that a table lacks are 0 and false."""
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.join(other, keys, "full_outer")
+    zero = {f.name: F.coalesce(F.col(f.name), F.lit(0 if f.dataType.simpleString() == "bigint" else False)) for f in out.schema.fields if f.dataType.simpleString() in ("bigint", "boolean")}
+    return out.withColumns(zero)
+
+
 def project_findings(reports: DataFrame, build: DataFrame, manifests: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rules on the project: one row of flags, so empty inputs still give a row."""
+    """Rules on the project: one row of flags, so empty inputs still give a row.
+
+    Of several projects, told apart by ``project`` in every input, each has a row: those with a source, a
+    manifest or a build script.
+    """
+    keys = keys_of(build)
     named = lambda n: F.col("permission") == (n if "." in n else PERMISSION + n)
     has = lambda n: F.coalesce(F.bool_or(named(n) & F.col("declared")), F.lit(False))
     uses = lambda n: F.coalesce(F.bool_or(named(n) & (F.col("usageCount") > 0)), F.lit(False))
-    flags = reports.agg(
+    flags = reports.groupBy(*keys).agg(
         F.coalesce(F.bool_or(named("WRITE_EXTERNAL_STORAGE") & F.col("open_ended")), F.lit(False)).alias("open_storage"),
         has("POST_NOTIFICATIONS").alias("notify"), uses("POST_NOTIFICATIONS").alias("notifies"), F.max(F.when(named("POST_NOTIFICATIONS"), F.col("firstUsages"))).alias("notified"),
         has("ACCESS_FINE_LOCATION").alias("fine"), has("ACCESS_COARSE_LOCATION").alias("coarse"), has("ACCESS_BACKGROUND_LOCATION").alias("background"),
         has(AD_ID).alias("ad_id"), has("INTERNET").alias("internet"), uses("INTERNET").alias("network"),
     )
-    one = beside(flags, build, manifests.agg(F.count("*").alias("n_manifests")), sources.agg(F.count("*").alias("n_sources")))
+    counts = [df.groupBy(*keys).agg(F.count("*").alias(name)) for df, name in ((manifests, "n_manifests"), (sources, "n_sources"))]
+    one = each_project(keys, flags, build, *counts) if keys else beside(flags, build, *counts)
     c, sdk = F.col, F.coalesce(F.col("target_sdk") >= ADS_SDK, F.lit(False))
     ads = F.coalesce(F.exists("dependencies", lambda d: F.contains(d, F.lit("play-services-ads")) | F.contains(d, F.lit("admob"))), F.lit(False))
     make = lambda block, rule, severity, permission=None, **more: finding(rule, severity, permission=None if permission is None else F.lit(permission), block=block, order=F.lit(""), **more)
@@ -192,17 +208,17 @@ def manifest_findings(manifests: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def numbered(findings: DataFrame, prefix: str = "F") -> DataFrame:
-    """Ids in order of emission, rows in order of severity.
+    """Ids in order of emission, rows in order of severity, within each ``project`` where there are several.
 
     Findings are dealt out by ranges of their order, numbered within a range, and moved on
-    by the number of those before: no task has them all.
+    by the number of those before: no task has them all, nor all of a project.
     """
-    key = ["block", "order", "nth"]
-    dealt = checkpointed(findings.repartitionByRange(*key).withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))  # a row per shuffle partition at most
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*key)) + F.col("_before")
-    out = dealt.join(F.broadcast(sizes), "_range").withColumn("_n", rank).withColumn("id", F.format_string(prefix + "-%03d", F.col("_n")))
-    out = out.orderBy(severity_rank(F.col("severity")), "_n")
-    return out.select("id", "rule", "severity", "title", "detail", "permission", "recommendation", "locations")
+    own, key = keys_of(findings), ["block", "order", "nth"]
+    dealt = checkpointed(findings.repartitionByRange(*own, *key).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*own, "_range").agg(F.count("*").alias("_size"))  # of one project a row per shuffle partition at most
+    before = Window.partitionBy(*own).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*own, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*own, "_range").orderBy(*key)) + F.col("_before")
+    out = dealt.join(sizes if own else F.broadcast(sizes), [*own, "_range"]).withColumn("_n", rank).withColumn("id", F.format_string(prefix + "-%03d", F.col("_n")))
+    out = out.orderBy(*own, severity_rank(F.col("severity")), "_n")
+    return out.select(*own, "id", "rule", "severity", "title", "detail", "permission", "recommendation", "locations")

@@ -16,7 +16,11 @@ CONSTANT = r"Manifest\.permission\.([A-Z0-9_]+)"
 LITERAL = r'"((?:android|com\.android\.vending|com\.google\.android\.gms)[\w.]*\.(?:permission\.)?[A-Z0-9_]+)"'
 DART = r"\bPermission\.([a-zA-Z]\w*)"
 USAGE = ["permission", "file", "line", "module", "package", "symbol", "kind", "evidence", "confidence", "snippet", "ord"]
-FILE = ["module", "language", "package", "imports"]
+FILE = ["project", "module", "language", "package", "imports"]
+
+
+def _kept(df: DataFrame, names: Sequence[str]) -> list[str]:
+    return [c for c in names if c in df.columns]
 
 
 def _near(at: Column) -> Column:
@@ -26,8 +30,9 @@ def _near(at: Column) -> Column:
 
 def code_lines(sources: DataFrame) -> DataFrame:
     """A row per line that is not blank: raw, code and the code of the four lines around it."""
-    df = sources.select("relative_path", *FILE, F.posexplode(F.arrays_zip("raw", "code")).alias("p", "x"), "code")
-    df = df.select(F.col("relative_path").alias("file"), *FILE, (F.col("p") + 1).alias("line"), F.col("x.raw").alias("raw"), F.col("x.code").alias("code"), _near(F.col("p")).alias("window"))
+    own = _kept(sources, FILE)
+    df = sources.select("relative_path", *own, F.posexplode(F.arrays_zip("raw", "code")).alias("p", "x"), "code")
+    df = df.select(F.col("relative_path").alias("file"), *own, (F.col("p") + 1).alias("line"), F.col("x.raw").alias("raw"), F.col("x.code").alias("code"), _near(F.col("p")).alias("window"))
     return df.where(F.col("code").rlike(r"\S"))
 
 
@@ -40,8 +45,9 @@ def candidate_lines(sources: DataFrame, signals: Sequence[Signal] = catalog.SIGN
     groups = [needed(s.pattern) for s in signals]
     named = [needed(x) for x in (CONSTANT, LITERAL, DART)]
     found = places(F.col("code"), [g or frozenset() for g in groups] + named, every=None in groups)
-    df = sources.select("relative_path", *FILE, "raw", "code", F.explode(found).alias("x")).withColumn("p", F.col("x.at"))
-    df = df.select(F.col("relative_path").alias("file"), *FILE, (F.col("p") + 1).alias("line"), F.col("raw")[F.col("p")].alias("raw"), F.col("code")[F.col("p")].alias("line_code"), _near(F.col("p")).alias("window"), F.col("x.hits").alias("hits"))
+    own = _kept(sources, FILE)
+    df = sources.select("relative_path", *own, "raw", "code", F.explode(found).alias("x")).withColumn("p", F.col("x.at"))
+    df = df.select(F.col("relative_path").alias("file"), *own, (F.col("p") + 1).alias("line"), F.col("raw")[F.col("p")].alias("raw"), F.col("code")[F.col("p")].alias("line_code"), _near(F.col("p")).alias("window"), F.col("x.hits").alias("hits"))
     df = df.withColumnRenamed("line_code", "code")
     return df.where(F.col("code").rlike(r"\S")) if None in groups else df
 
@@ -121,10 +127,11 @@ def usages(lines: DataFrame, signals: Sequence[Signal] = catalog.SIGNALS) -> Dat
     kind = F.coalesce(classify(code), classify(F.col("window")), F.lit("PERMISSION_STRING"))
     evidence = F.when(F.col("as") == "REQUEST", "Runtime permission request").when(F.col("as") == "CHECK", "Permission state check").otherwise("Permission constant reference")
     named = F.transform(references(code), lambda p, at: _usage(p, text.short_name(p), F.col("as"), evidence, F.lit("HIGH"), 2, at, zero))
-    found = lines.withColumn("as", kind).select("file", "line", "module", "package", text.snippet(F.col("raw")).alias("snippet"), called.alias("called"), dart.alias("dart"), named.alias("named"))
+    base = _kept(lines, ["project", "file", "line", "module", "package"])
+    found = lines.withColumn("as", kind).select(*base, text.snippet(F.col("raw")).alias("snippet"), called.alias("called"), dart.alias("dart"), named.alias("named"))
     none = F.array().cast(found.schema["named"].dataType)
     every = F.concat(_first_each(F.col("called")), F.coalesce(_first_each(F.col("dart")), none), F.col("named"))
-    return found.select("file", "line", "module", "package", "snippet", F.inline(every)).select(*USAGE)
+    return found.select(*base, "snippet", F.inline(every)).select(*_kept(lines, ["project"]), *USAGE)
 
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -133,8 +140,8 @@ def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return df.withColumn("_n", rank).where("_n = 1").drop("_n")
 
 
-def full_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Full outer join on a key, with flags ``in_left`` and ``in_right``."""
+def full_match(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
+    """Full outer join on a key or several, with flags ``in_left`` and ``in_right``."""
     a, b = left.withColumn("in_left", F.lit(True)), right.withColumn("in_right", F.lit(True))
     joined = a.join(b, key, "full_outer")
     return joined.withColumn("in_left", F.coalesce("in_left", F.lit(False))).withColumn("in_right", F.coalesce("in_right", F.lit(False)))

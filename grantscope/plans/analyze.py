@@ -12,6 +12,7 @@ from ..functions import catalog, text
 from ..functions.shared import checkpointed, in_order
 from ..operators import classify, declarations, graph, rules, signals
 from ..sources import project
+from ..sources.project import keys_of
 
 DECLARATION_FIELDS = ["file", "line", "module", "maxSdkVersion", "sdk23Only", "snippet"]
 NO_DECLARATIONS = "array<struct<file:string,line:int,module:string,maxSdkVersion:int,sdk23Only:boolean,snippet:string>>"
@@ -34,6 +35,7 @@ class Analysis:
     sources: DataFrame
     manifests: DataFrame
     components: DataFrame
+    declared: DataFrame
     build: DataFrame
     usages: DataFrame
     reports: DataFrame
@@ -47,8 +49,9 @@ class Analysis:
 
 def located(lines_usages: DataFrame, decls: DataFrame) -> DataFrame:
     """Adds to usages the innermost function (else type) around the line, or the package."""
-    spans = decls.select("id", "qualified_name", "start_line", "end_line", "ord", F.col("relative_path").alias("file"), F.col("kind").isin(*declarations.FUNCTION_KINDS).alias("function"))
-    out = declarations.innermost(lines_usages, spans, point_keys=["file"], point="line", first="function")
+    keys = keys_of(decls)
+    spans = decls.select(*keys, "id", "qualified_name", "start_line", "end_line", "ord", F.col("relative_path").alias("file"), F.col("kind").isin(*declarations.FUNCTION_KINDS).alias("function"))
+    out = declarations.innermost(lines_usages, spans, point_keys=[*keys, "file"], point="line", first="function").drop("in_project")
     return out.withColumn("enclosing", F.coalesce("in_qualified_name", "package")).withColumnRenamed("in_id", "target").drop("in_qualified_name", "in_start_line", "in_end_line", "in_ord", "in_file", "in_function")
 
 
@@ -60,7 +63,7 @@ def first_places(rows: DataFrame, keys: list[str], order: list[Column], fields:
 
 
 def as_declarations(declared: DataFrame) -> DataFrame:
-    return declared.select("permission", "pos", "file", "line", "module", F.col("max_sdk").alias("maxSdkVersion"), F.col("sdk23_only").alias("sdk23Only"), "snippet")
+    return declared.select(*keys_of(declared), "permission", "pos", "file", "line", "module", F.col("max_sdk").alias("maxSdkVersion"), F.col("sdk23_only").alias("sdk23Only"), "snippet")
 
 
 def permission_reports(usages: DataFrame, declared: DataFrame, specs: DataFrame, alternatives: DataFrame) -> DataFrame:
@@ -68,23 +71,26 @@ def permission_reports(usages: DataFrame, declared: DataFrame, specs: DataFrame,
 
     A row holds the numbers of usages of each kind and the first places of them; the
     usages themselves stay rows of their table, so a permission that a whole corpus uses
-    is no large row.  :func:`nested` gathers them for a report.
+    is no large row.  :func:`nested` gathers them for a report.  Where usages and declarations have a ``project``,
+    a row is a permission of a project.
     """
+    keys = keys_of(usages)
+    own = [*keys, "permission"]
     kind, sure = F.col("kind"), F.col("confidence")
     api = kind == "API_CALL"
     n = lambda test: F.count_if(test)
-    used = usages.groupBy("permission").agg(
+    used = usages.groupBy(*own).agg(
         n(api).alias("api"), n(api & (sure != "LOW")).alias("strong"), n(api & (sure == "HIGH")).alias("high"), n(api & (sure == "MEDIUM")).alias("medium"),
         n(kind == "REQUEST").alias("requests"), n(kind == "CHECK").alias("checks"), n(kind == "PERMISSION_STRING").alias("constants"),
     )
     order = [F.col("kind") == "PERMISSION_STRING", F.col("file"), F.col("line"), F.col("ord")]
     for name, kinds in (("firstUsages", ["API_CALL", "PERMISSION_STRING"]), ("firstRequests", ["REQUEST"])):
-        used = used.join(first_places(usages.where(kind.isin(*kinds)), ["permission"], order, USAGE_FIELDS, name), "permission", "left")
-    told = declared.groupBy("permission").agg(F.count("*").alias("declarationCount"), F.bool_or(F.col("max_sdk").isNull()).alias("open_ended"))
-    told = told.join(first_places(as_declarations(declared), ["permission"], [F.col("file"), F.col("pos")], DECLARATION_FIELDS, "firstDeclarations"), "permission", "left")
-    both = signals.full_match(used, told, "permission").withColumn("declared", F.col("in_right")).drop("in_left", "in_right")
-    covered = alternatives.join(told.select(F.col("permission").alias("other")), "other", "left_semi").select(F.col("name").alias("permission")).distinct().withColumn("covered", F.lit(True))
-    both = catalog.described(both.join(covered, "permission", "left"), "permission", specs)
+        used = used.join(first_places(usages.where(kind.isin(*kinds)), own, order, USAGE_FIELDS, name), own, "left")
+    told = declared.groupBy(*own).agg(F.count("*").alias("declarationCount"), F.bool_or(F.col("max_sdk").isNull()).alias("open_ended"))
+    told = told.join(first_places(as_declarations(declared), own, [F.col("file"), F.col("pos")], DECLARATION_FIELDS, "firstDeclarations"), own, "left")
+    both = signals.full_match(used, told, own).withColumn("declared", F.col("in_right")).drop("in_left", "in_right")
+    covered = told.select(*keys, F.col("permission").alias("other")).join(F.broadcast(alternatives), "other").select(*keys, F.col("name").alias("permission")).distinct().withColumn("covered", F.lit(True))
+    both = catalog.described(both.join(covered, own, "left"), "permission", specs)
     counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in ("api", "strong", "high", "medium", "requests", "checks", "constants", "declarationCount")}
     both = both.withColumns(counts | {
         "open_ended": F.coalesce("open_ended", F.lit(False)), "firstUsages": F.coalesce("firstUsages", F.array().cast(rules.NONE)),
@@ -94,7 +100,7 @@ def permission_reports(usages: DataFrame, declared: DataFrame, specs: DataFrame,
     both = both.withColumn("status", classify.status(F.col("declared"), some("api"), some("strong"), some("requests"), some("checks"), some("constants"), F.coalesce("covered", F.lit(False))))
     every = some("api") | some("requests") | some("checks") | some("constants")
     return both.select(
-        "permission", text.short_name(F.col("permission")).alias("shortName"), "protection", "group", "description", "declared", "status",
+        *own, text.short_name(F.col("permission")).alias("shortName"), "protection", "group", "description", "declared", "status",
         classify.risk(F.col("status"), F.col("protection"), some("requests"), F.col("policy_note")).alias("riskLevel"),
         classify.confidence(some("high"), some("medium"), some("requests"), every).alias("confidence"), F.col("policy_note").alias("policyNote"),
         "api", "requests", "checks", "constants", (F.col("api") + F.col("constants")).alias("usageCount"), "declarationCount", "open_ended", "firstUsages", "firstRequests", "firstDeclarations",
@@ -103,10 +109,11 @@ def permission_reports(usages: DataFrame, declared: DataFrame, specs: DataFrame,
 
 def nested(reports: DataFrame, usages: DataFrame, declared: DataFrame) -> DataFrame:
     """Reports with all their usages, declarations and files, as a report shows them: a row per permission gathers them."""
+    own = [*keys_of(reports), "permission"]
     row = F.struct(F.struct("file", "line", "ord").alias("at"), F.struct(*USAGE_FIELDS).alias("u"))
-    found = usages.groupBy("permission").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["u"]).alias("found"))
-    told = as_declarations(declared).groupBy("permission").agg(F.transform(F.sort_array(F.collect_list(F.struct("file", "pos", F.struct(*DECLARATION_FIELDS).alias("d")))), lambda x: x["d"]).alias("declarations"))
-    both = reports.join(found, "permission", "left").join(told, "permission", "left")
+    found = usages.groupBy(*own).agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["u"]).alias("found"))
+    told = as_declarations(declared).groupBy(*own).agg(F.transform(F.sort_array(F.collect_list(F.struct("file", "pos", F.struct(*DECLARATION_FIELDS).alias("d")))), lambda x: x["d"]).alias("declarations"))
+    both = reports.join(found, own, "left").join(told, own, "left")
     both = both.withColumn("found", F.coalesce("found", F.array().cast(rules.NONE))).withColumn("declarations", F.coalesce("declarations", F.array().cast(NO_DECLARATIONS)))
     of_kind = lambda k: F.filter("found", lambda u: u["kind"] == k)
     return both.withColumns({
@@ -117,45 +124,54 @@ def nested(reports: DataFrame, usages: DataFrame, declared: DataFrame) -> DataFr
 
 def chosen_usages(usages: DataFrame) -> DataFrame:
     """Per permission the first twenty API usages, or requests if there is none, with their place in the code."""
-    rows = usages.where(F.col("kind").isin("API_CALL", "REQUEST")).select("permission", "kind", "file", "line", "ord", "target")
-    best = rows.groupBy("permission").agg(F.min("kind").alias("kind"))  # API_CALL comes first
-    nth = F.row_number().over(Window.partitionBy("permission").orderBy("file", "line", "ord"))
-    rows = rows.join(best, ["permission", "kind"], "left_semi").withColumn("nth", nth).where(F.col("nth") <= graph.MAX_USAGES)
-    return rows.where(F.col("target").isNotNull()).select("permission", "nth", "target")
+    own = [*keys_of(usages), "permission"]
+    rows = usages.where(F.col("kind").isin("API_CALL", "REQUEST")).select(*own, "kind", "file", "line", "ord", "target")
+    best = rows.groupBy(*own).agg(F.min("kind").alias("kind"))  # API_CALL comes first
+    nth = F.row_number().over(Window.partitionBy(*own).orderBy("file", "line", "ord"))
+    rows = rows.join(best, [*own, "kind"], "left_semi").withColumn("nth", nth).where(F.col("nth") <= graph.MAX_USAGES)
+    return rows.where(F.col("target").isNotNull()).select(*own, "nth", "target")
 
 
 def module_rows(sources: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Files by language and manifests of each module that has a source."""
+    keys = keys_of(sources)
     count = lambda name: F.count_if(F.col("language") == name).cast("int")
-    mods = sources.groupBy("module").agg(count("Kotlin").alias("kotlinFileCount"), count("Java").alias("javaFileCount"), count("Dart").alias("dartFileCount"))
-    per = manifests.groupBy("module").agg(F.count("*").cast("int").alias("manifestCount"))
-    out = mods.join(per, "module", "left").orderBy("module")
-    return out.select(F.col("module").alias("name"), F.col("module").alias("relativePath"), "kotlinFileCount", "javaFileCount", "dartFileCount", F.coalesce("manifestCount", F.lit(0)).alias("manifestCount"))
+    mods = sources.groupBy(*keys, "module").agg(count("Kotlin").alias("kotlinFileCount"), count("Java").alias("javaFileCount"), count("Dart").alias("dartFileCount"))
+    per = manifests.groupBy(*keys, "module").agg(F.count("*").cast("int").alias("manifestCount"))
+    out = mods.join(per, [*keys, "module"], "left").orderBy(*keys, "module")
+    return out.select(*keys, F.col("module").alias("name"), F.col("module").alias("relativePath"), "kotlinFileCount", "javaFileCount", "dartFileCount", F.coalesce("manifestCount", F.lit(0)).alias("manifestCount"))
 
 
-def entry_points(reports: DataFrame) -> DataFrame:
-    rows = reports.select("permission", F.posexplode("callPaths").alias("nth", "p")).select("permission", "nth", "p.entryPoint", F.col("p.entryKind").alias("kind"), F.col("p.nodes")[0]["file"].alias("file"), F.col("p.nodes")[0]["line"].alias("line"))
-    out = graph.inverted(rows, key="entryPoint", value="permission", order=["permission", "nth"], carry=["kind", "file", "line"])
-    return out.select(F.col("entryPoint").alias("symbol"), "kind", "file", "line", graph.module_of_file(F.col("file")).alias("module"), F.col("reached").alias("reachedPermissions"))
+def entry_points(reports: DataFrame, place: str | None = None) -> DataFrame:
+    """Entry points with the permissions that they reach, most first; ``place`` names a column for what orders equal numbers."""
+    keys = keys_of(reports)
+    rows = reports.select(*keys, "permission", F.posexplode("callPaths").alias("nth", "p")).select(*keys, "permission", "nth", "p.entryPoint", F.col("p.entryKind").alias("kind"), F.col("p.nodes")[0]["file"].alias("file"), F.col("p.nodes")[0]["line"].alias("line"))
+    out = graph.inverted(rows, key=[*keys, "entryPoint"], value="permission", order=["permission", "nth"], carry=["kind", "file", "line"], place=place)
+    return out.select(*[place] * bool(place), *keys, F.col("entryPoint").alias("symbol"), "kind", "file", "line", graph.module_of_file(F.col("file")).alias("module"), F.col("reached").alias("reachedPermissions"))
 
 
 def summary_row(reports: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row of counts, score and grade."""
+    """Counts, score and grade: one row, or one for each ``project`` of the reports or the findings."""
+    keys = keys_of(reports)
     n = lambda test: F.count_if(test).cast("int")
     state = F.col("status")
-    counted = F.filter(F.collect_list(F.struct("permission", "shortName", F.col("usageCount").alias("n"))), lambda x: x["n"] > 0)
-    per = reports.agg(
+    per = reports.groupBy(*keys).agg(
         n(F.col("declared")).alias("declaredPermissionCount"), n(state == "USED").alias("usedPermissionCount"), n(state == "DECLARED_UNUSED").alias("unusedPermissionCount"),
         n(state == "UNDECLARED_USAGE").alias("undeclaredPermissionCount"), n((F.col("protection") == "DANGEROUS") & F.col("declared")).alias("dangerousPermissionCount"),
-        F.sort_array(counted).alias("_used"),
     )
     # of equal short names the last permission counts
-    names = F.transform("_used", lambda x: x["shortName"])
-    last = F.filter("_used", lambda x, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), x["shortName"]))
-    per = per.withColumn("usageCountByPermission", F.map_from_entries(F.transform(last, lambda x: F.struct(x["shortName"], x["n"])))).drop("_used")
-    scored = findings.agg(classify.capped_score(F.col("severity")).alias("riskScore"), *[n(F.col("severity") == s).alias(s) for s in classify.SEVERITIES])
+    used = reports.where("usageCount > 0").groupBy(*keys, "shortName").agg(F.max_by("usageCount", "permission").alias("n"))
+    used = used.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("shortName", "n")))).alias("usageCountByPermission"))
+    scored = findings.groupBy(*keys).agg(classify.capped_score(F.col("severity")).alias("riskScore"), *[n(F.col("severity") == s).alias(s) for s in classify.SEVERITIES])
+    if keys:
+        one = per.join(used, keys, "left").join(scored, keys, "full_outer")
+    else:
+        one = rules.beside(per, used, scored)
+    counts = {c: F.coalesce(F.col(c), F.lit(0)) for c in one.columns if c.endswith("Count") or c == "riskScore" or c in classify.SEVERITIES}
+    one = one.withColumns(counts).withColumn("usageCountByPermission", F.coalesce("usageCountByPermission", F.create_map().cast("map<string,int>")))
     pairs = F.filter(F.array(*[F.struct(F.lit(s).alias("k"), F.col(s).alias("v")) for s in classify.SEVERITIES]), lambda x: x["v"] > 0)
-    scored = scored.select("riskScore", classify.grade(F.col("riskScore")).alias("riskGrade"), F.map_from_entries(pairs).alias("findingCountBySeverity"))
-    return rules.beside(per, scored)
+    named = [c for c in per.columns if c not in keys]
+    return one.select(*keys, *named, "usageCountByPermission", "riskScore", classify.grade(F.col("riskScore")).alias("riskGrade"), F.map_from_entries(pairs).alias("findingCountBySeverity"))
 
 
 def analyze(spark: SparkSession, root: str, include_tests: bool = False) -> Analysis:
@@ -166,7 +182,12 @@ def analyze(spark: SparkSession, root: str, include_tests: bool = False) -> Anal
 
 
 def assemble(spark: SparkSession, root: str, sources: DataFrame, manifests: DataFrame, build: DataFrame, began: float | None = None) -> Analysis:
-    """The analysis of given source, manifest and build rows."""
+    """The analysis of given source, manifest and build rows.
+
+    Where all three have a ``project``, every section has it too and each project is analysed by itself, all in the same
+    jobs: names, permissions, modules and findings of two projects never meet.
+    """
+    own = [*keys_of(build), "permission"]
     began = began or time.time()
     sources, manifests, build = checkpointed(sources), checkpointed(manifests), checkpointed(build)
     decls = checkpointed(graph.entry_kinds(declarations.declarations(sources)))
@@ -178,13 +199,13 @@ def assemble(spark: SparkSession, root: str, sources: DataFrame, manifests: Data
     paths, _ = graph.callers_paths(chosen.select(F.col("target").alias("id")), graph.call_edges(decls), decls.select("id", "entry_kind"))
     routes = graph.usage_paths(decls, paths, chosen)
     none = F.array().cast("array<struct<entryPoint:string,entryKind:string,depth:int,nodes:array<struct<symbol:string,file:string,line:int>>>>")
-    reports = checkpointed(reports.join(routes, "permission", "left").withColumn("callPaths", F.coalesce("callPaths", none)))
+    reports = checkpointed(reports.join(routes, own, "left").withColumn("callPaths", F.coalesce("callPaths", none)))
     report_order = [classify.risk_rank(F.col("riskLevel")), F.col("permission")]
-    permissions = nested(reports, found, declared).select(*REPORT_FIELDS).orderBy(*report_order)
+    permissions = nested(reports, found, declared).select(*own[:-1], *REPORT_FIELDS).orderBy(*own[:-1], *report_order)
     all_findings = rules.permission_findings(reports).unionByName(rules.project_findings(reports, build, manifests, sources)).unionByName(rules.manifest_findings(manifests, components))
     findings = in_order(rules.numbered(all_findings))
     summary = checkpointed(summary_row(reports, findings))
-    return Analysis(root, sources, manifests, components, build, found, reports, permissions, findings, summary, module_rows(sources, manifests), entry_points(reports), time.time() - began)
+    return Analysis(root, sources, manifests, components, declared, build, found, reports, permissions, findings, summary, module_rows(sources, manifests), entry_points(reports), time.time() - began)
 
 
 def report_filter(reports: DataFrame, *, status: str | None = None, risk: str | None = None, query: str = "") -> DataFrame:

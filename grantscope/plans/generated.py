@@ -8,6 +8,7 @@ derives the same facts from the tables' keys, without reading any of the generat
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable
 
@@ -15,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog
-from ..functions.shared import shared_folder
+from ..functions.shared import checkpointed, shared_folder
 from ..operators import declarations, graph, rules, signals
 from ..sources import project
-from . import analyze, report
+from . import analyze, corpus, report
 
 KOTLIN = """package org.n<n>.<seg>
 import android.net.ConnectivityManager
@@ -114,7 +115,7 @@ def nth(values: list[str], at: Column) -> Column:
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, relative_path and content of a source file per customer."""
+    """path, relative_path and content of a source file per customer, and the nation as ``nation``."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     own = F.lit("Base")
     for segment, name in SUPERS.items():
@@ -127,8 +128,8 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(k % 25 == 24, filled("n<n>/src/test/java/C<k>Test.kt", **values)).when(java, filled("n<n>/src/main/java/C<k>.java", **values))
     path = path.when(dart, filled("lib<n>/c<k>.dart", **values)).otherwise(filled("n<n>/src/main/kotlin/C<k>.kt", **values))
     content = F.when(java, filled(JAVA, **values)).when(dart, filled(DART, **values)).otherwise(filled(KOTLIN, **values))
-    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select(path.alias("relative_path"), content.alias("content"))
-    return df.select(F.concat(F.lit("/p/"), "relative_path").alias("path"), "relative_path", "content")
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select(path.alias("relative_path"), content.alias("content"), filled("n<n>", n=n).alias("nation"))
+    return df.select(F.concat(F.lit("/p/"), "relative_path").alias("path"), "relative_path", "content", "nation")
 
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +140,7 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "clear": nth([f'android:usesCleartextTraffic="{x}"' for x in ("true", "false", "TRUE")] + ["x"], k), "exported": nth(["true", "false", "TRUE"], k),
     }
     path = F.when(k % 2 == 0, filled("n<n>/src/main/s<k>/AndroidManifest.xml", **values)).otherwise(filled("n<n>/s<k>/src/main/AndroidManifest.xml", **values))
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(path.alias("relative_path"), F.replace(filled(MANIFEST, **values), F.lit("<queries>"), F.when(k % 4 == 0, "<queries>").otherwise("")).alias("content"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(path.alias("relative_path"), F.replace(filled(MANIFEST, **values), F.lit("<queries>"), F.when(k % 4 == 0, "<queries>").otherwise("")).alias("content"), filled("n<n>", n=n).alias("nation"))
 
 
 def build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +148,7 @@ def build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
     values = {"n": n, "min": n + 20, "target": n + 33, "compile": n + 34, "app": F.when(n >= 3, filled('applicationId "org.gen.n<n>"', n=n)).otherwise("")}
     path = filled("n<n>/build.gradle<end>", n=n, end=nth(["", ".kts"], n))
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(path.alias("relative_path"), filled(SCRIPT, **values).alias("content"))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(path.alias("relative_path"), filled(SCRIPT, **values).alias("content"), filled("n<n>", n=n).alias("nation"))
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> analyze.Analysis:
@@ -470,6 +471,100 @@ def project_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, value string")
 
 
+def by_nation(spark: SparkSession, sf_dir: str) -> analyze.Analysis:
+    """The analysis of a project per nation, all in one."""
+    files = [f(spark, sf_dir).withColumnRenamed("nation", "project") for f in (source_files, manifest_files, build_files)]
+    return analyze.assemble(spark, "/p", project.source_rows(files[0]), project.manifest_rows(files[1]), project.build_row(files[2]))
+
+
+def _by_project(facts: str) -> str:
+    """The facts of reports and findings for each nation by itself."""
+    base, rest = facts.split("counted AS (", 1)
+    rest = "counted AS (" + rest.split("findings AS (", 1)[0]
+    named = "'n' || regexp_extract(file, '[0-9]+') AS project"
+    for old, new in (
+        ("SELECT permission, count", "SELECT project, permission, count"), ("FROM u GROUP BY permission", "FROM pu GROUP BY project, permission"), ("FROM declared GROUP BY permission", "FROM pd GROUP BY project, permission"),
+        ("SELECT permission, asked", "SELECT project, permission, asked"), ("USING (permission)", "USING (project, permission)"),
+        ("EXISTS (SELECT 1 FROM asked WHERE permission = '", "project IN (SELECT a.project FROM asked a WHERE a.permission = '"), ("SELECT 0 AS block", "SELECT project, 0 AS block"), ("UNION ALL SELECT ", "UNION ALL SELECT project, "),
+        ("FROM part_", "FROM pp"), ("FROM man ", "FROM pm "), ("'MISSING_AD_ID', 'MEDIUM', NULL, 0", "'MISSING_AD_ID', 'MEDIUM', NULL, 0 FROM nations"),
+        ("AND api > 0 AND NOT declared),", """AND api > 0 AND NOT declared
+  UNION ALL SELECT project, 9, '', 13, 'NO_MANIFEST', 'HIGH', NULL, 0 FROM nations WHERE project NOT IN (SELECT project FROM pm)
+  UNION ALL SELECT project, 10, '', 14, 'NO_SOURCES', 'HIGH', NULL, 0 FROM nations WHERE project NOT IN (SELECT 'n' || n FROM file WHERE NOT test)),"""),
+    ):
+        assert old in rest, old
+        rest = rest.replace(old, new)
+    return base + f"""pu AS (SELECT *, {named} FROM u), pd AS (SELECT *, {named} FROM declared), pm AS (SELECT *, {named} FROM man), pp AS (SELECT *, {named} FROM part_), nations AS (SELECT 'n' || n_nationkey AS project, n_nationkey AS n FROM nation),
+{rest}numbered AS (SELECT *, printf('F-%03d', row_number() OVER (PARTITION BY project ORDER BY block, ord, nth)) AS id FROM found)"""
+
+
+def corpus_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON report per nation, written by the executors, and what the files hold (K1, K2, A1-A8, O1-O3, W2 for many projects)."""
+    written = corpus.write_reports(by_nation(spark, sf_dir), shared_folder(spark, "reports"), pretty=True)
+    paths = checkpointed(written)
+    usage = "array<struct<file:string,line:int>>"
+    schema = f"""project struct<name:string,applicationId:string,targetSdk:int,modules:array<struct<name:string>>,manifestFiles:array<string>,dependencies:array<string>,kotlinFileCount:int,javaFileCount:int,dartFileCount:int,analyzedLineCount:long>,
+summary struct<declaredPermissionCount:int,usedPermissionCount:int,unusedPermissionCount:int,undeclaredPermissionCount:int,dangerousPermissionCount:int,riskScore:int,riskGrade:string,findingCountBySeverity:map<string,int>>,
+permissions array<struct<permission:string,status:string,declarations:array<struct<file:string>>,usages:{usage},runtimeRequests:{usage},permissionChecks:{usage},touchedFiles:array<string>>>,
+findings array<struct<id:string,rule:string,severity:string>>, components array<struct<name:string>>"""
+    read = spark.read.schema(schema).option("multiLine", True).json(os.path.dirname(paths.select("path").first()[0]))
+    c, total = F.col, lambda name: F.aggregate("permissions", F.lit(0), lambda n, p: n + F.size(p[name]))
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("summary.findingCountBySeverity")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return read.select(
+        c("project.name").alias("project"), c("project.applicationId").alias("application_id"), c("project.targetSdk").alias("target_sdk"), F.size("project.modules").alias("modules"), F.array_join("project.manifestFiles", ",").alias("manifests"),
+        F.size("project.dependencies").alias("dependencies"), *[c(f"project.{x}FileCount").alias(x) for x in ("kotlin", "java", "dart")], c("project.analyzedLineCount").alias("lines"),
+        *[c(f"summary.{x}PermissionCount").alias(x) for x in ("declared", "used", "unused", "undeclared", "dangerous")], c("summary.riskScore").alias("score"), c("summary.riskGrade").alias("grade"), said.alias("severities"),
+        F.array_join(F.transform("permissions", lambda p: F.concat_ws("=", p["permission"], p["status"])), ",").alias("permissions"), F.array_join(F.transform("findings", lambda f: F.concat_ws(" ", f["id"], f["rule"])), ",").alias("findings"),
+        total("declarations").alias("declarations"), total("usages").alias("usages"), total("runtimeRequests").alias("requests"), total("permissionChecks").alias("checks"), total("touchedFiles").alias("touched"), F.size("components").alias("components"),
+    )
+
+
+QUERIES["corpus_reports"] = corpus_reports
+ORACLE_SQL["corpus_reports"] = f"""WITH {_by_project(FACTS)},
+own AS (SELECT * FROM file WHERE NOT test),
+weighed AS (SELECT project, least(100, sum(CASE severity WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 20 ELSE 8 END)) AS score FROM found GROUP BY project)
+SELECT project, CASE WHEN n >= 3 THEN 'org.gen.n' || n END AS application_id, (n + 33)::INTEGER AS target_sdk, (SELECT count(DISTINCT module) FROM own WHERE own.n = x.n)::INTEGER AS modules,
+coalesce((SELECT string_agg(file, ',' ORDER BY file) FROM pm WHERE pm.project = x.project), '') AS manifests, 2 AS dependencies,
+(SELECT count(*) FILTER (WHERE t = 'kt') FROM own WHERE own.n = x.n)::INTEGER AS kotlin, (SELECT count(*) FILTER (WHERE t = 'java') FROM own WHERE own.n = x.n)::INTEGER AS java, (SELECT count(*) FILTER (WHERE t = 'dart') FROM own WHERE own.n = x.n)::INTEGER AS dart,
+coalesce((SELECT sum(CASE t WHEN 'java' THEN 11 WHEN 'dart' THEN 10 ELSE 20 END) FROM own WHERE own.n = x.n), 0)::BIGINT AS lines,
+(SELECT count(*) FILTER (WHERE declared) FROM reports r WHERE r.project = x.project)::INTEGER AS declared, (SELECT count(*) FILTER (WHERE status = 'USED') FROM reports r WHERE r.project = x.project)::INTEGER AS used,
+(SELECT count(*) FILTER (WHERE status = 'DECLARED_UNUSED') FROM reports r WHERE r.project = x.project)::INTEGER AS unused, (SELECT count(*) FILTER (WHERE status = 'UNDECLARED_USAGE') FROM reports r WHERE r.project = x.project)::INTEGER AS undeclared,
+(SELECT count(*) FILTER (WHERE declared AND protection = 'DANGEROUS') FROM reports r WHERE r.project = x.project)::INTEGER AS dangerous,
+coalesce(score, 0)::INTEGER AS score, CASE WHEN coalesce(score, 0) < 10 THEN 'A' WHEN score < 25 THEN 'B' WHEN score < 45 THEN 'C' WHEN score < 70 THEN 'D' ELSE 'F' END AS grade,
+coalesce((SELECT string_agg(severity || '=' || n, ',' ORDER BY severity) FROM (SELECT severity, count(*) AS n FROM found f WHERE f.project = x.project GROUP BY severity)), '') AS severities,
+coalesce((SELECT string_agg(permission || '=' || status, ',' ORDER BY CASE risk WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, permission) FROM reports r WHERE r.project = x.project), '') AS permissions,
+coalesce((SELECT string_agg(id || ' ' || rule, ',' ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, id) FROM numbered f WHERE f.project = x.project), '') AS findings,
+(SELECT count(*) FROM pd WHERE pd.project = x.project)::INTEGER AS declarations, (SELECT count(*) FROM pu WHERE pu.project = x.project AND kind IN ('API_CALL', 'PERMISSION_STRING'))::INTEGER AS usages,
+(SELECT count(*) FROM pu WHERE pu.project = x.project AND kind = 'REQUEST')::INTEGER AS requests, (SELECT count(*) FROM pu WHERE pu.project = x.project AND kind = 'CHECK')::INTEGER AS checks,
+(SELECT count(DISTINCT permission || ' ' || file) FROM pu WHERE pu.project = x.project)::INTEGER AS touched, (SELECT count(*) FROM pp WHERE pp.project = x.project)::INTEGER AS components
+FROM nations x LEFT JOIN weighed USING (project)"""
+
+
+def corpus_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the service, the console and an exit code say of each nation's project (K4, K5, K7, A3 for many projects)."""
+    done = by_nation(spark, sf_dir)
+    lines = corpus.console_lines(done)
+    said = lines.where("section = 1 and nth = 0").groupBy("project").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name", "line"))), lambda x: F.regexp_replace(x["line"], " paths=.*", "")), "\n").alias("map"))
+    counts = lines.groupBy("project").agg(F.count_if(F.col("section") == 0).cast("int").alias("head"), F.count_if((F.col("section") == 2) & (F.col("rank") >= 0)).cast("int").alias("found"), F.max(F.when(F.col("line").startswith("Sources"), F.col("line"))).alias("sources"))
+    out = corpus.payloads(done).select("project", F.from_json("payload", "applicationId string, riskGrade string, riskScore int, undeclaredPermissionCount int, findingsCount int").alias("p")).select("project", "p.*")
+    for level in ("CRITICAL", "HIGH", "MEDIUM"):
+        out = out.join(corpus.breaches(done, level).select("project", F.col("breaches").alias(level.lower())), "project")
+    return out.join(counts, "project", "left").join(said, "project", "left").withColumn("map", F.coalesce("map", F.lit("")))
+
+
+QUERIES["corpus_answers"] = corpus_answers
+ORACLE_SQL["corpus_answers"] = f"""WITH {_by_project(FACTS)},
+own AS (SELECT * FROM file WHERE NOT test),
+marks(status, mark) AS (VALUES ('USED', '[DECLARED+USED]'), ('DECLARED_UNUSED', '[DECLARED+NEVER-USED]'), ('UNDECLARED_USAGE', '[MISSING-FROM-MANIFEST]'), ('REQUESTED_ONLY', '[REQUEST-ONLY]'), ('WEAK_SIGNAL', '[WEAK]'), ('ALTERNATIVE_COVERED', '[ALT-COVERED]')),
+weighed AS (SELECT project, count(*) AS n_found, least(100, sum(CASE severity WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 20 ELSE 8 END)) AS score, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity IN ('CRITICAL', 'HIGH')) AS high FROM found GROUP BY project)
+SELECT project, CASE WHEN n >= 3 THEN 'org.gen.n' || n ELSE '' END AS "applicationId", CASE WHEN coalesce(score, 0) < 10 THEN 'A' WHEN score < 25 THEN 'B' WHEN score < 45 THEN 'C' WHEN score < 70 THEN 'D' ELSE 'F' END AS "riskGrade", coalesce(score, 0)::INTEGER AS "riskScore",
+(SELECT count(*) FILTER (WHERE status = 'UNDECLARED_USAGE') FROM reports r WHERE r.project = x.project)::INTEGER AS "undeclaredPermissionCount", coalesce(n_found, 0)::INTEGER AS "findingsCount",
+coalesce(critical, 0)::BIGINT AS critical, coalesce(high, 0)::BIGINT AS high, coalesce(n_found, 0)::BIGINT AS medium, 13::INTEGER AS head, greatest(1, coalesce(n_found, 0))::INTEGER AS found,
+'Sources      : ' || (SELECT count(*) FILTER (WHERE t = 'kt') FROM own WHERE own.n = x.n) || ' Kotlin, ' || (SELECT count(*) FILTER (WHERE t = 'java') FROM own WHERE own.n = x.n) || ' Java, ' || (SELECT count(*) FILTER (WHERE t = 'dart') FROM own WHERE own.n = x.n) || ' Dart' AS sources,
+coalesce((SELECT string_agg('  ' || mark || ' ' || short || ' (' || protection || ') risk=' || risk || ' usages=' || (api + constants), chr(10) ORDER BY CASE risk WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, permission)
+  FROM reports r JOIN marks USING (status) WHERE r.project = x.project), '') AS map
+FROM nations x LEFT JOIN weighed USING (project)"""
+
+
 #: Files below each nation's folder: kept as source, as manifest, as script, or not scanned at all.
 TREE = [
     ("src/main/java/A.kt", "class A {\n}\n"), ("src/test/java/T.java", "class T {\r\n}\r\n"), ("empty.dart", ""), ("x.gradle.kts", "class X\n"), ("build/Gen.kt", "class G\n"), ("generated/H.java", "class H\n"),
