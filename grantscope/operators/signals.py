@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,22 +53,41 @@ def candidate_lines(sources: DataFrame, signals: Sequence[Signal] = catalog.SIGN
     return df.where(F.col("code").rlike(r"\S")) if None in groups else df
 
 
+MATCHED = ["ord", "permission", "label", "confidence"]
+
+
+def fixed(value, kind: str) -> Column:
+    """A value of lists, dictionaries and texts as one literal, which Spark folds."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def matches(line: Column, signals: Sequence[Signal], imports: Column | None = None, hits: Column | None = None) -> Column:
     """All signals whose pattern is found in the line, as array of struct(ord, permission, label, confidence).
 
-    Patterns are literals, so each is compiled once.  A signal with import needles counts
-    only where an import holds one of them.  ``hits`` has the signals whose literals the line holds, and
-    the patterns of others that need a literal are not tried.
+    A signal with import needles counts only where an import holds one of them.  ``hits`` has the signals whose
+    literals the line holds: of those that need a literal only these are tried.  Patterns that are tried on every line
+    are literals, so each is compiled once.
     """
+    gated = [n for n, s in enumerate(signals) if hits is not None and needed(s.pattern)]
+    told = [{"ord": n, "permission": s.permission, "label": s.label, "confidence": s.confidence, "pattern": s.pattern, "needles": list(s.import_needles) if imports is not None else []} for n, s in enumerate(signals)]
+    kind = "struct<ord:int,permission:string,label:string,confidence:string,pattern:string,needles:array<string>>"
     tests = []
     for n, s in enumerate(signals):
-        hit = line.rlike(s.pattern)
-        if hits is not None and needed(s.pattern):
-            hit = F.array_contains(hits, n) & hit
-        if s.import_needles and imports is not None:
-            hit = hit & _some(imports, s.import_needles)
-        tests.append(F.when(hit, F.struct(F.lit(n).alias("ord"), F.lit(s.permission).alias("permission"), F.lit(s.label).alias("label"), F.lit(s.confidence).alias("confidence"))))
-    return F.array_compact(F.array(*tests))
+        if n not in gated:
+            hit = line.rlike(s.pattern)
+            if s.import_needles and imports is not None:
+                hit = hit & _some(imports, s.import_needles)
+            tests.append(F.when(hit, fixed(told[n], kind)))
+    found = F.array_compact(F.array(*tests)) if tests else F.array().cast(f"array<{kind}>")
+    if gated:
+        held = lambda s: F.array_contains(hits, s["ord"]) & F.rlike(line, s["pattern"])
+        if imports is None or not any(signals[n].import_needles for n in gated):
+            test = held
+        else:
+            test = lambda s: held(s) & ((F.size(s["needles"]) == 0) | F.exists(imports, lambda v: F.exists(s["needles"], lambda x: F.contains(v, x))))
+        some = F.filter(fixed([told[n] for n in gated], f"array<{kind}>"), test)
+        found = F.sort_array(F.concat(found, some)) if tests else some
+    return F.transform(found, lambda s: F.struct(*[s[c].alias(c) for c in MATCHED]))
 
 
 def _some(values: Column, needles: Sequence[str]) -> Column:
@@ -112,7 +132,7 @@ def usages(lines: DataFrame, signals: Sequence[Signal] = catalog.SIGNALS) -> Dat
     code, zero = F.col("code"), F.lit(0)
     hits = F.col("hits") if "hits" in lines.columns else None
     called = F.transform(matches(code, signals, F.col("imports"), hits), lambda s: _usage(s["permission"], s["label"], F.lit("API_CALL"), s["label"], s["confidence"], 0, s["ord"], zero))
-    names = F.create_map(*[x for k, v in catalog.DART_NAMES.items() for x in (F.lit(k), F.array(*[F.lit(f"android.permission.{n}") for n in v]))])
+    names = fixed({k: [f"android.permission.{n}" for n in v] for k, v in catalog.DART_NAMES.items()}, "map<string,array<string>>")
     asked = F.contains(code, F.lit(".request(")) | F.contains(code, F.lit("requestPermissions"))
     checked = text_any(code, [".status", "isGranted", "isDenied", ".isPermanentlyDenied"])
     more = F.when(asked, F.struct(F.lit("REQUEST").alias("kind"), F.lit("permission_handler request").alias("evidence"))).when(checked, F.struct(F.lit("CHECK").alias("kind"), F.lit("permission_handler status check").alias("evidence")))

@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -572,19 +574,32 @@ TREE = [
 ]
 
 
+def _write_tree(root: str):
+    """Writes the files of TREE below a folder for each key of its batches."""
+    uri = root if "://" in root else "file://" + root.removeprefix("file:")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                for name, content in TREE:
+                    path = f"{top}/n{n}/{name}"
+                    fs.create_dir(os.path.dirname(path), recursive=True)
+                    with fs.open_output_stream(path) as out:
+                        out.write(content.encode())
+            yield batch
+
+    return run
+
+
 @query("""SELECT 'source' AS scan, 'n' || n_nationkey || x.path AS path, 'n' || n_nationkey AS module, x.lines AS n FROM nation, (VALUES ('/src/main/java/A.kt', 2), ('/src/test/java/T.java', 2), ('/[odd] {name}.kt', 1)) x(path, lines)
 UNION ALL SELECT 'manifest', 'n' || n_nationkey || x.path, 'n' || n_nationkey, 0 FROM nation, (VALUES ('/generated/AndroidManifest.xml'), ('/AndroidManifest.xml')) x(path)
 UNION ALL SELECT 'script', 'first', 'root', 21""")
 def project_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a tree on disk, a folder per nation, folders that are not wanted never entered."""
     root = shared_folder(spark, "tree")
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").toLocalIterator():  # 25 at every size
-        for name, content in TREE:
-            out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(top, f"n{row[0]}/{name}"))
-            out.write(bytearray(content.encode()))
-            out.close()
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("n"))
+    nations.mapInArrow(_write_tree(root), "n long").write.format("noop").mode("overwrite").save()
     sources = project.sources(spark, root, include_tests=True).select(F.lit("source").alias("scan"), F.col("relative_path").alias("path"), "module", F.size("raw").alias("n"))
     manifests = project.manifests(spark, root).select(F.lit("manifest").alias("scan"), F.col("file").alias("path"), "module", F.lit(0).alias("n"))
     script = project.build_config(spark, root).select(F.lit("script").alias("scan"), F.lit("first").alias("path"), F.lit("root").alias("module"), F.col("min_sdk").alias("n"))

@@ -2,66 +2,20 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-from fnmatch import fnmatchcase
-
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
+from .tree import files
 
 #: Names of folders that are not entered; ``.*`` stands for every one that begins with a dot.
 SOURCE_SKIP = ["build", "out", "generated", "node_modules", ".*"]
 MANIFEST_SKIP = ["build", "out", "node_modules", ".gradle", ".git", ".idea", ".cxx"]
-GLOB = re.compile(r"[{}\[\]*?\\]")
 PACKAGE = r"^\s*package\s+([A-Za-z_][\w.]*)"
 IMPORT = r"^\s*import\s+(?:static\s+)?([A-Za-z_][\w.*]*)"
 DEPENDENCY = r"""(?m)^\s*(?:implementation|api|kapt|ksp|compileOnly|runtimeOnly|annotationProcessor|\w+Implementation|\w+Api)\s*\(?\s*(?:platform\s*\(\s*)?["']([^"']+)["']"""
 
 
-def listed(spark: SparkSession, root: str, names: Sequence[str], skip: Sequence[str]) -> list[str]:
-    """Files below ``root`` whose name matches one of ``names``, without entering a folder of ``skip``.
-
-    The root itself is always entered; folders that cannot be listed count as empty.  The
-    list has a path per file, as any file scan of Spark keeps on the driver; nothing is read.
-    """
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, todo = [], [top] if fs.exists(top) else []
-    while todo:
-        try:
-            entries = fs.listStatus(todo.pop())
-        except Py4JJavaError:
-            continue
-        for entry in entries:
-            path = entry.getPath()
-            name = path.getName()
-            if entry.isDirectory():
-                if not any(fnmatchcase(name, x) for x in skip):
-                    todo.append(path)
-            elif any(fnmatchcase(name, x) for x in names):
-                found.append(path.toString())
-    return sorted(found)
-
-
-def files(spark: SparkSession, root: str, names: Sequence[str], skip: Sequence[str]) -> DataFrame:
-    """path, relative_path and content of the files that :func:`listed` finds.
-
-    Only these are opened.  Unreadable files, and those whose names begin with ``_`` or
-    ``.``, are skipped by Spark's reader; content is decoded as UTF-8.
-    """
-    found = listed(spark, root, names, skip)
-    if not found:
-        return spark.createDataFrame([], "path string, relative_path string, content string")
-    reader = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-    own = text.relative_path(F.regexp_replace("path", "^file:/+", "file:/"), F.regexp_replace(F.lit(full), "^file:/+", "file:/"))
-    return reader.load([GLOB.sub(r"\\\g<0>", x) for x in found]).select("path", own.alias("relative_path"), F.decode("content", "UTF-8").alias("content"))
-
-
 def sources(spark: SparkSession, root: str, include_tests: bool = False) -> DataFrame:
     """Kotlin, Java and Dart files with lines: raw, and code without comments."""
     df = files(spark, root, ["*.kt", "*.java", "*.dart"], SOURCE_SKIP)
