@@ -8,9 +8,9 @@ fused with the share of text that the path's container holds, and a threshold on
 the fused score selects the content paths.
 
 Names of classes and ids are a feature of the score: what they call a menu, an
-advert or a comment weighs little, wherever it stands.  Only elements that by their
-own tag, role or hidden state hold no article (navigation, headers and footers of the
-page, asides, forms, scripts, styles) are left out before paths are counted.
+advert or a comment weighs little, wherever it stands, and is left out if the page has
+other text.  Only elements that by their own tag, role or hidden state hold no article (navigation,
+headers and footers of the page, asides, scripts, styles, forms that do not hold the page) are left out before paths are counted.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ TOKEN = re.compile(
 ATTR = re.compile(r"(?<![^\s/\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|[\"']?([^\s>\"']++))")
 RAW = frozenset("script style noscript template iframe object noembed noframes textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CUT = frozenset("nav footer aside form script style noscript template iframe object svg head button select option textarea input label fieldset menu dialog canvas audio video map datalist".split())
+CUT = frozenset("nav footer aside script style noscript template iframe object svg head button select option textarea input label fieldset menu dialog canvas audio video map datalist".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open element of the first kind ends where one of the second begins.
 CLOSES = {
@@ -45,12 +45,17 @@ CLOSES = {
 SCOPE = frozenset("html body div section article main table td th ul ol dl blockquote aside nav footer header form figure details".split())
 NAMES = frozenset(
     """ad ads advert adverts advertisement advertisements adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent
-    cookie cookies copyright disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices
+    cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices
     pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup
     skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar tracking widget widgets""".split()
 )
 #: Those that hold for an article as well.
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
+#: Words of elements that never are an article, however much they hold; what others name alone may be one, if the page has no other.
+NEVER = COMMENTS | frozenset(
+    """ad ads advert adverts advertisement advertisements adsense breadcrumb breadcrumbs byline consent cookie cookies copyright footer gdpr login menu nav navbar
+    navigation newsletter pager pagination paywall signup sponsor sponsored subscribe subscription""".split()
+)
 #: Words that say nothing of what an element holds; a name made of these and of NAMES alone is a strong one.
 NEUTRAL = frozenset(
     """area article bar block blog body bottom box btn button buttons center col column container content count custom desktop entry fixed global group head
@@ -59,6 +64,11 @@ NEUTRAL = frozenset(
 )
 #: What a path weighs by the names on it: none of NAMES, one beside other words, one by itself.
 PLAIN, WEAK, STRONG = 1.0, 0.5, 0.05
+#: Text by a strong name counts as the article if what stands elsewhere is less than this share of it, and it has so many characters and a block of so many.
+SHARE, LEAST_TEXT, LEAST_BLOCK = 0.25, 200, 80
+#: A form with this share of a page's text holds the page.
+FORM_SHARE = 0.5
+LISTS = frozenset("ul ol dl table blockquote pre".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTENT = frozenset(["article", "main"])
 PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
@@ -79,6 +89,10 @@ class Block:
     inside: bool = False
     weight: float = PLAIN
     heading: bool = False
+    never: bool = False
+    form: int = 0
+    within: int = 0  # the element around its own
+    holder: int = -1  # the element around the list that it is in
 
 
 @dataclass(slots=True)
@@ -91,6 +105,11 @@ class Node:
     content: bool = False
     link: bool = False
     weight: float = PLAIN
+    never: bool = False
+    form: int = 0
+    element: int = 0
+    within: int = 0
+    holder: int = -1
 
 
 @dataclass
@@ -111,13 +130,15 @@ class Reader:
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     at: Node | None = None
+    forms: int = 0
+    elements: int = 0
 
     def flush(self) -> None:
         text = SPACES.sub(" ", "".join(self.parts)).strip() if self.parts else ""
         if text:
             link, own = len(SPACES.sub(" ", "".join(self.linked)).strip()), self.at
             heading = HEADING.match(self.names[own.path]) is not None
-            self.blocks.append(Block(own.path, self.above[own.path], text, link, own.content, own.weight, heading))
+            self.blocks.append(Block(own.path, self.above[own.path], text, link, own.content, own.weight, heading, own.never, own.form, own.within, own.holder))
         self.parts, self.linked = [], []
 
     def text(self, raw: str) -> None:
@@ -143,7 +164,14 @@ class Reader:
         if tag in VOID or closed and tag not in BLOCK and tag not in RAW:
             return
         new, name = node(tag, attrs, self.stack[-1])
+        if tag == "form" and not new.form:
+            self.forms += 1
+            new.form = self.forms
+        if tag in LISTS and new.holder < 0:
+            new.holder = new.element
         if tag in BLOCK:
+            self.elements += 1
+            new.within, new.element = new.element, self.elements
             key = (new.path, name)
             if key not in self.paths:
                 self.paths[key] = len(self.above)
@@ -187,16 +215,24 @@ def label_weight(labels: str, names: frozenset[str] = NAMES) -> float:
     return weight
 
 
+def hides(attrs: str, found: dict[str, str]) -> bool:
+    """Whether an element is hidden, by an attribute of its own; words inside values say nothing."""
+    if "hidden" in attrs.lower() and ("hidden" in found or "hidden" in ATTR.sub(" ", attrs).lower().strip("/").split()):
+        return True
+    return "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden") == "true"
+
+
 def node(tag: str, attrs: str, above: Node) -> tuple[Node, str]:
     """An element below another, and its name in a path: its tag and classes."""
     found = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in ATTR.findall(attrs)} if "=" in attrs else {}
     marked = tag in CONTENT or found.get("role") == "main" or found.get("itemprop") == "articleBody"
-    hidden = re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs) is not None or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden") == "true"
     names = frozenset() if tag in ("html", "body") else COMMENTS if marked and tag != "div" else NAMES
-    weight = label_weight(f"{found.get('class', '')} {found.get('id', '')}", names)
-    cut = above.cut or tag in CUT or hidden or found.get("role") in ROLES or tag == "header" and not above.content
+    labels = f"{found.get('class', '')} {found.get('id', '')}"
+    weight = label_weight(labels, names)
+    never = above.never or weight == STRONG and label_weight(labels, names & NEVER) == STRONG
+    cut = above.cut or tag in CUT or hides(attrs, found) or found.get("role") in ROLES or tag == "header" and not above.content
     name = ".".join([tag, *sorted(set(found.get("class", "").split()))])
-    return Node(tag, above.path, cut, above.content or marked, above.link or tag == "a", min(weight, above.weight)), name
+    return Node(tag, above.path, cut, above.content or marked, above.link or tag == "a", min(weight, above.weight), never, above.form, above.element, above.within, above.holder), name
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -241,16 +277,33 @@ def ratios(blocks: list[Block]) -> np.ndarray:
     return weight * np.sqrt(np.where(weight < PLAIN, raw, np.maximum(raw, 0.25 * smooth)) * (0.1 + share))
 
 
+def told_apart(blocks: list[Block]) -> list[Block]:
+    """The blocks without those of forms, but for a form that holds most of the page; strong names are weak ones where they name most of it."""
+    total, forms = 0, {}
+    for b in blocks:
+        own = len(b.text) - b.link
+        total += own
+        forms[b.form] = forms.get(b.form, 0) + own
+    blocks = [b for b in blocks if not b.form or forms[b.form] >= max(FORM_SHARE * total, LEAST_TEXT)]
+    named = [b for b in blocks if b.weight == STRONG and not b.never]
+    held, other = sum(len(b.text) - b.link for b in named), sum(len(b.text) - b.link for b in blocks if b.weight > STRONG)
+    if held >= LEAST_TEXT and other < SHARE * held and max(len(b.text) - b.link for b in named) >= LEAST_BLOCK:
+        for b in named:
+            b.weight = WEAK
+    return blocks
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the content paths in page order, joined by two line feeds; empty if there are none.
 
     A path is content if its best score reaches a share of the page's best: a tenth
     where the page marks its article (``article``, ``main``), else a third.  A
-    heading goes with content that follows it in the same container.
+    heading goes with content that follows it in the same container, and a list, table or quotation with content
+    before it in the container that holds it.
     """
     if not page:
         return ""
-    blocks = blocks_of(page)
+    blocks = told_apart(blocks_of(page))
     if not blocks:
         return ""
     best: dict[int, float] = {}
@@ -259,9 +312,21 @@ def main_text(page: str | None) -> str:
     top = max(best.values())
     chosen = {b.path for b in blocks if best[b.path] > 0 and best[b.path] >= top * (0.1 if b.inside else 0.35)}
     keep = [b.path in chosen and b.weight > STRONG and b.link < 0.9 * len(b.text) for b in blocks]
+    text: dict[int, int] = {}
+    links: dict[int, int] = {}
+    for b in blocks:
+        text[b.path], links[b.path] = text.get(b.path, 0) + len(b.text), links.get(b.path, 0) + b.link
+    open_ = set()
+    for i, b in enumerate(blocks):
+        if keep[i] and b.holder < 0:
+            open_.add(b.within)
+        elif b.holder in open_ and b.weight == PLAIN and 2 * links[b.path] < text[b.path]:
+            keep[i] = True
     for i in range(len(blocks) - 2, -1, -1):
         if blocks[i].heading and blocks[i].parent == blocks[i + 1].parent and blocks[i].weight == PLAIN and keep[i + 1]:
             keep[i] = True
+        elif blocks[i].heading and blocks[i].within == blocks[i + 1].holder and blocks[i].weight == PLAIN and keep[i + 1]:
+            keep[i] = True
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
