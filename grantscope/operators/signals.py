@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog, text
 from ..functions.catalog import Signal
-from .needles import needed, places
+from .needles import PLACE, needed, places
 
 #: How code names a permission by a constant, by a quoted literal, and by the Dart plugin.
 CONSTANT = r"Manifest\.permission\.([A-Z0-9_]+)"
 LITERAL = r'"((?:android|com\.android\.vending|com\.google\.android\.gms)[\w.]*\.(?:permission\.)?[A-Z0-9_]+)"'
 DART = r"\bPermission\.([a-zA-Z]\w*)"
 USAGE = ["permission", "file", "line", "module", "package", "symbol", "kind", "evidence", "confidence", "snippet", "ord"]
-FILE = ["project", "module", "language", "package", "imports"]
+FILE = ["project", "seq", "module", "language", "package", "imports"]
 
 
 def _kept(df: DataFrame, names: Sequence[str]) -> list[str]:
@@ -37,20 +37,22 @@ def code_lines(sources: DataFrame) -> DataFrame:
     return df.where(F.col("code").rlike(r"\S"))
 
 
-def candidate_lines(sources: DataFrame, signals: Sequence[Signal] = catalog.SIGNALS) -> DataFrame:
+def candidate_lines(sources: DataFrame, signals: Sequence[Signal] = catalog.SIGNALS, outer: bool = False) -> DataFrame:
     """The rows of :func:`code_lines` that can hold a usage, with ``hits``: the signals whose literals the line holds.
 
     One pass over each file finds the literals of all signals and of all ways to name a permission.  If a signal needs no
-    literal, all lines that are not blank are kept.
+    literal, all lines that are not blank are kept.  With ``outer`` each file has a row of line 0 and null code besides.
     """
     groups = [needed(s.pattern) for s in signals]
     named = [needed(x) for x in (CONSTANT, LITERAL, DART)]
     found = places(F.col("code"), [g or frozenset() for g in groups] + named, every=None in groups)
+    if outer:
+        found = F.concat(fixed([{"at": -1, "hits": []}], PLACE), found)
     own = _kept(sources, FILE)
     df = sources.select("relative_path", *own, "raw", "code", F.explode(found).alias("x")).withColumn("p", F.col("x.at"))
-    df = df.select(F.col("relative_path").alias("file"), *own, (F.col("p") + 1).alias("line"), F.col("raw")[F.col("p")].alias("raw"), F.col("code")[F.col("p")].alias("line_code"), _near(F.col("p")).alias("window"), F.col("x.hits").alias("hits"))
+    df = df.select(F.col("relative_path").alias("file"), *own, (F.col("p") + 1).alias("line"), F.get("raw", F.col("p")).alias("raw"), F.get("code", F.col("p")).alias("line_code"), _near(F.col("p")).alias("window"), F.col("x.hits").alias("hits"))
     df = df.withColumnRenamed("line_code", "code")
-    return df.where(F.col("code").rlike(r"\S")) if None in groups else df
+    return df.where(F.col("code").isNull() | F.col("code").rlike(r"\S")) if None in groups else df
 
 
 MATCHED = ["ord", "permission", "label", "confidence"]
@@ -123,11 +125,11 @@ def _first_each(found: Column) -> Column:
     return F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: same(x, y)))
 
 
-def usages(lines: DataFrame, signals: Sequence[Signal] = catalog.SIGNALS) -> DataFrame:
+def usages(lines: DataFrame, signals: Sequence[Signal] = catalog.SIGNALS, outer: bool = False) -> DataFrame:
     """Usages of permissions on code lines; of equal (file, line, kind, evidence) the first is kept.
 
     All usages of a line are one array of its row, in their order, so nothing is shuffled.  ``lines`` are those of
-    :func:`candidate_lines`, or of :func:`code_lines`.
+    :func:`candidate_lines`, or of :func:`code_lines`.  With ``outer`` a line without a usage stays, with nulls.
     """
     code, zero = F.col("code"), F.lit(0)
     hits = F.col("hits") if "hits" in lines.columns else None
@@ -147,11 +149,12 @@ def usages(lines: DataFrame, signals: Sequence[Signal] = catalog.SIGNALS) -> Dat
     kind = F.coalesce(classify(code), classify(F.col("window")), F.lit("PERMISSION_STRING"))
     evidence = F.when(F.col("as") == "REQUEST", "Runtime permission request").when(F.col("as") == "CHECK", "Permission state check").otherwise("Permission constant reference")
     named = F.transform(references(code), lambda p, at: _usage(p, text.short_name(p), F.col("as"), evidence, F.lit("HIGH"), 2, at, zero))
-    base = _kept(lines, ["project", "file", "line", "module", "package"])
+    base = _kept(lines, ["project", "seq", "file", "line", "module", "package"])
     found = lines.withColumn("as", kind).select(*base, text.snippet(F.col("raw")).alias("snippet"), called.alias("called"), dart.alias("dart"), named.alias("named"))
     none = F.array().cast(found.schema["named"].dataType)
     every = F.concat(_first_each(F.col("called")), F.coalesce(_first_each(F.col("dart")), none), F.col("named"))
-    return found.select(*base, "snippet", F.inline(every)).select(*_kept(lines, ["project"]), *USAGE)
+    rows = (F.inline_outer if outer else F.inline)(every)
+    return found.select(*base, "snippet", rows).select(*_kept(lines, ["project", "seq"]), *USAGE)
 
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

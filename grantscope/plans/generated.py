@@ -21,6 +21,7 @@ from ..functions import catalog
 from ..functions.shared import checkpointed, shared_folder
 from ..operators import declarations, graph, rules, signals
 from ..sources import project
+from ..streaming import rescan
 from . import analyze, corpus, report
 
 KOTLIN = """package org.n<n>.<seg>
@@ -101,6 +102,9 @@ ASKED = ["Permission.locationWhenInUse.request();", "x = Permission.contacts.sta
 SUPERS = {"AUTOMOBILE": "AppCompatActivity", "BUILDING": "Service", "FURNITURE": "Helper", "HOUSEHOLD": "Worker"}
 DECLARED = ["CAMERA", "READ_CONTACTS", "WRITE_EXTERNAL_STORAGE", "ACCESS_FINE_LOCATION", "QUERY_ALL_PACKAGES", "READ_MEDIA_VIDEO"]
 
+#: A changed file has the content of a customer so many keys later, of the same language.
+LATER = 50
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -116,22 +120,24 @@ def nth(values: list[str], at: Column) -> Column:
     return F.array(*[F.lit(x) for x in values])[F.pmod(at, F.lit(len(values))).cast("int")]
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, relative_path and content of a source file per customer, and the nation as ``nation``."""
-    k, n = F.col("c_custkey"), F.col("c_nationkey")
-    own = F.lit("Base")
+def source_files(spark: SparkSession, sf_dir: str, later: int = 0) -> DataFrame:
+    """path, relative_path and content of a source file per customer, with the nation and the key; the content is that of a customer ``later``."""
+    own, n = F.col("c_custkey"), F.col("c_nationkey")
+    k = own + later
+    above = F.lit("Base")
     for segment, name in SUPERS.items():
-        own = F.when(F.col("c_mktsegment") == segment, name).otherwise(own)
+        above = F.when(F.col("c_mktsegment") == segment, name).otherwise(above)
     values = {
-        "k": k, "n": n, "g": F.floor(k / 4), "seg": F.lower("c_mktsegment"), "super": own, "api": nth(API, k), "perm": nth(PERM, k), "dart": nth(ASKED, k),
+        "k": k, "n": n, "g": F.floor(k / 4), "seg": F.lower("c_mktsegment"), "super": above, "api": nth(API, k), "perm": nth(PERM, k), "dart": nth(ASKED, k),
         "mark": F.when(k % 7 == 0, "@Composable").otherwise("@Deprecated"),
     }
-    java, dart = k % 5 == 1, k % 5 == 2
-    path = F.when(k % 25 == 24, filled("n<n>/src/test/java/C<k>Test.kt", **values)).when(java, filled("n<n>/src/main/java/C<k>.java", **values))
-    path = path.when(dart, filled("lib<n>/c<k>.dart", **values)).otherwise(filled("n<n>/src/main/kotlin/C<k>.kt", **values))
+    java, dart = own % 5 == 1, own % 5 == 2
+    named = {"k": own, "n": n}
+    path = F.when(own % 25 == 24, filled("n<n>/src/test/java/C<k>Test.kt", **named)).when(java, filled("n<n>/src/main/java/C<k>.java", **named))
+    path = path.when(dart, filled("lib<n>/c<k>.dart", **named)).otherwise(filled("n<n>/src/main/kotlin/C<k>.kt", **named))
     content = F.when(java, filled(JAVA, **values)).when(dart, filled(DART, **values)).otherwise(filled(KOTLIN, **values))
-    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select(path.alias("relative_path"), content.alias("content"), filled("n<n>", n=n).alias("nation"))
-    return df.select(F.concat(F.lit("/p/"), "relative_path").alias("path"), "relative_path", "content", "nation")
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select(path.alias("relative_path"), content.alias("content"), filled("n<n>", n=n).alias("nation"), own.alias("key"))
+    return df.select(F.concat(F.lit("/p/"), "relative_path").alias("path"), "relative_path", "content", "nation", "key")
 
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,6 +479,27 @@ def project_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, value string")
 
 
+@query("""SELECT file, line, permission, kind, evidence, confidence, snippet FROM u WHERE k % 10 <> 7 OR k % 20 = 7""")
+def incremental_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usages after three waves of file events on a stream with state (S4, U9, U1-U8 while files change).
+
+    The first wave has every file.  The second changes every third file, some of them twice, and deletes every tenth; the third
+    sends the second again, with old contents of changed files that come late, and brings half of the deleted files back.
+    """
+    root = shared_folder(spark, "rescan")
+    files = lambda later, seq, where: source_files(spark, sf_dir, later).where(where).select("relative_path", F.lit(seq).cast("long").alias("seq"), F.lit(False).alias("deleted"), "content")
+    gone = files(0, 5, "key % 10 = 7").withColumn("deleted", F.lit(True)).withColumn("content", F.lit(None).cast("string"))
+    second = files(25, 2, "key % 9 = 0").unionByName(files(LATER, 3, "key % 3 = 0")).unionByName(gone)
+    third = second.unionByName(files(0, 1, "key % 3 = 0")).unionByName(files(0, 6, "key % 20 = 7 and key % 3 <> 0")).unionByName(files(LATER, 6, "key % 20 = 7 and key % 3 = 0"))
+    for n, wave in enumerate((files(0, 1, "true"), second, third)):
+        wave.write.parquet(f"{root}/events/wave-{n}")
+        rescan.rescan(spark.readStream.schema(rescan.EVENTS).option("recursiveFileLookup", True).parquet(f"{root}/events"), f"{root}/state").awaitTermination()
+    return rescan.current(spark, f"{root}/state").select("file", "line", "permission", "kind", "evidence", "confidence", "snippet")
+
+
+ORACLE_SQL["incremental_usages"] = ORACLE_SQL["incremental_usages"].replace("SELECT c_custkey AS k,", f"SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + {LATER} ELSE c_custkey END AS ck,").replace("file.k % h.many", "file.ck % h.many")
+
+
 def by_nation(spark: SparkSession, sf_dir: str) -> analyze.Analysis:
     """The analysis of a project per nation, all in one."""
     files = [f(spark, sf_dir).withColumnRenamed("nation", "project") for f in (source_files, manifest_files, build_files)]

@@ -22,21 +22,26 @@ def sources(spark: SparkSession, root: str, include_tests: bool = False) -> Data
     return source_rows(df, include_tests)
 
 
+#: Columns of files that the rows made of them keep: the project, and of an event its number.
+KEPT = ["project", "seq"]
+
+
 def keys_of(df: DataFrame) -> list[str]:
     """``project`` where the rows of many projects are told apart by such a column, else nothing."""
     return ["project"] if "project" in df.columns else []
 
 
-def source_rows(df: DataFrame, include_tests: bool = False) -> DataFrame:
+def source_rows(df: DataFrame, include_tests: bool = False, keep_empty: bool = False) -> DataFrame:
     """Source rows of (path, relative_path, content): module, language, package, imports, is_test, raw, code.
 
-    Files without a line are dropped, and those of tests unless asked for.  A ``project`` column stays.
+    Files without a line are dropped, and those of tests, unless asked for.  Columns ``project`` and ``seq`` stay.
     """
     rel = F.col("relative_path")
-    df = df.withColumn("raw", text.lines_of(F.col("content"))).where(F.size("raw") > 0)
+    df = df.withColumn("raw", text.lines_of(F.col("content")))
+    df = df if keep_empty else df.where(F.size("raw") > 0)
     df = df.withColumn("code", F.split(text.strip_comments(F.array_join("raw", "\n")), "\n"))
     df = df.select(
-        *keys_of(df), "path", "relative_path", text.module_of(rel).alias("module"), text.language_of(rel).alias("language"), text.is_test(rel).alias("is_test"),
+        *[c for c in KEPT if c in df.columns], "path", "relative_path", text.module_of(rel).alias("module"), text.language_of(rel).alias("language"), text.is_test(rel).alias("is_test"),
         text.first_match(F.col("code"), PACKAGE).alias("package"), text.all_matches(F.col("code"), IMPORT).alias("imports"), "raw", "code",
     )
     return df if include_tests else df.where(~F.col("is_test"))
