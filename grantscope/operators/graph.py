@@ -38,11 +38,42 @@ def call_edges(decls: DataFrame) -> DataFrame:
     return guarded_edges(calls, functions.select("id", within("simple_name").alias("name")))
 
 
-def entry_kinds(decls: DataFrame) -> DataFrame:
-    """Adds ``entry_kind`` to declarations, null for those that are no entry point."""
+def all_supertypes(decls: DataFrame) -> DataFrame:
+    """The super types of each type, its own and those of types of these names: simple_name, super and ``level`` (1: its own).
+
+    Names are simple ones, within each ``project`` where there are several; types of one name count as one, and none is
+    its own super type.  A semi-naive closure: each level joins only the pairs that the one before has found, and pairs
+    found before are not followed again, so a cycle ends.  Of several ways to a super type the shortest counts.
+    """
+    keys = keys_of(decls)
+    types = decls.where(~F.col("kind").isin(*FUNCTION_KINDS))
+    edges = checkpointed(types.select(*keys, "simple_name", F.explode("super_types").alias("super")).where("simple_name <> super").distinct())
+    step = edges.select(*keys, F.col("super").alias("above"), F.col("simple_name").alias("super"))
+    found = front = edges.withColumn("level", F.lit(1))
+    level = 1
+    while True:
+        level += 1
+        grown = front.drop("level").join(step, [*keys, "super"]).select(*keys, "simple_name", F.col("above").alias("super")).where("simple_name <> super").distinct()
+        front = checkpointed(grown.join(found, [*keys, "simple_name", "super"], "left_anti").withColumn("level", F.lit(level)))
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+
+
+def entry_kinds(decls: DataFrame, transitive: bool = False) -> DataFrame:
+    """Adds ``entry_kind`` to declarations, null for those that are no entry point.
+
+    A function is one by the super types that its type's header names.  With ``transitive`` those of its super
+    types count too, the nearest first, then by name.
+    """
     last = F.max_by("super_types", F.struct("relative_path", "ord"))
     keys = keys_of(decls)
     owners = decls.where(~F.col("kind").isin(*FUNCTION_KINDS)).groupBy(*keys, F.col("qualified_name").alias("container")).agg(last.alias("_supers"))
+    if transitive:
+        types = decls.where(~F.col("kind").isin(*FUNCTION_KINDS)).select(*keys, F.col("qualified_name").alias("container"), "simple_name").distinct()
+        above = all_supertypes(decls).where(F.col("super").isin(*catalog.ENTRY_SUPERTYPES) & (F.col("level") > 1))
+        more = types.join(above, [*keys, "simple_name"]).groupBy(*keys, "container").agg(F.transform(F.sort_array(F.collect_set(F.struct("level", "super"))), lambda x: x["super"]).alias("_above"))
+        owners = owners.join(more, [*keys, "container"], "left").withColumn("_supers", F.concat("_supers", F.coalesce("_above", F.array().cast("array<string>")))).drop("_above")
     known = F.array(*[F.lit(x) for x in catalog.ENTRY_SUPERTYPES])
     hit = F.try_element_at(F.filter(F.col("_supers"), lambda s: F.array_contains(known, s)), F.lit(1))
     kind = F.when(F.col("kind") == "COMPOSABLE", "COMPOSABLE").when(hit.isNotNull(), hit).when(F.col("simple_name").isin(*catalog.ENTRY_FUNCTIONS), "LIFECYCLE")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog
 from ..functions.shared import checkpointed, shared_folder
-from ..operators import declarations, graph, rules, signals
+from ..operators import compare, declarations, graph, rules, signals
 from ..sources import project
 from ..streaming import rescan
 from . import analyze, corpus, report
@@ -500,6 +500,77 @@ def incremental_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["incremental_usages"] = ORACLE_SQL["incremental_usages"].replace("SELECT c_custkey AS k,", f"SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + {LATER} ELSE c_custkey END AS ck,").replace("file.k % h.many", "file.ck % h.many")
 
 
+HEIR = """package t
+<open>class C<k> : <above>() {
+  fun f<k>() {
+  }
+}
+"""
+
+
+@query()
+def transitive_supertypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All super types of each type, over chains of types and a cycle, and the entry points by them (J9, G3 with the switch)."""
+    k = F.col("c_custkey")
+    above = F.when(k == 1, "C2(), Activity").when(k == 2, "C1(), Face").when(k < 1, "Service").otherwise(F.concat(F.lit("C"), F.floor(k / 3).cast("string")))
+    path = filled("m/src/C<k>.kt", k=k)
+    files = spark.read.parquet(f"{sf_dir}/customer.parquet").select(path.alias("path"), path.alias("relative_path"), filled(HEIR, k=k, above=above, open=F.when(k % 2 == 0, "open ").otherwise("")).alias("content"))
+    decls = checkpointed(declarations.declarations(project.source_rows(files)))
+    supers = graph.all_supertypes(decls).groupBy("simple_name").agg(F.array_join(F.sort_array(F.collect_list("super")), ",").alias("supers"), F.max("level").alias("deepest"))
+    found = graph.entry_kinds(decls, transitive=True).where("kind = 'FUNCTION'").select(F.substring_index("container", ".", -1).alias("simple_name"), "entry_kind")
+    return supers.join(found, "simple_name", "full_outer")
+
+
+ORACLE_SQL["transitive_supertypes"] = """WITH RECURSIVE edge(a, b) AS (
+  SELECT 'C' || c_custkey, 'C' || (c_custkey // 3) FROM customer WHERE c_custkey >= 3 UNION ALL SELECT 'C' || c_custkey, 'Service' FROM customer WHERE c_custkey < 1
+  UNION ALL SELECT 'C1', unnest(['C2', 'Activity']) FROM customer WHERE c_custkey = 1 UNION ALL SELECT 'C2', unnest(['C1', 'Face']) FROM customer WHERE c_custkey = 2),
+walk(a, b, level) AS (SELECT a, b, 1 FROM edge UNION SELECT w.a, e.b, w.level + 1 FROM walk w JOIN edge e ON e.a = w.b WHERE w.level < 25),
+near AS (SELECT a, b, min(level) AS level FROM walk WHERE a <> b GROUP BY a, b)
+SELECT 'C' || c_custkey AS simple_name, (SELECT string_agg(b, ',' ORDER BY b) FROM near WHERE a = 'C' || c_custkey) AS supers, (SELECT max(level) FROM near WHERE a = 'C' || c_custkey)::INTEGER AS deepest,
+CASE WHEN EXISTS (SELECT 1 FROM near WHERE a = 'C' || c_custkey AND b = 'Activity') THEN 'Activity' WHEN EXISTS (SELECT 1 FROM near WHERE a = 'C' || c_custkey AND b = 'Service') THEN 'Service' END AS entry_kind FROM customer"""
+
+
+def _second(facts: str) -> str:
+    """The facts, with the usages of the changed files as ``later``: every third file another content, every fourth of the others a line more, every tenth gone."""
+    usages = facts[facts.index("u AS (\n") : facts.index("man AS (")]
+    later = usages.replace("u AS (", "later AS (", 1).replace("file.k % h.many", "file.ck % h.many").replace("p.line, CASE", "p.line + CASE WHEN file.k % 3 <> 0 AND file.k % 4 = 1 THEN 1 ELSE 0 END AS line, CASE", 1)
+    changed = f"SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + {LATER} ELSE c_custkey END AS ck,"
+    return facts.replace("SELECT c_custkey AS k,", changed).replace("man AS (", later + "man AS (", 1)
+
+
+@query()
+def compared_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usages of a project against those after changes: the same, moved, new and gone (baseline, multiset intersect and except)."""
+    files = lambda later, where: source_files(spark, sf_dir, later).where(where)
+    moved = files(0, "key % 3 <> 0 and key % 4 = 1 and key % 10 <> 7").withColumn("content", F.concat(F.lit("// moved\n"), "content"))
+    after = files(LATER, "key % 3 = 0 and key % 10 <> 7").unionByName(moved).unionByName(files(0, "key % 3 <> 0 and key % 4 <> 1 and key % 10 <> 7"))
+    old, new = (signals.usages(signals.candidate_lines(project.source_rows(x))) for x in (files(0, "true"), after))
+    return compare.compared(old, new, ["file", "permission", "kind", "evidence", "snippet"])
+
+
+ORACLE_SQL["compared_usages"] = f"""WITH {_second(FACTS)},
+b AS (SELECT * FROM later WHERE k % 10 <> 7)
+SELECT coalesce(u.file, b.file) AS file, coalesce(u.permission, b.permission) AS permission, coalesce(u.kind, b.kind) AS kind, coalesce(u.evidence, b.evidence) AS evidence, coalesce(u.snippet, b.snippet) AS snippet,
+CASE WHEN u.line = b.line THEN 'same' WHEN u.line IS NULL THEN 'new' WHEN b.line IS NULL THEN 'gone' ELSE 'moved' END AS state, u.line::BIGINT AS old_place, b.line::BIGINT AS new_place
+FROM u FULL JOIN b ON u.file = b.file AND u.permission = b.permission AND u.kind = b.kind AND u.evidence = b.evidence AND u.snippet = b.snippet"""
+
+
+@query()
+def usage_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usages and files by nation, module, group of permissions and confidence, at five levels in one pass (A2, A4, A5 as grouping sets)."""
+    sources = project.source_rows(source_files(spark, sf_dir).withColumnRenamed("nation", "project"))
+    found = catalog.described(signals.usages(signals.candidate_lines(sources)), "permission", catalog.specs(spark))
+    found = found.withColumn("group", F.nullif("group", F.lit("Other")))  # a group that is not known is null
+    return compare.rolled_up(found, [["project", "module"], ["project", "group"], ["group", "confidence"], ["group"], []])
+
+
+ORACLE_SQL["usage_rollups"] = f"""WITH {FACTS},
+r AS (SELECT 'n' || regexp_extract(file, '[0-9]+') AS project, split_part(file, '/', 1) AS module, nullif(coalesce(grp, 'Other'), 'Other') AS grp, confidence, file FROM u LEFT JOIN spec ON spec.name = u.permission)
+SELECT 'project,module' AS level, project, module, NULL AS "group", NULL AS confidence, count(*) AS n, count(DISTINCT file) AS files FROM r GROUP BY project, module
+UNION ALL SELECT 'project,group', project, NULL, grp, NULL, count(*), count(DISTINCT file) FROM r GROUP BY project, grp UNION ALL SELECT 'group,confidence', NULL, NULL, grp, confidence, count(*), count(DISTINCT file) FROM r GROUP BY grp, confidence
+UNION ALL SELECT 'group', NULL, NULL, grp, NULL, count(*), count(DISTINCT file) FROM r GROUP BY grp UNION ALL SELECT '', NULL, NULL, NULL, NULL, count(*), count(DISTINCT file) FROM r"""
+
+
 def by_nation(spark: SparkSession, sf_dir: str) -> analyze.Analysis:
     """The analysis of a project per nation, all in one."""
     files = [f(spark, sf_dir).withColumnRenamed("nation", "project") for f in (source_files, manifest_files, build_files)]
