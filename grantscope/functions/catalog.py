@@ -271,6 +271,8 @@ ENTRY_FUNCTIONS = [
     "onMessageReceived", "main", "onViewCreated",
 ]
 
+#: Signals of a user's table at most.
+MOST_SIGNALS = 20_000
 UNKNOWN_DESCRIPTION = "Permission is not in the catalog and needs manual verification."
 
 
@@ -286,6 +288,22 @@ def signals(spark: SparkSession, found: Sequence[Signal] = SIGNALS) -> DataFrame
     return spark.createDataFrame(rows, "ord int, permission string, label string, pattern string, confidence string, import_needles array<string>")
 
 
+def from_table(table: DataFrame, most: int = MOST_SIGNALS) -> list[Signal]:
+    """Signals from a user's table: permission, label, pattern and, where it has them, confidence, import_needles and ord.
+
+    They are in order of ``ord``, else of permission, label and pattern; equal rows count once, a null confidence is HIGH, and rows without
+    a permission or a pattern are none.  A catalog is small beside the code that it is looked for in, and goes to the driver: one
+    of more than ``most`` rows is an error.  A pattern that Spark cannot read is one when it is first matched.
+    """
+    own = {c: F.col(c) if c in table.columns else F.lit(None).cast(kind) for c, kind in (("ord", "int"), ("confidence", "string"), ("import_needles", "array<string>"))}
+    rows = table.select(own["ord"].alias("ord"), "permission", F.coalesce("label", "pattern").alias("label"), "pattern", F.coalesce(own["confidence"], F.lit(HIGH)).alias("confidence"), F.coalesce(own["import_needles"], F.array().cast("array<string>")).alias("import_needles"))
+    rows = rows.where("permission is not null and pattern is not null").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a catalog of more than {most} signals")
+    rows.sort(key=lambda r: (r.ord is None, r.ord or 0, r.permission, r.label, r.pattern, r.confidence, r.import_needles))
+    return [Signal(r.permission, r.label, r.pattern, r.confidence, tuple(r.import_needles)) for r in rows]
+
+
 def alternatives(spark: SparkSession) -> DataFrame:
     """Pairs (name, other) of permissions of one group."""
     rows = [(a, b) for group in ALTERNATIVES for a in group for b in group if a != b]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog, text
+from ..functions.catalog import Signal
 from ..functions.shared import checkpointed, in_order
 from ..operators import classify, declarations, graph, rules, signals
 from ..sources import project
@@ -174,15 +176,17 @@ def summary_row(reports: DataFrame, findings: DataFrame) -> DataFrame:
     return one.select(*keys, *named, "usageCountByPermission", "riskScore", classify.grade(F.col("riskScore")).alias("riskGrade"), F.map_from_entries(pairs).alias("findingCountBySeverity"))
 
 
-def analyze(spark: SparkSession, root: str, include_tests: bool = False) -> Analysis:
-    """Analyses the project below ``root``."""
+def analyze(spark: SparkSession, root: str, include_tests: bool = False, *, known: Sequence[Signal] = catalog.SIGNALS, transitive: bool = False) -> Analysis:
+    """Analyses the project below ``root``; for ``known`` and ``transitive`` see :func:`assemble`."""
     began = time.time()
     sources = project.sources(spark, root, include_tests)
-    return assemble(spark, root, sources, project.manifests(spark, root), project.build_config(spark, root), began)
+    return assemble(spark, root, sources, project.manifests(spark, root), project.build_config(spark, root), began, known=known, transitive=transitive)
 
 
-def assemble(spark: SparkSession, root: str, sources: DataFrame, manifests: DataFrame, build: DataFrame, began: float | None = None) -> Analysis:
-    """The analysis of given source, manifest and build rows.
+def assemble(spark: SparkSession, root: str, sources: DataFrame, manifests: DataFrame, build: DataFrame, began: float | None = None, *, known: Sequence[Signal] = catalog.SIGNALS, transitive: bool = False) -> Analysis:
+    """The analysis of given source, manifest and build rows, by the signals ``known`` (a user's own: :func:`catalog.from_table`).
+
+    With ``transitive`` super types of super types make entry points too.
 
     Where all three have a ``project``, every section has it too and each project is analysed by itself, all in the same
     jobs: names, permissions, modules and findings of two projects never meet.
@@ -190,8 +194,9 @@ def assemble(spark: SparkSession, root: str, sources: DataFrame, manifests: Data
     own = [*keys_of(build), "permission"]
     began = began or time.time()
     sources, manifests, build = checkpointed(sources), checkpointed(manifests), checkpointed(build)
-    decls = checkpointed(graph.entry_kinds(declarations.declarations(sources)))
-    found = checkpointed(located(signals.usages(signals.candidate_lines(sources)), decls))
+    parsed = declarations.declarations(sources)
+    decls = checkpointed(graph.entry_kinds(checkpointed(parsed) if transitive else parsed, transitive))
+    found = checkpointed(located(signals.usages(signals.candidate_lines(sources, known), known), decls))
     components = project.manifest_components(manifests)
     declared = checkpointed(project.declared(manifests))
     reports = checkpointed(permission_reports(found, declared, catalog.specs(spark), catalog.alternatives(spark)))

@@ -158,3 +158,17 @@ ORACLE_SQL["catalog_dart_names"] = f"""WITH name(n, name, permission) AS (VALUES
 form(line, kind, evidence) AS (VALUES (1, 'API_CALL', NULL), (1, 'REQUEST', 'permission_handler request'), (2, 'API_CALL', NULL), (2, 'CHECK', 'permission_handler status check'), (3, 'API_CALL', NULL))
 SELECT 'lib/c' || c_custkey || '.dart' AS file, line::INTEGER AS line, permission, 'Permission.' || name AS symbol, kind, coalesce(evidence, 'permission_handler: Permission.' || name) AS evidence, 'HIGH' AS confidence
 FROM customer JOIN name ON name.n = c_custkey % {len(catalog.DART_NAMES)} CROSS JOIN form"""
+
+
+def user_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines, against a catalog read from a table: a pattern for each brand and size that the table has (S7 as a user's table, J1, U1)."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    made = part.select(F.col("p_brand").alias("permission"), F.format_string("size %d", "p_size").alias("label"), F.format_string(r"brand=%s\s+size=%d\b", "p_brand", "p_size").alias("pattern"), F.when(F.col("p_size") > 25, "HIGH").otherwise("LOW").alias("confidence")).distinct()
+    known = catalog.from_table(made)
+    line = F.format_string("key=%d brand=%s  size=%d type=%s", "p_partkey", "p_brand", "p_size", "p_type")
+    files = part.select(F.format_string("m/src/P%d.kt", "p_partkey").alias("relative_path"), F.concat(F.lit("\n"), line, F.lit("0\n")).alias("content")).withColumn("path", F.col("relative_path"))
+    return signals.usages(signals.candidate_lines(project.source_rows(files), known), known).select("file", "line", "permission", "evidence", "confidence")
+
+
+QUERIES["user_catalog"] = user_catalog
+ORACLE_SQL["user_catalog"] = "SELECT 'm/src/P' || p_partkey || '.kt' AS file, 2::INTEGER AS line, p_brand AS permission, 'size ' || p_size AS evidence, CASE WHEN p_size > 25 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM part"

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from grantscope.functions import catalog
 from grantscope.functions.catalog import SIGNALS, Signal
 from grantscope.operators import signals
 from grantscope.operators.needles import needed, places
@@ -61,3 +62,23 @@ def test_usages_are_found_in_one_scan_without_a_shuffle(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 1 and "Exchange" not in plan and "Window [" not in plan
     assert [tuple(r)[:3] for r in df.collect()] == [("android.permission.CAMERA", "a", 1)]
+
+
+def test_a_catalog_from_a_table_gives_what_the_literals_give(spark):
+    table = spark.createDataFrame([(n, s.permission, s.label, s.pattern, s.confidence) for n, s in enumerate(SIGNALS)], "ord int, permission string, label string, pattern string, confidence string")
+    assert catalog.from_table(table.unionByName(table).repartition(3)) == list(SIGNALS)
+    many = [Signal(f"P{n % 7}", f"word {n}", rf"\bword{n}\b", "LOW", ("android",) if n % 2 else ()) for n in range(1000)]
+    read = catalog.from_table(spark.createDataFrame([(s.permission, s.label, s.pattern, s.confidence, list(s.import_needles)) for s in many], "permission string, label string, pattern string, confidence string, import_needles array<string>"))
+    assert sorted(map(str, read)) == sorted(map(str, many))
+    rng = random.Random(1)
+    sources = lines_as_a_table(spark, [(f"f{n}", "Kotlin", [" ".join(f"word{rng.randint(0, 1200)}" for _ in range(5)) for _ in range(4)]) for n in range(20)])
+    got = {(r.file, r.line, r.evidence) for r in signals.usages(signals.candidate_lines(sources, read), read).collect()}
+    assert got == {(r.relative_path, k + 1, f"word {w[4:]}") for r in sources.collect() for k, line in enumerate(r.code) for w in line.split() if int(w[4:]) < 1000}
+
+
+def test_tables_that_are_no_catalog(spark):
+    df = spark.createDataFrame([("P", None, "x", None), ("P", "l", None, None), (None, "l", "x", None), ("P", None, "x", None)], "permission string, label string, pattern string, confidence string")
+    assert catalog.from_table(df) == [Signal("P", "x", "x")]
+    assert catalog.from_table(df.limit(0)) == []
+    with pytest.raises(ValueError):
+        catalog.from_table(spark.range(5).selectExpr("string(id) permission", "'l' label", "'x' pattern"), most=4)
