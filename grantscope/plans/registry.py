@@ -320,10 +320,12 @@ def report_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.report_filter(df, status="Brand#11", risk="HIGH", query="BRAND#1").select("p_partkey", F.col("permission").alias("p_name"))
 
 
-@query("""SELECT count(*)::BIGINT AS specs, count(*) FILTER (WHERE protection = 'DANGEROUS')::BIGINT AS dangerous FROM (VALUES """ + ", ".join(f"('{s[0]}', '{s[1]}')" for s in catalog.SPECS) + """) v(name, protection)""")
+@query(f"""WITH spec(name, protection, grp, note) AS (VALUES {SPEC_VALUES}), p AS (SELECT {PERMISSION_SQL} AS permission FROM part)
+SELECT name, protection, (SELECT count(*) FROM p WHERE permission = name)::BIGINT AS parts FROM spec""")
 def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The static catalog as a table."""
-    return catalog.specs(spark).agg(F.count("*").alias("specs"), F.count_if(F.col("protection") == "DANGEROUS").alias("dangerous"))
+    """The static catalog as a table, with the parts that name each permission."""
+    named = table(spark, sf_dir, "part").groupBy(F.expr(PERMISSION_SQL).alias("name")).agg(F.count("*").alias("parts"))
+    return catalog.specs(spark).join(named, "name", "left").select("name", "protection", F.coalesce("parts", F.lit(0)).alias("parts"))
 
 
 for module in (generated, samples):
