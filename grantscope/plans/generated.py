@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog
 from ..functions.shared import checkpointed, shared_folder
-from ..operators import compare, declarations, graph, rules, signals
+from ..operators import compare, declarations, graph, rules, signals, sketches
 from ..sources import project
 from ..streaming import rescan
 from . import analyze, corpus, report
@@ -568,6 +568,23 @@ UNION ALL SELECT 'project,group', project, NULL, grp, NULL, count(*), count(DIST
 UNION ALL SELECT 'group', NULL, NULL, grp, NULL, count(*), count(DISTINCT file) FROM r GROUP BY grp UNION ALL SELECT '', NULL, NULL, NULL, NULL, count(*), count(DISTINCT file) FROM r"""
 
 
+@query()
+def usage_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and the middle key of each permission's usages from sketches of two runs, stored by module and merged, beside the exact numbers (A1, A9 approximately)."""
+    found = signals.usages(signals.candidate_lines(project.source_rows(source_files(spark, sf_dir))))
+    found = checkpointed(found.select("permission", F.split_part("file", F.lit("/"), F.lit(1)).alias("module"), "file", F.regexp_extract("file", "[Cc]([0-9]+)", 1).cast("int").alias("key")))
+    runs = [checkpointed(sketches.sketched(found.where(f"key % 2 = {n}"), ["permission", "module"], distinct="file", value="key")) for n in range(2)]
+    told = sketches.estimates(sketches.merged(runs[0].unionByName(runs[1]), ["permission"]), ["permission"], (0.5,))
+    exact = found.join(told, "permission").groupBy("permission").agg(
+        F.count("*").alias("usages"), F.countDistinct("file").alias("files"), F.max("n").alias("n"), F.max("n_distinct").alias("n_distinct"),
+        (F.count_if(F.col("key") <= F.col("quantiles")[0]) / F.count("*")).alias("below"), (F.count_if(F.col("key") < F.col("quantiles")[0]) / F.count("*")).alias("under"))
+    near = F.abs(F.col("n_distinct") - F.col("files")) <= 0.07 * F.col("files")
+    return exact.select("permission", F.col("n").alias("usages"), "files", near.alias("files_near"), ((F.col("under") <= 0.55) & (F.col("below") >= 0.45)).alias("middle_near"))
+
+
+ORACLE_SQL["usage_sketches"] = f"WITH {FACTS} SELECT permission, count(*)::BIGINT AS usages, count(DISTINCT file)::BIGINT AS files, true AS files_near, true AS middle_near FROM u GROUP BY permission"
+
+
 def by_nation(spark: SparkSession, sf_dir: str) -> analyze.Analysis:
     """The analysis of a project per nation, all in one."""
     files = [f(spark, sf_dir).withColumnRenamed("nation", "project") for f in (source_files, manifest_files, build_files)]
