@@ -237,7 +237,8 @@ def train(
 
     Per language: the first ``doc_chars`` characters of the ``max_docs`` documents
     whose ids have the least hash, ``max_chars`` in all; over all languages at
-    most ``total_chars``.  Documents with a null id, language or text are skipped.
+    most ``total_chars``, so from 17 languages on each has less than ``max_chars``, and 1,000 at least.  Documents with a null id,
+    language or text are skipped.
     """
     key = F.col(id_col)
     known = docs.where(key.isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(key))
@@ -254,7 +255,7 @@ def train(
 def identify(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with ``lang_pred`` and ``score`` (0 to 1) of each whole text.
 
-    A null text, and one without a letter, gets ``und`` and score 0; so does every
+    Texts of any length are parsed whole.  A null text, and one without a letter, gets ``und`` and score 0; so does every
     text if nothing was learned.  The score is 1 - least / second least cost; at
     equal cost the first language in order wins.  Columns of ``docs`` that are named
     like a result column are replaced.  An empty table gives an empty result.

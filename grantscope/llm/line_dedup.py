@@ -122,7 +122,8 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
     byte by byte to the one that stays.
 
     Returns the id, ``text`` (remaining lines joined by ``\n``) and ``n_removed``, the
-    number of runs of removed lines.  Null and one-line texts stay as they are.  Of fully
+    number of runs of removed lines.  Null and one-line texts stay as they are; texts of any
+    length are compared whole, their lines being rows.  Of fully
     equal rows each keeps what the first keeps, as they are one occurrence; other
     columns are ignored; an empty table gives an empty result.
     """

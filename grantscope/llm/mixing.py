@@ -73,7 +73,7 @@ def mix(
     further budgets end in ``_1``, ``_2``...  A source's taken words differ from
     its target by at most half of one document (or of one group of equal ids).
 
-    Null or empty texts have size 0 and take 0; a null source is a source of its
+    Null or empty texts have size 0 and take 0; texts of any length are counted whole; a null source is a source of its
     own; rows of equal id share a hash and so their fate; an empty table gives an
     empty result; other columns are ignored.
     """
