@@ -43,12 +43,12 @@ def event_usages(events: DataFrame, known: Sequence[Signal] = catalog.SIGNALS) -
 def changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """What a file's newest event adds and takes away; events that are no newer than the last one change nothing."""
     last, held = state.get if state.exists else (None, "[]")
-    rows = pd.concat(list(frames))
-    newest = int(rows["seq"].max())
+    rows = [r for f in frames for r in zip(*(f[c].tolist() for c in ["seq", *FIELDS]), strict=True)]
+    newest = int(max(r[0] for r in rows))
     if last is not None and newest <= last:
         return
-    rows = rows[(rows["seq"] == newest) & rows["permission"].notna()].drop_duplicates().sort_values(FIELDS)
-    new = Counter(tuple(int(v) if k == "line" else v for k, v in zip(FIELDS, r, strict=True)) for r in rows[FIELDS].itertuples(index=False))
+    # an event that comes twice has each usage twice, one without usages a row of nulls
+    new = Counter({(int(line), *rest) for seq, line, *rest in rows if seq == newest and isinstance(rest[0], str)})
     old = Counter(tuple(x) for x in json.loads(held))
     out = [(key[0], newest, sign, *x) for sign, some in ((-1, old - new), (1, new - old)) for x in sorted(some.elements())]
     state.update((newest, json.dumps(sorted(new.elements()))))
