@@ -17,7 +17,7 @@ and only a spanning set of links is emitted.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,12 @@ SHARED = 8
 GROUP_MEMBERS, GROUP_TOKENS = 1024, 1 << 19
 #: Queries of a group that one task opens, with a copy of its members; parts into which the rows of a frequent token are dealt.
 GROUP_QUERIES, SALTS = 4096, 16
+#: Prefix tokens are counted in 2 ** LOAD_BITS buckets; those of a bucket with over SALT_ROWS rows, and over four times the mean, are dealt out too.
+LOAD_BITS, SALT_ROWS = 18, 4096
 #: A token of more groups than this is asked about only by classes whose other tokens cannot do without it.
 WIDE = 512
-BLOOM_BITS = 24
+#: Bits of the filter of wanted sets, as a power of two: BLOOM_ROOM bits for each set, within these bounds.
+BLOOM_BITS, BLOOM_ROOM = (24, 28), 16
 _TOP = np.uint64(1 << 63)
 ROW = ["token", "c8", "g", "n"]
 _SEEDS = W.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -108,6 +111,7 @@ def cid_of(tokens: np.ndarray) -> bytes:
 
 
 def _signed(order, width: int, num: int, den: int):
+    """Class, size, min-hashes and prefix of each text; columns after the text are handed on."""
     names = ["id", "cid", "n", "mins", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,26 +133,60 @@ def _signed(order, width: int, num: int, den: int):
                     part = s[:light] if 2 * light >= n else s
                     mins.append(np.array([W.mix(part ^ seed).min() for seed in _SEEDS]).view(np.int64).tolist())
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(cid, pa.binary()), sizes, pa.array(mins, pa.list_(pa.int64())), pa.array(prefix, pa.binary())], names)
+                own = [batch.column(0).slice(i, j - i), pa.array(cid, pa.binary()), sizes, pa.array(mins, pa.list_(pa.int64())), pa.array(prefix, pa.binary())]
+                more = [batch.column(k).slice(i, j - i) for k in range(2, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays(own + more, names + batch.schema.names[2:])
 
     return run
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per prefix token: token, short class id, group, set size, and a salt for frequent tokens."""
+def _bucket(token: np.ndarray) -> np.ndarray:
+    return (W.mix(token.view(np.uint64)) >> np.uint64(64 - LOAD_BITS)).astype(np.int64)
+
+
+def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of prefix tokens in each bucket."""
+    load = np.zeros(1 << LOAD_BITS, np.int64)
     for batch in batches:
-        data, offsets = W.utf8(batch.column("prefix"))
-        count = np.diff(offsets) // 8
-        token = np.frombuffer(data.tobytes(), np.int64)
-        cols = [pa.array(np.repeat(batch.column(k).to_numpy(), count)) for k in ("c8", "g", "n")]
-        salt = np.where(token < 0, cols[0].to_numpy() & (SALTS - 1), 0)
-        yield pa.RecordBatch.from_arrays([pa.array(token), *cols, pa.array(salt)], [*ROW, "salt"])
+        data, _ = W.utf8(batch.column(0))
+        load += np.bincount(_bucket(np.frombuffer(data.tobytes(), np.int64)), minlength=len(load))
+    at = np.flatnonzero(load)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(load[at])], ["bucket", "n"])
+
+
+def _full(spark: SparkSession, classes: DataFrame) -> np.ndarray:
+    """The buckets whose tokens are dealt out by a salt: any token of more rows than the limit is in one.
+
+    Fewer than a quarter of the buckets are above four times the mean, so what comes to the driver is bounded.
+    """
+    loads = classes.select("prefix").mapInArrow(_loads, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    limit = F.greatest(F.lit(SALT_ROWS).cast("double"), 4 * F.col("total") / (1 << LOAD_BITS))
+    total = loads.agg(F.sum("n").alias("total")).first()[0] or 0
+    full = np.zeros(1 << LOAD_BITS, bool)
+    full[[r[0] for r in loads.withColumn("total", F.lit(total)).where(F.col("n") > limit).select("bucket").collect()]] = True
+    return full
+
+
+def _exploded(full):
+    """A row per prefix token: token, short class id, group, set size, and a salt from 1 on for tokens of many rows, else 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = full.value
+        for batch in batches:
+            data, offsets = W.utf8(batch.column("prefix"))
+            count = np.diff(offsets) // 8
+            token = np.frombuffer(data.tobytes(), np.int64)
+            cols = [pa.array(np.repeat(batch.column(k).to_numpy(), count)) for k in ("c8", "g", "n")]
+            salt = np.where((token < 0) | dealt[_bucket(token)], 1 + (cols[0].to_numpy() & (SALTS - 1)), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(token), *cols, pa.array(salt)], [*ROW, "salt"])
+
+    return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (token, salt, g), those whose token may be in several groups.
 
-    Frequent tokens, whose rows are dealt out by their salt, all pass.  A run of equal
+    Tokens whose rows are dealt out by their salt all pass.  A run of equal
     tokens that goes on in the next batch is held only while all its rows are of one
     group, whose size is bounded.
     """
@@ -160,10 +198,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.concatenate([held, rows])
         if not len(rows):
             continue
-        token, g = rows[:, 0], rows[:, 2]
+        token, g, salt = rows[:, 0], rows[:, 2], rows[:, 4]
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         end = np.concatenate([start[1:], [len(rows)]])
-        many = (g[start] != g[end - 1]) | (token[start] < 0)
+        many = (g[start] != g[end - 1]) | (salt[start] > 0)
         if mixed is not None:
             many |= token[start] == mixed
         last = len(start) - 1
@@ -176,7 +214,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _salts() -> Column:
     """The salts under which a token's rows are dealt out."""
-    return F.when(F.col("token") < 0, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return F.when(F.col("hot"), F.sequence(F.lit(1).cast("long"), F.lit(SALTS).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
 
 
 def _dealt(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
@@ -186,21 +224,24 @@ def _dealt(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("salt", salt.cast("long")).join(dealt.hint("merge"), [key, "salt"])
 
 
-def _bloom(cids: list[bytes], ids: list[int | None]) -> np.ndarray:
-    """Slots of (class, document) pairs in a filter of fixed size."""
+def _bloom(cids: list[bytes], ids: list[int | None], bits: int) -> np.ndarray:
+    """Slots of (class, document) pairs in a filter of 2 ** ``bits`` bits."""
     short = np.array([int.from_bytes(x[:8], "little") for x in cids], np.uint64)
     key = np.array([0 if k is None else k for k in ids], np.int64).view(np.uint64)
     h = W.mix(short ^ W.mix(key * np.uint64(0xA0761D6478BD642F) + np.uint64(1)))
-    return (h >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        slot = _bloom(batch.column("cid").to_pylist(), batch.column("rep").to_pylist()) if batch.num_rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array((np.uint64(1) << (slot & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+def _slots(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _bloom(batch.column("cid").to_pylist(), batch.column("rep").to_pylist(), bits) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array((np.uint64(1) << (slot & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+
+    return run
 
 
-def _wanted(order, bloom, width: int):
+def _wanted(order, bloom, size: int, width: int):
     """Whole token sets of the documents that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +253,7 @@ def _wanted(order, bloom, width: int):
                 ranked = [rank(sets[k]) for k in at]
                 cids = [cid_of(s) for s in ranked]
                 own = [ids[i + k] for k in at]
-                slot = _bloom(cids, own) if at else np.zeros(0, np.int64)
+                slot = _bloom(cids, own, size) if at else np.zeros(0, np.int64)
                 hit = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([own[k] for k in hit], pa.int64()), pa.array([cids[k] for k in hit], pa.binary()), pa.array([ranked[k].tobytes() for k in hit], pa.binary())],
@@ -360,6 +401,8 @@ def join_classes(
     text_col: str = "text",
     width: int = 5,
     similarity: tuple[int, int] = (80, 100),
+    carry: Sequence[str] = (),
+    label_col: str | None = None,
 ) -> DataFrame:
     """Size of each document's shingle set, and the least id that its links reach.
 
@@ -367,7 +410,9 @@ def join_classes(
     The set holds the distinct windows of ``width`` words; a text of fewer words has
     one shingle, the whole sequence.  Documents link if intersection over union is
     at least ``similarity`` (a fraction in whole numbers).  Returns the id,
-    ``n_shingles`` and ``component_id``.
+    ``n_shingles`` and ``component_id``; also the columns named by ``carry``, and under
+    ``label_col``, if it is given, a binary label of the component that does not
+    depend on ids (null where there is no shingle).
 
     A text of any length is read whole, and its set is held by one worker at a time.
     Null texts and texts without a word have no shingle, no link, and their own id.
@@ -379,15 +424,16 @@ def join_classes(
     """
     num, den = similarity
     scratch = Scratch(spark, "jaccard")
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    often = slim.mapInArrow(_frequent(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 64")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(carry)])
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in slim.schema[2:])
+    often = slim.select("id", "text").mapInArrow(_frequent(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 64")
     heavy = sorted((r[1], r[0]) for r in often.orderBy(F.desc("n"), "token").limit(HEAVY).collect())
     order = spark.sparkContext.broadcast(Order(np.array([t for _, t in heavy], np.int64).view(np.uint64)))
 
-    signed = scratch.write(slim.mapInArrow(_signed(order, width, num, den), "id long, cid binary, n long, mins array<long>, prefix binary"), "signed")
+    signed = scratch.write(slim.mapInArrow(_signed(order, width, num, den), "id long, cid binary, n long, mins array<long>, prefix binary" + kinds), "signed")
     grouped = signed.where("cid is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("prefix").alias("prefix"))
     classes = scratch.write(grouped, "classes")
-    thin = scratch.write(signed.select("id", "cid", "n"), "thin")
+    thin = scratch.write(signed.drop("mins", "prefix"), "thin")
     scratch.drop("signed")
 
     # families and their groups
@@ -405,20 +451,20 @@ def join_classes(
     member = member.withColumn("c8", F.xxhash64("cid"))
     prefixes = classes.select("cid", "prefix").join(member.select("cid", "c8", "g", "n").hint("merge"), "cid").select("c8", "g", "n", "prefix")
     row = ", ".join(f"{c} long" for c in [*ROW, "salt"])
-    tokens = prefixes.mapInArrow(_exploded, row)
+    tokens = prefixes.mapInArrow(_exploded(spark.sparkContext.broadcast(_full(spark, classes))), row)
     shared = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "g").mapInArrow(_shared, row)
     shared = scratch.write(shared, "shared")
     # a class with fewer shared tokens in all than it must share with one group asks none
     enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * num / den))
     asks = shared.groupBy("c8").agg(F.count("*").alias("tokens"), F.first("n").alias("n")).where(F.col("tokens") >= enough)
     shared = shared.join(asks.select("c8").hint("merge"), "c8", "left_semi")
-    matrix = scratch.write(shared.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
-    live = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token", (F.col("groups") > WIDE).alias("wide"), F.explode(_salts()).alias("salt"))
+    matrix = scratch.write(shared.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), (F.max("salt") > 0).alias("hot")), "matrix")
+    live = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.bool_or("hot").alias("hot")).where("groups > 1").select("token", (F.col("groups") > WIDE).alias("wide"), F.explode(_salts()).alias("salt"))
     shared = scratch.write(shared.join(live.hint("merge"), ["token", "salt"]), "asking")
     # whoever shares ``enough`` tokens with a group shares all but its wide ones of them among the others
     wide = shared.groupBy("c8").agg(F.count_if("wide").alias("wides"))
     shared = shared.join(wide.hint("merge"), "c8").where(~F.col("wide") | (F.col("wides") >= enough)).withColumn("least_hits", F.when(F.col("wides") >= enough, enough).otherwise(enough - F.col("wides")))
-    to = matrix.withColumnRenamed("g", "to").withColumn("salt", F.explode(_salts()))
+    to = matrix.withColumnRenamed("g", "to").withColumn("salt", F.explode(_salts())).drop("hot")
     fits = (F.col("most") * den >= F.col("n") * num) & (F.col("least") * num <= F.col("n") * den)
     asked = shared.join(to.hint("merge"), ["token", "salt"]).where((F.col("g") < F.col("to")) & fits).groupBy("c8", "to").agg(F.count("*").alias("hits"), F.first("least_hits").alias("least_hits"))
     asked = scratch.write(asked.where(F.col("hits") >= F.col("least_hits")).select("c8", "to"), "asked")
@@ -430,12 +476,12 @@ def join_classes(
     own = member.groupBy("g").agg(F.count("*").alias("n")).join(queries.hint("merge"), "g", "left").where("n > 1 or parts is not null")
     own = own.select("g", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     roles = scratch.write(member.join(own.hint("merge"), "g").select("g", "part", F.lit(0).alias("role"), "cid", "rep").union(asking), "roles")
-    wanted = roles.select("cid", "rep").distinct()
-    words = wanted.mapInArrow(_slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    bloom = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
-    for r in words.toLocalIterator():  # a row per word of a filter of fixed size
-        bloom[r[0]] = np.array([r[1]], np.int64).view(np.uint64)[0]
-    sets = slim.mapInArrow(_wanted(order, spark.sparkContext.broadcast(bloom), width), "id long, cid binary, tokens binary")
+    wanted = scratch.write(roles.select("cid", "rep").distinct(), "wanted")
+    size = min(max((wanted.count() * BLOOM_ROOM).bit_length(), BLOOM_BITS[0]), BLOOM_BITS[1])
+    words = wanted.mapInArrow(_slots(size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # a row per word of a filter of bounded size
+    bloom = np.zeros(1 << (size - 6), np.uint64)
+    bloom[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    sets = slim.select("id", "text").mapInArrow(_wanted(order, spark.sparkContext.broadcast(bloom), size, width), "id long, cid binary, tokens binary")
     sets = sets.join(wanted.hint("merge"), "cid").where(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["cid"]).select("cid", "tokens")
     rows = roles.select("g", "part", "role", "cid").join(sets.hint("merge"), "cid")
     links = rows.repartition("g", "part").sortWithinPartitions("g", "part", "role").select("g", "part", "role", "cid", "tokens").mapInArrow(_opened(num, den), "a binary, b binary")
@@ -445,7 +491,9 @@ def join_classes(
     joined = components(scratch, links, "join")
     reps = scratch.write(member.select("cid", "rep").join(joined.hint("merge"), F.col("cid") == F.col("node"), "left").select("cid", "rep", "label"), "reps")
     linked = reps.where("label is not null")
-    found = _dealt(linked, linked.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("cid", "component_id")
-    found = found.unionByName(reps.where("label is null").select("cid", F.col("rep").alias("component_id")))
+    found = _dealt(linked, linked.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("cid", "component_id", "label")
+    found = found.unionByName(reps.where("label is null").select("cid", F.col("rep").alias("component_id"), F.col("cid").alias("label")))
     out = thin.join(found.hint("merge"), "cid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    more = [F.col(f"_{k}").alias(c) for k, c in enumerate(carry)] + ([F.col("label").alias(label_col)] if label_col else [])
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component, *more)

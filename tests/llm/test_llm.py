@@ -506,6 +506,38 @@ def test_jaccard_hot_tokens_and_groups(spark, monkeypatch):
         assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_jaccard_thin_tokens_are_dealt_out(spark, monkeypatch):
+    """A passage too rare to be in any block's list of frequent tokens, met by many classes after the shuffle."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    common, rows = " ".join(word() for _ in range(12)), []
+    for i in range(300):
+        own = " ".join(word() for _ in range(20))
+        rows.append((i, f"{own} {common}" if i % 5 == 0 else own))
+    rows += [(300 + k, rows[5 * k][1] + " end") for k in range(20)] + [(320, None), (321, "")]
+    want = model_components(rows)
+    monkeypatch.setattr(jaccard, "_frequent", lambda width: lambda batches: iter(()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt = []
+    full_of = jaccard._full
+    monkeypatch.setattr(jaccard, "_full", lambda *a: dealt.append(full_of(*a)) or dealt[-1])
+    for rows_a_salt, some in ((4096, False), (8, True), (0, True)):
+        monkeypatch.setattr(jaccard, "SALT_ROWS", rows_a_salt)
+        got = jaccard.join_classes(spark, docs).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == want
+        assert dealt[-1].any() == some
+
+
+def test_jaccard_carries_columns_and_labels(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "a"), (1, text + " more", "b"), (1, "quite another text of some words", "c"), (None, text, None), (None, "quite another text of some words", "d"), (2, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    got = jaccard.join_classes(spark, df, carry=["n"], label_col="cid").collect()
+    label = {r.n: r.cid for r in got}
+    assert label["a"] == label["b"] == label[None] != label["c"] == label["d"] and label["e"] is None
+    assert sorted((str(r.doc_id), r.component_id) for r in got) == [("1", 1), ("1", 1), ("1", 1), ("2", 2), ("None", 1), ("None", 1)]
+
+
 def test_components(spark):
     edges = [(f"{a:03}", f"{a + 1:03}") for a in range(40)] + [("100", "101"), ("101", "101"), ("100", "101")]
     got = components(Scratch(spark, "c"), spark.createDataFrame(edges, "a string, b string"), "x").collect()
