@@ -50,21 +50,22 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     # joins are sort-merge joins at every size: the plan, and what it moves, then grow alike
     scratch = Scratch(spark, "groups")
-    row = F.xxhash64("doc_id", "text")
-    found = join_classes(spark, docs.select(row.alias("row"), "text"), id_col="row")
-    found = scratch.write(found.groupBy("row").agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("times")), "found")
-    ids = docs.select(row.alias("row"), "doc_id", F.xxhash64("text").alias("th")).groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("th").alias("th"))
-    place = F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "th", "row", "times").alias("place")
-    first = found.where("n_shingles > 0").join(ids.hint("merge"), "row").groupBy("component").agg(F.min(place).alias("first"))
-    first = scratch.write(first.select("first.row", "first.times"), "kept")
-    single = first.where("times = 1").select("row").unionByName(found.where("n_shingles = 0").select("row"))
-    keyed = docs.withColumn("_row", row)
-    rows = keyed.join(single.hint("merge"), keyed["_row"] == single["row"], "left_semi").select(*docs.columns)
+    th = F.xxhash64("text")
+    found = join_classes(spark, docs.select("doc_id", "text", th.alias("th")), carry=["th"], label_col="label")
+    found = found.groupBy(F.col("doc_id").alias("gid"), F.col("th").alias("gth")).agg(F.min("label").alias("label"), F.count("*").alias("times"))
+    found = scratch.write(found, "found")
+    place = F.struct(F.col("gid").isNull().alias("nul"), "gid", "gth", "times").alias("first")
+    first = found.where("label is not null").groupBy("label").agg(F.min(place).alias("first"))
+    first = scratch.write(first.select("first.gid", "first.gth", "first.times"), "kept")
+    single = first.where("times = 1").select("gid", "gth").unionByName(found.where("label is null").select("gid", "gth"))
+    keyed = docs.withColumn("_th", th)
+    on = lambda rows: keyed["doc_id"].eqNullSafe(rows["gid"]) & (keyed["_th"] == rows["gth"])
+    rows = keyed.join(single.hint("merge"), on(single), "left_semi").select(*docs.columns)
     if first.where("times > 1").limit(1).count():
         # several rows of equal id and text: one of them stays
-        several = first.where("times > 1").select("row")
+        several = first.where("times > 1").select("gid", "gth")
         own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        twice = keyed.join(several.hint("merge"), keyed["_row"] == several["row"], "left_semi").groupBy("_row").agg(F.min_by(own, F.xxhash64(own)).alias("own"))
+        twice = keyed.join(several.hint("merge"), on(several), "left_semi").groupBy("doc_id", "_th").agg(F.min_by(own, F.xxhash64(own)).alias("own"))
         rows = rows.unionByName(twice.select("own.*"))
     return rows
 
