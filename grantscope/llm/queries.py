@@ -201,6 +201,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(spark, table(spark, sf_dir, "documents"))
 
 
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of all documents without repeated content-defined chunks and the equal lines around them."""
+    from .line_dedup import dedup_chunks
+
+    return dedup_chunks(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches and a compaction: all documents in, one batch sent twice, toxic ones out, counts revised.
 
@@ -267,6 +274,7 @@ runs AS (SELECT doc_id, count(*) AS n FROM gone WHERE NOT EXISTS (SELECT 1 FROM
 SELECT w.doc_id, CASE WHEN runs.n IS NULL THEN w.text ELSE coalesce(kept.text, '') END AS text, coalesce(runs.n, 0)::BIGINT AS n_removed
 FROM whole w LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
 """
+QUERIES["line_chunks"] = line_chunks
 QUERIES["op8_token_rollup"] = op8_token_rollup
 QUERIES["token_rollup_by_tokenizer"] = token_rollup_by_tokenizer
 ORACLE_SQL["op8_token_rollup"] = r"""
