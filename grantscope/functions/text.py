@@ -117,3 +117,24 @@ def around(df: DataFrame, keys: Sequence[str], order: str, text: str, reach: int
     """Adds the texts of the rows up to ``reach`` before and after, joined by spaces."""
     frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-reach, reach)
     return df.withColumn(name, F.concat_ws(" ", F.collect_list(text).over(frame)))
+
+
+def request_fields(body: Column) -> tuple[Column, Column, Column]:
+    """Path, whether tests count, and what is wrong, of a request's body of JSON text; unknown keys are ignored.
+
+    Nothing is cast: a path must be a string with more than white space, and only ``true`` asks for tests.
+    A null body, and one that repeats a key, are no JSON.
+    """
+    # text after a whole value passes for JSON unless something has to follow it: as an item and as a member it has to end alike
+    item, member = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"body":'), body, F.lit("}")))
+    asked = F.when(member.isNotNull() & F.try_variant_get(item, "$[1]", "variant").isNull(), F.try_variant_get(item, "$[0]", "variant"))
+    field = lambda name, kind: F.when(F.schema_of_variant(F.try_variant_get(asked, f"$.{name}", "variant")) == kind.upper(), F.try_variant_get(asked, f"$.{name}", kind))
+    path = field("path", "string")
+    given = F.coalesce(F.rlike(path, F.lit(r"(?U)\S")), F.lit(False))
+    error = (
+        F.when(asked.isNull(), "The body is not JSON")
+        .when(~F.startswith(F.schema_of_variant(asked), F.lit("OBJECT")), "The body is not a JSON object")
+        .when(~given, "No project path was given")
+    )
+    tests = F.coalesce(field("includeTests", "boolean"), F.lit(False)) & error.isNull()
+    return F.when(error.isNull(), path).otherwise(""), tests, error

@@ -11,7 +11,6 @@ from ..functions import catalog, markup, text
 from ..functions.catalog import Signal
 from ..functions.shared import shared_folder
 from ..operators import classify, declarations, graph, rules, signals, textindex
-from ..server import request_of
 from . import analyze, generated, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,12 +154,8 @@ def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = generated.nth(kinds, F.col("event_id"))
     df = table(spark, sf_dir, "events").select("event_id", F.replace(F.replace(body, F.lit("<type>"), F.col("event_type")), F.lit("<k>"), F.col("event_id").cast("string")).alias("body"))
 
-    def run(frames):
-        for frame in frames:
-            path, tests, error = zip(*map(request_of, frame["body"]), strict=True) if len(frame) else ((), (), ())
-            yield frame[["event_id"]].assign(path=list(path), include_tests=list(tests), error=list(error))
-
-    return df.mapInPandas(run, "event_id long, path string, include_tests boolean, error string")
+    path, tests, error = text.request_fields(F.col("body"))
+    return df.select("event_id", path.alias("path"), tests.alias("include_tests"), error.alias("error"))
 
 
 @query("""WITH u AS (SELECT doc_id, count(*) FILTER (WHERE n_chars > 0) AS n, max(n_chars) AS chars FROM documents GROUP BY doc_id),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grantscope.functions import catalog, markup, text
+from grantscope.server import request_of
 
 
 def one(spark, expr, **columns):
@@ -128,3 +129,13 @@ def test_catalog(spark):
     assert rows["android.permission.CAMERA"].group == "Camera" and rows["android.permission.CAMERA"].policy_note
     assert (rows["android.permission.NEW"].protection, rows["com.x.Y"].protection) == ("NORMAL", "SIGNATURE")
     assert rows["com.x.Y"].group == "Other" and rows["com.x.Y"].policy_note is None
+
+
+def test_request_fields_are_those_of_the_service(spark):
+    bodies = ['{"path": "a/b"}', '{"path": "x", "includeTests": true, "more": [1]}', '{"path": "x", "includeTests": "true"}', '{"path": "x", "includeTests": 1}', '{"path": 7}']
+    bodies += ['{"path": null}', '{"path": " \\t"}', '{"path": "\\u2003"}', '{"path": {"path": "x"}}', "{}", "[]", '"x"', "7", "null", "true", "", "  ", "{", '{"path": "x"', '{"path": "x"} y', '{"path": "x"}],[1', '{"path": "x"}}', '{"path": "x"}, 2', '{"path": "x"}, "c": 1']
+    bodies += ['{"includeTests": true}', '{"path": " é ", "includeTests": false}', '{"path": "' + "long/" * 5000 + '"}']
+    df = spark.createDataFrame([(k, b) for k, b in enumerate([*bodies, None])], "k int, body string")
+    path, tests, error = text.request_fields(F.col("body"))
+    got = {r.k: (r.path, r.t, r.error) for r in df.select("k", path.alias("path"), tests.alias("t"), error.alias("error")).collect()}
+    assert got == {k: request_of(b) for k, b in enumerate(bodies)} | {len(bodies): ("", False, "The body is not JSON")}
