@@ -196,6 +196,11 @@ def default_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.described(df, "permission", catalog.specs(spark)).select("p_partkey", "permission", "protection", "group", "policy_note")
 
 
+def whole_seconds(ts: Column) -> Column:
+    """The nearest whole second, halves to the even one, as a cast to whole numbers rounds in SQL."""
+    return F.rint(F.unix_micros(ts.cast("timestamp")) / 1e6).cast("long")
+
+
 SPANS = "spans AS (SELECT user_id, event_id AS span_id, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + 3 * 86400 AS e, event_type = 'purchase' AS strong FROM events WHERE event_type IN ('signup', 'purchase'))"
 
 
@@ -203,7 +208,7 @@ SPANS = "spans AS (SELECT user_id, event_id AS span_id, epoch(ts)::BIGINT AS s,
 SELECT p.user_id, p.event_id, (SELECT span_id FROM spans x WHERE x.user_id = p.user_id AND p.t BETWEEN x.s AND x.e ORDER BY x.strong DESC, x.s DESC, x.span_id LIMIT 1) AS span_id FROM p""")
 def innermost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks and the innermost span of the same user around them, strong spans first."""
-    events = table(spark, sf_dir, "events").withColumn("t", F.unix_timestamp("ts"))
+    events = table(spark, sf_dir, "events").withColumn("t", whole_seconds(F.col("ts")))
     spans = events.where(F.col("event_type").isin("signup", "purchase")).select(
         "user_id", F.col("event_id").alias("ord"), F.col("t").alias("start_line"), (F.col("t") + 3 * 86400).alias("end_line"), (F.col("event_type") == "purchase").alias("strong"))
     points = events.where("event_type = 'click'").select("user_id", "event_id", "t")
