@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog
+from ..functions.shared import dealt
 from ..operators import signals
 from ..sources import project
 
@@ -121,7 +122,7 @@ def _chosen(values: list[str], at: Column) -> Column:
 
 
 def _files(spark: SparkSession, sf_dir: str, path: Column, content: Column) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select(path.alias("relative_path"), content.alias("content"))
+    df = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey").select(path.alias("relative_path"), content.alias("content"))
     return project.source_rows(df.withColumn("path", F.col("relative_path")))
 
 
