@@ -1003,3 +1003,14 @@ def test_sql_columns_of_queries(spark, tmp_path):
         want = db.execute(queries.ORACLE_SQL[name])
         order = [[x[0] for x in want.description].index(c) for c in df.columns]
         assert sorted(str(tuple(r)) for r in df.collect()) == sorted(str(tuple(row[k] for k in order)) for row in want.fetchall()), name
+
+
+def test_quality_learns_from_every_trusted_document(spark):
+    # of 20,004 trusted documents those that a sample of 20,000 by hash would leave out have words of their own
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    ids = spark.range(20_004).withColumnRenamed("id", "doc_id")
+    last = [r[0] for r in ids.orderBy(place.desc(), F.desc("doc_id")).limit(4).collect()]
+    docs = ids.withColumn("text", F.when(F.col("doc_id").isin(last), "c d").otherwise("a b"))
+    got = quality.judge(spark, docs, ids.withColumn("quality", F.lit(1)), keep_share=1.0, min_words=1)
+    # the worst of all trusted sets the bar
+    assert got.where("kept").count() == 20_004
