@@ -47,7 +47,9 @@ def rolled_up(rows: DataFrame, levels: Sequence[Sequence[str]], *, files: str =
     apart by ``level``.
     """
     columns = list(dict.fromkeys(c for level in levels for c in level))
+    # rows of a file and of equal columns are one before they are repeated for the levels; then each file is one row of each group
+    per = rows.groupBy(*columns, F.col(files).alias("_file")).agg(F.count("*").alias("_n"))
     absent = [F.when(F.grouping(c) == 0, c) for c in columns]
-    out = rows.groupingSets([[F.col(c) for c in level] for level in levels], *columns).agg(
-        F.concat_ws(",", *absent).alias("level"), F.count("*").alias("n"), F.countDistinct(files).alias("files"))
+    named = per.groupingSets([[*[F.col(c) for c in level], F.col("_file")] for level in levels], *columns, "_file").agg(F.concat_ws(",", *absent).alias("level"), F.sum("_n").alias("n"))
+    out = named.groupBy("level", *columns).agg(F.sum("n").alias("n"), F.count("_file").alias("files"))
     return out.select("level", *columns, "n", "files")
