@@ -167,7 +167,7 @@ def user_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = part.select(F.col("p_brand").alias("permission"), F.format_string("size %d", "p_size").alias("label"), F.format_string(r"brand=%s\s+size=%d\b", "p_brand", "p_size").alias("pattern"), F.when(F.col("p_size") > 25, "HIGH").otherwise("LOW").alias("confidence")).distinct()
     known = catalog.from_table(made)
     line = F.format_string("key=%d brand=%s  size=%d type=%s", "p_partkey", "p_brand", "p_size", "p_type")
-    files = part.select(F.format_string("m/src/P%d.kt", "p_partkey").alias("relative_path"), F.concat(F.lit("\n"), line, F.lit("0\n")).alias("content")).withColumn("path", F.col("relative_path"))
+    files = dealt(part.select("p_partkey", "p_brand", "p_size", "p_type"), "p_partkey").select(F.format_string("m/src/P%d.kt", "p_partkey").alias("relative_path"), F.concat(F.lit("\n"), line, F.lit("0\n")).alias("content")).withColumn("path", F.col("relative_path"))
     return signals.usages(signals.candidate_lines(project.source_rows(files), known), known).select("file", "line", "permission", "evidence", "confidence")
 
 
