@@ -224,3 +224,28 @@ def test_spans_and_points_round_to_whole_seconds_as_sql_does(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type")
     df.write.parquet(f"{tmp_path}/events.parquet")
     assert {(r.event_id, r.span_id) for r in registry.innermost_interval(spark, str(tmp_path)).collect()} == {(2, None), (5, 4)}
+
+
+def test_rows_of_one_row_group_are_dealt_out_before_work_on_them(spark, tmp_path):
+    from grantscope.functions.shared import LEAST_ROWS, dealt
+
+    path = f"{tmp_path}/t.parquet"
+    spark.range(4 * LEAST_ROWS).coalesce(1).write.parquet(path)
+    made = dealt(spark.read.parquet(path), "id").withColumn("text", F.concat(F.lit("x"), F.col("id"))).where(F.length("text") > 2)
+    assert made.groupBy(F.spark_partition_id()).count().count() == 4 and made.count() == 4 * LEAST_ROWS - 10
+    # the filter on what is made stays above the dealing
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("RepartitionByExpression")
+
+
+def test_joins_of_growing_sides_broadcast_nothing(spark):
+    from grantscope.operators import declarations, graph
+
+    calls = spark.createDataFrame([("a", 0, "f")], "caller_id string, caller_ord int, name string")
+    edges = graph.guarded_edges(calls, spark.createDataFrame([("b", "f")], "id string, name string"))
+    points = spark.createDataFrame([("k", 3), ("k", 3)], "file string, line int")
+    spans = spark.createDataFrame([("k", 1, 9, 0)], "file string, start_line int, end_line int, ord int")
+    found = declarations.innermost(points, spans, point_keys=["file"], point="line")
+    assert [r.in_start_line for r in found.collect()] == [1, 1] and edges.count() == 1
+    for df in (edges, found):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
