@@ -140,7 +140,8 @@ def judge(
     scratch = Scratch(spark, "quality")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chosen = labels.where(trusted).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    raw, good = _totals(slim), _totals(slim.join(chosen, "id", "left_semi"))
+    # merged at any size: a broadcast while labels are few would only hide what the join costs
+    raw, good = _totals(slim), _totals(slim.where("text is not null").join(chosen.hint("merge"), "id", "left_semi"))
     ratio = np.zeros(BUCKETS)
     if good.sum():
         ratio = np.log((good + 1) / (good.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
