@@ -248,10 +248,12 @@ def token_rollup_by_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ._scratch import Scratch
     from .rollup import Rollup, count_tokens
 
-    scratch, docs = Scratch(spark, "rollup"), table(spark, sf_dir, "documents")
-    for name in ("byte_bpe_50k", "word_bpe_49k"):
-        docs = count_tokens(docs, public_tokenizers.path(f"{name}.json"), name=name)
+    scratch, docs = Scratch(spark, "rollup"), table(spark, sf_dir, "documents").select("source", "lang", "text")
+    # a job for each tokenizer, so that no worker holds the units of two
+    docs = scratch.write(count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), name="byte_bpe_50k"), "texts")
+    docs = count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), name="word_bpe_49k")
     counted = scratch.write(docs.select("source", "lang", "byte_bpe_50k", "word_bpe_49k"), "counts")
+    scratch.drop("texts")
     row = lambda op, name, tokens, old: counted.select(F.lit(op).alias("op"), "source", "lang", F.lit(name).alias("tokenizer"), tokens.alias("tokens"), old.alias("old_tokens"))
     none, first, second = F.lit(None).cast("long"), F.col("byte_bpe_50k"), F.col("word_bpe_49k")
     store = Rollup(spark, scratch.path("store"))
