@@ -1,6 +1,7 @@
 """Line, path and markup functions against small plain-Python models."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,17 @@ def test_request_fields_are_those_of_the_service(spark):
     path, tests, error = text.request_fields(F.col("body"))
     got = {r.k: (r.path, r.t, r.error) for r in df.select("k", path.alias("path"), tests.alias("t"), error.alias("error")).collect()}
     assert got == {k: request_of(b) for k, b in enumerate(bodies)} | {len(bodies): ("", False, "The body is not JSON")}
+
+
+def test_many_components_of_one_manifest(spark):
+    # each was given the joined text after it, made anew from two splits of the whole text
+    n = 1500
+    part = '<activity android:name=".É{0}">\n{1}</activity>\n<service android:name="S{0}"/>\n<activity-alias android:name="B{0}" android:exported="{2}">'
+    text_ = "é<application>\n" + "".join(part.format(k, "<intent-filter/>" * (k % 2), ["true", "x", ""][k % 3]) for k in range(n)) + "<intent-filter></activity-alias>"
+    began = time.monotonic()
+    got = one(spark, markup.components(F.col("p")), p=text_)
+    assert time.monotonic() - began < 60
+    assert [c.name for c in got] == [x.format(k) for k in range(n) for x in (".É{}", "S{}", "B{}")] and [c.line for c in got[:6]] == [2, 4, 5, 5, 7, 8]
+    # an alias reaches to the end tag of its own type, which only the last one has; an activity to its own
+    assert [c.has_intent_filter for c in got] == [x for k in range(n) for x in (bool(k % 2), False, True)]
+    assert [c.exported for c in got[2::3]] == [[True, None, None][k % 3] for k in range(n)]
