@@ -86,3 +86,38 @@ def test_names_of_files():
 
 def test_no_projects_give_no_files(spark, tmp_path):
     assert corpus.write_reports(rows(spark, {}, True), f"file://{tmp_path}/x").count() == 0
+
+
+def test_parts_make_the_reports(spark, many, singles, tmp_path):
+    events = corpus.ranged(corpus.events(many, "now"), 6).localCheckpoint()
+    forms = {form: corpus.write_parts(events, f"file://{tmp_path}/{form}", pretty=form == "pretty", page=form == "page").localCheckpoint() for form in ("pretty", "compact", "page")}
+    held = corpus.read_parts(*forms.values()).collect()
+    docs = {}
+    for form, made in (("pretty", report.pretty_json), ("compact", report.compact_json), ("page", report.html_page)):
+        parts = forms[form].orderBy("project", "part").collect()
+        assert len(parts) > 20  # a report is cut anywhere, within lists too
+        for name in PROJECTS:
+            text = "".join(open(r.path.removeprefix("file://"), encoding="utf-8").read() for r in parts if r.project == name)
+            if form == "pretty":
+                docs[name] = json.loads(text)
+                assert plain(docs[name], name) == plain(singles[name], name)
+            assert text == made(docs[name])
+    for name, doc in docs.items():
+        own = [r for r in held if r.project == name]
+        total = lambda what, of=None: sum(r.n for r in own if r.what == what and r.name == of)
+        for p in doc["permissions"]:
+            assert all(total(x, p["permission"]) == len(p[x]) for x in ("declarations", "usages", "runtimeRequests", "permissionChecks", "touchedFiles"))
+        assert [r.name for r in sorted(own, key=lambda r: (r.part, r.nth)) if r.what == "permission"] == [p["permission"] for p in doc["permissions"]]
+        assert total("findings") == len(doc["findings"]) and total("number", "analyzedLineCount") == doc["project"]["analyzedLineCount"]
+        assert all(r.n for r in own if r.what in ("same", "escaped")) and sum(r.n for r in own if r.what == "ended") == 1
+
+
+def test_parts_that_differ_are_told(spark, tmp_path):
+    schema = "project string, part int, path string, section int, name string, list int"
+    def side(form, text):
+        (tmp_path / form).write_text(text)
+        return spark.createDataFrame([("p", 0, f"file://{tmp_path}/{form}", 7, "x", 41)], schema)
+    page = report.PAGE.format(name="", data='{"a":[1,2]}')
+    flags = lambda *texts: {r.what: r.n for r in corpus.read_parts(*[side(f, t) for f, t in zip("abc", texts, strict=True)]).collect()}
+    assert flags('{\n    "a": [\n        1,\n        2\n    ]\n}', '{"a":[1,2]}', page)["same"] == 1
+    assert flags('{\n    "a": [\n        1\n    ]\n}', '{"a":[1,2]}', page) == {"same": 0, "escaped": 0, "ended": 1}
