@@ -1,22 +1,19 @@
-"""Usages kept up to date while files change: a stream of file events, with state per file.
+"""Usages kept up to date while files change: a stream of file events, with tables of what they have changed.
 
-An event is a new content of a file, or its end.  Its usages are found as in a batch; the state of a
-file holds the number of its last event and the usages of that content, and what is new or gone against
-them comes out as rows of sign 1 or -1.  Signed rows are committed by batch, so one that is run again
-replaces itself, and their sum is what a batch over the last contents finds.
+An event is a new content of a file, or its end.  Its usages are found as in a batch and joined with the number of
+the file's last event and the usages of that content; what is new or gone comes out as rows of sign 1 or -1.  Both
+tables are committed by batch, so a batch that is run again replaces itself, and the sum of the signed rows is what a batch over
+the last contents finds.  A batch reads the tables of those before it, so its cost has a part that grows with all changes so far.
 """
 
 from __future__ import annotations
 
-import json
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import catalog, text
 from ..functions.catalog import Signal
@@ -26,7 +23,7 @@ from ..sources import project
 EVENTS = "relative_path string, seq long, deleted boolean, content string"
 FIELDS = ["line", "permission", "symbol", "kind", "evidence", "confidence", "snippet"]
 DELTA = "file string, seq long, sign int, line int, permission string, symbol string, kind string, evidence string, confidence string, snippet string"
-STATE = "seq long, usages string"
+HEAD = "file string, seq long"
 
 
 def event_usages(events: DataFrame, known: Sequence[Signal] = catalog.SIGNALS) -> DataFrame:
@@ -40,20 +37,19 @@ def event_usages(events: DataFrame, known: Sequence[Signal] = catalog.SIGNALS) -
     return signals.usages(signals.candidate_lines(rows, known, outer=True), known, outer=True).select("file", "seq", *FIELDS)
 
 
-def changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What a file's newest event adds and takes away; events that are no newer than the last one change nothing."""
-    last, held = state.get if state.exists else (None, "[]")
-    rows = [r for f in frames for r in zip(*(f[c].tolist() for c in ["seq", *FIELDS]), strict=True)]
-    newest = int(max(r[0] for r in rows))
-    if last is not None and newest <= last:
-        return
+def changed(found: DataFrame, heads: DataFrame, deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the files' newest events add and take away, as rows of :data:`DELTA`, and the numbers of these events.
+
+    ``found`` are usages of events, ``heads`` the numbers and ``deltas`` the signed rows of the batches before.  Events that are no newer
+    than a file's last one change nothing.
+    """
+    last = heads.groupBy("file").agg(F.max("seq").alias("_last"))
+    newest = found.groupBy("file").agg(F.max("seq").alias("seq")).join(last.hint("merge"), "file", "left").where("_last is null or seq > _last").select("file", "seq")
     # an event that comes twice has each usage twice, one without usages a row of nulls
-    new = Counter({(int(line), *rest) for seq, line, *rest in rows if seq == newest and isinstance(rest[0], str)})
-    old = Counter(tuple(x) for x in json.loads(held))
-    out = [(key[0], newest, sign, *x) for sign, some in ((-1, old - new), (1, new - old)) for x in sorted(some.elements())]
-    state.update((newest, json.dumps(sorted(new.elements()))))
-    if out:
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in DELTA.split(", ")])
+    new = found.join(newest.hint("merge"), ["file", "seq"], "left_semi").where("permission is not null").select("file", *FIELDS).distinct()
+    old = deltas.join(newest.hint("merge"), "file", "left_semi").select("file", "sign", *FIELDS).withColumn("sign", -F.col("sign"))
+    signed = new.withColumn("sign", F.lit(1)).unionByName(old).groupBy("file", *FIELDS).agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
+    return signed.join(newest.hint("merge"), "file").select(*[c.split()[0] for c in DELTA.split(", ")]), newest
 
 
 def rescan(events: DataFrame, root: str, known: Sequence[Signal] = catalog.SIGNALS) -> StreamingQuery:
@@ -62,14 +58,24 @@ def rescan(events: DataFrame, root: str, known: Sequence[Signal] = catalog.SIGNA
     ``events`` is a streaming table of :data:`EVENTS`: ``seq`` grows with a file's versions, and a file has one content a number.
     Events may come late, twice and several of a file at once: the greatest number wins.  A deleted file has no
     usages, and may come back with a greater number; null contents are empty.  ``root``, a folder that driver and
-    executors share, holds the stream's progress, its state and the signed rows.
+    executors share, holds the stream's progress, the numbers of last events and the signed rows.
     """
 
     def commit(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/deltas/batch={number}")
+        spark = batch.sparkSession
+
+        def before(name: str, schema: str) -> DataFrame:
+            if not number:
+                return spark.createDataFrame([], schema)
+            return spark.read.schema(f"{schema}, batch long").parquet(f"{root}/{name}").where(F.col("batch") < number).drop("batch")
+
+        found = batch.persist(StorageLevel.DISK_ONLY)
+        deltas, heads = changed(found, before("heads", HEAD), before("deltas", DELTA))
+        for name, rows in (("heads", heads), ("deltas", deltas)):
+            rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+        found.unpersist()
 
-    deltas = event_usages(events, known).groupBy("file").applyInPandasWithState(changed, DELTA, STATE, "append", GroupStateTimeout.NoTimeout)
-    return deltas.writeStream.foreachBatch(commit).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    return event_usages(events, known).writeStream.foreachBatch(commit).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:

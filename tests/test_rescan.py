@@ -78,3 +78,15 @@ def test_only_what_changed_comes_out(spark, tmp_path):
     run(spark, root, [(path, 9, True, None)], 9)
     assert rescan.current(spark, f"{root}/state").count() == 0
     assert found(rescan.current(spark, f"{root}/state").where(F.lit(True))) == []
+
+
+def test_changes_are_joined_not_called_file_by_file(spark):
+    row = lambda file, seq, line: (file, seq, line, *[None if line is None else "x"] * 6)
+    fields = "line int, permission string, symbol string, kind string, evidence string, confidence string, snippet string"
+    found = spark.createDataFrame([row("a", 2, 1), row("a", 2, 1), row("a", 3, 4), row("late", 1, 9), row("same", 5, 9), row("gone", 4, None), row("new", 1, 2)], f"file string, seq long, {fields}")
+    heads = spark.createDataFrame([("a", 1), ("late", 2), ("same", 5), ("gone", 3), ("other", 1)], rescan.HEAD)
+    before = spark.createDataFrame([("a", 1, 1, *["x"] * 6), ("gone", 1, 7, *["x"] * 6), ("other", 1, 8, *["x"] * 6)], f"file string, sign int, {fields}").withColumn("seq", F.lit(1).cast("long"))
+    deltas, newest = rescan.changed(found, heads, before.select([c.split()[0] for c in rescan.DELTA.split(", ")]))
+    assert sorted((r.file, r.seq, r.sign, r.line) for r in deltas.collect()) == [("a", 3, -1, 1), ("a", 3, 1, 4), ("gone", 4, -1, 7), ("new", 1, 1, 2)]
+    assert sorted(map(tuple, newest.collect())) == [("a", 3), ("gone", 4), ("new", 1)]
+    assert "Pandas" not in deltas._jdf.queryExecution().executedPlan().toString()
