@@ -237,7 +237,7 @@ def bounded_bfs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers that reach three suppliers within four levels, over every row and key of lineitem."""
     items = table(spark, sf_dir, "lineitem").where("l_suppkey is not null and l_partkey is not null")
     supplier, part = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("p"), F.col("l_partkey"))
-    pairs = items.select(supplier.alias("s"), part.alias("p")).distinct()
+    pairs = items.select("l_suppkey", "l_partkey").distinct().select(supplier.alias("s"), part.alias("p"))  # keys are shuffled, not their texts
     edges = pairs.select(F.col("s").alias("callee_id"), F.col("p").alias("caller_id")).unionByName(pairs.select(F.col("p").alias("callee_id"), F.col("s").alias("caller_id")))
     edges = edges.withColumn("caller_ord", F.col("caller_id"))
     targets = spark.createDataFrame([("s1",), ("s5",), ("s9",)], "id string")
