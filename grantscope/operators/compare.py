@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import checkpointed
+
 SAME, MOVED, NEW, GONE = "same", "moved", "new", "gone"
 
 
@@ -29,7 +31,7 @@ def compared(old: DataFrame, new: DataFrame, keys: Sequence[str], place: str = "
         joined = left.withColumn("_a", F.lit(True)).join(right.withColumnRenamed("row", "_row").withColumn("_b", F.lit(True)), ["key", *[f"_{c}" for c in on]], "full_outer")
         return joined.select(F.coalesce("row", "_row").alias("row"), "key", "old_place", "new_place", F.col("_a").isNotNull().alias("in_old"), F.col("_b").isNotNull().alias("in_new"))
 
-    first = matched(side(old, "old_place"), side(new, "new_place"), ["at", "nth"])
+    first = checkpointed(matched(side(old, "old_place"), side(new, "new_place"), ["at", "nth"]))  # read three times
     both = F.col("in_old") & F.col("in_new")
     ordered = lambda name: F.row_number().over(Window.partitionBy("key").orderBy(name))
     rest = [first.where(~both & F.col(flag)).select("row", "key", name).withColumn("nth", ordered(name)) for flag, name in (("in_old", "old_place"), ("in_new", "new_place"))]

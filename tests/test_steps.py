@@ -16,6 +16,13 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().analyzed().toString()
 
 
+def test_compared_reads_its_sides_once(spark):
+    side = lambda n: spark.range(n).select((F.col("id") % 3).alias("k"), F.col("id").alias("line"))
+    out = compare.compared(side(10), side(12), ["k"])
+    assert "Range (" not in plan_of(out)
+    assert out.groupBy("state").count().collect()[0]["state"] in ("same", "new") and out.count() == 12
+
+
 def test_called_nodes_are_told_once(spark, monkeypatch):
     written = []
     own = graph.checkpointed
