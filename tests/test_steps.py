@@ -23,6 +23,11 @@ def test_compared_reads_its_sides_once(spark):
     assert out.groupBy("state").count().collect()[0]["state"] in ("same", "new") and out.count() == 12
 
 
+def test_sources_are_made_once(spark):
+    out = generated.QUERIES["project_sources"](spark, SF)
+    assert not [f for f in out.inputFiles() if f.endswith("customer.parquet")]
+
+
 def test_called_nodes_are_told_once(spark, monkeypatch):
     written = []
     own = graph.checkpointed
