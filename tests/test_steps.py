@@ -1,13 +1,11 @@
 """Steps that many queries share do their work once."""
 
-import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from grantscope.functions import text
 from grantscope.operators import compare, declarations, graph
-from grantscope.plans import corpus, generated
+from grantscope.plans import generated
 
 SF = "/root/testdata/sf0.001"
 
