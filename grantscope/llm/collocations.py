@@ -6,21 +6,24 @@ has a bitmap of the places where the word stands, stored as 16-bit places or, fo
 word, as packed bits.  A phrase's bitmap marks the places where it ends: shifted by one place
 and ANDed with a word's bitmap, it gives the longer phrase's; an empty place ends every phrase.
 
-Supports are popcounts summed over all shards.  Which phrases can be frequent is found length by
+Supports are popcounts summed over all shards, length by
 length: the bitmap of all phrases of k words whose first and last k - 1 words are frequent is the shift-and-AND
-of that of k - 1, and popcounts are summed by a hash of the phrase, so colliding phrases only raise a sum.
-The sums that reach the support go into a bit filter of bounded size.  A last pass then
-searches each shard depth first, within these bitmaps, and sums popcounts by the phrase's words:
-these counts are exact, whatever the filter let through.
+of that of k - 1, and popcounts are summed by a 64-bit hash of the phrase.  The sums that reach the
+support are kept, and their hashes go into a bit filter of bounded size.  Of each frequent phrase one part of the
+shards that holds it is kept too, its home.  A last pass
+searches each shard depth first, within these bitmaps, for the words of the phrases that are at home there,
+so a frequent phrase is told once, in however many tasks it stands.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +40,11 @@ PLACES = 1 << 16
 #: Entries from which packed bits take less than places.
 DENSE = PLACES // 16
 #: Phrases whose sums a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 3 << 18
 #: Bits of a filter: 16 for each phrase, at most 2^28 (32 MB). Beyond some 30 million frequent phrases it prunes less and the results stay the same.
 MIN_BITS, MAX_BITS, BITS_EACH = 16, 28, 16
-SHARD = "lang string, n_words long, words binary, counts binary, sparse binary, dense binary"
+STORED = ["lang", "part", "words", "counts", "sparse", "dense"]
+SHARD = "lang string, part int, n_words long, words binary, counts binary, sparse binary, dense binary"
 #: Parts of a language that are ranked by themselves before the best of all parts are.
 RANK_PARTS = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -111,15 +115,20 @@ class Shard:
 
 
 def seed_of(lang: str) -> int:
+    """A number of the language, mixed so that a word named like one language does not meet the word of another's name there."""
     data = np.frombuffer(lang.encode() or b" ", np.uint8)
-    return int(W.hashes(data, np.array([0]), np.array([len(data)]))[0])
+    return int(W.mix(W.mix(W.hashes(data, np.array([0]), np.array([len(data)])) * _MIX) + _MIX)[0])
 
 
 def index(docs: DataFrame, *, lang_col: str, text_col: str, context: int) -> DataFrame:
-    """A row per shard of documents of one language, with the words' bitmaps; a null language is ``und``, a null text empty."""
+    """A row per shard of documents of one language, with the words' bitmaps; a null language is ``und``, a null text empty.
+
+    ``part`` is the number of the task that made it.
+    """
     slim = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part_of = TaskContext.get().partitionId()
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             code = langs.indices.to_numpy(zero_copy_only=False)
@@ -129,8 +138,8 @@ def index(docs: DataFrame, *, lang_col: str, text_col: str, context: int) -> Dat
                     part = W.LOWER[data[offsets[i] : offsets[j]]]
                     rows = list(shards_of(part, offsets[i : j + 1] - offsets[i], context))
                     if rows:
-                        cols = [pa.array([lang] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[n] for r in rows], pa.binary()) for n in range(1, 5)]]
-                        yield pa.RecordBatch.from_arrays(cols, ["lang", "n_words", "words", "counts", "sparse", "dense"])
+                        cols = [pa.array([lang] * len(rows)), pa.array([part_of] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[n] for r in rows], pa.binary()) for n in range(1, 5)]]
+                        yield pa.RecordBatch.from_arrays(cols, ["lang", "part", "n_words", "words", "counts", "sparse", "dense"])
         W.tidy()
 
     return slim.mapInArrow(run, SHARD)
@@ -161,64 +170,82 @@ class Filter:
         return cls(words, bits)
 
 
-def supports(shards: DataFrame, passes: list, depth: int, context: int) -> DataFrame:
-    """``h`` and ``n``: popcounts of the phrases of ``depth`` words whose parts all passed, summed by hash.
+def turns(h: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    """How many parts after the one that its hash names a phrase's part comes: the least of several is its home, and homes are spread."""
+    return (part - _named(h, parts)) % parts
 
-    For three words, the rows with ``word`` are the words of the pairs that passed, each by its own hash.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        tests, paired = [p.value for p in passes], np.zeros(0, np.uint64)
+def _named(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
+
 
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            h, n = (np.concatenate([x[i] for x in held]) for i in range(2))
-            h, number = np.unique(h, return_inverse=True)
-            return h, np.bincount(number, n, len(h)).astype(np.int64)
+def home_keys(h: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a phrase at a part."""
+    one = W.mix(h ^ W.mix(part.astype(np.uint64) * _MIX))
+    return one, W.mix(one * _MIX)
 
-        def out(h: np.ndarray, n: np.ndarray, word: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(np.full(len(h), word))], ["h", "n", "word"])
+
+def supports(shards: DataFrame, passes: list, depth: int, context: int, parts: int) -> DataFrame:
+    """``h``, ``n`` and ``turn``: popcounts of the phrases of ``depth`` words whose parts all passed, summed by hash, and the least of :func:`turns`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        tests = [p.value for p in passes]
+
+        def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            h, n, part = (np.concatenate([x[i] for x in held]) for i in range(3))
+            held.clear()
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+            return h[first], np.add.reduceat(n[order], first) if len(first) else n, part[order[first]]
+
+        def out(h: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(h), PLACES):
+                j = slice(i, i + PLACES)
+                yield pa.RecordBatch.from_arrays([pa.array(h[j].view(np.int64)), pa.array(n[j]), pa.array(turns(h[j], part[j], parts))], ["h", "n", "turn"])
 
         for batch in batches:
-            for lang, *parts in zip(*(batch.column(n).to_pylist() for n in ("lang", "words", "counts", "sparse", "dense")), strict=True):
-                levels = list(Shard(*parts).levels(seed_of(lang), tests, depth))
-                if depth == 3:
-                    at = np.flatnonzero(levels[1][0])
-                    paired = np.unique(np.concatenate([paired, levels[0][1][at], levels[0][1][at - 1]]))
-                live, h = levels[-1]
+            for lang, part, *bits in zip(*(batch.column(n).to_pylist() for n in STORED), strict=True):
+                for live, h in Shard(*bits).levels(seed_of(lang), tests, depth):
+                    pass
                 live[:context] = False
-                held.append(np.unique(h[live], return_counts=True))
+                found, n = np.unique(h[live], return_counts=True)
+                held.append((found, n, np.full(len(found), part, np.int32)))
                 if sum(len(x[0]) for x in held[1:]) > HELD:
                     held = [summed()]
                     if len(held[0][0]) > HELD:
-                        yield out(*held[0], False)
-                        held = []
-                if len(paired) > HELD:
-                    yield out(paired, np.zeros(len(paired), np.int64), True)
-                    paired = paired[:0]
+                        yield from out(*held.pop())
         if held:
-            yield out(*summed(), False)
-        yield out(paired, np.zeros(len(paired), np.int64), True)
+            yield from out(*summed())
         W.tidy()
 
-    sums = shards.select("lang", "words", "counts", "sparse", "dense").mapInArrow(run, "h long, n long, word boolean")
-    return sums.groupBy("h", "word").agg(F.sum("n").alias("n"))
+    sums = shards.select(*STORED).mapInArrow(run, "h long, n long, turn long")
+    return sums.groupBy("h").agg(F.sum("n").alias("n"), F.min("turn").alias("turn"))
+
 
+def homes(frequent: DataFrame, parts: int) -> DataFrame:
+    """A column ``h`` of both :func:`home_keys` of each phrase at its home."""
 
-def search(shard: Shard, depths: np.ndarray, alone: np.ndarray, context: int, longest: int) -> Iterator[tuple[bytes, int, int]]:
-    """Depth first, all phrases within ``depths`` (how many words may end at a place): (phrase, its words, popcount).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            keys = home_keys(h, (batch.column(1).to_numpy() + _named(h, parts)) % parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["h"])
+
+    return frequent.select("h", "turn").mapInArrow(run, "h long")
+
+
+def search(shard: Shard, depths: np.ndarray, own: np.ndarray, longest: int) -> Iterator[tuple[bytes, int, int]]:
+    """Depth first, the phrases asked for: (phrase, its words, a place where it ends).
 
-    Single words are counted at the places ``alone``.
+    ``own`` has bit k - 1 where a phrase of k words ends that is asked for, ``depths`` how many words of such phrases end at a place.
     """
-    live = depths > 0
-    own = alone.copy()
-    own[:context] = False
-    count = np.bincount(shard.code[own], minlength=len(shard.words) + 1)
-    for k in np.flatnonzero(count).tolist():
-        yield shard.words[k - 1], 1, int(count[k])
-    code, depth, words = shard.code.tolist(), depths.tobytes() + b"\0", shard.words
+    code, depth, asked, words = shard.code.tolist(), depths.tobytes() + b"\0", own.tobytes(), shard.words
+    for p in np.flatnonzero(own & 1).tolist():
+        yield words[code[p] - 1], 1, p
     # bitmaps of words, of those places only after which a pair goes on
-    at = np.flatnonzero(live[:-1] & (depths[1:] > 1))
+    at = np.flatnonzero((depths[:-1] > 0) & (depths[1:] > 1))
     at = at[np.argsort(shard.code[at], kind="stable")]
     cuts = np.flatnonzero(np.diff(shard.code[at])) + 1
 
@@ -229,9 +256,9 @@ def search(shard: Shard, depths: np.ndarray, alone: np.ndarray, context: int, lo
                 after[code[p + 1]].append(p + 1)
         for k, places in after.items():
             longer = phrase + b" " + words[k - 1]
-            n = len(places) if places[0] >= context else sum(p >= context for p in places)
-            if n:
-                yield longer, size, n
+            p = next((p for p in places if asked[p] >> (size - 1) & 1), None)
+            if p is not None:
+                yield longer, size, p
             if size < longest:
                 yield from grow(longer, places, size + 1)
 
@@ -240,35 +267,60 @@ def search(shard: Shard, depths: np.ndarray, alone: np.ndarray, context: int, lo
             yield from grow(words[code[ends[0]] - 1], ends.tolist(), 2)
 
 
-def phrases(shards: DataFrame, passes: list, paired, longest: int, context: int) -> DataFrame:
-    """``lang``, ``phrase``, ``k`` (its words) and ``f``: exact counts of the phrases that passed, of 2 to ``longest`` words, and of the words ``paired`` lets through."""
+def named(shards: DataFrame, passes: list, home, longest: int, context: int) -> DataFrame:
+    """``h``, ``lang``, ``phrase`` and ``k`` (its words) of the frequent phrases, each from its home.
+
+    The filter of homes takes some phrases from other parts too, so rows can be repeated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests, found, parts_of = [p.value for p in passes], Counter(), paired.value
+        tests, at_home, told, rows = [p.value for p in passes], home.value, set(), []
 
         def out() -> pa.RecordBatch:
-            cols = [pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.binary()).cast(pa.string()), pa.array([x[2] for x in found], pa.int32()), pa.array(list(found.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "k", "f"])
+            h, lang, phrase, k = zip(*rows, strict=True)
+            cols = [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(lang), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(k, pa.int32())]
+            return pa.RecordBatch.from_arrays(cols, ["h", "lang", "phrase", "k"])
 
         for batch in batches:
-            for lang, *parts in zip(*(batch.column(n).to_pylist() for n in ("lang", "words", "counts", "sparse", "dense")), strict=True):
-                shard, depths = Shard(*parts), np.zeros(PLACES, np.uint8)
+            for lang, part, *bits in zip(*(batch.column(n).to_pylist() for n in STORED), strict=True):
+                shard, depths, own, hashes = Shard(*bits), np.zeros(PLACES, np.uint8), np.zeros(PLACES, np.uint8), []
                 for k, (live, h) in enumerate(shard.levels(seed_of(lang), tests, longest)):
-                    depths += live
-                    if not k:
-                        alone = live.copy()
-                        alone[live] = parts_of(h[live])
-                for phrase, k, n in search(shard, depths, alone, context, longest):
-                    found[lang, phrase, k] += n
-                if len(found) > HELD // 4:
+                    hashes.append(h)
+                    at = np.flatnonzero(live[context:]) + context
+                    found, first = np.unique(h[at], return_index=True)
+                    one, two = home_keys(found, np.array([part]))
+                    at = at[first[at_home(one) & at_home(two)]]
+                    own[at] |= 1 << k
+                    for j in range(k + 1):
+                        depths[at - j] = np.maximum(depths[at - j], k + 1 - j)
+                for phrase, k, p in search(shard, depths, own, longest):
+                    h = int(hashes[k - 1][p])
+                    if (h, k) not in told:
+                        told.add((h, k))
+                        rows.append((h, lang, phrase, k))
+                if len(rows) > HELD // 4:
                     yield out()
-                    found.clear()
-        if found:
+                    rows.clear()
+                    told.clear()
+        if rows:
             yield out()
         W.tidy()
 
-    sums = shards.select("lang", "words", "counts", "sparse", "dense").mapInArrow(run, "lang string, phrase string, k int, f long")
-    return sums.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+    return shards.select(*STORED).mapInArrow(run, "h long, lang string, phrase string, k int")
+
+
+def mined(scratch: Scratch, shards: DataFrame, *, support: int, longest: int, context: int) -> tuple[DataFrame, DataFrame]:
+    """The frequent phrases of 1 to ``longest`` words: ``h``, ``k`` and ``f``, and their words as :func:`named` gives them."""
+    sc, parts = scratch.spark.sparkContext, (shards.agg(F.max("part")).first()[0] or 0) + 1
+    passes, frequent = [], []
+    for k in range(1, longest + 1):
+        sums = scratch.write(supports(shards, passes, k, context, parts).where(F.col("n") >= support), f"frequent-{k}")
+        frequent.append(sums.withColumn("k", F.lit(k)))
+        if k < longest:
+            passes.append(sc.broadcast(Filter.of(sums.select("h"))))
+    every = reduce(DataFrame.unionByName, frequent)
+    home = sc.broadcast(Filter.of(homes(every, parts)))
+    return every.select("h", "k", F.col("n").alias("f")), named(shards, passes, home, longest, context)
 
 
 def scored(counted: DataFrame, totals: DataFrame, *, support: int, covered: int) -> DataFrame:
@@ -324,17 +376,12 @@ def collocations(
 
     Letters A to Z count as small; overlapping occurrences count.  Null texts are empty, a null language is
     ``und``; texts of any length are read whole, a shard at a time; repeated rows count each; other columns are ignored; an
-    empty table gives an empty result.  Words of a shard are told apart by 64-bit hashes.
+    empty table gives an empty result.  Words of a shard are told apart by 64-bit hashes, phrases that are counted too.
     """
     scratch, context = Scratch(spark, "collocations"), longest - 1
     shards = scratch.write(index(docs, lang_col=lang_col, text_col=text_col, context=context), "shards")
-    passes: list = []
-    for k in range(1, longest):
-        sums = scratch.write(supports(shards, passes, k, context).where((F.col("n") >= support) | F.col("word")), f"frequent-{k}")
-        passes.append(spark.sparkContext.broadcast(Filter.of(sums.where("not word").select("h"))))
-        if k == 3:
-            paired = spark.sparkContext.broadcast(Filter.of(sums.where("word").select("h")))
-    counted = scratch.write(phrases(shards, passes, paired if longest > 3 else passes[0], longest, context).where(F.col("f") >= support), "phrases")
+    frequent, texts = mined(scratch, shards, support=support, longest=longest, context=context)
+    counted = scratch.write(texts.dropDuplicates().join(frequent.hint("merge"), ["h", "k"]).drop("h"), "phrases")
     totals = scratch.write(shards.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
     out = scored(counted, totals, support=support, covered=covered)
     best = ranked(out, [F.desc("score"), F.desc("a"), F.col("phrase")], "lang", most)

@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+from grantscope.llm import collocations as C
+from grantscope.llm._scratch import Scratch
 from grantscope.llm.collocations import DENSE, PLACES, Filter, Shard, collocations, shards_of
 
 
@@ -80,3 +82,24 @@ def test_filter_lets_all_through_that_were_put_in(spark):
     f = Filter.of(spark.createDataFrame([(int(x),) for x in inside.view(np.int64)], "h long"))
     assert f(inside).all() and f(other).mean() < 0.05
     assert not Filter.of(spark.createDataFrame([], "h long"))(other).any()
+
+
+def test_a_frequent_phrase_is_told_once_in_however_many_parts_it_stands(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{n}" for n in range(12)]
+    rows = [("en", t) for t in texts(rng, 400, vocabulary)]
+    scratch = Scratch(spark, "collocations")
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(16)
+    shards = scratch.write(C.index(docs, lang_col="lang", text_col="text", context=4), "shards")
+    frequent, told = C.mined(scratch, shards, support=20, longest=5, context=4)
+    frequent, told, parts = frequent.collect(), told.collect(), shards.select("part").distinct().count()
+    assert parts == 16 and len(frequent) > 150
+    assert {(r.h, r.k) for r in frequent} == {(r.h, r.k) for r in told if (r.h, r.k) in {(x.h, x.k) for x in frequent}}
+    assert len(told) <= 1.05 * len(frequent)
+
+
+def test_words_that_are_names_of_languages(spark):
+    rng = random.Random(10)
+    names = ["en", "es", "de", "und", "EN"]
+    rows = [(rng.choice(["en", "es", "de", None]), t) for t in texts(rng, 300, names)]
+    assert mined(spark, rows, support=5) == brute(rows, 5)
