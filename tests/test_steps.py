@@ -3,8 +3,8 @@
 
 from pyspark.sql import functions as F
 
-from grantscope.functions import text
-from grantscope.operators import compare, declarations, graph
+from grantscope.functions import catalog, text
+from grantscope.operators import compare, declarations, graph, signals
 from grantscope.plans import generated
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +67,13 @@ def test_lines_without_the_word_are_not_tried(spark):
     assert [tuple(r) for r in got] == [(["a.b", "c"], "a.b"), ([], ""), (None, "")]
     kept = spark.createDataFrame([("a / b\n",), ("",), (None,), ("a // b\nc /* d\ne */",)], "t string").select(text.strip_comments(F.col("t"))).collect()
     assert [r[0] for r in kept] == ["a / b\n", "", None, "a \nc \n"]
+
+
+def test_names_are_looked_for_where_hits_say_so(spark):
+    code = ["x = Manifest.permission.NFC", 'y = "android.permission.NFC"', "z = Permission.camera.request();"]
+    n = len(catalog.SIGNALS)
+    rows = [(f"f{i}", 1, "m", "p", "Dart", [], c, c, c, [n + i] if told else []) for i, c in enumerate(code) for told in (True, False)]
+    lines = spark.createDataFrame(rows, "file string, line int, module string, package string, language string, imports array<string>, raw string, code string, window string, hits array<int>")
+    got = sorted((r.file, r.permission, r.kind) for r in signals.usages(lines).collect())
+    assert got == [("f0", "android.permission.NFC", "PERMISSION_STRING"), ("f1", "android.permission.NFC", "PERMISSION_STRING"), ("f2", "android.permission.CAMERA", "API_CALL"), ("f2", "android.permission.CAMERA", "REQUEST")]
+    assert len(signals.usages(lines.drop("hits")).collect()) >= 2 * len(got)
