@@ -450,10 +450,14 @@ def join_classes(
     # the matrix: groups that share a prefix token, and who has to ask which group
     member = member.withColumn("c8", F.xxhash64("cid"))
     prefixes = classes.select("cid", "prefix").join(member.select("cid", "c8", "g", "n").hint("merge"), "cid").select("c8", "g", "n", "prefix")
+    full = spark.sparkContext.broadcast(_full(spark, classes))
+    prefixes = scratch.write(prefixes, "prefixes")
+    scratch.drop("classes")
     row = ", ".join(f"{c} long" for c in [*ROW, "salt"])
-    tokens = prefixes.mapInArrow(_exploded(spark.sparkContext.broadcast(_full(spark, classes))), row)
+    tokens = prefixes.mapInArrow(_exploded(full), row)
     shared = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "g").mapInArrow(_shared, row)
     shared = scratch.write(shared, "shared")
+    scratch.drop("prefixes")
     # a class with fewer shared tokens in all than it must share with one group asks none
     enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * num / den))
     asks = shared.groupBy("c8").agg(F.count("*").alias("tokens"), F.first("n").alias("n")).where(F.col("tokens") >= enough)
@@ -482,11 +486,13 @@ def join_classes(
     bloom = np.zeros(1 << (size - 6), np.uint64)
     bloom[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     sets = slim.select("id", "text").mapInArrow(_wanted(order, spark.sparkContext.broadcast(bloom), size, width), "id long, cid binary, tokens binary")
-    sets = sets.join(wanted.hint("merge"), "cid").where(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["cid"]).select("cid", "tokens")
-    rows = roles.select("g", "part", "role", "cid").join(sets.hint("merge"), "cid")
+    # the keys are the same columns for the grouping and the join, so whole sets are dealt out once
+    key = lambda c: [F.coalesce(c, F.lit(0).cast("long")).alias("k"), F.isnull(c).alias("nul"), "cid"]
+    sets = sets.select(*key("id"), "tokens").groupBy("k", "nul", "cid").agg(F.first("tokens").alias("tokens"))
+    rows = roles.select("g", "part", "role", *key("rep")).join(sets.hint("merge"), ["k", "nul", "cid"])
     links = rows.repartition("g", "part").sortWithinPartitions("g", "part", "role").select("g", "part", "role", "cid", "tokens").mapInArrow(_opened(num, den), "a binary, b binary")
     links = scratch.write(links, "links")
-    scratch.drop("classes", "shared", "matrix", "asking", "asked", "roles")
+    scratch.drop("shared", "matrix", "asking", "asked", "roles")
 
     joined = components(scratch, links, "join")
     reps = scratch.write(member.select("cid", "rep").join(joined.hint("merge"), F.col("cid") == F.col("node"), "left").select("cid", "rep", "label"), "reps")

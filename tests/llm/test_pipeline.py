@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -13,6 +15,7 @@ from test_llm import DOCS, model_components, model_targets, words_of
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from grantscope.llm._scratch import CLEANUP, Scratch
 
 LETTERS = {"en": "aeioulmnst", "fr": "éèàçouvlrm"}
 
@@ -121,3 +124,18 @@ def test_jaccard_stage_decides_per_row(spark):
     assert {8, 9, 10} <= set(kept) and len(got[0]) == len(kept) == 7
     # a by id 1 once, b by id 1, c once though without an id, d by id 9
     assert sorted((r[0] or 0, r[1]) for r in kept.values() if r[1]) == sorted([(1, a), (1, b), (0, c), (9, d)])
+
+
+def test_jaccard_stage_leaves_no_shuffle_files(spark, tables):
+    # they stayed until the driver collected its garbage, so the disk held the shuffles of all queries of a stage
+    root, _, _ = tables
+    df = spark.read.parquet(f"{root}/documents.parquet")
+    places = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffles = lambda: {f.split("_")[1] for d in places for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before, had = shuffles(), spark.conf.get(CLEANUP)
+    out = Scratch(spark, "t").write(corpus_pipeline.ngram_jaccard_join(spark, df, root), "out")
+    until = time.time() + 10  # executors are told after a query's end
+    while len(shuffles() - before) > 8 and time.time() < until:
+        time.sleep(0.2)
+    assert out.count() and len(shuffles() - before) <= 8  # those of small numbers that the driver collects
+    assert spark.conf.get(CLEANUP) == had
