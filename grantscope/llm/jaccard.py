@@ -154,12 +154,12 @@ def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(load[at])], ["bucket", "n"])
 
 
-def _full(spark: SparkSession, classes: DataFrame) -> np.ndarray:
+def _full(scratch: Scratch, classes: DataFrame) -> np.ndarray:
     """The buckets whose tokens are dealt out by a salt: any token of more rows than the limit is in one.
 
     Fewer than a quarter of the buckets are above four times the mean, so what comes to the driver is bounded.
     """
-    loads = classes.select("prefix").mapInArrow(_loads, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    loads = scratch.write(classes.select("prefix").mapInArrow(_loads, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "loads")
     limit = F.greatest(F.lit(SALT_ROWS).cast("double"), 4 * F.col("total") / (1 << LOAD_BITS))
     total = loads.agg(F.sum("n").alias("total")).first()[0] or 0
     full = np.zeros(1 << LOAD_BITS, bool)
@@ -450,7 +450,7 @@ def join_classes(
     # the matrix: groups that share a prefix token, and who has to ask which group
     member = member.withColumn("c8", F.xxhash64("cid"))
     prefixes = classes.select("cid", "prefix").join(member.select("cid", "c8", "g", "n").hint("merge"), "cid").select("c8", "g", "n", "prefix")
-    full = spark.sparkContext.broadcast(_full(spark, classes))
+    full = spark.sparkContext.broadcast(_full(scratch, classes))
     prefixes = scratch.write(prefixes, "prefixes")
     scratch.drop("classes")
     row = ", ".join(f"{c} long" for c in [*ROW, "salt"])
